@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
@@ -13,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spindrift.plans.stage import scratch, shared_dir, written  # noqa: F401
+
 # One Python process per task slot: native libraries must not start threads of their own.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("OMP_NUM_THREADS", "1")
@@ -23,30 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = sc._jsc.sc().getCheckpointDir()
-        base = base.get() if base.isDefined() else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spindrift-")
-        sc.setCheckpointDir(base)
-    return base
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a ``written`` table that nothing reads any more."""
     for f in {os.path.dirname(x) for x in df.inputFiles()}:
@@ -97,11 +73,12 @@ def slices(batches, limit: int = 8 << 20):
                 yield part
 
 
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
+MOST_BUCKETS = 65_536
 
 
 def id_buckets(slim: DataFrame, key: str, rows: int = BUCKET_ROWS) -> tuple:
-    """A monotone bucket expression for ``key`` with about ``rows`` ids a bucket, from min, max and count alone.
+    """A monotone bucket expression for ``key`` with about ``rows`` ids a bucket and at most MOST_BUCKETS, from min, max and count alone.
 
     Arithmetic rather than sampled, so that it is the same on every retry. Ids that are
     unevenly spread give uneven buckets, never wrong ones.
@@ -110,14 +87,15 @@ def id_buckets(slim: DataFrame, key: str, rows: int = BUCKET_ROWS) -> tuple:
     if not n:
         return (lambda c: F.lit(0).cast("long")), 1
     lo, hi = int(lo or 0), int(hi or 0)
-    width = max(1, -(-(hi - lo + 1) * rows // n))
+    rows = max(rows, -(-n // MOST_BUCKETS))
+    width = max(1, -(-(hi - lo + 1) * rows // n), -(-(hi - lo + 1) // MOST_BUCKETS))
     return (lambda c: F.coalesce(F.floor((c - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))), max(1, -(-n // rows))
 
 
 def before(slim: DataFrame, key: str, value: str, out: str, *ties: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over all rows before this one in ascending ``key`` (then ``ties``) order.
 
-    Two levels: sums per id bucket (one row per ~2000 rows) are accumulated in one small
+    Two levels: sums per id bucket (MOST_BUCKETS at most) are accumulated in one small
     window; inside a bucket a partitioned window continues from there. No task sees all rows.
     """
     bucket, _ = id_buckets(slim, key)

@@ -1,7 +1,7 @@
 """The queries and SQL of all corpus operators."""
 
-from spindrift.llm import packing, token_orc, warc
+from spindrift.llm import order_minhash, packing, simhash, token_orc, warc
 
-_MODULES = (warc, packing, token_orc)
+_MODULES = (warc, packing, token_orc, simhash, order_minhash)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
