@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spindrift.llm import common, examples
 
@@ -167,9 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net |
     return train([(t.encode("utf-8", "surrogatepass"), y) for _, t, y in got if y in (0, 1)], counts)
 
 
-def scored(docs: DataFrame, net: Net | None) -> DataFrame:
-    """All columns of ``docs`` with ``score``, from the whole text alone."""
-    names = [n for n in docs.columns if n != "score"]
+def scored(docs: DataFrame, net: Net | None, out: str = "score") -> DataFrame:
+    """All columns of ``docs`` with ``out`` (which takes the place of one so named), from the whole text alone."""
+    names = [n for n in docs.columns if n != out]
     docs = docs.select(*names)
     at_text = names.index("text")
 
@@ -181,15 +182,15 @@ def scored(docs: DataFrame, net: Net | None) -> DataFrame:
             else:
                 x = np.stack([net.describe(data[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())])
                 s = net.probability(x)
-            yield pa.record_batch([*b.columns, pa.array(s, pa.float64())], [*names, "score"])
+            yield pa.record_batch([*b.columns, pa.array(s, pa.float64())], [*names, out])
 
-    schema = docs.schema.add("score", "double")
+    schema = StructType(list(docs.schema.fields)).add(out, "double")
     return docs.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, net: Net | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold."""
-    return scored(docs, net).where(F.col("score") >= threshold).drop("score")
+    return scored(docs, net, "_score").where(F.col("_score") >= threshold).drop("_score")
 
 
 def op8_quality_conv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,12 @@ both, so every link lies within a shard. In a shard a BK-tree holds the fingerpr
 children are keyed by their integer Hamming distance to the parent, and a search follows
 only edges within the radius. A shard of more than ``tree_size`` members is cut into
 blocks; each block's tree is sent to every block of that shard only, so no tree, task or
-broadcast grows with the corpus. A shard reports a spanning forest of its links, which
-keeps all components and no quadratic list of pairs.
+broadcast grows with the corpus. A shard reports a minimum spanning forest of its links,
+which keeps all components, at this radius and every smaller one, and no quadratic list.
+
+``keep_one`` is the deduplication built on it: five-word shingles, a wider radius for
+candidates, and a link counts only if the two texts' shingle sets have a Jaccard
+similarity of 0.8 or more.
 
 Defined cases: null and blank texts have fingerprint zero and link like any other; equal
 texts share a fingerprint and so a component; rows that repeat a doc_id are kept; a null
@@ -108,7 +112,7 @@ class BKTree:
 
 
 def forest(tree_side: list[int], query_side: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among one block (``query_side`` None), or between two blocks of a shard."""
+    """A minimum spanning forest of the links among one block (``query_side`` None), or between two blocks of a shard."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -117,19 +121,21 @@ def forest(tree_side: list[int], query_side: list[int] | None, radius: int) -> l
             x = root[x]
         return x
 
-    out = []
+    near = []
     tree = BKTree()
     if query_side is not None:
         for x in tree_side:
             tree.add(x)
     for x in tree_side if query_side is None else query_side:
-        for y in tree.within(x, radius):
-            a, b = find(x), find(y)
-            if a != b:
-                root[a] = b
-                out.append((x, y))
+        near += [((x ^ y).bit_count(), x, y) for y in tree.within(x, radius)]
         if query_side is None:
             tree.add(x)
+    out = []
+    for _, x, y in sorted(near):  # closest links first: the forest then keeps the components at every smaller radius too
+        a, b = find(x), find(y)
+        if a != b:
+            root[a] = b
+            out.append((x, y))
     return out
 
 
@@ -205,6 +211,82 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+STAGE_SHINGLE = 5
+STAGE_RADIUS = 8
+SIMILARITY = 0.8
+
+
+def shingle_set(text: bytes, shingle: int) -> set[bytes]:
+    """Distinct shingles in the fingerprint's reading of words; a shorter text is one shingle, a blank one none."""
+    words = text.translate(_LOWER).split()
+    if len(words) <= shingle:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)}
+
+
+def similar(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b, text_a, text_b) whose shingle sets are similar enough, as a, b; two blank texts are alike."""
+
+    def run(batches):
+        for b in common.slices(batches):
+            keep, last, left = [], None, set()
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if x != last:
+                    last, left = x, shingle_set((x or "").encode("utf-8", "replace"), shingle)
+                right = shingle_set((y or "").encode("utf-8", "replace"), shingle)
+                both = len(left & right)
+                union = len(left) + len(right) - both
+                keep.append(both >= similarity * union - 1e-12)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string")
+
+
+def near_duplicate_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY, tree_size: int = TREE_SIZE):
+    """Texts by MD5: (distinct texts with their smallest doc_id and row count, components of the similar ones)."""
+    md5 = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+    def run(batches):
+        for b in common.slices(batches):
+            data, at = common.raw(common.texts(b.column(2)))
+            view, at = memoryview(np.ascontiguousarray(data)), at.tolist()
+            fp = np.array([fingerprint(bytes(view[s:e]), shingle) for s, e in zip(at[:-1], at[1:])], np.uint64)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["md5", "doc_id", "fp"])
+
+    slim = docs.select(md5.alias("md5"), "doc_id", "text").mapInArrow(run, "md5 string, doc_id long, fp long")
+    texts = common.written(slim.groupBy("md5").agg(F.min("doc_id").alias("keep_id"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("rows")), "texts")
+    nodes = common.written(texts.groupBy("fp").agg(F.min("md5").alias("lead"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    lead = nodes.select("fp", "lead")
+    same = texts.join(nodes.where("n > 1").select("fp", "lead"), "fp").where(F.col("md5") != F.col("lead")).select(F.col("lead").alias("a"), F.col("md5").alias("b"))
+    near = links(nodes.select("fp"), radius, tree_size).distinct()
+    near = near.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("la")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    pairs = common.written(same.union(near), "near-pairs")
+    # only texts that are in a pair travel, one row each
+    asked = pairs.select(F.col("a").alias("md5")).union(pairs.select(F.col("b").alias("md5"))).distinct()
+    firsts = texts.join(asked, "md5", "left_semi").select("md5", "keep_id")
+    own = docs.select(md5.alias("md5"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    body = own.join(firsts.withColumnRenamed("md5", "_md5"), (F.col("md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("md5", "text")
+    body = common.written(body, "near-texts").groupBy("md5").agg(F.first("text").alias("text")) if texts.where("rows > 1").limit(1).count() else common.written(body, "near-texts")
+    full = pairs.join(body.select(F.col("md5").alias("a"), F.col("text").alias("text_a")), "a").join(body.select(F.col("md5").alias("b"), F.col("text").alias("text_b")), "b")
+    return texts, connected_components(common.written(similar(full, shingle, similarity), "links"))
+
+
+def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY, tree_size: int = TREE_SIZE) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays (a null id counts as largest)."""
+    texts, groups = near_duplicate_texts(docs, shingle, radius, similarity, tree_size)
+    member = texts.join(groups.withColumnRenamed("node", "md5"), "md5").select("md5", "keep_id", "component")
+    order = F.struct(F.col("keep_id").isNull().alias("null"), "keep_id", "md5")
+    best = member.groupBy("component").agg(F.min(order).alias("best")).select("component", F.col("best.md5").alias("best"))
+    verdict = texts.join(member.join(best, "component").select("md5", "best"), "md5", "left").where("rows > 1 or best is not null")
+    verdict = common.written(verdict.select(F.col("md5").alias("_md5"), F.col("keep_id").alias("_keep"), (F.coalesce("best", "md5") == F.col("md5")).alias("_chosen")), "verdict")
+    d = docs.withColumn("_own", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(verdict, F.col("_own") == F.col("_md5"), "left")
+    d = d.where(F.col("_md5").isNull() | (F.col("_chosen") & F.col("doc_id").eqNullSafe(F.col("_keep"))))
+    repeated = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("m")).groupBy("doc_id", "m").count().where("count > 1")
+    if repeated.limit(1).count():
+        d = d.dropDuplicates(["doc_id", "_own"])
+    return d.select(*docs.columns)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(common.table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spindrift.llm import common, examples
 from spindrift.llm.wordhash import term_hashes
@@ -266,9 +267,9 @@ def build(rows, counts: dict[int, int], frequencies) -> Model:
     return model
 
 
-def scored(docs: DataFrame, model: Model | None, evidence: bool = True) -> DataFrame:
-    """All columns of ``docs`` with ``score`` and, if asked for, ``evidence``: the ids of the nearest examples."""
-    names = [n for n in docs.columns if n not in ("score", "evidence")]
+def scored(docs: DataFrame, model: Model | None, out: str = "score", evidence: str | None = "evidence") -> DataFrame:
+    """All columns of ``docs`` with ``out`` and, if asked for, ``evidence``: the ids of the nearest examples. Both take the place of columns so named."""
+    names = [n for n in docs.columns if n not in (out, evidence)]
     docs = docs.select(*names)
     at_text = names.index("text")
     box = docs.sparkSession.sparkContext.broadcast(model)  # bounded by per_class and MOST_TERMS
@@ -289,17 +290,17 @@ def scored(docs: DataFrame, model: Model | None, evidence: bool = True) -> DataF
                     score[r] = m.calibrated(m.vote(place, cosine))
                     near[r] = m.index.ids[place].tolist()
             cols = [*b.columns, pa.array(score)] + ([pa.array(near, pa.list_(pa.int64()))] if evidence else [])
-            yield pa.record_batch(cols, [*names, "score", "evidence"][: len(cols)])
+            yield pa.record_batch(cols, [*names, out, evidence][: len(cols)])
 
-    schema = docs.schema.add("score", "double")
+    schema = StructType(list(docs.schema.fields)).add(out, "double")
     if evidence:
-        schema = schema.add("evidence", "array<long>")
+        schema = schema.add(evidence, "array<long>")
     return docs.mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold."""
-    return scored(docs, model, evidence=False).where(F.col("score") < threshold).drop("score")
+    return scored(docs, model, "_score", None).where(F.col("_score") < threshold).drop("_score")
 
 
 def op7_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
