@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from spindrift.llm import common, examples
 from spindrift.llm.wordhash import term_hashes
@@ -294,7 +294,7 @@ def scored(docs: DataFrame, model: Model | None, out: str = "score", evidence: s
 
     schema = StructType(list(docs.schema.fields)).add(out, "double")
     if evidence:
-        schema = schema.add(evidence, "array<long>")
+        schema = schema.add(evidence, ArrayType(LongType()))
     return docs.mapInArrow(run, schema)
 
 
