@@ -59,7 +59,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches, limit: int = 8 << 20):
+def slices(batches, limit: int = 2 << 20):
     """Arrow batches cut to about ``limit`` bytes each, so that a worker's memory is bounded by the longest text and not by the batch's row count."""
     for b in batches:
         per = max(1, b.nbytes // max(1, b.num_rows))
