@@ -71,6 +71,18 @@ def slices(batches, limit: int = 2 << 20):
                     yield part.slice(i, 1)
             else:
                 yield part
+    _trim()
+
+
+def _trim() -> None:
+    """Give a worker's free memory back: it lives on through stages that need it elsewhere."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 BUCKET_ROWS = 500
