@@ -170,7 +170,7 @@ def best_distance(pattern: bytes, text: bytes, most: int) -> tuple[int, int] | N
     for i, c in enumerate(pattern):
         eq[c] = eq.get(c, 0) | 1 << i
     pv, mv, score = full, 0, m
-    best, end = m + 1, -1
+    best, end = m, 0
     for j, c in enumerate(text):
         e = eq.get(c, 0)
         xv = e | mv

@@ -61,7 +61,7 @@ class Index:
         self.end = np.searchsorted(cell, cells, "right")
         self.most = np.zeros(len(cells))
         np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(len(vocabulary), -1)
+        self.most = self.most.reshape(len(vocabulary), max(1, self.blocks))
 
     def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weights of known terms: (1 + log count) * idf, scaled to length 1."""
