@@ -72,19 +72,23 @@ def neighbours(feats: DataFrame, min_cv: float = 1.0, most: int = MOST_EDGES, li
 
         return ids.mapInArrow(run, schema)
     blocks = -(-n // 4096)
-    dealt = feats.withColumn("_k", F.pmod(F.xxhash64("contig_id"), F.lit(blocks)))
-    left = dealt.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = dealt.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = feats.withColumn("k", F.pmod(F.xxhash64("contig_id"), F.lit(blocks)))
+    left = dealt.withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    right = left.toDF(*(f"{c}_r" for c in left.columns))  # names of its own: the two sides stem from one table
 
-    def meet(key, a, b):
+    def meet(a, b):
         import pandas as pd
 
-        x, y = matrix(a.itertuples()), matrix(b.itertuples())
+        b.columns = [c.removesuffix("_r") for c in b.columns]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"src": [], "dst": [], "sim": []}).astype({"src": "int64", "dst": "Int64", "sim": "float64"})
+        x, y = matrix(a.itertuples(index=False)), matrix(b.itertuples(index=False))
         src, dst, sim, top = _best(x, y, min_cv, most)
-        own = pd.DataFrame({"src": x["id"], "dst": None, "sim": top})
-        return pd.concat([pd.DataFrame({"src": np.concatenate([*src, []]), "dst": np.concatenate([*dst, []]), "sim": np.concatenate([*sim, []])}), own]).astype({"src": "int64", "dst": "Int64"})
+        found = pd.DataFrame({"src": np.concatenate([*src, []]), "dst": np.concatenate([*dst, []]), "sim": np.concatenate([*sim, []])})
+        own = pd.DataFrame({"src": x["id"], "dst": pd.array([None] * len(x["id"]), "Int64"), "sim": top})
+        return pd.concat([found.astype({"src": "int64", "dst": "Int64"}), own])
 
-    met = left.groupBy("_k", "_l").cogroup(right.groupBy(F.col("_l").alias("_k"), F.col("_k").alias("_l"))).applyInPandas(meet, schema)
+    met = left.groupBy("k", "l").cogroup(right.groupBy("l_r", "k_r")).applyInPandas(meet, schema)
     w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
     edges = met.where("dst is not null").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
     return edges.unionByName(met.where("dst is null").groupBy("src").agg(F.max("sim").alias("sim")).select("src", F.lit(None).cast("long").alias("dst"), "sim"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrift.operators import affinity, checks, comarker, graph, measure, merge, recruit, report, separate, threshold
-from spindrift.plans.stage import scratch
+from spindrift.plans.stage import scratch, written
 from spindrift.sources import readers, sinks
 
 OPERATORS = ("separate", "merge", "recruit")
@@ -159,23 +159,23 @@ def refine(domain, config: RefineConfig | None = None) -> Result:
 
 def inputs_from_files(spark: SparkSession, config: RefineConfig) -> Inputs:
     """Read and check the inputs of a run."""
-    contigs = readers.contigs(spark, config.fasta, config.minlen)
+    contigs = written(readers.contigs(spark, config.fasta, config.minlen), "sequences")
     names = contigs.select("contig_id", "name", "length")
     if not names.limit(1).count():
         raise ValueError("no contig is long enough")
     depth = readers.depth_table(spark, config.depth)
     checks.require(checks.missing_depth(depth, names), "contigs without depth")
     rows = readers.resolve(depth, names).where("contig_id is not null").select("contig_id", "sample", "mean", "var")
-    mg = readers.incidence(readers.markers(spark, list(config.markers), config.marker_format), names)
+    mg = written(readers.incidence(readers.markers(spark, list(config.markers), config.marker_format), names), "markers")
     read = readers.seed_table if config.seed.endswith((".tsv", ".txt", ".gz")) else readers.seed_directory
     seed = readers.resolve(read(spark, config.seed), names).where("contig_id is not null")
     checks.require(checks.seed_conflicts(seed.select("name", "bin_label")), "contigs in two bins")
-    seed = seed.select("contig_id", "bin_label").distinct()
-    feats = measure.features(contigs, rows, config.min_cv, config.min_cv)
-    near = graph.neighbours(feats, config.min_cv)
+    seed = written(seed.select("contig_id", "bin_label").distinct(), "seed")
+    feats = written(measure.features(contigs, rows, config.min_cv, config.min_cv), "features")
+    near = written(graph.neighbours(feats, config.min_cv), "neighbours")
     top = [r.sim for r in near.where("dst is null").select("sim").collect()]
     p = graph.pooled_cutoff(top) if config.random_cutoff else graph.cutoff(top)
-    return Inputs(names, mg, seed, feats, graph.composite(graph.knn_edges(near, p), feats, config.min_cv))
+    return Inputs(written(names, "contigs"), mg, seed, feats, written(graph.composite(graph.knn_edges(near, p), feats, config.min_cv), "composite"))
 
 
 def run(spark: SparkSession, config: RefineConfig) -> Result:
