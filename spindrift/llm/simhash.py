@@ -11,7 +11,8 @@ which keeps all components, at this radius and every smaller one, and no quadrat
 
 ``keep_one`` is the deduplication built on it: five-word shingles, a wider radius for
 candidates, and a link counts only if the two texts' shingle sets have a Jaccard
-similarity of 0.8 or more.
+similarity of 0.8 or more. Alike texts whose fingerprints differ in more than the radius
+are no candidates.
 
 Defined cases: null and blank texts have fingerprint zero and link like any other; equal
 texts share a fingerprint and so a component; rows that repeat a doc_id are kept; a null

@@ -25,21 +25,28 @@ def test_near_duplicate_stage_against_brute_force(spark):
     kept = simhash.keep_one(d, tree_size=7)
     assert kept.columns == d.columns
     got = sorted(str(r.doc_id) for r in kept.collect())
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if jaccard(rows[i][1] or "", rows[j][1] or "") >= 0.8:
-                root[find(i)] = find(j)
-    groups = {}
-    for i, (k, _) in enumerate(rows):
-        groups.setdefault(find(i), []).append(k)
-    assert got == sorted(str(min((k for k in g if k is not None), default=None)) for g in groups.values())
+    prints = [simhash.fingerprint((t or "").encode(), 5) for _, t in rows]
+
+    def keepers(radius):
+        root = list(range(len(rows)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i in range(len(rows)):
+            for j in range(i):
+                if (prints[i] ^ prints[j]).bit_count() <= radius and jaccard(rows[i][1] or "", rows[j][1] or "") >= 0.8:
+                    root[find(i)] = find(j)
+        groups = {}
+        for i, (k, _) in enumerate(rows):
+            groups.setdefault(find(i), []).append(k)
+        return sorted(str(min((k for k in g if k is not None), default=None)) for g in groups.values())
+
+    # a link is 8 differing bits at most and a similarity of 0.8; few pairs that are alike differ in more bits
+    assert got == keepers(simhash.STAGE_RADIUS)
+    assert len(got) - len(keepers(64)) <= 2
 
 
 def test_stages_keep_columns_and_shrink(spark):
