@@ -9,10 +9,12 @@ blocks; each block's tree is sent to every block of that shard only, so no tree,
 broadcast grows with the corpus. A shard reports a minimum spanning forest of its links,
 which keeps all components, at this radius and every smaller one, and no quadratic list.
 
-``keep_one`` is the deduplication built on it: five-word shingles, a wider radius for
-candidates, and a link counts only if the two texts' shingle sets have a Jaccard
-similarity of 0.8 or more. Alike texts whose fingerprints differ in more than the radius
-are no candidates.
+``keep_one`` is the deduplication built on it: five-word shingles, and a link counts only
+if the two texts' shingle sets have a Jaccard similarity of 0.8 or more. At that similarity
+about ten bits of a fingerprint differ, so candidates come from several fingerprints with
+seeds of their own, one pass each: those at most ``radius`` bits apart, and of those up to
+``reach`` bits apart all that share two blocks. A later pass verifies only pairs that the
+passes before have not connected. Alike texts that no pass finds stay apart.
 
 Defined cases: null and blank texts have fingerprint zero and link like any other; equal
 texts share a fingerprint and so a component; rows that repeat a doc_id are kept; a null
@@ -149,8 +151,13 @@ def shard_keys(fp, radius: int):
     return [F.lit(i << (2 * width)).cast("long") + F.shiftleft(part[a], width) + part[b] for i, (a, b) in enumerate(itertools.combinations(range(blocks), 2))]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that connect the same components as all links do."""
+def links(nodes: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE, reach: int | None = None) -> DataFrame:
+    """a, b: links between distinct fingerprints (column fp) that connect the same components as all links do.
+
+    With ``reach``, trees are searched beyond ``radius``, up to so many bits: links within
+    ``radius`` are all covered, wider ones where two blocks agree.
+    """
+    reach = max(radius, reach or 0)
     keyed = nodes.select("fp", F.explode(F.array(*shard_keys(F.col("fp"), radius))).alias("key"))
     size = keyed.groupBy("key").count()
     hot = size.where(F.col("count") > tree_size).select("key", F.ceil(F.col("count") / tree_size).cast("int").alias("parts"))
@@ -183,16 +190,16 @@ def links(nodes: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) ->
             ends = np.r_[starts[1:], done] if len(starts) else starts
             a, z = [], []
             two = starts[(ends - starts == 2) & (lo[starts] == hi[starts])] if len(starts) else starts
-            near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
+            near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= reach]
             a += fp[near].tolist()
             z += fp[near + 1].tolist()
             u = fp.view(np.uint64)
             for s, e in zip(starts.tolist(), ends.tolist()):
                 if lo[s] == hi[s]:
-                    got = forest(u[s:e].tolist(), None, radius) if e - s > 2 else []
+                    got = forest(u[s:e].tolist(), None, reach) if e - s > 2 else []
                 else:
                     q = query[s:e]
-                    got = forest(u[s:e][~q].tolist(), u[s:e][q].tolist(), radius)
+                    got = forest(u[s:e][~q].tolist(), u[s:e][q].tolist(), reach)
                 for x, y in got:
                     a.append(x - (1 << 64) if x >> 63 else x)
                     z.append(y - (1 << 64) if y >> 63 else y)
@@ -214,6 +221,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 STAGE_SHINGLE = 5
 STAGE_RADIUS = 8
+STAGE_REACH = 11
+STAGE_SEEDS = (42, 43, 44)
 SIMILARITY = 0.8
 
 
@@ -243,38 +252,64 @@ def similar(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string")
 
 
-def near_duplicate_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY, tree_size: int = TREE_SIZE):
+def _candidates(texts: DataFrame, fp: str, radius: int, tree_size: int, reach: int) -> DataFrame:
+    """a, b: pairs of different texts (by md5, a before b) that fingerprint ``fp`` brings together."""
+    nodes = common.written(texts.groupBy(F.col(fp).alias("fp")).agg(F.min("md5").alias("lead"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    lead = nodes.select("fp", "lead")
+    same = texts.select("md5", F.col(fp).alias("fp")).join(nodes.where("n > 1").select("fp", "lead"), "fp").where(F.col("md5") != F.col("lead")).select(F.col("lead").alias("a"), F.col("md5").alias("b"))
+    near = links(nodes.select("fp"), radius, tree_size, reach).distinct()
+    near = near.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("la")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("lb")), "b")
+    return same.union(near.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))).distinct()
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs that ``groups`` (node, component) does not connect yet."""
+    of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    p = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return p.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
+def near_duplicate_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY, tree_size: int = TREE_SIZE, reach: int = STAGE_REACH, seeds: tuple = STAGE_SEEDS):
     """Texts by MD5: (distinct texts with their smallest doc_id and row count, components of the similar ones)."""
+    spark = docs.sparkSession
     md5 = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    prints = [f"fp{i}" for i in range(len(seeds))]
 
     def run(batches):
         for b in common.slices(batches):
             data, at = common.raw(common.texts(b.column(2)))
             view, at = memoryview(np.ascontiguousarray(data)), at.tolist()
-            fp = np.array([fingerprint(bytes(view[s:e]), shingle) for s, e in zip(at[:-1], at[1:])], np.uint64)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["md5", "doc_id", "fp"])
+            bodies = [bytes(view[s:e]) for s, e in zip(at[:-1], at[1:])]
+            fps = [pa.array(np.array([fingerprint(x, shingle, seed) for x in bodies], np.uint64).view(np.int64)) for seed in seeds]
+            yield pa.record_batch([b.column(0), b.column(1), *fps], ["md5", "doc_id", *prints])
 
-    slim = docs.select(md5.alias("md5"), "doc_id", "text").mapInArrow(run, "md5 string, doc_id long, fp long")
-    texts = common.written(slim.groupBy("md5").agg(F.min("doc_id").alias("keep_id"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("rows")), "texts")
-    nodes = common.written(texts.groupBy("fp").agg(F.min("md5").alias("lead"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
-    lead = nodes.select("fp", "lead")
-    same = texts.join(nodes.where("n > 1").select("fp", "lead"), "fp").where(F.col("md5") != F.col("lead")).select(F.col("lead").alias("a"), F.col("md5").alias("b"))
-    near = links(nodes.select("fp"), radius, tree_size).distinct()
-    near = near.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("la")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    pairs = common.written(same.union(near), "near-pairs")
-    # only texts that are in a pair travel, one row each
-    asked = pairs.select(F.col("a").alias("md5")).union(pairs.select(F.col("b").alias("md5"))).distinct()
-    firsts = texts.join(asked, "md5", "left_semi").select("md5", "keep_id")
+    slim = docs.select(md5.alias("md5"), "doc_id", "text").mapInArrow(run, "md5 string, doc_id long, " + ", ".join(f"{c} long" for c in prints))
+    texts = common.written(slim.groupBy("md5").agg(F.min("doc_id").alias("keep_id"), *(F.first(c).alias(c) for c in prints), F.count(F.lit(1)).alias("rows")), "texts")
     own = docs.select(md5.alias("md5"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    body = own.join(firsts.withColumnRenamed("md5", "_md5"), (F.col("md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("md5", "text")
-    body = common.written(body, "near-texts").groupBy("md5").agg(F.first("text").alias("text")) if texts.where("rows > 1").limit(1).count() else common.written(body, "near-texts")
-    full = pairs.join(body.select(F.col("md5").alias("a"), F.col("text").alias("text_a")), "a").join(body.select(F.col("md5").alias("b"), F.col("text").alias("text_b")), "b")
-    return texts, connected_components(common.written(similar(full, shingle, similarity), "links"))
-
-
-def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY, tree_size: int = TREE_SIZE) -> DataFrame:
+    repeats = texts.where("rows > 1").limit(1).count()
+    verified, groups = None, None
+    for c in prints:
+        pairs = _candidates(texts, c, radius, tree_size, reach)
+        pairs = common.written(pairs if groups is None else _apart(pairs, groups), "near-pairs")
+        # only texts that are in a pair travel, one row each
+        asked = pairs.select(F.col("a").alias("md5")).union(pairs.select(F.col("b").alias("md5"))).distinct()
+        firsts = texts.join(asked, "md5", "left_semi").select(F.col("md5").alias("_md5"), "keep_id")
+        stored = body = common.written(own.join(firsts, (F.col("md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("md5", "text"), "near-texts")
+        if repeats:
+            body = body.groupBy("md5").agg(F.first("text").alias("text"))
+        full = pairs.join(body.select(F.col("md5").alias("a"), F.col("text").alias("text_a")), "a").join(body.select(F.col("md5").alias("b"), F.col("text").alias("text_b")), "b")
+        found = common.written(similar(full, shingle, similarity), "links")
+        common.forget(spark, stored)
+        verified = found if verified is None else verified.union(found)
+        groups = common.written(connected_components(verified), "near-groups")
+        del pairs, asked, firsts, stored, body, full, found
+        spark._jvm.java.lang.System.gc()  # shuffle files of a finished pass go when the driver drops its last reference
+    return texts, groups
+
+
+def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY, tree_size: int = TREE_SIZE, reach: int = STAGE_REACH, seeds: tuple = STAGE_SEEDS) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays (a null id counts as largest)."""
-    texts, groups = near_duplicate_texts(docs, shingle, radius, similarity, tree_size)
+    texts, groups = near_duplicate_texts(docs, shingle, radius, similarity, tree_size, reach, seeds)
     member = texts.join(groups.withColumnRenamed("node", "md5"), "md5").select("md5", "keep_id", "component")
     order = F.struct(F.col("keep_id").isNull().alias("null"), "keep_id", "md5")
     best = member.groupBy("component").agg(F.min(order).alias("best")).select("component", F.col("best.md5").alias("best"))
