@@ -10,11 +10,12 @@ broadcast grows with the corpus. A shard reports a minimum spanning forest of it
 which keeps all components, at this radius and every smaller one, and no quadratic list.
 
 ``keep_one`` is the deduplication built on it: five-word shingles, and a link counts only
-if the two texts' shingle sets have a Jaccard similarity of 0.8 or more. At that similarity
-about ten bits of a fingerprint differ, so candidates come from several fingerprints with
-seeds of their own, one pass each: those at most ``radius`` bits apart, and of those up to
-``reach`` bits apart all that share two blocks. A later pass verifies only pairs that the
-passes before have not connected. Alike texts that no pass finds stay apart.
+if the two texts' shingle sets have a Jaccard similarity of 0.8 or more. Fingerprints only
+connect most copies early: at that similarity about ten of their bits differ, and a line
+that is repeated often fixes them alone. The links are made complete by prefixes: two sets
+that similar share a shingle among the first fifth (and one) of each, in any one order of
+all shingles. The order puts common shingles last, so that few unlike texts meet. First
+every text of a bucket meets the bucket's lead, then all that is still apart meets.
 
 Defined cases: null and blank texts have fingerprint zero and link like any other; equal
 texts share a fingerprint and so a component; rows that repeat a doc_id are kept; a null
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spindrift.llm import common
 from spindrift.operators.components import connected_components
@@ -42,23 +44,29 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLOCK_WORDS = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned 64-bit SimHash of one UTF-8 text."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED):
+    """The hashes of a text's shingles in blocks; none of a blank text."""
     from xxhash import xxh64_intdigest
 
     words = text.translate(_LOWER).split()  # bytes split at exactly 0x20 and 0x09 to 0x0D
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, _BLOCK_WORDS):
         s, e = starts[at : min(n, at + _BLOCK_WORDS)].tolist(), last[at : at + _BLOCK_WORDS].tolist()
-        h = np.fromiter((xxh64_intdigest(joined[i:j], seed) for i, j in zip(s, e)), "<u8", len(s))
+        yield np.fromiter((xxh64_intdigest(joined[i:j], seed) for i, j in zip(s, e)), "<u8", len(s))
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned 64-bit SimHash of one UTF-8 text."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, shingle, seed):
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
@@ -221,9 +229,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 STAGE_SHINGLE = 5
 STAGE_RADIUS = 8
-STAGE_REACH = 11
-STAGE_SEEDS = (42, 43, 44)
 SIMILARITY = 0.8
+SAMPLE = 16  # one text in so many is counted for the order of shingles, where there are more than SAMPLE_FROM
+SAMPLE_FROM = 20_000
+MOST_COMMON = 100_000
 
 
 def shingle_set(text: bytes, shingle: int) -> set[bytes]:
@@ -252,16 +261,102 @@ def similar(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string")
 
 
-def _candidates(texts: DataFrame, fp: str, radius: int, tree_size: int, reach: int) -> DataFrame:
-    """a, b: pairs of different texts (by md5, a before b) that fingerprint ``fp`` brings together."""
-    nodes = common.written(texts.groupBy(F.col(fp).alias("fp")).agg(F.min("md5").alias("lead"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+def _candidates(texts: DataFrame, radius: int, tree_size: int) -> DataFrame:
+    """a, b: pairs of different texts (by md5, a before b) that fingerprints bring together; equal fingerprints by their lead only."""
+    nodes = common.written(texts.groupBy("fp").agg(F.min("md5").alias("lead"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     lead = nodes.select("fp", "lead")
-    same = texts.select("md5", F.col(fp).alias("fp")).join(nodes.where("n > 1").select("fp", "lead"), "fp").where(F.col("md5") != F.col("lead")).select(F.col("lead").alias("a"), F.col("md5").alias("b"))
-    near = links(nodes.select("fp"), radius, tree_size, reach).distinct()
+    same = texts.select("md5", "fp").join(nodes.where("n > 1").select("fp", "lead"), "fp").where(F.col("md5") != F.col("lead")).select(F.col("lead").alias("a"), F.col("md5").alias("b"))
+    near = links(nodes.select("fp"), radius, tree_size).distinct()
     near = near.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("la")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("lb")), "b")
     return same.union(near.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))).distinct()
 
 
+def _hash_sets(batches, shingle: int):
+    """Per slice of batches (md5, text): its md5 column, and (row, distinct sorted hashes) of texts that this task has not met."""
+    seen: set = set()
+    for b in common.slices(batches):
+        data, at = common.raw(common.texts(b.column(1)))
+        view, at = memoryview(np.ascontiguousarray(data)), at.tolist()
+        new = []
+        for i, m in enumerate(b.column(0).to_pylist()):
+            if m not in seen:
+                seen.add(m)
+                h = list(shingle_hashes(bytes(view[at[i] : at[i + 1]]), shingle))
+                new.append((i, np.unique(np.concatenate(h)) if h else np.zeros(0, np.uint64)))
+        if len(seen) > 500_000:
+            seen.clear()
+        yield b.column(0), new
+
+
+def common_shingles(docs: DataFrame, shingle: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) of the most common shingles of a sample of texts (columns md5, text), and in how many they are. Any outcome gives a valid order."""
+
+    def run(batches):
+        for _, new in _hash_sets(batches, shingle):
+            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.uint64), *(h for _, h in new)]).view(np.int64))], ["h"])
+
+    some = docs.where(F.crc32("md5") % sample == 0).select("md5", "text").mapInArrow(run, "h long")
+    top = some.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()
+    h, n = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles, rare before common, of which a set this similar shares one."""
+    n = len(hashes)
+    size = min(n, n - int(np.ceil(similarity * n - 1e-9)) + 1)
+    h, count = often
+    if not len(h):
+        return hashes[:size]
+    i = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
+    return hashes[np.lexsort((hashes, np.where(h[i] == hashes, count[i], 0)))[:size]]
+
+
+def buckets(docs: DataFrame, shingle: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key, md5, n, pos of each text's prefix shingles that other texts share, with lead, lead_n and lead_pos of the bucket's smallest md5. Blank texts have a bucket of their own."""
+    box = docs.sparkSession.sparkContext.broadcast(often)  # at most MOST_COMMON
+
+    def run(batches):
+        for md5, new in _hash_sets(batches, shingle):
+            first = [prefix(h, box.value, similarity) if len(h) else np.zeros(1, np.uint64) for _, h in new]
+            size = [len(x) for x in first]
+            pos = [np.arange(k) for k in size]
+            row = np.repeat(np.array([i for i, _ in new], np.int64), size)
+            n = np.repeat(np.array([len(h) for _, h in new], np.int64), size)
+            none = np.zeros(0, np.int64)
+            yield pa.record_batch([pa.array(np.concatenate([none.view(np.uint64), *first]).view(np.int64)), md5.take(pa.array(row)), pa.array(n.astype(np.int32)), pa.array(np.concatenate([none, *pos]).astype(np.int32))], ["key", "md5", "n", "pos"])
+
+    d = docs.select(F.unhex("md5").alias("md5"), "text").mapInArrow(run, "key long, md5 binary, n int, pos int")
+    d = d.withColumn("_last", F.lag("md5").over(Window.partitionBy("key").orderBy("md5"))).where("_last is null or _last != md5").drop("_last")
+    own = Window.partitionBy("key")
+    d = d.withColumn("_many", F.count(F.lit(1)).over(own)).withColumn("_lead", F.min(F.struct("md5", "n", "pos")).over(own)).where("_many > 1")
+    text = lambda c: F.lower(F.hex(c))
+    return d.select("key", text("md5").alias("md5"), "n", "pos", text("_lead.md5").alias("lead"), F.col("_lead.n").alias("lead_n"), F.col("_lead.pos").alias("lead_pos"))
+
+
+def _fits(n, pos, m, at, similarity: float):
+    """Two sets of n and m shingles can be similar enough if the shingles at pos and at are the first they share."""
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (F.least(n - pos, m - at) >= similarity / (1 + similarity) * (n + m) - 1e-6)
+
+
+def _by_lead(shared: DataFrame, similarity: float) -> DataFrame:
+    fits = _fits(F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos"), similarity)
+    return shared.where((F.col("md5") != F.col("lead")) & fits).select(F.col("lead").alias("a"), F.col("md5").alias("b")).distinct()
+
+
+def _by_all(shared: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of buckets that ``groups`` does not connect: one side is always outside the lead's group, so a large group does not meet itself."""
+    of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    d = shared.join(of("md5"), "md5", "left").join(of("lead"), "lead", "left")
+    d = d.select("key", "md5", "n", "pos", F.coalesce("of_md5", "md5").alias("of"), F.coalesce("of_lead", "lead").alias("of_lead"))
+    d = common.written(d, "bucket-groups")
+    x = d.where("of != of_lead").select("key", F.col("md5").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("of").alias("ox"))
+    y = d.select(F.col("key").alias("ky"), F.col("md5").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("of").alias("oy"))
+    on = (F.col("key") == F.col("ky")) & (F.col("ox") != F.col("oy")) & _fits(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), similarity)
+    return x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs that ``groups`` (node, component) does not connect yet."""
     of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
@@ -269,28 +364,24 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return p.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
-def near_duplicate_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY, tree_size: int = TREE_SIZE, reach: int = STAGE_REACH, seeds: tuple = STAGE_SEEDS):
+def near_duplicate_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY, tree_size: int = TREE_SIZE):
     """Texts by MD5: (distinct texts with their smallest doc_id and row count, components of the similar ones)."""
     spark = docs.sparkSession
     md5 = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    prints = [f"fp{i}" for i in range(len(seeds))]
 
     def run(batches):
         for b in common.slices(batches):
             data, at = common.raw(common.texts(b.column(2)))
             view, at = memoryview(np.ascontiguousarray(data)), at.tolist()
-            bodies = [bytes(view[s:e]) for s, e in zip(at[:-1], at[1:])]
-            fps = [pa.array(np.array([fingerprint(x, shingle, seed) for x in bodies], np.uint64).view(np.int64)) for seed in seeds]
-            yield pa.record_batch([b.column(0), b.column(1), *fps], ["md5", "doc_id", *prints])
+            fp = np.array([fingerprint(bytes(view[s:e]), shingle) for s, e in zip(at[:-1], at[1:])], np.uint64)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["md5", "doc_id", "fp"])
 
-    slim = docs.select(md5.alias("md5"), "doc_id", "text").mapInArrow(run, "md5 string, doc_id long, " + ", ".join(f"{c} long" for c in prints))
-    texts = common.written(slim.groupBy("md5").agg(F.min("doc_id").alias("keep_id"), *(F.first(c).alias(c) for c in prints), F.count(F.lit(1)).alias("rows")), "texts")
+    slim = docs.select(md5.alias("md5"), "doc_id", "text").mapInArrow(run, "md5 string, doc_id long, fp long")
+    texts = common.written(slim.groupBy("md5").agg(F.min("doc_id").alias("keep_id"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("rows")), "texts")
     own = docs.select(md5.alias("md5"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     repeats = texts.where("rows > 1").limit(1).count()
-    verified, groups = None, None
-    for c in prints:
-        pairs = _candidates(texts, c, radius, tree_size, reach)
-        pairs = common.written(pairs if groups is None else _apart(pairs, groups), "near-pairs")
+
+    def verify(pairs: DataFrame) -> DataFrame:
         # only texts that are in a pair travel, one row each
         asked = pairs.select(F.col("a").alias("md5")).union(pairs.select(F.col("b").alias("md5"))).distinct()
         firsts = texts.join(asked, "md5", "left_semi").select(F.col("md5").alias("_md5"), "keep_id")
@@ -300,16 +391,25 @@ def near_duplicate_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius:
         full = pairs.join(body.select(F.col("md5").alias("a"), F.col("text").alias("text_a")), "a").join(body.select(F.col("md5").alias("b"), F.col("text").alias("text_b")), "b")
         found = common.written(similar(full, shingle, similarity), "links")
         common.forget(spark, stored)
-        verified = found if verified is None else verified.union(found)
+        return found
+
+    tried = common.written(_candidates(texts, radius, tree_size), "near-pairs")
+    verified = verify(tried)
+    groups = common.written(connected_components(verified), "near-groups")
+    sample = SAMPLE if texts.count() > SAMPLE_FROM else 1
+    shared = common.written(buckets(own.select("md5", "text"), shingle, similarity, common_shingles(own, shingle, sample)), "buckets")
+    for step in (lambda: _by_lead(shared, similarity), lambda: _by_all(shared, groups, similarity)):
+        spark._jvm.java.lang.System.gc()  # shuffle files of a finished step go when the driver drops its last reference
+        pairs = common.written(_apart(step().join(tried, ["a", "b"], "left_anti"), groups), "near-pairs")
+        tried, verified = tried.union(pairs), verified.union(verify(pairs))
         groups = common.written(connected_components(verified), "near-groups")
-        del pairs, asked, firsts, stored, body, full, found
-        spark._jvm.java.lang.System.gc()  # shuffle files of a finished pass go when the driver drops its last reference
+    common.forget(spark, shared)
     return texts, groups
 
 
-def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY, tree_size: int = TREE_SIZE, reach: int = STAGE_REACH, seeds: tuple = STAGE_SEEDS) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY, tree_size: int = TREE_SIZE) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays (a null id counts as largest)."""
-    texts, groups = near_duplicate_texts(docs, shingle, radius, similarity, tree_size, reach, seeds)
+    texts, groups = near_duplicate_texts(docs, shingle, radius, similarity, tree_size)
     member = texts.join(groups.withColumnRenamed("node", "md5"), "md5").select("md5", "keep_id", "component")
     order = F.struct(F.col("keep_id").isNull().alias("null"), "keep_id", "md5")
     best = member.groupBy("component").agg(F.min(order).alias("best")).select("component", F.col("best.md5").alias("best"))

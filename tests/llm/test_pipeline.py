@@ -48,6 +48,25 @@ def test_near_duplicate_stage_against_brute_force(spark):
     assert got == keepers(64)
 
 
+def test_near_duplicates_are_all_found(spark):
+    rows = []
+    for i in range(12):  # one repeated line fixes the fingerprint; 2 and 3, 4 and 5, .. are alike, 0 and 1 stand alone
+        words = prose(700 + (i // 2 if i > 1 else 90 + i), 100).split()
+        words[:1] = [f"own{i}"]
+        rows.append((i, ("the line that stands here again and again and " * 60) + " ".join(words)))
+    for g in range(40):  # held-out edits down to a similarity of 0.8 and below
+        base = prose(900 + g, 220).split()
+        rows.append((100 + 2 * g, " ".join(base)))
+        for k in range(3 + g % 4):
+            base[10 + 30 * k] = f"edit{k}"
+        rows.append((101 + 2 * g, " ".join(base)))
+    prints = {simhash.fingerprint(t.encode(), 5) for i, t in rows if i < 12}
+    assert len(prints) == 1
+    gone = {j for j, y in rows if any(i < j and jaccard(x, y) >= 0.8 for i, x in rows)}
+    assert len(gone) > 15 and {3, 5, 7, 9, 11} <= gone
+    assert {r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()} == {i for i, _ in rows} - gone
+
+
 def test_stages_keep_columns_and_shrink(spark):
     sf = "/root/testdata/sf0.001"
     d = spark.read.parquet(f"{sf}/documents.parquet")
