@@ -47,7 +47,10 @@ def rivals(cand: DataFrame, guard: DataFrame, simthresh: int) -> DataFrame:
 
 
 def best_assignment(options: dict[int, list[tuple[int, int]]], conflicts: list[tuple[int, int]], nodes: int = NODES) -> tuple[dict[int, int], str]:
-    """Bins of the fragments of one conflict component, at most one each, of largest summed weight; options: fragment -> [(bin, w)]."""
+    """Bins of the fragments of one conflict component, at most one each, of largest summed weight; options: fragment -> [(bin, w)].
+
+    The first descent, greedy and always feasible, is outside the budget: ``nodes`` bound its improvement.
+    """
     near = defaultdict(set)
     for a, b in conflicts:
         near[a].add(b)
@@ -63,10 +66,10 @@ def best_assignment(options: dict[int, list[tuple[int, int]]], conflicts: list[t
         i, score, choices = stack[-1]
         taken.pop(order[i], None)
         step = next(choices, None)
-        if step is None or state[0] <= 0:
+        if step is None or (state[0] <= 0 and best[0] >= 0):
             stack.pop()
             continue
-        state[0] -= 1
+        state[0] -= best[0] >= 0
         b, w = step
         if score + w + hope[i + 1] <= best[0]:
             continue

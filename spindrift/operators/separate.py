@@ -135,9 +135,10 @@ def _component(part, anchors, aff, pen, k, pin, nodes):
         return {c: rank[s] for s, cs in groups.items() for c in cs} | dict.fromkeys(free, 1)
 
     def place(i, used, score):
-        if left[0] <= 0:
-            return
-        left[0] -= 1
+        if best[0] is not None:  # the first descent is outside the budget, so that there always is an answer
+            if left[0] <= 0:
+                return
+            left[0] -= 1
         if best[0] is not None and score + hope[i] < best[0][0]:
             return
         if i == len(order):
@@ -160,8 +161,6 @@ def _component(part, anchors, aff, pen, k, pin, nodes):
 
     sys.setrecursionlimit(max(sys.getrecursionlimit(), len(order) + 1000))
     place(0, 0, 0)
-    if best[1] is None:
-        return dict.fromkeys(part, 1), "time limit"
     return best[1], "optimal" if left[0] > 0 else "time limit"
 
 

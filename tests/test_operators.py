@@ -152,6 +152,21 @@ def test_recruit_is_optimal():
         assert all(a not in got or got[a] != got.get(b) for a, b in bad)
 
 
+def test_a_component_beyond_the_budget_has_a_whole_answer(spark):
+    n = 3000  # neighbours in a row exclude each other
+    options = {c: [(1, 5), (2, 3)] for c in range(n)}
+    got, status = recruit.best_assignment(options, [(c, c + 1) for c in range(n - 1)], nodes=100)
+    assert status == "time limit" and len(got) == n and all(got[c] != got[c + 1] for c in range(n - 1))
+    pen = {(c, c + 1): 10 for c in range(n - 1)}
+    slots, status = separate.search(list(range(n)), {}, pen, 2, 0, nodes=100)
+    assert status == "time limit" and sorted(slots) == list(range(n)) and slots[0] == 1
+    assert sum(slots[a] == slots[b] for a, b in pen) < n // 2
+    aff = spark.createDataFrame([(c, b, w) for c in range(30) for b, w in options[c]], "c long, bin_id long, w int")
+    guard = spark.createDataFrame([(c, c + 1, 90) for c in range(29)], "c1 long, c2 long, d int")
+    pinned = spark.createDataFrame([(900, 1), (901, 2)], "contig_id long, bin_id long")
+    assert {(r.contig_id, r.status) for r in recruit.recruit(aff, guard, pinned, 50, nodes=5).collect()} == {(c, "time limit") for c in range(30)}
+
+
 def test_stage_summary(spark):
     s = "contig_id string, bin_label string"
     before, after = spark.createDataFrame([("a", "A"), ("b", "A"), ("c", "B")], s), spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "2"), ("d", "2")], s)
