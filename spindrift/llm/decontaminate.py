@@ -7,8 +7,10 @@ together, so edit distance becomes Hamming distance of the emitted strings. A ha
 sampled steps collides for windows at a small Hamming distance. Windows begin at every
 word, in every document and every item, and their size follows the item's size class, so a
 long item is looked for by many overlapping windows. Repetitions use independent walks;
-their number is the smallest that finds ``recall`` of the items after random edits at
-``edit_rate`` (measured on the items themselves before the run). Every collision aligns an
+their number is, for each size class, the smallest that finds ``recall`` of copies with
+``edit_rate`` of their letters edited, as many as a match may differ by (measured on all
+items before the run). Items whose own copies are found less often, after at most
+MOST_REPETITIONS walks, are looked for everywhere by an exact count of q-grams. Every collision aligns an
 item with a place in a document, and the exact edit distance of the item to the best
 stretch around that place decides: contaminated if it is at most ``distance`` of its size.
 
@@ -33,9 +35,11 @@ from pyspark.sql import functions as F
 from spindrift.llm import common
 
 DISTANCE = 0.2
-EDIT_RATE = 0.08
+EDIT_RATE = DISTANCE
 RECALL = 0.95
-MOST_REPETITIONS = 6
+LEAST_RECALL = 0.8  # of an item's own copies, else it is looked for exactly
+MOST_REPETITIONS = 24
+COPIES = 20_000  # edited copies to measure recall on, 3 to 20 of each item
 STEPS = (48, 32, 16, 8)  # walks by item size class: an item takes the longest walk within its size
 SAMPLES = 14
 ITEM_BLOCK = 16 << 20
@@ -110,11 +114,12 @@ def word_starts(text: np.ndarray) -> np.ndarray:
 class Items:
     """A block of benchmark items with the keys of their windows, by size class and repetition."""
 
-    def __init__(self, items: list[tuple[int, bytes]], repetitions: int, samples: int = SAMPLES):
+    def __init__(self, items: list[tuple[int, bytes]], repetitions: int | dict[int, int], samples: int = SAMPLES, first: int = 0, exact: tuple = ()):
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
-        self.repetitions = repetitions
+        self.repetitions = repetitions if isinstance(repetitions, dict) else dict.fromkeys(STEPS, repetitions)
         self.tables = []
+        self.exact = [(j, *_grams(self.texts[j])) for j in exact]
         for steps in STEPS:
             own = [j for j, t in enumerate(self.texts) if self.steps_of(len(t)) == steps]
             if not own:
@@ -129,7 +134,7 @@ class Items:
             size = np.array([len(self.texts[j]) for j in own])
             whole = (offset + steps <= size[which]) | (offset == 0)
             starts, which, offset = starts[whole], which[whole], offset[whole]
-            for r in range(repetitions):
+            for r in range(first, first + self.repetitions[steps]):
                 walk = Walk(steps, samples, 1000 * steps + r)
                 partial = walk.keys(text, starts)
                 filters = []
@@ -159,6 +164,50 @@ class Items:
         return both[0], both[1]
 
 
+def _codes(text: np.ndarray, q: int) -> np.ndarray:
+    """Every q-gram of a text as 16 bits; equal codes of different q-grams only let more places pass."""
+    code = text[: len(text) - q + 1].astype(np.uint32)
+    for i in range(1, q):
+        code = code * np.uint32(257) + text[i : len(text) - q + 1 + i]
+    return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.uint16)
+
+
+def _grams(item: bytes, distance: float = DISTANCE) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """q, the longest of 3, 2 and 1 that leaves shared q-grams at most edits, which codes the item has, each code's number among them and how often they occur."""
+    m = len(item)
+    q = next((q for q in (3, 2) if m - q + 1 - q * int(distance * m) > 0), 1)
+    table = np.zeros(1 << 16, bool)
+    own, times = np.unique(_codes(np.frombuffer(item, np.uint8), q), return_counts=True)
+    table[own] = True
+    number = np.full(1 << 16, len(own), np.int32)
+    number[own] = np.arange(len(own))
+    return q, table, number, times
+
+
+def everywhere(items: Items, text: np.ndarray, distance: float):
+    """(item number, from, to) of all stretches that have enough q-grams of an item that is looked for exactly; none with a match is left out."""
+    codes: dict[int, np.ndarray] = {}
+    for j, q, table, number, times in items.exact:
+        m = len(items.texts[j])
+        most = int(distance * m)
+        least = m - q + 1 - q * most  # of a match's q-grams, an edit destroys q at most
+        if q not in codes:
+            codes[q] = _codes(text, q) if len(text) >= q else np.zeros(0, np.uint16)
+        wide = min(m + most - q + 1, len(codes[q]))
+        if least < 1 or wide < 1:
+            if len(text):
+                yield j, 0, len(text)
+            continue
+        sums = np.concatenate([[0], np.cumsum(table[codes[q]], dtype=np.int32)])
+        good = np.flatnonzero(sums[wide:] - sums[:-wide] >= least)
+        if len(good):
+            cut = np.flatnonzero(np.diff(good) > wide + q) + 1
+            for lo, hi in zip(good[np.r_[0, cut]].tolist(), good[np.r_[cut - 1, len(good) - 1]].tolist()):
+                inside = np.bincount(number[codes[q][lo : hi + wide]], minlength=len(times) + 1)[:-1]
+                if np.minimum(inside, times).sum() >= least:  # a q-gram counts no more often than the item has it
+                    yield j, lo, hi + wide + q - 1
+
+
 def best_distance(pattern: bytes, text: bytes, most: int) -> tuple[int, int] | None:
     """Smallest edit distance of ``pattern`` to a stretch of ``text`` and that stretch's end, if at most ``most`` (Myers' bit vectors)."""
     at = text.find(pattern)
@@ -211,6 +260,13 @@ def find(items: Items, text: np.ndarray, at: np.ndarray, distance: float = DISTA
         got = best_distance(t, raw[lo:hi], most) if hi > lo else None
         if got and (key not in best or got[0] < best[key][0]):
             best[key] = (got[0], lo + got[1] - int(at[r]))
+    for j, lo, hi in everywhere(items, text, distance):
+        t = items.texts[j]
+        for r in range(int(np.searchsorted(at, lo, "right")) - 1, int(np.searchsorted(at, hi, "left"))):
+            start = max(int(at[r]), lo)
+            got = best_distance(t, raw[start : min(int(at[r + 1]), hi)], int(distance * len(t)))
+            if got and ((r, j) not in best or got[0] < best[r, j][0]):
+                best[r, j] = (got[0], start + got[1] - int(at[r]))
     return [(r, j, d, e) for (r, j), (d, e) in sorted(best.items())]
 
 
@@ -227,21 +283,41 @@ def edited(text: bytes, rate: float, r: np.random.Generator) -> bytes:
     return bytes(out)
 
 
-def repetitions(items: list[tuple[int, bytes]], recall: float = RECALL, edit_rate: float = EDIT_RATE, most: int = MOST_REPETITIONS) -> int:
-    """The fewest walks that find ``recall`` of (at most 200) edited items again."""
-    some = sorted(items, key=lambda x: zlib.crc32(x[1]))[:200]
+def misspelt(text: bytes, edits: int, r: np.random.Generator) -> bytes:
+    """So many substitutions, insertions and deletions at different random places."""
+    out = [bytes([c]) for c in text]
+    for at in r.choice(len(out), min(edits, len(out)), replace=False).tolist():
+        c = bytes([int(r.integers(97, 123))])
+        out[at] = (c, c + out[at], b"")[int(r.integers(3))]
+    return b"".join(out)
+
+
+def repetitions(items: list[tuple[int, bytes]], recall: float = RECALL, edit_rate: float = EDIT_RATE, most: int = MOST_REPETITIONS) -> tuple[dict[int, int], list[int]]:
+    """For each size class the fewest walks that find ``recall`` of edited copies of its items again and LEAST_RECALL of each item's, and the items (by number) that they find too seldom."""
     r = np.random.default_rng(11)
-    changed = [folded(edited(t, edit_rate, r).decode("utf-8", "replace")) for _, t in some]
-    missing = set(range(len(some)))
-    for n in range(1, most + 1):
-        block = Items(some, n)
-        for k in sorted(missing):
-            text = np.frombuffer(b" " + changed[k] + b" ", np.uint8)
-            if k in block.candidates(text)[1]:
-                missing.discard(k)
-        if len(missing) <= (1 - recall) * len(some):
-            return n
-    return most
+    copies = min(20, max(3, COPIES // len(items)))
+    walks, seldom = {}, []
+    for steps in STEPS:
+        own = [j for j, (_, t) in enumerate(items) if Items.steps_of(len(t)) == steps]
+        walks[steps] = 0
+        if not own:
+            continue
+        some = [items[j] for j in own]
+        changed = [misspelt(t, int(edit_rate * len(t)), r) for _, t in some for _ in range(copies)]
+        text, at = fold(np.frombuffer(b"".join(changed), np.uint8), np.cumsum([0, *map(len, changed)]))
+        found = np.zeros(len(changed), bool)
+        share = found.reshape(-1, copies)
+        while walks[steps] < most and (walks[steps] == 0 or found.mean() < recall or share.mean(axis=1).min() < min(LEAST_RECALL, recall)):
+            block = Items(some, 1, first=walks[steps])
+            for k in range(0, len(changed), 2000):
+                lo, hi = at[k], at[min(k + 2000, len(changed))]
+                place, item = block.candidates(text[lo:hi])
+                place = np.clip(place + lo + np.array([len(t) // 2 for t in block.texts])[item], 0, len(text) - 1)
+                copy = np.searchsorted(at, place, "right") - 1
+                found[copy[copy // copies == item]] = True
+            walks[steps] += 1
+        seldom += [own[k] for k in np.flatnonzero((share.mean(axis=1) < min(LEAST_RECALL, recall)) | (found.mean() < recall)).tolist()]
+    return walks, seldom
 
 
 def blocks(benchmark: DataFrame, limit: int = ITEM_BLOCK):
@@ -261,13 +337,13 @@ def blocks(benchmark: DataFrame, limit: int = ITEM_BLOCK):
 
 
 def _searcher(spark: SparkSession, part, distance: float, recall: float, edit_rate: float):
-    n = repetitions(part, recall, edit_rate)
+    n, exact = repetitions(part, recall, edit_rate)
     box = spark.sparkContext.broadcast(part)  # at most ITEM_BLOCK bytes
     made: dict[str, Items] = {}
 
     def search(column):
         if "items" not in made:
-            made["items"] = Items(box.value, n)
+            made["items"] = Items(box.value, n, exact=tuple(exact))
         items = made["items"]
         text, at = fold(*common.raw(common.texts(column)))
         return items, find(items, text, at, distance) if len(text) else []

@@ -69,6 +69,37 @@ def test_item_blocks_and_empty_tables(spark):
     assert dc.keep_uncontaminated(docs(spark, rows), benchmark(spark, [])).count() == 6
 
 
+def test_copies_with_as_many_edits_as_a_match_may_have_are_found():
+    for words in (2, 4, 7, 30):  # a size class each
+        items = [(i, dc.folded(prose(2000 + i, words))) for i in range(40)]
+        n, exact = dc.repetitions(items)
+        block = dc.Items(items, n, exact=tuple(exact))
+        r = np.random.default_rng(5)
+        copies = [dc.misspelt(t, int(dc.DISTANCE * len(t)), r) for _, t in items]
+        found = 0
+        for k, c in enumerate(copies):
+            body = b"before it " + c + b" and after"
+            text, at = dc.fold(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
+            found += k in {h[1] for h in dc.find(block, text, at)}
+        assert found >= 0.9 * len(items), (words, n, len(exact), found)
+
+
+def test_exact_search_is_complete():
+    r = np.random.default_rng(9)
+    items = [(i, dc.folded(prose(3000 + i, w))) for i, w in enumerate([1, 2, 3, 8, 20])]
+    block = dc.Items(items, 0, exact=tuple(range(5)))
+    bodies = [prose(i, 20).encode() + b"~" + dc.misspelt(items[i % 5][1], int(dc.DISTANCE * len(items[i % 5][1])), r) + b"~" + prose(i + 50, 5).encode() for i in range(40)]
+    text, at = dc.fold(np.frombuffer(b"".join(bodies), np.uint8), np.cumsum([0, *map(len, bodies)]))
+    got = {(h[0], h[1]): h[2] for h in dc.find(block, text, at)}
+    want = {}
+    for k in range(40):
+        for j, (_, t) in enumerate(items):
+            d = slow_distance(t, text[at[k] : at[k + 1]].tobytes())
+            if d <= int(dc.DISTANCE * len(t)):
+                want[k, j] = d
+    assert got == want and len(want) >= 40
+
+
 def test_folding_keeps_texts_apart():
     data = "A\n b".encode() + b"" + "ÉÑ×".encode()
     text, at = dc.fold(np.frombuffer(data, np.uint8), np.array([0, 4, 4, len(data)]))
