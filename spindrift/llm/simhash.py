@@ -2,12 +2,16 @@
 
 Two fingerprints that differ in at most r bits agree on at least two of r + 2 blocks of
 bits. Each distinct fingerprint goes to one shard per pair of blocks, keyed by the bits of
-both, so every link lies within a shard. In a shard a BK-tree holds the fingerprints:
-children are keyed by their integer Hamming distance to the parent, and a search follows
-only edges within the radius. A shard of more than ``tree_size`` members is cut into
-blocks; each block's tree is sent to every block of that shard only, so no tree, task or
-broadcast grows with the corpus. A shard reports a minimum spanning forest of its links,
-which keeps all components, at this radius and every smaller one, and no quadratic list.
+both, so every link lies within a shard. A shard of more than ``tree_size`` members is cut
+by further bits: of r + 1 parts of its other bits, a link agrees on one. What is still
+larger is cut into blocks. In a shard or block a BK-tree holds the fingerprints: children
+are keyed by their integer Hamming distance to the parent, and a search follows only edges
+within the radius. Each reports a spanning forest of its links, fewer rows than members.
+
+Blocks of one shard are compared last and only as far as they are apart: members outside
+the shard's largest component meet the trees of all its blocks, and report links between
+different components only. So a large group of near copies, which its blocks connect,
+costs rows in proportion to its members, and no tree, task or broadcast grows with the corpus.
 
 ``keep_one`` is the deduplication built on it: five-word shingles, and a link counts only
 if the two texts' shingle sets have a Jaccard similarity of 0.8 or more. Fingerprints only
@@ -122,100 +126,194 @@ class BKTree:
         return found
 
 
-def forest(tree_side: list[int], query_side: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """A minimum spanning forest of the links among one block (``query_side`` None), or between two blocks of a shard."""
-    root: dict[int, int] = {}
+class _Sets:
+    """Disjoint sets: ``join`` tells whether two were apart."""
+
+    def __init__(self):
+        self.root: dict = {}
 
-    def find(x: int) -> int:
+    def find(self, x):
+        root = self.root
         while root.setdefault(x, x) != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    near = []
-    tree = BKTree()
-    if query_side is not None:
-        for x in tree_side:
-            tree.add(x)
-    for x in tree_side if query_side is None else query_side:
-        near += [((x ^ y).bit_count(), x, y) for y in tree.within(x, radius)]
-        if query_side is None:
-            tree.add(x)
-    out = []
-    for _, x, y in sorted(near):  # closest links first: the forest then keeps the components at every smaller radius too
-        a, b = find(x), find(y)
+    def join(self, x, y) -> bool:
+        a, b = self.find(x), self.find(y)
         if a != b:
-            root[a] = b
-            out.append((x, y))
+            self.root[a] = b
+        return a != b
+
+
+PIVOTS = 16
+_FEW = 48
+
+
+def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links among distinct unsigned fingerprints that connect what all links within ``radius`` do, fewer than there are values.
+
+    In larger groups a few pivots are joined to all that is near them first; then only
+    members outside the largest set ask the tree, since of any other link one end is there.
+    """
+    n, out = len(values), []
+    group = np.arange(n)
+    tried = np.zeros(n, bool)
+    for _ in range(PIVOTS if n > _FEW else 0):
+        apart = np.flatnonzero((group != np.bincount(group).argmax()) & ~tried)
+        if not len(apart):
+            break
+        p = int(apart[0])
+        tried[p] = True
+        near = np.flatnonzero(np.bitwise_count(values ^ values[p]) <= radius)
+        label, first = np.unique(group[near], return_index=True)
+        out += [(int(values[p]), int(values[i])) for i in near[first[label != group[p]]]]
+        group[np.isin(group, label)] = group[p]
+    ask = np.flatnonzero(group != np.bincount(group).argmax()).tolist() if n > 1 else []
+    return out + bridges(values.tolist(), group.tolist(), [int(values[i]) for i in ask], [int(group[i]) for i in ask], radius)
+
+
+def bridges(tree_side: list[int], tree_sets: list, query_side: list[int], query_sets: list, radius: int) -> list[tuple[int, int]]:
+    """Links between queries and members of a tree that join different sets, fewer than there are sets."""
+    if not query_side:
+        return []
+    tree, of, sets, out = BKTree(), dict(zip(tree_side, tree_sets)), _Sets(), []
+    for x in tree_side:
+        tree.add(x)
+    for x, own in zip(query_side, query_sets):
+        for y in tree.within(x, radius):
+            if sets.join(own, of[y]):
+                out.append((x, y))
     return out
 
 
+def _cuts(radius: int) -> list[tuple[int, int]]:
+    cuts = [64 * i // (radius + 2) for i in range(radius + 3)]
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+def _width(radius: int) -> int:
+    return max(hi - lo for lo, hi in _cuts(radius))
+
+
+def _bits(fp, radius: int):
+    return [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in _cuts(radius)]
+
+
 def shard_keys(fp, radius: int):
     """One key for each pair of the radius + 2 blocks: pair number and the two blocks' bits."""
-    blocks = radius + 2
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    part = [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts[:-1], cuts[1:])]
-    width = max(hi - lo for lo, hi in zip(cuts[:-1], cuts[1:]))
-    return [F.lit(i << (2 * width)).cast("long") + F.shiftleft(part[a], width) + part[b] for i, (a, b) in enumerate(itertools.combinations(range(blocks), 2))]
+    part, width = _bits(fp, radius), _width(radius)
+    return [F.lit(i << (2 * width)).cast("long") + F.shiftleft(part[a], width) + part[b] for i, (a, b) in enumerate(itertools.combinations(range(radius + 2), 2))]
+
+
+def further_keys(fp, key, radius: int):
+    """For a member of a shard, one key for each of radius + 1 parts of the bits that the shard does not fix: a link of the shard agrees on one of them."""
+    cuts, part, width = _cuts(radius), _bits(fp, radius), _width(radius)
+    rests = []
+    for a, b in itertools.combinations(range(radius + 2), 2):
+        rest = F.lit(0).cast("long")
+        for i in range(radius + 2):
+            if i not in (a, b):
+                rest = F.shiftleft(rest, cuts[i][1] - cuts[i][0]) + part[i]
+        rests.append(rest)
+    rest = F.get(F.array(*rests), F.shiftright(key, 2 * width).cast("int"))
+    free = 64 - 2 * (64 // (radius + 2))  # the most bits that two blocks leave
+    ends = [free * i // (radius + 1) for i in range(radius + 2)]
+    return [F.lit((i + 1) << 48) + F.shiftrightunsigned(rest, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for i, (lo, hi) in enumerate(zip(ends[:-1], ends[1:]))]
+
+
+def _grouped(batches, keys: int):
+    """The columns of each run of rows with equal first ``keys`` columns; batches are sorted by them, groups of bounded size."""
+    kept = None
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            cols = new if kept is None else [np.concatenate(x) for x in zip(kept, new)]
+        elif kept is None:
+            return
+        else:
+            cols = kept
+        if not len(cols[0]):
+            continue
+        edge = np.ones(len(cols[0]), bool)
+        edge[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:keys]])
+        cut = np.flatnonzero(edge)
+        done = len(edge) if b is None else int(cut[-1])  # the last group may go on in the next batch
+        kept = None if b is None else [c[done:] for c in cols]
+        if done:
+            starts = cut[cut < done]
+            yield [c[:done] for c in cols], starts, np.r_[starts[1:], done]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE, reach: int | None = None) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that connect the same components as all links do.
+def _signed(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    flat = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.record_batch([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["a", "b"])
 
-    With ``reach``, trees are searched beyond ``radius``, up to so many bits: links within
-    ``radius`` are all covered, wider ones where two blocks agree.
-    """
-    reach = max(radius, reach or 0)
-    keyed = nodes.select("fp", F.explode(F.array(*shard_keys(F.col("fp"), radius))).alias("key"))
-    size = keyed.groupBy("key").count()
-    hot = size.where(F.col("count") > tree_size).select("key", F.ceil(F.col("count") / tree_size).cast("int").alias("parts"))
-    keyed = keyed.join(hot, "key", "left")
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    # a member of a large shard meets its own block once and every other block of the shard once
-    other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-    keyed = keyed.withColumn("own", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(part)).withColumn("other", other)
-    keyed = keyed.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("query"), "fp")
-    dealt = keyed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "query", "fp")
+
+def _forests(groups: DataFrame, radius: int) -> DataFrame:
+    """a, b: the forest of each group (key, sub, block) of fingerprints."""
 
     def run(batches):
-        kept = None
-        for b in itertools.chain(batches, [None]):
-            if b is None:
-                if kept is None:
-                    return
-                cols, last = kept, True
-            else:
-                new = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy()]
-                cols, last = new if kept is None else [np.concatenate(x) for x in zip(kept, new)], False
-            key, lo, hi, query, fp = cols
-            n = len(key)
-            if not n:
-                continue
-            cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-            done = n if last else int(cut[-1])  # the last group may go on in the next batch; groups are of bounded size
-            kept = None if last else [c[done:] for c in cols]
-            starts = cut[cut < done]
-            ends = np.r_[starts[1:], done] if len(starts) else starts
-            a, z = [], []
-            two = starts[(ends - starts == 2) & (lo[starts] == hi[starts])] if len(starts) else starts
-            near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= reach]
-            a += fp[near].tolist()
-            z += fp[near + 1].tolist()
+        for (_, _, _, fp), starts, ends in _grouped(batches, 3):
             u = fp.view(np.uint64)
+            two = starts[ends - starts == 2]
+            near = two[np.bitwise_count(u[two] ^ u[two + 1]) <= radius]
+            out = list(zip(u[near].tolist(), u[near + 1].tolist()))
             for s, e in zip(starts.tolist(), ends.tolist()):
-                if lo[s] == hi[s]:
-                    got = forest(u[s:e].tolist(), None, reach) if e - s > 2 else []
-                else:
-                    q = query[s:e]
-                    got = forest(u[s:e][~q].tolist(), u[s:e][q].tolist(), reach)
-                for x, y in got:
-                    a.append(x - (1 << 64) if x >> 63 else x)
-                    z.append(y - (1 << 64) if y >> 63 else y)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
+                if e - s > 2:
+                    out += forest(u[s:e], radius)
+            yield _signed(out)
 
+    dealt = groups.select("key", "sub", "block", "fp").repartition("key", "sub", "block").sortWithinPartitions("key", "sub", "block", "fp")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _between(members: DataFrame, groups: DataFrame, radius: int, tree_size: int) -> DataFrame:
+    """a, b: links between different components (``groups``: node, component) of the blocks of one shard (``members``: key, sub, block, parts, fp)."""
+    of = groups.select(F.col("node").alias("fp"), F.col("component").alias("of"))
+    m = common.written(members.join(of, "fp", "left").withColumn("of", F.coalesce("of", "fp")), "shard-members")
+    shard = ["key", "sub"]
+    most = m.groupBy(*shard, "of").count().groupBy(*shard).agg(F.max(F.struct("count", "of")).alias("top"), F.sum("count").alias("all"))
+    # queries that are many are dealt to several copies of each tree
+    most = most.select(*shard, F.col("top.of").alias("top"), F.ceil((F.col("all") - F.col("top.count")) / (8 * tree_size)).cast("int").alias("deals")).where("deals > 0")
+    m = m.join(most, shard)
+    deal = F.pmod(F.xxhash64("fp"), F.col("deals")).cast("int")
+    ask = m.where("of != top").select(*shard, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), deal.alias("deal"), F.lit(True).alias("query"), "fp", "of")
+    tree = m.select(*shard, "block", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(False).alias("query"), "fp", "of")
+    order = [*shard, "block", "deal"]
+    dealt = tree.union(ask).repartition(*order).sortWithinPartitions(*order, "query", "fp")
+
+    def run(batches):
+        for (_, _, _, _, query, fp, of), starts, ends in _grouped(batches, 4):
+            u, out = fp.view(np.uint64), []
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                k = s + int((~query[s:e]).sum())
+                out += bridges(u[s:k].tolist(), of[s:k].tolist(), u[k:e].tolist(), of[k:e].tolist(), radius)
+            yield _signed(out)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+    """a, b: links between distinct fingerprints (column fp) that connect the same components as all links do."""
+    keyed = nodes.select("fp", F.explode(F.array(*shard_keys(F.col("fp"), radius))).alias("key"))
+    large = lambda d, *by: d.groupBy(*by).count().where(F.col("count") > tree_size)
+    hot = common.written(large(keyed, "key"), "hot-shards")
+    whole = lambda d: d.withColumn("sub", F.lit(0).cast("long")).withColumn("block", F.lit(0))
+    if not hot.limit(1).count():
+        return _forests(whole(keyed), radius)
+    keyed = keyed.join(hot, "key", "left")
+    cut = keyed.where("count is not null").select("fp", "key", F.explode(F.array(*further_keys(F.col("fp"), F.col("key"), radius))).alias("sub"))
+    parts = common.written(large(cut, "key", "sub").select("key", "sub", F.ceil(F.col("count") / tree_size).cast("int").alias("parts")), "hot-parts")
+    cut = cut.join(parts, ["key", "sub"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), F.lit(0)))
+    names = ["key", "sub", "block", "fp"]
+    found = common.written(_forests(whole(keyed.where("count is null")).select(*names).union(cut.select(*names)), radius), "forests")
+    if not parts.limit(1).count():
+        return found
+    blocks = cut.where("parts is not null").select(*names, "parts")
+    return found.union(_between(blocks, connected_components(found), radius, tree_size))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
     """doc_id, fp, component_id of every row."""
     prints = common.written(fingerprints(docs, shingle), "simhash")
@@ -228,7 +326,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 STAGE_SHINGLE = 5
-STAGE_RADIUS = 8
+STAGE_RADIUS = RADIUS
 SIMILARITY = 0.8
 SAMPLE = 16  # one text in so many is counted for the order of shingles, where there are more than SAMPLE_FROM
 SAMPLE_FROM = 20_000

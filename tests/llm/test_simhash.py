@@ -74,6 +74,60 @@ def test_links_keep_all_components_with_and_without_blocks(spark):
         assert [got.get(v, v) for v in values] == want
 
 
+def flipped(x, bits, r):
+    for b in r.choice(64, bits, replace=False):
+        x ^= 1 << int(b)
+    return x
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def test_links_of_one_hot_group_grow_with_its_members(spark):
+    """Near copies by the thousand: components as brute force, at most one row a member and shard that it is in."""
+    r = np.random.default_rng(4)
+    center = int(r.integers(1 << 62))
+    rows = {}
+    for n in (1000, 2000, 4000):
+        values = sorted({signed(flipped(center, int(r.integers(1, 7)), r)) for _ in range(n)})
+        u = np.array(values, np.int64).view(np.uint64)
+        nodes = spark.createDataFrame([(v,) for v in values], "fp long")
+        got = [(x.a, x.b) for x in simhash.links(nodes, 4, 100).collect()]
+        rows[n] = len(got)
+        assert len(got) <= 30 * len(values)
+        assert all((a ^ b).bit_count() <= 4 for a, b in ((a % (1 << 64), b % (1 << 64)) for a, b in got))
+        near = [np.flatnonzero(np.bitwise_count(u ^ x) <= 4) for x in u]
+        assert parts(len(values), ((i, int(j)) for i, js in enumerate(near) for j in js)) == parts(len(values), ((values.index(a), values.index(b)) for a, b in got))
+    assert rows[4000] <= 2.6 * rows[2000]
+
+
+def parts(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_forest_of_large_groups_is_complete():
+    r = np.random.default_rng(6)
+    for n, centers in ((60, 1), (300, 40), (500, 5), (49, 49)):
+        c = [int(r.integers(1 << 62)) for _ in range(centers)]
+        u = np.unique(np.array([flipped(c[i % centers], int(r.integers(0, 6)), r) for i in range(n)], np.uint64))
+        got = simhash.forest(u, 4)
+        index = {int(x): i for i, x in enumerate(u)}
+        want = [(i, int(j)) for i, x in enumerate(u) for j in np.flatnonzero(np.bitwise_count(u ^ x) <= 4)]
+        assert parts(len(u), want) == parts(len(u), ((index[a], index[b]) for a, b in got)) and len(got) < len(u)
+
+
 def test_bk_tree_finds_exactly_the_radius():
     r = np.random.default_rng(1)
     values = [int(x) for x in r.integers(0, 1 << 12, 300)]
