@@ -1,16 +1,27 @@
 """Main text of web pages by consensus host paths.
 
 1. Every page's containers are scored: a container's generalised tag-class path (digits in
-   class names left out) gets the share of the page's content text that lies below it.
-   Navigation, notices, adverts, forms, scripts and reader comments are no content.
-2. Shares are summed per host and path in Spark. A host's winning path is the deepest one
-   that covers at least COVER of its pages' content on average.
-3. Pages are read again and the text below the winning path is taken; a page that has no
-   such container takes the deepest one of its own that covers COVER of its content.
+   class names left out) gets the share of the page's content below it. Content is text
+   outside links and outside what is noise by its markup.
+2. Shares are summed per host and path in Spark. A host's winning path is its deepest
+   ``article`` or ``main`` path that covers at least MAIN_COVER of its pages' content on
+   average, else its deepest path of any kind that covers COVER.
+   Paths that at least half of the host's pages have are known.
+3. Pages are read again and the text below the winning path is taken, if it and the known
+   parts beside it cover enough of this page. A page of another shape votes for itself.
+
+Noise: menus, headers, footers, sidebars, dialogs and controls by their tags; hidden
+elements; forms and elements whose class, id or role is or ends in a word of _NOISE; lists
+of links outside the article. A name marks a part and never the page: a form or named
+element that holds the article, a main heading, or half of the page in several blocks is a
+wrapper and counts as none.
 
 Text: character references decoded once, white space inside a block (Python's str.split)
 as one space, blocks in page order joined by one space.
 
+A path is a 64-bit hash of its parent's path and its own label, so that deep markup costs
+memory in proportion to its size.
+
 Defined cases: null html is an empty page with empty text; a null url, or one without a
 host, belongs to the empty host; broken and unclosed markup is read as far as it goes;
 repeated rows are pages of their own; an empty table gives no rows; extra columns are ignored.
@@ -27,7 +38,9 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import common
 
-COVER = 0.8
+COVER = 0.85
+MAIN_COVER = 0.5
+SALTS = 16  # rows of the paths' table for each host, so that a large host is no single key
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -36,119 +49,229 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_CONTAINERS = frozenset("body div section article main header footer nav aside form ul ol dl table blockquote fieldset menu dialog details".split())
+_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+_CONTAINERS = frozenset("html body div section article main header footer nav aside form ul ol dl table blockquote fieldset menu dialog details".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_SKIPPED = frozenset("header footer nav aside form menu dialog button select option head title".split())
+_SKIPPED = frozenset("header footer nav aside menu dialog button select option head title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role names that mark what is no article.
+_LISTS = frozenset("ul ol dl table div section".split())
+_WHOLE = frozenset("html body article main".split())
 _NOISE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "sidebar side menu menus nav navbar navigation navigations breadcrumb breadcrumbs comment comments commentlist respond disqus reply replies share sharing social related recommended "
     "newsletter subscribe signup login widget widgets footer header masthead toolbar pagination pager skip search complementary contentinfo".split()
 )
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A name with one of these says what lies beside or within, not what the element is.
+_ABOUT = frozenset("has with no without page layout body wrapper container content".split())
+
+_PART, _GONE = 1, 2
+
+
+def named_noise(value: str) -> bool:
+    """Whether one of the names is a word of _NOISE, begins or ends with one."""
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if words and (words[-1] in _NOISE or words[0] in _NOISE) and _ABOUT.isdisjoint(words):
+            return True
+    return False
 
 
 class Page:
-    """One pass over a page: content blocks with the containers they lie in."""
+    """One pass over a page: blocks of text with the elements they lie in, then what is noise and what is content."""
 
     def __init__(self, source: str):
-        self.paths: list[str] = []  # of the containers, in page order
-        self.depths: list[int] = []
-        self.parents: list[int] = []
-        self.blocks: list[tuple[int, str]] = []  # innermost container and text
+        self.parent: list[int] = []  # of the elements that matter, in page order
+        self.path: list[int] = []
+        self.label: list[str] = []
+        self.depth: list[int] = []
+        self.named: list[bool] = []  # a form, or an element with a name of noise
+        self.heads: list[bool] = []  # article, main, or one with a main heading below
+        self.links: list[int] = []
+        self.pieces: list[tuple[int, int, str, bool]] = []  # block, element, text, in a link
         self._read(source)
+        self._weigh()
 
-    def _read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = []  # tag, container, skipped
-        at, skip, here = 0, 0, -1
-        parts: list[str] = []
+    def _element(self, parent: int, tag: str, label: str, named: bool) -> int:
+        from xxhash import xxh64_intdigest
 
-        def flush() -> None:
-            if parts:
-                text = " ".join(html_lib.unescape("".join(parts)).split())
-                parts.clear()
-                if text:
-                    self.blocks.append((here, text))
+        up = self.path[parent] if parent >= 0 else 0
+        self.parent.append(parent)
+        self.label.append(label)
+        self.path.append(xxh64_intdigest(label.encode("utf-8", "replace"), up & 0xFFFFFFFFFFFFFFFF) >> 1 or 1)
+        self.depth.append(self.depth[parent] + 1 if parent >= 0 else 1)
+        self.named.append(named)
+        self.heads.append(tag in ("article", "main"))
+        self.links.append(0)
+        return len(self.parent) - 1
+
+    def _read(self, source: str) -> None:
+        stack: list[tuple[str, int, bool]] = []  # tag, element, gone
+        at, gone, here, block, link = 0, 0, -1, 0, False
+        open_at: dict[str, list[int]] = {}  # tag to its places on the stack, so that a stray end tag costs nothing
+
+        def close(i: int) -> None:
+            nonlocal gone, here
+            while len(stack) > i:
+                tag, _, g = stack.pop()
+                open_at[tag].pop()
+                gone -= g
+            here = stack[-1][1] if stack else -1
 
         for m in _TOKEN.finditer(source):
-            if not skip and m.start() > at:
-                parts.append(source[at : m.start()])
+            if not gone and m.start() > at:
+                self.pieces.append((block, here, source[at : m.start()], link))
             at = m.end()
             tag = m[3]
             if not tag:
                 continue
             tag = tag.lower()
-            if tag in _INLINE:
-                continue
-            flush()
-            if tag in _VOID or tag == "p" or (tag not in _CONTAINERS and tag not in _SKIPPED and not m[4].strip()):
-                continue  # a border between blocks and no more
             if m[2]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        for _, _, skipped in stack[i:]:
-                            skip -= skipped
-                        del stack[i:]
-                        here = stack[-1][1] if stack else -1
-                        break
+                link &= tag != "a"
+                if tag not in _INLINE:
+                    block += 1
+                if open_at.get(tag):
+                    close(open_at[tag][-1])
                 continue
-            names = ""
-            noisy = tag in _SKIPPED
+            if tag == "a":
+                link = True
+                if here >= 0:
+                    self.links[here] += 1
+            names, role, kind = "", False, _GONE if tag in _SKIPPED else 0
             if m[4] and not m[4].isspace():
                 for k, a, b, c in _ATTRIBUTE.findall(m[4]):
-                    v = a or b or c
-                    if k.lower() == "class":
+                    k, v = k.lower(), a or b or c
+                    if k == "class":
                         names = ".".join(sorted({re.sub(r"\d+", "", x) for x in v.split()} - {""}))
-                    noisy |= tag not in ("body", "html", "article", "main") and any(w.lower() in _NOISE for w in _WORDS.findall(v))
-            if tag not in _CONTAINERS and not noisy:
+                    if tag in _WHOLE:
+                        continue
+                    if k == "hidden" or (k == "aria-hidden" and v.lower() == "true") or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I)):
+                        kind = _GONE
+                    elif k in ("class", "id", "role"):
+                        role |= named_noise(v)
+            if not kind and (role or tag == "form"):
+                kind = _PART
+            if tag not in _INLINE:
+                block += 1
+                link &= tag in _VOID
+                if stack and stack[-1][0] == "p" and tag not in _VOID:
+                    close(len(stack) - 1)  # a paragraph ends where the next block begins
+                if tag == "h1":
+                    for e in self._up(here):
+                        if self.heads[e]:
+                            break
+                        self.heads[e] = True
+            if tag in _VOID or not (kind or tag in _CONTAINERS) or m[4].rstrip().endswith("/"):
                 continue
-            if m[4].rstrip().endswith("/"):
-                continue
-            if tag in _CONTAINERS and not skip and not noisy:
-                label = f"{tag}.{names}" if names else tag
-                self.paths.append(f"{self.paths[here]}>{label}" if here >= 0 else label)
-                self.depths.append(self.depths[here] + 1 if here >= 0 else 1)
-                self.parents.append(here)
-                here = len(self.paths) - 1
-            skip += noisy
-            stack.append((tag, here, noisy))
-        if not skip and at < len(source):
-            parts.append(source[at:])
-        flush()
-
-    def shares(self) -> dict[tuple[str, int], float]:
-        """(path, depth) to the share of content text below any container of that path."""
-        below = [0] * len(self.paths)
-        total = 0
-        for c, t in self.blocks:
-            total += len(t)
-            if c >= 0:
-                below[c] += len(t)
-        for c in range(len(below) - 1, 0, -1):
-            if self.parents[c] >= 0:
-                below[self.parents[c]] += below[c]
-        out: dict[tuple[str, int], float] = {("", 0): 1.0}
-        for c, n in enumerate(below):
-            if n and total:
-                key = (self.paths[c], self.depths[c])
-                out[key] = out.get(key, 0.0) + n / total
+            if kind != _GONE and not gone:
+                here = self._element(here, tag, f"{tag}.{names}" if names else tag, kind == _PART)
+            gone += kind == _GONE
+            open_at.setdefault(tag, []).append(len(stack))
+            stack.append((tag, here, kind == _GONE))
+        if not gone and at < len(source):
+            self.pieces.append((block, here, source[at:], link))
+
+    def _up(self, e: int):
+        while e >= 0:
+            yield e
+            e = self.parent[e]
+
+    def _weigh(self) -> None:
+        n = len(self.parent)
+        text, linked, links, blocks, head = [0] * n, [0] * n, self.links[:], [0] * n, self.heads
+        size = [len(t.strip()) for _, _, t, _ in self.pieces]
+        last = [-1] * n
+        for (b, e, _, link), k in zip(self.pieces, size):
+            if e >= 0 and k:
+                text[e] += k
+                linked[e] += k * link
+                blocks[e] += last[e] != b
+                last[e] = b
+        for e in range(n - 1, -1, -1):
+            p = self.parent[e]
+            if p >= 0:
+                text[p] += text[e]
+                linked[p] += linked[e]
+                links[p] += links[e]
+                blocks[p] += blocks[e]
+                head[p] |= head[e]
+        everything = sum(size)
+        noise, inside = [False] * n, [False] * n  # inside: of an article
+        for e in range(n):
+            p = self.parent[e]
+            tag = self.label[e].partition(".")[0]
+            inside[e] = tag in ("article", "main") or (p >= 0 and inside[p])
+            part = self.named[e] and not head[e] and not (2 * text[e] >= everything and blocks[e] >= 3)
+            part |= tag in _LISTS and not inside[e] and links[e] >= 3 and 10 * linked[e] >= 8 * text[e] > 0 and not head[e]
+            noise[e] = part or (p >= 0 and noise[p])
+        self.noise = noise
+        self.own = [0] * n
+        self.total = 0
+        for (_, e, _, link), k in zip(self.pieces, size):
+            if not link and (e < 0 or not noise[e]):
+                self.total += k
+                if e >= 0:
+                    self.own[e] += k
+        self.content = self.own[:]
+        for e in range(n - 1, -1, -1):
+            if self.parent[e] >= 0:
+                self.content[self.parent[e]] += self.content[e]
+
+    def shares(self) -> dict[int, tuple[int, bool, float]]:
+        """Path to its depth, whether it is an article or main element, and the share of content below any container of that path. Path 0 is the page."""
+        out = {0: (0, False, 1.0)}
+        if self.total:
+            for e, c in enumerate(self.content):
+                if c and not self.noise[e]:
+                    _, _, share = out.get(self.path[e], (0, False, 0.0))
+                    out[self.path[e]] = (self.depth[e], self.label[e].partition(".")[0] in ("article", "main"), share + c / self.total)
         return out
 
-    def text(self, path: str) -> str | None:
-        """All blocks below containers of ``path``; None if the page has no such container."""
-        if not path:
-            return " ".join(t for _, t in self.blocks)
-        inside = [False] * len(self.paths)
-        for c, p in enumerate(self.paths):
-            inside[c] = p == path or (self.parents[c] >= 0 and inside[self.parents[c]])
-        if not any(inside):
-            return None
-        return " ".join(t for c, t in self.blocks if c >= 0 and inside[c])
-
-    def own_path(self, cover: float = COVER) -> str:
-        return max((k for k, v in self.shares().items() if v >= cover), key=lambda k: (k[1], k[0]))[0]
+    def own_path(self, cover: float = COVER, main: float = MAIN_COVER) -> int:
+        """The page's winning path if it alone votes."""
+        return max((is_main, depth, round(share, 6), path) for path, (depth, is_main, share) in self.shares().items() if share >= (main if is_main else cover))[3]
+
+    def best_path(self, path: int, known=(), cover: float = COVER, main: float = MAIN_COVER) -> int:
+        """``path`` if it and the ``known`` paths beside it cover enough of this page, else the page's own."""
+        n, is_main, known = len(self.parent), False, frozenset(known)
+        above, good = [False] * n, [False] * n
+        for e in range(n - 1, -1, -1):
+            if (above[e] or self.path[e] == path) and self.parent[e] >= 0:
+                above[self.parent[e]] = True
+        covered, has = 0, False
+        for e in range(n):
+            p = self.parent[e]
+            if self.path[e] == path:
+                has, is_main = True, self.label[e].partition(".")[0] in ("article", "main")
+            good[e] = self.path[e] == path or (p >= 0 and good[p]) or (self.path[e] in known and not above[e])
+            covered += self.own[e] * good[e]
+        if path and has and covered >= (main if is_main else cover) * self.total:
+            return path
+        return self.own_path(cover, main)
+
+    def text(self, path: int) -> str:
+        """All blocks below containers of ``path`` that are no noise."""
+        n = len(self.parent)
+        inside = [False] * n
+        for e in range(n):
+            p = self.parent[e]
+            inside[e] = self.path[e] == path or (p >= 0 and inside[p])
+        out, parts, last = [], [], -1
+        for b, e, t, _ in [*self.pieces, (-2, -1, "", False)]:
+            if b != last:
+                words = " ".join(html_lib.unescape("".join(parts)).split())
+                if words:
+                    out.append(words)
+                parts, last = [], b
+            if (e < 0 and not path) or (e >= 0 and not self.noise[e] and (not path or inside[e])):
+                parts.append(t)
+        return " ".join(out)
+
+    def written_path(self, path: int, most: int = 100) -> str:
+        """The labels of a path, the innermost ``most`` of them."""
+        e = self.path.index(path) if path in self.path else -1
+        labels = [self.label[x] for x, _ in zip(self._up(e), range(most))]
+        return ">".join(reversed(labels))
 
 
 def host(url: Column) -> Column:
@@ -158,58 +281,62 @@ def host(url: Column) -> Column:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """host, path, depth, share, pages: summed within each task before anything is sent."""
+    """host, path, depth, main, share, pages: summed within each task before anything is sent."""
 
     def run(batches):
-        kept: dict[tuple[str, str, int], list[float]] = {}
+        kept: dict[tuple[str, int], list] = {}
 
         def out():
-            keys = list(kept)
-            rows = [kept[k] for k in keys]
+            keys, rows = list(kept), list(kept.values())
             kept.clear()
+            kinds = [pa.int32(), pa.bool_(), pa.float64(), pa.int64()]
             return pa.record_batch(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array([r[0] for r in rows], pa.float64()), pa.array([int(r[1]) for r in rows], pa.int64())],
-                ["host", "path", "depth", "share", "pages"],
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], ["host", "path", "depth", "main", "share", "pages"]
             )
 
         for b in common.slices(batches):
             for h, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for (path, depth), share in Page(source or "").shares().items():
-                    row = kept.setdefault((h, path, depth), [0.0, 0])
-                    row[0] += share
-                    row[1] += 1
-            if len(kept) > 50_000:
-                yield out()
+                for path, (depth, main, share) in Page(source or "").shares().items():
+                    row = kept.setdefault((h, path), [depth, main, 0.0, 0])
+                    row[2] += share
+                    row[3] += 1
+                if len(kept) > 50_000:
+                    yield out()
         yield out()
 
-    return pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, depth int, share double, pages long")
+    return pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path long, depth int, main boolean, share double, pages long")
 
 
-def winning_paths(pages: DataFrame, cover: float = COVER) -> DataFrame:
-    """host, path: the deepest path that covers ``cover`` of the host's content."""
-    v = votes(pages).groupBy("host", "path", "depth").agg(F.sum("share").alias("share"), F.sum("pages").alias("pages"))
-    # the empty path (depth 0) has a vote of every page: it counts the host's pages
-    size = F.max(F.when(F.col("depth") == 0, F.col("pages")))
-    ranked = v.groupBy("host").agg(size.alias("all"))
-    good = v.join(ranked, "host").where(F.col("share") >= cover * F.col("all") - 1e-9)
-    return good.groupBy("host").agg(F.max(F.struct("depth", F.round("share", 6).alias("share"), "path")).alias("best")).select("host", F.col("best.path").alias("path"))
+def winning_paths(pages: DataFrame, cover: float = COVER, main: float = MAIN_COVER) -> DataFrame:
+    """host, path, known: of the host's paths that cover enough of its content, article and main before others, the deepest; and those that half of its pages have."""
+    v = votes(pages).groupBy("host", "path", "depth", "main").agg(F.sum("share").alias("share"), F.sum("pages").alias("pages"))
+    v = common.written(v, "votes")  # read twice below
+    size = v.where("depth = 0").select("host", F.col("pages").alias("all"))  # path 0 has a vote of every page
+    need = F.when(F.col("main"), F.lit(main)).otherwise(F.lit(cover))
+    good = v.join(size, "host").where(F.col("share") >= need * F.col("all") - 1e-9)
+    best = good.groupBy("host").agg(F.max(F.struct("main", "depth", F.round("share", 6).alias("share"), "path")).alias("best")).select("host", F.col("best.path").alias("path"))
+    known = v.join(size, "host").where("depth > 0 and 2 * pages >= all").groupBy("host").agg(F.collect_set("path").alias("known"))  # at most twice as many as a page has
+    return best.join(known, "host", "left")
 
 
-def extract(pages: DataFrame, cover: float = COVER) -> DataFrame:
-    """page_id, url, text, n_chars, host_path of every page."""
-    best = common.written(winning_paths(pages, cover), "host-paths")
-    d = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(best, "host", "left")
+def extract(pages: DataFrame, cover: float = COVER, main: float = MAIN_COVER, salts: int = SALTS) -> DataFrame:
+    """page_id, url, text, n_chars, text_path of every page."""
+    best = common.written(winning_paths(pages, cover, main), "host-paths")
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    d = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int").alias("salt"))
+    d = d.join(best, ["host", "salt"], "left")
 
     def run(batches):
         for b in common.slices(batches):
-            text = []
-            for source, path in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            text, paths = [], []
+            for source, path, known in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 page = Page(source or "")
-                t = page.text(path or "")
-                text.append(page.text(page.own_path(cover)) if t is None else t)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), b.column(3)], ["page_id", "url", "text", "n_chars", "host_path"])
+                own = page.best_path(path or 0, known or (), cover, main)
+                text.append(page.text(own))
+                paths.append(page.written_path(own))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array(paths, pa.string())], ["page_id", "url", "text", "n_chars", "text_path"])
 
-    return d.select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long, host_path string")
+    return d.select("page_id", "url", "html", "path", "known").mapInArrow(run, "page_id long, url string, text string, n_chars long, text_path string")
 
 
 def op3_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
