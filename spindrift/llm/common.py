@@ -23,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a ``written`` table that nothing reads any more."""
     for f in {os.path.dirname(x) for x in df.inputFiles()}:
@@ -90,18 +98,50 @@ MOST_BUCKETS = 65_536
 
 
 def id_buckets(slim: DataFrame, key: str, rows: int = BUCKET_ROWS) -> tuple:
-    """A monotone bucket expression for ``key`` with about ``rows`` ids a bucket and at most MOST_BUCKETS, from min, max and count alone.
+    """A monotone bucket expression for ``key`` with about ``rows`` ids a bucket and about MOST_BUCKETS at most, and the number of buckets.
 
-    Arithmetic rather than sampled, so that it is the same on every retry. Ids that are
-    unevenly spread give uneven buckets, never wrong ones.
+    Equal widths first; a bucket with far more ids than meant is cut again between its own
+    smallest and largest id, until none is (ids that are one value cannot be cut). Each cut
+    is a count of at most two buckets' rows for every bucket, and an expression over literals,
+    so that it is the same on every retry. Null keys have a bucket before all others.
     """
-    lo, hi, n = slim.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+    lo, hi, n = slim.agg(F.min(key), F.max(key), F.count(key)).first()
     if not n:
         return (lambda c: F.lit(0).cast("long")), 1
-    lo, hi = int(lo or 0), int(hi or 0)
+    coarse = 2 if hi - lo >= 1 << 62 else 0  # differences stay within a long
     rows = max(rows, -(-n // MOST_BUCKETS))
-    width = max(1, -(-(hi - lo + 1) * rows // n), -(-(hi - lo + 1) // MOST_BUCKETS))
-    return (lambda c: F.coalesce(F.floor((c - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))), max(1, -(-n // rows))
+    ids = slim.where(F.col(key).isNotNull()).select(F.shiftright(F.col(key).cast("long"), coarse).alias("k"))
+    steps = [_even([(int(lo) >> coarse, int(hi) >> coarse, int(n))], rows)]
+
+    def bucket(k, steps):
+        at = F.lit(0).cast("long")
+        for base, first, width in steps:
+            x, w = k - F.get(_longs(first), at.cast("int")), F.get(_longs(width), at.cast("int"))
+            at = F.get(_longs(base), at.cast("int")) + F.floor((x - F.pmod(x, w)) / w + 0.5).cast("long")
+        return at
+
+    while True:
+        got = {int(r[0]): (int(r[1]), int(r[2]), int(r[3])) for r in ids.groupBy(bucket(F.col("k"), steps)).agg(F.min("k"), F.max("k"), F.count(F.lit(1))).collect()}
+        if not any(c > 4 * rows and b > a for a, b, c in got.values()):
+            return (lambda c: F.coalesce(bucket(F.shiftright(c.cast("long"), coarse), steps), F.lit(-1).cast("long"))), max(got) + 1
+        steps.append(_even([got.get(i, (0, 0, 0)) for i in range(max(got) + 1)], rows))
+
+
+def _longs(values: list[int]):
+    """An array literal of longs; one string, as many single literals are slow to make."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _even(cells: list[tuple[int, int, int]], rows: int) -> tuple[list, list, list]:
+    """For each cell (least id, largest id, ids) the number of its first bucket, the id where that begins, and the width of its buckets."""
+    base, first, width, at = [], [], [], 0
+    for lo, hi, n in cells:
+        k = max(1, min(-(-n // rows), hi - lo + 1)) if n > 4 * rows or len(cells) == 1 else 1
+        base.append(at)
+        first.append(lo)
+        width.append(-(-(hi - lo + 1) // k) if k > 1 else 1 << 62)
+        at += k
+    return base, first, width
 
 
 def before(slim: DataFrame, key: str, value: str, out: str, *ties: str) -> DataFrame:

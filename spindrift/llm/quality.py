@@ -6,8 +6,10 @@ whole document are max-pooled. The document is described by the mean and the max
 its chunks' pooled filters, which one logistic unit combines into a probability.
 
 Trained on the driver by Adam on about ``per_class`` rows of each class (the documented
-bound; training texts longer than TRAIN_BYTES are not drawn), weighted back to the classes'
-true shares so that the probability is calibrated. Scoring reads every byte.
+bound), long texts included, weighted back to the classes' true shares so that the
+probability is calibrated. A labelled text of more than TRAIN_BYTES is learned from
+TRAIN_PIECES evenly spaced pieces that add up to as many bytes, so that what the driver
+holds is bounded. Scoring reads every byte of every text.
 
 Defined cases: null is an empty text, which is one frame of padding and gets a score like any
 other; without labels every score is 0.5; repeated rows and null doc_ids (never held out)
@@ -25,12 +27,14 @@ from pyspark.sql.types import StructType
 from spindrift.llm import common, examples
 
 PER_CLASS = 1000
-TRAIN_BYTES = 1 << 16
+TRAIN_BYTES = 1 << 20
+TRAIN_PIECES = 16
 MODULUS, REMAINDER = 4, 2
 THRESHOLD = 0.7
 EMBED, WIDTH, STRIDE, FILTERS = 4, 8, 4, 24
 BLOCK, BLOCKS = 16, 4  # a chunk is BLOCKS blocks of BLOCK frames; chunks overlap in all blocks but one
 EPOCHS = 12
+PIECE_FRAMES = 1 << 14  # a multiple of BLOCK
 
 
 class Net:
@@ -91,16 +95,18 @@ class Net:
     def gradient(self, data: np.ndarray, y: float, weight: float, grads: dict) -> float:
         """Adds one document's gradient of the weighted log loss; its probability."""
         data = self.padded(data)
-        a = self.frames(data)
-        z = a @ self.p["filters"] + self.p["bias"]
-        r = np.maximum(z, 0)
-        n, cols = len(r), np.arange(FILTERS)
-        starts = np.arange(0, n, BLOCK)
-        whole = np.full((len(starts) * BLOCK, FILTERS), -1, np.float32)
-        whole[:n] = r
-        top = whole.reshape(len(starts), BLOCK, FILTERS).argmax(axis=1)
-        block_at = starts[:, None] + top
-        blocks = r[block_at, cols]
+        total, cols = (len(data) - WIDTH) // STRIDE + 1, np.arange(FILTERS)
+        block_at, blocks = [], []
+        for at in range(0, total, PIECE_FRAMES):  # of a long text only the blocks' maxima and their places are kept
+            n = min(PIECE_FRAMES, total - at)
+            r = self.filtered(np.ascontiguousarray(data[at * STRIDE : (at + n - 1) * STRIDE + WIDTH]))
+            starts = np.arange(0, n, BLOCK)
+            whole = np.full((len(starts) * BLOCK, FILTERS), -1, np.float32)
+            whole[:n] = r
+            top = starts[:, None] + whole.reshape(len(starts), BLOCK, FILTERS).argmax(axis=1)
+            block_at.append(at + top)
+            blocks.append(r[top, cols])
+        block_at, blocks = np.concatenate(block_at), np.concatenate(blocks)
         m = max(1, len(blocks) - BLOCKS + 1)
         wide = np.stack([blocks[k : k + m] for k in range(min(BLOCKS, len(blocks)))])
         win = wide.argmax(axis=0)
@@ -120,10 +126,11 @@ class Net:
         used, back = np.unique(rows, return_inverse=True)
         dz = np.zeros((len(used), FILTERS), np.float32)
         np.add.at(dz, (back, fs), v)
-        grads["filters"] += a[used].T @ dz
+        read = data[used[:, None] * STRIDE + np.arange(WIDTH)]
+        grads["filters"] += self.p["table"][read].reshape(len(used), WIDTH * EMBED).T @ dz
         grads["bias"] += dz.sum(axis=0)
         da = (dz @ self.p["filters"].T).reshape(-1, EMBED)
-        np.add.at(grads["table"], data[(used[:, None] * STRIDE + np.arange(WIDTH)).reshape(-1)], da)
+        np.add.at(grads["table"], read.reshape(-1), da)
         return p
 
 
@@ -163,9 +170,16 @@ def train(rows: list[tuple[bytes, int]], counts: dict[int, int], epochs: int = E
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net | None:
     rows, counts = examples.labelled(docs, labels, "quality", MODULUS, REMAINDER, per_class)
-    rows = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
-    got = sorted((r.doc_id, r.text or "", r.label) for r in rows.collect())
-    return train([(t.encode("utf-8", "surrogatepass"), y) for _, t, y in got if y in (0, 1)], counts)
+    got = sorted((r.doc_id, bytes(r.body), r.label) for r in rows.select("doc_id", sampled_bytes(F.col("text")).alias("body"), "label").collect())
+    return train([(t, y) for _, t, y in got if y in (0, 1)], counts)
+
+
+def sampled_bytes(text, most: int = TRAIN_BYTES, pieces: int = TRAIN_PIECES):
+    """The bytes of a text; of one with more than ``most``, ``pieces`` evenly spaced pieces of it."""
+    body = F.coalesce(text, F.lit("")).cast("binary")
+    size, each = F.octet_length(body), most // pieces
+    at = lambda k: (F.floor((size - each) * k / (pieces - 1)) + 1).cast("int")
+    return F.when(size <= most, body).otherwise(F.concat(*(F.substring(body, at(k), F.lit(each)) for k in range(pieces))))
 
 
 def scored(docs: DataFrame, net: Net | None, out: str = "score") -> DataFrame:
@@ -190,7 +204,8 @@ def scored(docs: DataFrame, net: Net | None, out: str = "score") -> DataFrame:
 
 def keep_good(docs: DataFrame, net: Net | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold."""
-    return scored(docs, net, "_score").where(F.col("_score") >= threshold).drop("_score")
+    score = common.unused(docs, "score")
+    return scored(docs, net, score).where(F.col(score) >= threshold).drop(score)
 
 
 def op8_quality_conv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,7 +300,8 @@ def scored(docs: DataFrame, model: Model | None, out: str = "score", evidence: s
 
 def keep_clean(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold."""
-    return scored(docs, model, "_score", None).where(F.col("_score") < threshold).drop("_score")
+    score = common.unused(docs, "score")
+    return scored(docs, model, score, None).where(F.col(score) < threshold).drop(score)
 
 
 def op7_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,27 @@ def test_quality_network():
     assert net.describe(np.zeros(0, np.uint8)).shape == (2 * quality.FILTERS,)
 
 
+def test_long_labelled_texts_are_learned_from(spark):
+    net = quality.Net()
+    data = np.random.default_rng(1).integers(97, 123, 5 * quality.PIECE_FRAMES * quality.STRIDE).astype(np.uint8)
+    whole = {k: np.zeros_like(v) for k, v in net.p.items()}
+    p = net.gradient(data, 1.0, 1.0, whole)
+    assert abs(p - net.probability(net.describe(data)[None])[0]) < 1e-6  # pieces of a long text change nothing
+    text = "".join(f"{i:07d} " for i in range(3000))
+    got = bytes(spark.createDataFrame([(text,)], "text string").select(quality.sampled_bytes(F.col("text"), 1600, 16)).first()[0])
+    assert len(got) == 1600 and got[:100] == text[:100].encode() and got[-100:] == text[-100:].encode()
+    rows = [(i, ("good sentence here. " if i % 2 else "x1$ zz## 9 ") * (9000 if i < 4 else 20)) for i in range(40)]
+    net = quality.fit(docs(spark, rows), labels(spark, [(i, i % 2, 0) for i in range(40)]))
+    assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in quality.scored(docs(spark, rows), net).collect())
+
+
+def test_kept_rows_keep_clashing_columns(spark):
+    d = docs(spark, edge_rows()).withColumns({c: F.lit(i) for i, c in enumerate(("score", "_score", "__SCORE", "evidence"))})
+    for kept in (quality.keep_good(d, None, 0.0), toxicity.keep_clean(d, None, 1.0)):
+        assert kept.columns == d.columns and kept.count() == len(edge_rows())
+        assert kept.select("score", "_score", "__SCORE", "evidence").distinct().collect() == [(0, 1, 2, 3)]
+
+
 def test_scores_of_edge_rows(spark):
     d = docs(spark, edge_rows(), extra=True)
     none = labels(spark, [(1, None, None), (None, 1, 1)])
