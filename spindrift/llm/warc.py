@@ -4,11 +4,11 @@ The archive is two Parquet tables: ``payloads`` (address, payload) with one row
 payload, addressed by SHA-256 and length, and ``records`` (page_id, header, address, ...)
 with the exact header block of every record. A record is the header, an empty line, the
 payload for responses, and two line ends; it is rebuilt by joining the tables. Reading
-computes both digests afresh from the stored bytes, so a damaged payload cannot pass.
+computes both digests afresh from the stored bytes, and a damaged payload is an error.
 
 Defined cases: a null html is an empty payload; a null url is an empty target; rows that
 repeat a page_id and payload are each a record, the first-ranked one is the response; rows with a
-null page_id are records whose refers_to uses the largest page_id known, null if none;
+null page_id are records; a revisit's refers_to is null if no record of its payload has a page_id;
 an empty table gives an empty archive; extra columns are ignored.
 """
 
@@ -40,9 +40,8 @@ def address(payload: Column) -> Column:
     return F.concat(F.sha2(payload, 256), F.lit("-"), F.octet_length(payload).cast("string"))
 
 
-def _header(url: Column, page_id: Column, digest: Column, size: Column, refers: Column) -> Column:
+def _header(url: Column, page_id: Column, digest: Column, size: Column, revisit: Column, refers: Column) -> Column:
     line = lambda name, v: F.concat(F.lit(f"{name}: "), v, F.lit("\r\n"))
-    revisit = refers.isNotNull()
     uri = lambda p: F.concat(F.lit("<urn:page:"), F.coalesce(p.cast("string"), F.lit("")), F.lit(">"))
     return F.concat(
         F.lit("WARC/1.1\r\n"),
@@ -72,9 +71,8 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTE
     lead = lead.select("address", F.col("lead.page_id").alias("lead_id"), F.col("lead._tie").alias("lead_tie"), F.when(F.col("d0") == F.col("d1"), F.lit(True)).otherwise(F.raise_error(F.lit("one address for two payloads")).cast("boolean")).alias("one"))
     all_ = slim.join(lead, "address").where("one")
     revisit = (F.col("_tie") != F.col("lead_tie")) & (F.col("size") >= min_revisit_bytes)
-    refers = F.when(revisit, F.coalesce(F.col("lead_id"), F.lit(-1)))
     records = all_.select(
-        "page_id", F.encode(_header(F.col("url"), F.col("page_id"), F.col("digest"), F.col("size"), refers), "UTF-8").alias("header"), "address", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(revisit, F.col("lead_id")).alias("refers_to")
+        "page_id", F.encode(_header(F.col("url"), F.col("page_id"), F.col("digest"), F.col("size"), revisit, F.col("lead_id")), "UTF-8").alias("header"), "address", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(revisit, F.col("lead_id")).alias("refers_to")
     )
     records.write.mode("overwrite").parquet(f"{path}/records")
     # payload bytes cross the network once, and only the chosen row of an address stays
@@ -86,10 +84,12 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTE
     stored.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Every record rebuilt: page_id, record_type, refers_to, header, payload, payload_bytes, payload_digest, verified.
 
     The digests are those of the stored bytes, computed beside the payload and before the join.
+    A payload that is not what its address and its record's header say is an error; with
+    ``strict`` False it comes out with ``verified`` false.
     """
     stored = spark.read.schema("address string, payload binary").parquet(f"{path}/payloads").select(
         "address", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), (address(F.col("payload")) == F.col("address")).alias("intact")
@@ -100,7 +100,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     kind = F.regexp_extract(head, r"WARC-Type: (\w+)", 1)
     refers = F.regexp_extract(head, r"WARC-Refers-To: <urn:page:(-?\d+)>", 1)
     out = records.select("page_id", "header", "address", kind.alias("record_type"), F.when(refers != "", refers.cast("long")).alias("refers_to"), said.alias("said"))
-    return out.join(stored, "address").withColumn("verified", F.col("intact") & (F.col("said") == F.col("payload_digest")))
+    verified = F.col("intact") & (F.col("said") == F.col("payload_digest"))
+    if strict:
+        verified = F.when(verified, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))).cast("boolean"))
+    out = out.join(stored, "address").withColumn("verified", verified)
+    return out.where("verified") if strict else out
 
 
 def records(archive: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from spindrift.llm import common, warc
@@ -45,6 +46,19 @@ def test_repeated_rows_and_null_ids(spark):
     _, read = archive(spark, [(1, "a", "x"), (1, "a", "x"), (None, "n", "x"), (None, "n", "y")])
     got = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in read.collect())
     assert got == [("1", "response", "None"), ("1", "revisit", "1"), ("None", "response", "None"), ("None", "revisit", "1")]
+    _, read = archive(spark, [(None, "a", "x"), (None, "b", "x")])
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in read.collect()) == [(None, "response", None), (None, "revisit", None)]
+
+
+def test_damaged_payloads_are_errors(spark):
+    path, read = archive(spark, [(1, "a", "x" * 50), (2, "b", "y")])
+    bad = spark.read.parquet(f"{path}/payloads").withColumn("payload", F.when(F.octet_length("payload") > 1, F.lit("z").cast("binary")).otherwise(F.col("payload")))
+    bad.write.parquet(f"{path}-bad/payloads")
+    spark.read.parquet(f"{path}/records").write.parquet(f"{path}-bad/records")
+    with pytest.raises(Exception, match="damaged payload"):
+        warc.read(spark, f"{path}-bad").select("page_id").collect()
+    assert sorted((r.page_id, r.verified) for r in warc.read(spark, f"{path}-bad", strict=False).collect()) == [(1, False), (2, True)]
+    assert read.count() == 2
 
 
 def test_empty(spark):
