@@ -28,7 +28,7 @@ from spindrift.llm import common
 K = 3
 SLOTS = 32
 PIECE = r"\S{1,16}"
-_LOW = 24  # bits that hold a k-mer's place in its text
+_LOW = 31  # bits that hold a k-mer's place in its text: a string of at most 2 GB has fewer pieces
 
 
 def _pieces(df: DataFrame, text: str, out: str) -> DataFrame:

@@ -26,7 +26,7 @@ def h(*values):
 
 
 def slow_fingerprint(text, k=3, slots=32):
-    low, bits = 24, slots.bit_length() - 1
+    low, bits = omh._LOW, slots.bit_length() - 1
     place = (1 << low) - 1
     w = re.findall(r"[^ \t\n\v\f\r]{1,16}", text or "")
     s = sorted((h(*w[i : i + k]) & ~place) | i for i in range(len(w)))
@@ -89,6 +89,20 @@ def test_whole_query_against_brute_force(spark, monkeypatch):
             assert abs(x[5] - likeness(w[3], w[4])) < 1e-9 and abs(x[6] - likeness(w[3], w[5])) < 1e-9
 
 
+def test_id_buckets_are_even_whatever_the_ids(spark):
+    lowest, highest = -(1 << 63), (1 << 63) - 1
+    for ids in (range(2000), [*range(2000), 10**18], [lowest, *range(0, 4000, 2), highest], [7] * 900 + list(range(1000)), [*range(1000), *range(10**9, 10**9 + 1000), 10**17], [None, 3, None]):
+        d = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        bucket, n = omh.common.id_buckets(d, "doc_id", 50)
+        got = sorted((-(1 << 64) if r[0] is None else r[0], r[1]) for r in d.select("doc_id", bucket(F.col("doc_id"))).collect())
+        assert [b for _, b in got] == sorted(b for _, b in got)
+        rows = {}
+        for i, b in got:
+            rows.setdefault(b, []).append(i)
+        assert all(len(x) <= 200 or len(set(x)) == 1 for x in rows.values()), {b: len(x) for b, x in rows.items()}
+        assert n <= 2 * len(ids) and all(b < n for b in rows)
+
+
 def test_one_row_none_and_order(spark):
     one = omh.edited_fingerprints(docs(spark, [(5, "one two three four five six")])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
