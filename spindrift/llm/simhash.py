@@ -19,7 +19,9 @@ connect most copies early: at that similarity about ten of their bits differ, an
 that is repeated often fixes them alone. The links are made complete by prefixes: two sets
 that similar share a shingle among the first fifth (and one) of each, in any one order of
 all shingles. The order puts common shingles last, so that few unlike texts meet. First
-every text of a bucket meets the bucket's lead, then all that is still apart meets.
+every text of a bucket meets the bucket's lead, then all that is still apart meets. Pairs
+that meet are sieved by sketches, counts of the sets' shingles by hash, whose smaller
+values add up to no less than what the sets share; only pairs that pass send their texts.
 
 Defined cases: null and blank texts have fingerprint zero and link like any other; equal
 texts share a fingerprint and so a component; rows that repeat a doc_id are kept; a null
@@ -65,13 +67,21 @@ def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED):
         yield np.fromiter((xxh64_intdigest(joined[i:j], seed) for i, j in zip(s, e)), "<u8", len(s))
 
 
+def _bit_sums(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _packed(ones: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The unsigned 64-bit SimHash of one UTF-8 text."""
     ones, n = np.zeros(64, np.int64), 0
     for h in shingle_hashes(text, shingle, seed):
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _bit_sums(h)
         n += len(h)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+    return _packed(ones, n)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -328,9 +338,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 STAGE_SHINGLE = 5
 STAGE_RADIUS = RADIUS
 SIMILARITY = 0.8
-SAMPLE = 16  # one text in so many is counted for the order of shingles, where there are more than SAMPLE_FROM
+SAMPLE = 16  # one text in so many at least is counted for the order of shingles, where there are more than SAMPLE_FROM
 SAMPLE_FROM = 20_000
-MOST_COMMON = 100_000
+SAMPLED = 2_000_000
+MOST_COMMON = 200_000
 
 
 def shingle_set(text: bytes, shingle: int) -> set[bytes]:
@@ -356,46 +367,49 @@ def similar(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 keep.append(both >= similarity * union - 1e-12)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def _candidates(texts: DataFrame, radius: int, tree_size: int) -> DataFrame:
-    """a, b: pairs of different texts (by md5, a before b) that fingerprints bring together; equal fingerprints by their lead only."""
-    nodes = common.written(texts.groupBy("fp").agg(F.min("md5").alias("lead"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
-    lead = nodes.select("fp", "lead")
-    same = texts.select("md5", "fp").join(nodes.where("n > 1").select("fp", "lead"), "fp").where(F.col("md5") != F.col("lead")).select(F.col("lead").alias("a"), F.col("md5").alias("b"))
-    near = links(nodes.select("fp"), radius, tree_size).distinct()
-    near = near.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("la")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("lb")), "b")
-    return same.union(near.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))).distinct()
-
-
-def _hash_sets(batches, shingle: int):
-    """Per slice of batches (md5, text): its md5 column, and (row, distinct sorted hashes) of texts that this task has not met."""
-    seen: set = set()
-    for b in common.slices(batches):
-        data, at = common.raw(common.texts(b.column(1)))
-        view, at = memoryview(np.ascontiguousarray(data)), at.tolist()
-        new = []
-        for i, m in enumerate(b.column(0).to_pylist()):
-            if m not in seen:
-                seen.add(m)
-                h = list(shingle_hashes(bytes(view[at[i] : at[i + 1]]), shingle))
-                new.append((i, np.unique(np.concatenate(h)) if h else np.zeros(0, np.uint64)))
-        if len(seen) > 500_000:
-            seen.clear()
-        yield b.column(0), new
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many of the distinct hashes begin with each of 64 or more bit patterns, about one a pattern; empty if a count does not fit a byte."""
+    bits = min(16, max(6, int(len(hashes)).bit_length()))
+    count = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return count.astype(np.uint8).tobytes() if count.max(initial=0) < 256 else b""
+
+
+def may_share(x: bytes, y: bytes) -> float:
+    """No less than the number of hashes that two sets share, from their sketches."""
+    if not x or not y:
+        return float("inf")
+    p, q = (np.frombuffer(z, np.uint8).astype(np.int64) for z in (x, y))
+    while len(p) > len(q):
+        p = p.reshape(-1, 2).sum(axis=1)
+    while len(q) > len(p):
+        q = q.reshape(-1, 2).sum(axis=1)
+    return float(np.minimum(p, q).sum())
+
+
+def _md5(text):
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def common_shingles(docs: DataFrame, shingle: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) of the most common shingles of a sample of texts (columns md5, text), and in how many they are. Any outcome gives a valid order."""
+    """Hashes (sorted) of the most common shingles of a sample of texts, and in how many they are. Any outcome gives a valid order."""
 
     def run(batches):
-        for _, new in _hash_sets(batches, shingle):
-            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.uint64), *(h for _, h in new)]).view(np.int64))], ["h"])
-
-    some = docs.where(F.crc32("md5") % sample == 0).select("md5", "text").mapInArrow(run, "h long")
-    top = some.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()
-    h, n = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
+        seen: set = set()
+        for b in common.slices(batches):
+            out = [np.zeros(0, np.uint64)]
+            for m, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if m not in seen:
+                    seen.add(m)
+                    out.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes((t or "").encode("utf-8", "replace"), shingle)])))
+            yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64))], ["h"])
+
+    own = docs.select(_md5(F.col("text")).alias("md5"), "text")
+    some = own.where(F.crc32("md5") % sample == 0).mapInArrow(run, "h long")
+    top = some.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(MOST_COMMON).toArrow()
+    h, n = top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
@@ -411,26 +425,55 @@ def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity:
     return hashes[np.lexsort((hashes, np.where(h[i] == hashes, count[i], 0)))[:size]]
 
 
-def buckets(docs: DataFrame, shingle: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, md5, n, pos of each text's prefix shingles that other texts share, with lead, lead_n and lead_pos of the bucket's smallest md5. Blank texts have a bucket of their own."""
+_SEEN = 500_000
+
+
+def read_texts(docs: DataFrame, shingle: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """md5, doc_id of every row; fp, n (distinct shingles), keys (their prefix) and sketch of a text where a task first meets it. One pass over the texts."""
     box = docs.sparkSession.sparkContext.broadcast(often)  # at most MOST_COMMON
+    names = ["md5", "doc_id", "fp", "n", "keys", "sketch"]
 
     def run(batches):
-        for md5, new in _hash_sets(batches, shingle):
-            first = [prefix(h, box.value, similarity) if len(h) else np.zeros(1, np.uint64) for _, h in new]
-            size = [len(x) for x in first]
-            pos = [np.arange(k) for k in size]
-            row = np.repeat(np.array([i for i, _ in new], np.int64), size)
-            n = np.repeat(np.array([len(h) for _, h in new], np.int64), size)
-            none = np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(np.concatenate([none.view(np.uint64), *first]).view(np.int64)), md5.take(pa.array(row)), pa.array(n.astype(np.int32)), pa.array(np.concatenate([none, *pos]).astype(np.int32))], ["key", "md5", "n", "pos"])
-
-    d = docs.select(F.unhex("md5").alias("md5"), "text").mapInArrow(run, "key long, md5 binary, n int, pos int")
+        seen: set = set()
+        for b in common.slices(batches):
+            data, at = common.raw(common.texts(b.column(2)))
+            view, at = memoryview(np.ascontiguousarray(data)), at.tolist()
+            fp, n, keys, sketches, size = [], [], [], [], []
+            for i, m in enumerate(b.column(0).to_pylist()):
+                if m in seen:
+                    for x in (fp, n, sketches):
+                        x.append(None)
+                    size.append(0)
+                    continue
+                seen.add(m)
+                ones, total, own = np.zeros(64, np.int64), 0, [np.zeros(0, np.uint64)]
+                for h in shingle_hashes(bytes(view[at[i] : at[i + 1]]), shingle):
+                    ones += _bit_sums(h)
+                    total += len(h)
+                    own.append(np.unique(h))
+                own = np.unique(np.concatenate(own)) if len(own) > 2 else own[-1]
+                fp.append(_packed(ones, total))
+                n.append(len(own))
+                keys.append(prefix(own, box.value, similarity) if len(own) else np.zeros(1, np.uint64))  # blank texts share a key
+                sketches.append(sketch(own))
+                size.append(len(keys[-1]))
+            if len(seen) > _SEEN:
+                seen.clear()
+            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat)
+            signed = [None if x is None else x - (1 << 64) if x >> 63 else x for x in fp]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(signed, pa.int64()), pa.array(n, pa.int32()), lists, pa.array(sketches, pa.binary())], names)
+
+    return docs.select(_md5(F.col("text")).alias("md5"), "doc_id", "text").mapInArrow(run, "md5 binary, doc_id long, fp long, n int, keys array<long>, sketch binary")
+
+
+def buckets(read: DataFrame) -> DataFrame:
+    """key, md5, n, pos of each text's prefix shingles that other texts share, with lead, lead_n and lead_pos of the bucket's smallest md5."""
+    d = read.where("n is not null").select("md5", "n", F.posexplode("keys").alias("pos", "key"))
     d = d.withColumn("_last", F.lag("md5").over(Window.partitionBy("key").orderBy("md5"))).where("_last is null or _last != md5").drop("_last")
     own = Window.partitionBy("key")
     d = d.withColumn("_many", F.count(F.lit(1)).over(own)).withColumn("_lead", F.min(F.struct("md5", "n", "pos")).over(own)).where("_many > 1")
-    text = lambda c: F.lower(F.hex(c))
-    return d.select("key", text("md5").alias("md5"), "n", "pos", text("_lead.md5").alias("lead"), F.col("_lead.n").alias("lead_n"), F.col("_lead.pos").alias("lead_pos"))
+    return d.select("key", "md5", "n", "pos", F.col("_lead.md5").alias("lead"), F.col("_lead.n").alias("lead_n"), F.col("_lead.pos").alias("lead_pos"))
 
 
 def _fits(n, pos, m, at, similarity: float):
@@ -438,9 +481,19 @@ def _fits(n, pos, m, at, similarity: float):
     return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (F.least(n - pos, m - at) >= similarity / (1 + similarity) * (n + m) - 1e-6)
 
 
+def _by_fingerprint(texts: DataFrame, radius: int, tree_size: int) -> DataFrame:
+    """a, b: pairs of different texts that fingerprints bring together; equal fingerprints by their lead only."""
+    nodes = common.written(texts.groupBy("fp").agg(F.min("md5").alias("lead"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    lead = nodes.select("fp", "lead")
+    same = texts.select("md5", "fp").join(nodes.where("n > 1").select("fp", "lead"), "fp").where(F.col("md5") != F.col("lead")).select(F.col("lead").alias("a"), F.col("md5").alias("b"))
+    near = links(nodes.select("fp"), radius, tree_size).distinct()
+    near = near.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("la")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("lb")), "b")
+    return same.union(near.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")))
+
+
 def _by_lead(shared: DataFrame, similarity: float) -> DataFrame:
     fits = _fits(F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos"), similarity)
-    return shared.where((F.col("md5") != F.col("lead")) & fits).select(F.col("lead").alias("a"), F.col("md5").alias("b")).distinct()
+    return shared.where((F.col("md5") != F.col("lead")) & fits).select(F.col("lead").alias("a"), F.col("md5").alias("b"))
 
 
 def _by_all(shared: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
@@ -452,56 +505,59 @@ def _by_all(shared: DataFrame, groups: DataFrame, similarity: float) -> DataFram
     x = d.where("of != of_lead").select("key", F.col("md5").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("of").alias("ox"))
     y = d.select(F.col("key").alias("ky"), F.col("md5").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("of").alias("oy"))
     on = (F.col("key") == F.col("ky")) & (F.col("ox") != F.col("oy")) & _fits(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), similarity)
-    return x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs that ``groups`` (node, component) does not connect yet."""
-    of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    p = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return p.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+def _sieved(pairs: DataFrame, read: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches leave room for the similarity."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("md5")).distinct()
+    known = read.where("n is not null").select("md5", "n", "sketch").join(asked, "md5", "left_semi").dropDuplicates(["md5"])
+    side = lambda c: known.select(F.col("md5").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+
+    def run(batches):
+        for b in common.slices(batches):
+            n, m, x, y = (b.column(i).to_pylist() for i in (2, 3, 4, 5))
+            keep = []
+            for i in range(b.num_rows):
+                both = min(may_share(x[i], y[i]), n[i], m[i])
+                keep.append(both >= similarity * (n[i] + m[i] - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicate_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY, tree_size: int = TREE_SIZE):
     """Texts by MD5: (distinct texts with their smallest doc_id and row count, components of the similar ones)."""
     spark = docs.sparkSession
-    md5 = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-
-    def run(batches):
-        for b in common.slices(batches):
-            data, at = common.raw(common.texts(b.column(2)))
-            view, at = memoryview(np.ascontiguousarray(data)), at.tolist()
-            fp = np.array([fingerprint(bytes(view[s:e]), shingle) for s, e in zip(at[:-1], at[1:])], np.uint64)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["md5", "doc_id", "fp"])
-
-    slim = docs.select(md5.alias("md5"), "doc_id", "text").mapInArrow(run, "md5 string, doc_id long, fp long")
-    texts = common.written(slim.groupBy("md5").agg(F.min("doc_id").alias("keep_id"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("rows")), "texts")
-    own = docs.select(md5.alias("md5"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.count()
+    often = common_shingles(docs, shingle, max(SAMPLE, rows // SAMPLED) if rows > SAMPLE_FROM else 1)
+    read = common.written(read_texts(docs, shingle, similarity, often), "near-read")
+    texts = common.written(read.groupBy("md5").agg(F.min("doc_id").alias("keep_id"), F.max("fp").alias("fp"), F.count(F.lit(1)).alias("rows")), "texts")
+    own = docs.select(_md5(F.col("text")).alias("md5"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     repeats = texts.where("rows > 1").limit(1).count()
 
     def verify(pairs: DataFrame) -> DataFrame:
         # only texts that are in a pair travel, one row each
-        asked = pairs.select(F.col("a").alias("md5")).union(pairs.select(F.col("b").alias("md5"))).distinct()
-        firsts = texts.join(asked, "md5", "left_semi").select(F.col("md5").alias("_md5"), "keep_id")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("md5")).distinct()
+        firsts = common.written(texts.join(asked, "md5", "left_semi").select(F.col("md5").alias("_md5"), "keep_id"), "asked")  # a known size: few are broadcast
         stored = body = common.written(own.join(firsts, (F.col("md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("md5", "text"), "near-texts")
         if repeats:
             body = body.groupBy("md5").agg(F.first("text").alias("text"))
-        full = pairs.join(body.select(F.col("md5").alias("a"), F.col("text").alias("text_a")), "a").join(body.select(F.col("md5").alias("b"), F.col("text").alias("text_b")), "b")
+        full = pairs.join(body.select(F.col("md5").alias("b"), F.col("text").alias("text_b")), "b").join(body.select(F.col("md5").alias("a"), F.col("text").alias("text_a")), "a")
         found = common.written(similar(full, shingle, similarity), "links")
         common.forget(spark, stored)
         return found
 
-    tried = common.written(_candidates(texts, radius, tree_size), "near-pairs")
-    verified = verify(tried)
+    shared = common.written(buckets(read), "buckets")
+    met = common.written(_by_fingerprint(texts, radius, tree_size).union(_by_lead(shared, similarity)).distinct(), "near-pairs")
+    verified = verify(common.written(_sieved(met, read, similarity), "near-pairs"))
     groups = common.written(connected_components(verified), "near-groups")
-    sample = SAMPLE if texts.count() > SAMPLE_FROM else 1
-    shared = common.written(buckets(own.select("md5", "text"), shingle, similarity, common_shingles(own, shingle, sample)), "buckets")
-    for step in (lambda: _by_lead(shared, similarity), lambda: _by_all(shared, groups, similarity)):
-        spark._jvm.java.lang.System.gc()  # shuffle files of a finished step go when the driver drops its last reference
-        pairs = common.written(_apart(step().join(tried, ["a", "b"], "left_anti"), groups), "near-pairs")
-        tried, verified = tried.union(pairs), verified.union(verify(pairs))
-        groups = common.written(connected_components(verified), "near-groups")
+    rest = common.written(_by_all(shared, groups, similarity).distinct().join(met, ["a", "b"], "left_anti"), "near-pairs")
+    rest = common.written(_sieved(rest, read, similarity), "near-pairs")
+    if rest.limit(1).count():
+        groups = common.written(connected_components(verified.union(verify(rest))), "near-groups")
     common.forget(spark, shared)
+    common.forget(spark, read)
     return texts, groups
 
 
@@ -512,12 +568,13 @@ def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_
     order = F.struct(F.col("keep_id").isNull().alias("null"), "keep_id", "md5")
     best = member.groupBy("component").agg(F.min(order).alias("best")).select("component", F.col("best.md5").alias("best"))
     verdict = texts.join(member.join(best, "component").select("md5", "best"), "md5", "left").where("rows > 1 or best is not null")
-    verdict = common.written(verdict.select(F.col("md5").alias("_md5"), F.col("keep_id").alias("_keep"), (F.coalesce("best", "md5") == F.col("md5")).alias("_chosen")), "verdict")
-    d = docs.withColumn("_own", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(verdict, F.col("_own") == F.col("_md5"), "left")
-    d = d.where(F.col("_md5").isNull() | (F.col("_chosen") & F.col("doc_id").eqNullSafe(F.col("_keep"))))
-    repeated = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("m")).groupBy("doc_id", "m").count().where("count > 1")
+    own, md5, keep, chosen = (common.unused(docs, c) for c in ("own", "md5", "keep", "chosen"))
+    verdict = common.written(verdict.select(F.col("md5").alias(md5), F.col("keep_id").alias(keep), (F.coalesce("best", "md5") == F.col("md5")).alias(chosen)), "verdict")
+    d = docs.withColumn(own, _md5(F.col("text"))).join(verdict, F.col(own) == F.col(md5), "left")
+    d = d.where(F.col(md5).isNull() | (F.col(chosen) & F.col("doc_id").eqNullSafe(F.col(keep))))
+    repeated = docs.select("doc_id", _md5(F.col("text")).alias("m")).groupBy("doc_id", "m").count().where("count > 1")
     if repeated.limit(1).count():
-        d = d.dropDuplicates(["doc_id", "_own"])
+        d = d.dropDuplicates(["doc_id", own])
     return d.select(*docs.columns)
 
 

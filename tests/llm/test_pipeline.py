@@ -1,5 +1,8 @@
 import importlib
+from collections import Counter
 
+import numpy as np
+from pyspark.sql import functions as F
 from tests.llm.util import docs, edge_rows, prose
 
 from spindrift.llm import simhash
@@ -67,6 +70,43 @@ def test_near_duplicates_are_all_found(spark):
     assert {r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()} == {i for i, _ in rows} - gone
 
 
+def test_sketches_never_say_too_little():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 40, 300, 5000, 90_000):
+        x = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        for share, more in ((1.0, 0), (0.9, n // 20), (0.5, n), (0.0, 2 * n)):
+            y = np.unique(np.concatenate([r.choice(x, int(share * n), replace=False) if n else x, r.integers(0, 1 << 63, more, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]))
+            both = len(np.intersect1d(x, y))
+            bound = simhash.may_share(simhash.sketch(x), simhash.sketch(y))
+            assert bound >= both
+            if n >= 300 and share == 0.0 and more:
+                assert min(bound, len(x)) < 0.88 * len(x)  # and tell unlike sets apart
+    assert simhash.may_share(b"", simhash.sketch(x)) == float("inf")
+
+
+def test_kept_rows_keep_clashing_columns(spark):
+    names = ["_own", "own", "md5", "_md5", "keep", "_keep", "chosen", "_chosen", "KEEP"]
+    d = docs(spark, edge_rows()).drop("lang").withColumns({c: F.lit(i) for i, c in enumerate(names[:8])})
+    kept = simhash.keep_one(d)
+    assert kept.columns == d.columns
+    assert kept.select(*names[:8]).distinct().collect() == [tuple(range(8))]
+
+
+def test_stages_of_edge_rows(spark, tmp_path):
+    """Nulls, blanks, repeats, long texts, clashing names and an empty table, through each stage."""
+    sf = str(tmp_path)
+    rows = edge_rows() + [(100 + i, prose(i, 80)) for i in range(20)]
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, rows[-1][1]), (2, None), (None, " ")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    for table in (docs(spark, rows, extra=True), docs(spark, [], extra=True)):
+        n, given = table.count(), Counter(table.collect())
+        for name, stage in pipeline.STAGES[:-1]:
+            got = stage(spark, table, sf)
+            assert got.columns == table.columns and Counter(got.collect()) <= given, name
+        packed = pipeline.STAGES[-1][1](spark, table, sf)
+        assert len(packed.select("doc_id", "piece", "ids_crc32", "sequence_id", "offset").collect()) >= n
+
+
 def test_stages_keep_columns_and_shrink(spark):
     sf = "/root/testdata/sf0.001"
     d = spark.read.parquet(f"{sf}/documents.parquet")
