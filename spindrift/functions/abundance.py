@@ -7,31 +7,49 @@ import math
 import numpy as np
 
 MIN_CV = 1.0
-_erfc = np.frompyfunc(math.erfc, 1, 1)
+
+# The complementary error function by Taylor's formula from the nearest of evenly spaced points.
+_FROM, _TO, _PER = -6, 27, 512
+_POINTS = np.arange(_FROM * _PER, _TO * _PER + 1) / _PER
+_VALUES = np.array([math.erfc(x) for x in _POINTS])
+_SLOPES = -2 / math.sqrt(math.pi) * np.exp(-_POINTS * _POINTS)
+
+
+def erfc(x: np.ndarray) -> np.ndarray:
+    """Complementary error function, within 4e-16 of its value."""
+    x = np.clip(x, _FROM, _TO)
+    at = np.rint((x - _FROM) * _PER).astype(np.int64)
+    p = _POINTS[at]
+    h, pp = x - p, p * p
+    # derivatives are the slope times 1, -2p, 4pp - 2, 12p - 8ppp
+    series = 1 + h * (-p + h * ((2 * pp - 1) / 3 + h * (p * (3 - 2 * pp) / 6)))
+    return _VALUES[at] + _SLOPES[at] * h * series
 
 
 def normal_cdf(mean, sd, x) -> np.ndarray:
-    return 0.5 * _erfc(-(x - mean) / (sd * math.sqrt(2))).astype(float)
+    return 0.5 * erfc((mean - x) / (sd * math.sqrt(2)))
 
 
 def distance(m1, v1, m2, v2) -> np.ndarray:
-    """Share of two normal distributions that does not overlap, between their one or two crossing points."""
+    """Share of two normal distributions that does not overlap, between their one or two crossing points.
+
+    The densities cross at centre - half and centre + half (once, midway, if the variances are
+    equal). Between crossings one curve lies above the other, so the share is how much the gap of
+    the two distribution functions changes from the first crossing to the last.
+    """
     m1, m2, v1, v2 = np.maximum(m1, 1e-6), np.maximum(m2, 1e-6), np.maximum(v1, 1.0), np.maximum(v2, 1.0)
-    swap = v1 > v2  # the narrower distribution first
-    am, av, bm, bv = np.where(swap, m2, m1), np.where(swap, v2, v1), np.where(swap, m1, m2), np.where(swap, v1, v2)
-    gap = bv - av
-    same = gap < 1e-4
-    safe = np.where(same, 1.0, gap)
-    # where the log densities are equal: a quadratic in x
-    root = np.sqrt(np.maximum(av * bv * ((am - bm) ** 2 + safe * np.log(bv / av)), 0))
-    centre = (am * bv - bm * av) / safe
-    k1 = np.where(same, (am + bm) / 2, centre - root / safe)
-    k2 = np.where(same, (am + bm) / 2, centre + root / safe)
-    sa, sb = np.sqrt(av), np.sqrt(bv)
-    one = np.abs(normal_cdf(am, sa, k1) - normal_cdf(bm, sb, k1))
-    two = np.abs(normal_cdf(am, sa, k2) - normal_cdf(am, sa, k1) + normal_cdf(bm, sb, k1) - normal_cdf(bm, sb, k2))
-    d = np.where(m1 == m2, 0.0, np.where(same, one, two))
-    return np.clip(d, 1e-6, 1 - 1e-6)
+    wider = v1 - v2
+    once = np.abs(wider) < 1e-4
+    by = np.where(once, 1.0, wider)
+    centre = np.where(once, (m1 + m2) / 2, (m2 * v1 - m1 * v2) / by)
+    half = np.sqrt(np.maximum(v1 * v2 * ((m1 - m2) ** 2 + wider * np.log(v1 / v2)), 0)) / np.abs(by)
+    s1, s2 = np.sqrt(v1), np.sqrt(v2)
+
+    def gap(x):
+        return normal_cdf(m1, s1, x) - normal_cdf(m2, s2, x)
+
+    share = np.abs(np.where(once, gap(centre), gap(centre + half) - gap(centre - half)))
+    return np.clip(np.where(m1 == m2, 0.0, share), 1e-6, 1 - 1e-6)
 
 
 def all_samples(m1, v1, m2, v2, min_cv: float = MIN_CV) -> tuple[np.ndarray, np.ndarray]:

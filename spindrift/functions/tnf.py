@@ -9,22 +9,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # --- fixed values ---------------------------------------------------------------------------
-# Coefficients of the two logistic models over log10 lengths x (shorter) and y (longer fragment):
-# intercept b and slope c of each. Order: 1, x, y, x^2, y^2, ... then the products x^k * y^k.
+# Coefficients of the two logistic models, intercept b and slope c of each, over the log10 lengths
+# x (shorter) and y (longer fragment). Each is a polynomial in x (with the constant), one in y and
+# one in the product xy; coefficients by rising power.
 MODEL = {
-    "b1": "1:46349.1624324381 x1:-76092.3748553155 y1:-639.918334183 x2:53873.3933743949 y2:-156.6547554844 x3:-21263.6010657275 y3:64.7719132839 x4:5003.2646455284 y4:-8.5014386744 "
-    "x5:-700.5825500292 y5:0.3968284526 x6:54.037542743 x7:-1.7713972342 xy1:474.0850141891 xy2:-23.966597785 xy3:0.7800219061 xy4:-0.0138723693 xy5:0.0001027543",
-    "c1": "1:-443565.465710869 x1:718862.10804858 y1:5114.1630934534 x2:-501588.206183097 y2:784.4442123743 x3:194712.394138513 y3:-377.9645994741 x4:-45088.7863182741 y4:50.5960513287 "
-    "x5:6220.3310639927 y5:-2.3670776453 x6:-473.269785487 x7:15.3213264134 xy1:-3282.8510348085 xy2:164.0438603974 xy3:-5.2778800755 xy4:0.0929379305 xy5:-0.0006826817",
-    "b2": "1:6770.9351457442 x1:-5933.7589419767 y1:-2976.2879986855 x2:3279.7524685865 y2:1602.7544794819 x3:-967.2906583423 y3:-462.0149190219 x4:159.8317289682 y4:74.4884405822 "
-    "x5:-14.0267151808 y5:-6.3644917671 x6:0.5108811613 y6:0.2252455343 xy2:0.965040193 xy3:-0.0546309127 xy4:0.0012917084 xy5:-1.14383e-05",
-    "c2": "1:39406.5712626297 x1:-77863.1741143294 y1:9586.8761567725 x2:55360.1701572325 y2:-5825.2491611377 x3:-21887.8400068324 y3:1751.6803621934 x4:5158.3764225203 y4:-290.1765894829 "
-    "x5:-724.0348081819 y5:25.364646181 x6:56.0522105105 y6:-0.9172073892 x7:-1.8470088417 xy1:449.4660736502 xy2:-24.4141920625 xy3:0.8465834103 xy4:-0.0158943762 xy5:0.0001235384",
+    "b1": {
+        "x": [46349.1624324381, -76092.3748553155, 53873.3933743949, -21263.6010657275, 5003.2646455284, -700.5825500292, 54.037542743, -1.7713972342],
+        "y": [0, -639.918334183, -156.6547554844, 64.7719132839, -8.5014386744, 0.3968284526],
+        "xy": [0, 474.0850141891, -23.966597785, 0.7800219061, -0.0138723693, 0.0001027543],
+    },
+    "c1": {
+        "x": [-443565.465710869, 718862.10804858, -501588.206183097, 194712.394138513, -45088.7863182741, 6220.3310639927, -473.269785487, 15.3213264134],
+        "y": [0, 5114.1630934534, 784.4442123743, -377.9645994741, 50.5960513287, -2.3670776453],
+        "xy": [0, -3282.8510348085, 164.0438603974, -5.2778800755, 0.0929379305, -0.0006826817],
+    },
+    "b2": {
+        "x": [6770.9351457442, -5933.7589419767, 3279.7524685865, -967.2906583423, 159.8317289682, -14.0267151808, 0.5108811613],
+        "y": [0, -2976.2879986855, 1602.7544794819, -462.0149190219, 74.4884405822, -6.3644917671, 0.2252455343],
+        "xy": [0, 0, 0.965040193, -0.0546309127, 0.0012917084, -1.14383e-05],
+    },
+    "c2": {
+        "x": [39406.5712626297, -77863.1741143294, 55360.1701572325, -21887.8400068324, 5158.3764225203, -724.0348081819, 56.0522105105, -1.8470088417],
+        "y": [0, 9586.8761567725, -5825.2491611377, 1751.6803621934, -290.1765894829, 25.364646181, -0.9172073892],
+        "xy": [0, 449.4660736502, -24.4141920625, 0.8465834103, -0.0158943762, 0.0001235384],
+    },
 }
 FLOOR = 0.1
 LONGEST = 500_000
 # --------------------------------------------------------------------------------------------
 
+PARTS = ("x", "y", "xy")
 LOG_FLOOR = float(np.log(1 / FLOOR - 1))
 K = 4
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")
@@ -41,14 +55,6 @@ for _i, _b in enumerate("ACGT"):
     _CODE[ord(_b)] = _CODE[ord(_b.lower())] = _i
 
 
-def _terms(name: str) -> list[tuple[str, int, float]]:
-    out = []
-    for t in MODEL[name].split():
-        kind, value = t.split(":")
-        out.append((kind.rstrip("0123456789") or "1", int("".join(c for c in kind if c.isdigit())) if kind != "1" else 0, float(value)))
-    return out
-
-
 def counts(sequence: bytes) -> np.ndarray:
     """Canonical 4-mer counts; windows with another letter than ACGT are skipped."""
     c = _CODE[np.frombuffer(sequence, np.uint8)]
@@ -94,34 +100,52 @@ def log_length(length) -> np.ndarray:
     return np.log10(np.minimum(np.asarray(length, float), LONGEST))
 
 
-def _poly(name: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    px, py = [1.0, x], [1.0, y]
-    for _ in range(6):
-        px.append(px[-1] * x)
-        py.append(py[-1] * y)
-    acc = np.zeros(np.broadcast(x, y).shape)
-    for kind, k, v in _terms(name):
-        acc += v if kind == "1" else v * px[k] if kind == "x" else v * py[k] if kind == "y" else v * px[k] * py[k]
-    return acc
+def side(part: str, at: np.ndarray) -> np.ndarray:
+    """The four coefficients' polynomials of one part, stacked along a new first axis in MODEL's order."""
+    return np.stack([np.polynomial.polynomial.polyval(at, m[part]) for m in MODEL.values()])
+
+
+def decided(d: np.ndarray, b1: np.ndarray, c1: np.ndarray, b2: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    """The probability from the models' coefficients: the first model speaks where it stays below FLOOR, else the second, of FLOOR at least."""
+    first = b1 + c1 * d
+    z = np.where(first < -LOG_FLOOR, first, np.maximum(b2 + c2 * d, -LOG_FLOOR))
+    return 1 / (1 + np.exp(-np.maximum(z, -700)))
 
 
 def probability(d: np.ndarray, log1: np.ndarray, log2: np.ndarray) -> np.ndarray:
     """Probability that fragments at composition distance ``d`` come from different genomes."""
     x, y = np.minimum(log1, log2), np.maximum(log1, log2)
-    first = -(_poly("b1", x, y) + _poly("c1", x, y) * d)
-    p = np.where(first <= LOG_FLOOR, FLOOR, 1 / (1 + np.exp(np.minimum(first, 700))))
-    second = -(_poly("b2", x, y) + _poly("c2", x, y) * d)
-    q = np.where(second <= LOG_FLOOR, 1 / (1 + np.exp(np.minimum(second, 700))), FLOOR)
-    return np.where(p >= FLOOR, q, p)
+    return decided(d, *(side("x", x) + side("y", y) + side("xy", x * y)))
+
+
+def probability_matrix(d: np.ndarray, log1: np.ndarray, log2: np.ndarray) -> np.ndarray:
+    """probability() of all fragments of one list against all of another. The polynomials in one length are computed once a fragment, that in the product is one small matrix product."""
+    shorter = log1[:, None] <= log2[None, :]
+    x1, y1, x2, y2 = side("x", log1), side("y", log1), side("x", log2), side("y", log2)
+    powers = np.arange(max(len(m["xy"]) for m in MODEL.values()))
+    p1, p2 = log1[:, None] ** powers, log2[:, None] ** powers
+    at = []
+    for k, m in enumerate(MODEL.values()):
+        z = np.zeros(len(powers))
+        z[: len(m["xy"])] = m["xy"]
+        both = np.where(shorter, x1[k][:, None] + y2[k][None, :], y1[k][:, None] + x2[k][None, :])
+        both += (p1 * z) @ p2.T
+        at.append(both)
+    return decided(d, *at)
 
 
 def probability_sql(d: str, x: str, y: str) -> str:
     """The same as SQL text (both engines), for log lengths x <= y."""
 
-    def poly(name: str) -> str:
-        return " + ".join(f"({v!r})" if kind == "1" else f"({v!r}) * " + " * ".join(f"pow({c}, {k})" for c in {"x": [x], "y": [y], "xy": [x, y]}[kind]) for kind, k, v in _terms(name))
+    def sums(name: str) -> str:
+        at = {"x": x, "y": y, "xy": f"({x} * {y})"}
+        return " + ".join(f"({_sql(v)}) * pow({at[part]}, {k})" if k else f"({_sql(v)})" for part in PARTS for k, v in enumerate(MODEL[name][part]) if v)
+
+    one, two = (f"(({sums(b)}) + ({sums(c)}) * {d})" for b, c in (("b1", "c1"), ("b2", "c2")))
+    z = f"(CASE WHEN {one} < {-LOG_FLOOR!r} THEN {one} ELSE greatest({two}, {-LOG_FLOOR!r}) END)"
+    return f"(1e0 / (1e0 + exp(-greatest({z}, -700e0))))"
+
 
-    one, two = (f"(-(({poly(b)}) + ({poly(c)}) * {d}))" for b, c in (("b1", "c1"), ("b2", "c2")))
-    first = f"(CASE WHEN {one} <= {LOG_FLOOR!r} THEN {FLOOR}e0 ELSE 1e0 / (1e0 + exp(least({one}, 700e0))) END)"
-    second = f"(CASE WHEN {two} <= {LOG_FLOOR!r} THEN 1e0 / (1e0 + exp(least({two}, 700e0))) ELSE {FLOOR}e0 END)"
-    return f"(CASE WHEN {first} >= {FLOOR}e0 THEN {second} ELSE {first} END)"
+def _sql(v: float) -> str:
+    """A double literal."""
+    return f"{v!r}" if "e" in repr(v) else f"{v!r}e0"

@@ -1,13 +1,15 @@
 """The similarity graph: all-pairs nearest neighbours, cutoff, and the composite edge score.
 
 Rows of the feature matrix are dealt into blocks. While all features fit FEATURE_LIMIT bytes
-every task holds them and meets its own rows with all others; beyond it, blocks are joined
-pair by pair and the per-block lists merged by a window. No pair is ever a row before it is
-among its row's best in a block.
+every task holds them and meets its own rows with all others; beyond it, each pair of blocks
+meets once, for both sides, and the per-block lists are merged by a window. No pair is ever
+a row before it is among its row's best in a block.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +23,7 @@ MOST_EDGES = 200
 COVERAGE = 0.95
 MIN_SAMPLES = 3  # from so many on, correlation takes part in the score
 BLOCK = 256
+WIDE = 16_384
 
 
 def similarity(a: dict, b: dict) -> np.ndarray:
@@ -30,25 +33,32 @@ def similarity(a: dict, b: dict) -> np.ndarray:
     if len(near):
         diff = a["tnf"][near[:, 0]] - b["tnf"][near[:, 1]]
         sq[near[:, 0], near[:, 1]] = (diff * diff).sum(1)
-    p = tnf.probability(np.sqrt(np.maximum(sq, 0)), a["log"][:, None], b["log"][None, :])
-    return np.round(1 - p, 6)
+    return np.round(1 - tnf.probability_matrix(np.sqrt(np.maximum(sq, 0)), a["log"], b["log"]), 6)
 
 
 def _best(a: dict, b: dict, min_cv: float, most: int):
-    """src, dst, sim lists of the best neighbours, and each row's largest similarity to another."""
+    """src, dst, sim of the best neighbours, and each row's largest similarity to another. Both sides are in id order.
+
+    A row is not sorted: the value of its last place is selected, all above it are taken, and
+    the smallest ids of those that equal it.
+    """
     s = similarity(a, b)
     s[a["id"][:, None] == b["id"][None, :]] = -1
-    top = s.max(axis=1) if s.shape[1] else np.full(len(s), -1.0)
-    nz = (a["mean"] > min_cv).any(1)[:, None] | (b["mean"] > min_cv).any(1)[None, :]
-    s = np.where(nz, s, -1)
-    src, dst, sim = [], [], []
-    for r in range(len(s)):
-        order = np.lexsort((b["id"], -s[r]))[:most]
-        order = order[s[r][order] >= 0]
-        src.append(np.full(len(order), a["id"][r]))
-        dst.append(b["id"][order])
-        sim.append(s[r][order])
-    return src, dst, sim, top
+    top = s.max(axis=1, initial=-1.0)
+    s[~((a["mean"] > min_cv).any(1)[:, None] | (b["mean"] > min_cv).any(1)[None, :])] = -1
+    n = s.shape[1]
+    least = np.full((len(s), 1), -0.5)
+    if n > most:
+        least = np.maximum(least, np.partition(s, n - most, axis=1)[:, n - most, None])
+    more = (s > least).sum(axis=1)
+    row, col = np.nonzero(s >= least)
+    tie = s[row, col] == least[row, 0]
+    first = np.cumsum(tie) - 1
+    begin = np.searchsorted(row, np.arange(len(s)))
+    seen = np.concatenate([[0], np.cumsum(tie)])[begin]  # ties of the rows before
+    take = ~tie | (first - seen[row] < (most - more)[row])
+    row, col = row[take], col[take]
+    return a["id"][row], b["id"][col], s[row, col], top
 
 
 def neighbours(feats: DataFrame, min_cv: float = 1.0, most: int = MOST_EDGES, limit: int = FEATURE_LIMIT) -> DataFrame:
@@ -66,27 +76,32 @@ def neighbours(feats: DataFrame, min_cv: float = 1.0, most: int = MOST_EDGES, li
                 for k in range(0, len(at), BLOCK):
                     own = {c: v[at[k : k + BLOCK]] for c, v in m.items()}
                     src, dst, sim, top = _best(own, m, min_cv, most)
-                    cat = lambda x, t: np.concatenate([*x, np.zeros(0, t)])
-                    yield pa.record_batch([pa.array(cat(src, np.int64)), pa.array(cat(dst, np.int64)), pa.array(cat(sim, float))], ["src", "dst", "sim"])
+                    yield pa.record_batch([pa.array(src), pa.array(dst), pa.array(sim)], ["src", "dst", "sim"])
                     yield pa.record_batch([pa.array(own["id"]), pa.nulls(len(own["id"]), pa.int64()), pa.array(top)], ["src", "dst", "sim"])
 
         return ids.mapInArrow(run, schema)
-    blocks = -(-n // 4096)
+    # each pair of blocks meets once, for both sides
+    blocks = -(-n // WIDE)
     dealt = feats.withColumn("k", F.pmod(F.xxhash64("contig_id"), F.lit(blocks)))
-    left = dealt.withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    right = left.toDF(*(f"{c}_r" for c in left.columns))  # names of its own: the two sides stem from one table
+    upto, last = F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")
+    left = dealt.withColumn("l", F.explode(F.sequence(F.col("k"), last)))
+    right = dealt.withColumn("l", F.explode(F.sequence(upto, F.col("k"))))
+    right = right.toDF(*(f"{c}_r" for c in right.columns))  # names of its own: the two sides stem from one table
 
     def meet(a, b):
         import pandas as pd
 
         b.columns = [c.removesuffix("_r") for c in b.columns]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"src": [], "dst": [], "sim": []}).astype({"src": "int64", "dst": "Int64", "sim": "float64"})
-        x, y = matrix(a.itertuples(index=False)), matrix(b.itertuples(index=False))
-        src, dst, sim, top = _best(x, y, min_cv, most)
-        found = pd.DataFrame({"src": np.concatenate([*src, []]), "dst": np.concatenate([*dst, []]), "sim": np.concatenate([*sim, []])})
-        own = pd.DataFrame({"src": x["id"], "dst": pd.array([None] * len(x["id"]), "Int64"), "sim": top})
-        return pd.concat([found.astype({"src": "int64", "dst": "Int64"}), own])
+        out = [pd.DataFrame({"src": pd.array([], "int64"), "dst": pd.array([], "Int64"), "sim": pd.array([], "float64")})]
+        if len(a) and len(b):
+            x, y = matrix(a.itertuples(index=False)), matrix(b.itertuples(index=False))
+            for p, q in ((x, y), (y, x))[: 1 + (a["k"].iloc[0] != b["k"].iloc[0])]:
+                for r in range(0, len(p["id"]), BLOCK):
+                    own = {c: v[r : r + BLOCK] for c, v in p.items()}
+                    src, dst, sim, top = _best(own, q, min_cv, most)
+                    out.append(pd.DataFrame({"src": src, "dst": pd.array(dst, "Int64"), "sim": sim}))
+                    out.append(pd.DataFrame({"src": own["id"], "dst": pd.array([None] * len(own["id"]), "Int64"), "sim": top}))
+        return pd.concat(out)
 
     met = left.groupBy("k", "l").cogroup(right.groupBy("l_r", "k_r")).applyInPandas(meet, schema)
     w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
@@ -112,43 +127,65 @@ class Rand:
         return v >> 1
 
 
-def cutoff(largest: np.ndarray, coverage: float = COVERAGE, rand: Rand | None = None, sample: int | None = None) -> int:
-    """Per mille at which ``coverage`` of the fragments have a neighbour, looking downwards from 999.
+def coverage_curve(near: DataFrame) -> np.ndarray:
+    """How many fragments have a largest similarity of so many per mille or more, for 0 to 1000, and the number of fragments at 0; one row a per mille is collected."""
+    level = F.greatest(F.floor(F.round(F.col("sim") * 1e6) / 1000), F.lit(0)).cast("int")
+    counts = np.zeros(1001, np.int64)
+    for r in near.where("dst is null").groupBy(level.alias("level")).count().collect():
+        counts[r.level] += r["count"]
+    return curve(counts)
+
+
+def curve(counts: np.ndarray) -> np.ndarray:
+    return counts[::-1].cumsum()[::-1]
+
+
+def _steps(rand: Rand | None):
+    """The per milles to look at, falling from 999: all of them, or with random steps that widen on the way down."""
+    p = 999
+    while True:
+        yield p
+        wide = 1 if p > 990 else 3 if p > 900 else 9
+        p -= 1 if rand is None else wide + rand.next() % 3
+
+
+def cutoff(reach: np.ndarray, coverage: float = COVERAGE, rand: Rand | None = None) -> int:
+    """The first per mille looked at where ``coverage`` of the fragments have a neighbour, or the one before if its share is closer; 700 or a little less if none has.
 
-    With ``rand`` the steps are random, as is the sample; without, every value is looked at.
-    Of the last two values the one whose coverage is closer wins.
+    ``reach`` is a coverage curve. The share above 999 counts as none.
     """
-    best = np.asarray(largest, float)
-    if sample is not None and len(best) > sample:
-        left = list(range(len(best)))
-        for k in range(sample):
-            j = k + rand.next() % (len(best) - k)
-            left[k], left[j] = left[j], left[k]
-        best = best[left[:sample]]
-    p, last, covered = 999, 1000, 0.0
-    while p > 700:
-        now = float((best >= p / 1000).mean()) if len(best) else 1.0
-        if now >= coverage:
-            return last if now - coverage > coverage - covered else p
-        last, covered = p, now
-        p -= 1 if rand is None else rand.next() % 3 + (1 if p > 990 else 3 if p > 900 else 9)
-    return p
-
-
-def pooled_cutoff(largest: np.ndarray, seed: int = 1, full: int = 25_000, sample: int = 2500, runs: int = 10) -> float:
-    """One full search up to ``full`` fragments; above, the mean of sampled searches, none below 700."""
-    rand = Rand(seed)
-    if len(largest) <= full:
-        # the full search also draws its (complete) sample
-        for k in range(len(largest)):
+    share = reach / max(1, reach[0]) if reach[0] else np.ones(1001)
+    share = np.append(share[:1000], 0.0)
+    for above, p in itertools.pairwise(itertools.chain([1000], _steps(rand))):
+        if p <= 700:
+            return p
+        if share[p] >= coverage:
+            return min((p, above), key=lambda q: abs(share[q] - coverage))
+
+
+def _drawn(reach: np.ndarray, size: int, rand: Rand) -> np.ndarray:
+    """The curve of ``size`` fragments drawn without repetition: positions in the order of similarity, moved in a map of the few that have moved."""
+    n, moved, drawn = int(reach[0]), {}, []
+    for k in range(size):
+        j = k + rand.next() % (n - k)
+        drawn.append(moved.get(j, j))
+        moved[j] = moved.get(k, k)
+    below = n - reach  # positions of similarities below each level
+    level = np.searchsorted(below, np.array(drawn), "right") - 1
+    return curve(np.bincount(level, minlength=1001)[:1001])
+
+
+def pooled_cutoff(reach: np.ndarray, seed: int = 1, full: int = 25_000, sample: int = 2500, runs: int = 10) -> float:
+    """One search with random steps up to ``full`` fragments; above, the mean of ``runs`` searches in samples, each 700 at least. Two runs at 700 are all."""
+    rand, n = Rand(seed), int(reach[0])
+    if n <= full:
+        for _ in range(n):  # the full sample is drawn too
             rand.next()
-        return float(cutoff(largest, rand=rand))
-    total = 0.0
-    for k in range(runs):
-        total += max(700, cutoff(largest, rand=rand, sample=sample))
-        if k == 1 and total / 2 < 701:
-            return 700.0
-    return total / runs
+        return float(cutoff(reach, rand=rand))
+    found: list[int] = []
+    while len(found) < runs and not (len(found) == 2 and sum(found) < 1402):
+        found.append(max(700, cutoff(_drawn(reach, sample, rand), rand=rand)))
+    return sum(found) / runs if len(found) == runs else 700.0
 
 
 def knn_edges(near: DataFrame, per_mille: float) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import abundance, tnf
 
-FEATURE_LIMIT = 256 << 20
+FEATURE_LIMIT = 64 << 20
 _ROW = 8 * (len(tnf.KMERS) + 8)
 
 

@@ -173,8 +173,8 @@ def inputs_from_files(spark: SparkSession, config: RefineConfig) -> Inputs:
     seed = written(seed.select("contig_id", "bin_label").distinct(), "seed")
     feats = written(measure.features(contigs, rows, config.min_cv, config.min_cv), "features")
     near = written(graph.neighbours(feats, config.min_cv), "neighbours")
-    top = [r.sim for r in near.where("dst is null").select("sim").collect()]
-    p = graph.pooled_cutoff(top) if config.random_cutoff else graph.cutoff(top)
+    reach = graph.coverage_curve(near)
+    p = graph.pooled_cutoff(reach) if config.random_cutoff else graph.cutoff(reach)
     return Inputs(written(names, "contigs"), mg, seed, feats, written(graph.composite(graph.knn_edges(near, p), feats, config.min_cv), "composite"))
 
 

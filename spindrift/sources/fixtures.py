@@ -99,8 +99,7 @@ class Domain:
 
     @cached_property
     def per_mille(self) -> int:
-        top = self.near.where("dst is null").select("sim").collect()  # one number a fragment
-        return graph.cutoff([r.sim for r in top])
+        return graph.cutoff(graph.coverage_curve(self.near))
 
     @cached_property
     def knn(self) -> DataFrame:

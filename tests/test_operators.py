@@ -231,9 +231,35 @@ def test_neighbours_broadcast_and_blocks_agree(spark):
 def test_cutoff_and_generator():
     rand = graph.Rand(1)
     assert [rand.next() for _ in range(3)] == [1804289383, 846930886, 1681692777]  # well known first values of srand(1)
-    assert graph.cutoff(np.full(100, 0.9)) in (900, 901)
-    assert graph.cutoff(np.zeros(10)) == 700
-    assert 700 <= graph.pooled_cutoff(np.random.default_rng(0).uniform(0.7, 1, 30_000)) <= 999
+    reach = lambda x: graph.curve(np.bincount(np.floor(np.round(np.asarray(x) * 1e6) / 1000).astype(int), minlength=1001))
+    assert graph.cutoff(reach(np.full(100, 0.9))) in (900, 901)
+    assert graph.cutoff(reach(np.zeros(10))) == 700
+    assert graph.cutoff(reach([])) == 1000 or graph.cutoff(reach([])) == 999
+    x = np.random.default_rng(0).uniform(0.7, 1, 30_000)
+    assert 700 <= graph.pooled_cutoff(reach(x)) <= 999
+    assert abs(graph.pooled_cutoff(reach(x)) - graph.cutoff(reach(x))) < 12
+    drawn = graph._drawn(reach(x), 2500, graph.Rand(3))
+    assert drawn[0] == 2500 and np.abs(drawn / 2500 - reach(x) / 30_000).max() < 0.05
+    assert graph._drawn(reach(x[:50]), 50, graph.Rand(3)).tolist() == reach(x[:50]).tolist()
+
+
+def test_error_function():
+    import math
+
+    x = np.concatenate([np.linspace(-7, 28, 20_001), [0.0, 5.999, -6.0]])
+    assert np.abs(abundance.erfc(x) - [math.erfc(v) for v in x]).max() < 5e-16
+
+
+def test_best_neighbours_are_a_full_sort():
+    r = np.random.default_rng(1)
+    f = lambda n, first: {"id": np.arange(first, first + n), "log": r.uniform(3, 5, n), "tnf": np.abs(r.normal(0.08, 0.01, (n, 136))), "mean": r.uniform(0, 3, (n, 2)), "var": np.ones((n, 2))}
+    for a, b in ((f(9, 0), f(40, 5)), (f(3, 0), f(4, 0))):
+        src, dst, sim, top = graph._best(a, b, 1.0, 6)
+        s = graph.similarity(a, b)
+        for k, i in enumerate(a["id"].tolist()):
+            ok = [(-s[k, m], int(j)) for m, j in enumerate(b["id"]) if j != i and ((a["mean"][k] > 1).any() or (b["mean"][m] > 1).any())]
+            assert sorted(zip((-sim[src == i]).tolist(), dst[src == i].tolist())) == sorted(ok)[:6]
+            assert top[k] == max(s[k, m] for m, j in enumerate(b["id"]) if j != i)
 
 
 def test_partition_search_respects_bans():
