@@ -1,9 +1,11 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Examples are about ``per_class`` labelled rows of each class (the documented bound). Terms
-are the words and word beginnings whose presence tells the classes apart (signed G statistic
-of the examples, near copies counted once, against a bound that grows with the number of
-terms tried); inverse document frequencies come from all documents. The examples' weights lie in an
+are all the words and word beginnings whose presence tells the classes apart (signed G
+statistic of the examples, near copies counted once, against a bound that grows with the
+number of terms tried, and LEAST_RATIO times as frequent in one class as in the other).
+This choice is what is learned: among vectors of all words a few toxic ones hardly count
+(README has the figures). Inverse document frequencies come from all documents. The examples' weights lie in an
 inverted index cut into blocks of BLOCK examples, with the largest weight of every term in
 every block. A search takes the blocks in falling order of their upper bound and stops when
 no block can enter the NEIGHBOURS best, so the neighbours are exactly those of a full scan.
@@ -27,14 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from spindrift.llm import common, examples
-from spindrift.llm.wordhash import term_hashes
+from spindrift.llm.wordhash import STEMS, term_hashes  # noqa: F401
 
 PER_CLASS = 2000
 MODULUS, REMAINDER = 5, 0
 THRESHOLD = 0.5
 NEIGHBOURS = 15
 BLOCK = 64
-MOST_TERMS = 4000
+LEAST_RATIO = 8
+COPY_SIMILARITY = 0.8
 SMOOTH = 0.5
 
 
@@ -120,37 +123,41 @@ def signed_g(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np
     return np.where(pos * n_neg >= neg * n_pos, g, -g)
 
 
-def select_terms(rows: list[tuple[np.ndarray, int]], most: int = MOST_TERMS) -> np.ndarray:
-    """Sorted hashes of the terms that tell the classes apart."""
+def near_copies(rows: list[tuple[np.ndarray, int]], similarity: float = COPY_SIMILARITY) -> list[int]:
+    """For each row of (distinct term hashes, label) the first row of its label that it nearly copies, itself if none: Jaccard similarity of ``similarity`` or more, tried where one of a few smallest hashes agrees."""
+    first: list[int] = []
+    met: dict[tuple, list[int]] = {}
+    mixers = [np.uint64(2 * (0x5851F42D4C957F2D * (k + 1) % (1 << 63)) + 1) for k in range(8)]
+    for i, (h, label) in enumerate(rows):
+        keys = [(label, k, int((h * m).min())) for k, m in enumerate(mixers)] if len(h) else [(label, -1, 0)]
+        own = i
+        for j in sorted({j for key in keys for j in met.get(key, ())}):
+            both = len(np.intersect1d(h, rows[j][0], assume_unique=True))
+            if both >= similarity * (len(h) + len(rows[j][0]) - both):
+                own = j
+                break
+        first.append(own)
+        if own == i:
+            for key in keys:
+                met.setdefault(key, []).append(i)
+    return first
+
+
+def select_terms(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Sorted hashes of the terms that tell the classes apart; near copies count once."""
     if len({y for _, y in rows}) < 2:
         return np.zeros(0, np.uint64)
+    rows = [r for i, (r, j) in enumerate(zip(rows, near_copies(rows))) if i == j]
     terms, back = np.unique(np.concatenate([h for h, _ in rows]), return_inverse=True)
-    cuts = np.cumsum([0, *(len(h) for h, _ in rows)])
-    df = np.bincount(back, minlength=len(terms))
-    mixed = (terms ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xD6E8FEB86659FD93)
-    # near copies share the smallest hash of their rarer terms; one of them speaks for all
-    seen, y = set(), np.zeros(len(back))
-    use = np.zeros(len(back), bool)
-    n = [0, 0]
-    for i, (_, label) in enumerate(rows):
-        own = back[cuts[i] : cuts[i + 1]]
-        rare = own[df[own] <= max(3, len(rows) // 10)]
-        key = (label, int(mixed[rare].min())) if len(rare) else (label, i, "common")
-        if key in seen:
-            continue
-        seen.add(key)
-        n[label] += 1
-        use[cuts[i] : cuts[i + 1]] = True
-        y[cuts[i] : cuts[i + 1]] = label
-    pos = np.bincount(back[use], weights=y[use], minlength=len(terms))
-    neg = np.bincount(back[use], weights=1 - y[use], minlength=len(terms))
+    y = np.repeat([label for _, label in rows], [len(h) for h, _ in rows])
+    n = [sum(1 for _, label in rows if label == k) for k in (0, 1)]
+    pos = np.bincount(back, weights=y, minlength=len(terms))
+    neg = np.bincount(back, weights=1 - y, minlength=len(terms))
     g = signed_g(pos, neg, n[1], n[0])
     # weight of evidence must be large, not only significant; the bound holds the number of chance terms near one
     ratio = ((pos + 0.5) / (n[1] + 1)) / ((neg + 0.5) / (n[0] + 1))
     least = 2 * np.log(len(terms) + 1)
-    chosen = np.flatnonzero((np.abs(g) >= least) & ((ratio >= 8) | (ratio <= 1 / 8)))
-    chosen = chosen[np.argsort(-np.abs(g[chosen]), kind="stable")][:most]
-    return np.sort(terms[chosen])
+    return terms[(np.abs(g) >= least) & ((ratio >= LEAST_RATIO) | (ratio <= 1 / LEAST_RATIO))]
 
 
 class Finder:
@@ -272,7 +279,7 @@ def scored(docs: DataFrame, model: Model | None, out: str = "score", evidence: s
     names = [n for n in docs.columns if n not in (out, evidence)]
     docs = docs.select(*names)
     at_text = names.index("text")
-    box = docs.sparkSession.sparkContext.broadcast(model)  # bounded by per_class and MOST_TERMS
+    box = docs.sparkSession.sparkContext.broadcast(model)  # bounded by per_class: terms of the examples
 
     def run(batches):
         m = box.value

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tests.llm.util import docs, edge_rows
+from tests.llm.util import docs, edge_rows, prose
 
 from spindrift.llm import common, language, quality, toxicity
 
@@ -148,6 +148,58 @@ def test_block_max_search_is_a_full_scan():
         assert np.allclose(score, [-c for c, _ in want], atol=1e-9)
 
 
+def test_only_near_copies_are_merged():
+    r = np.random.default_rng(3)
+    base = np.unique(r.integers(1, 1 << 62, 200).astype(np.uint64))
+    other = np.unique(r.integers(1, 1 << 62, 200).astype(np.uint64))
+    near = np.unique(np.concatenate([base[:195], other[:5]]))
+    half = np.unique(np.concatenate([base[:120], other[:80]]))  # shares the smallest hashes as like as not
+    rows = [(base, 1), (other, 1), (near, 1), (half, 1), (base, 0), (base, 1), (np.zeros(0, np.uint64), 1), (np.zeros(0, np.uint64), 1)]
+    got = toxicity.near_copies(rows)
+    assert got[:6] == [0, 1, 0, 3, 4, 0] and got[6] == 6
+
+
+def test_whole_query_against_brute_force(spark, tmp_path):
+    """op7 over a small table: terms, document frequencies, cosines, votes and calibration with plain Python sets and a full scan."""
+    import math
+    import re
+
+    sf = str(tmp_path)
+    rows = [(i, prose(i, 60) + " " + ("vile scum " if i % 3 == 0 else "kind friend ") * (1 + i % 3)) for i in range(90)] + [(200, None), (201, "scum " * 9000), (202, "")]
+    docs(spark, rows).write.parquet(f"{sf}/documents.parquet")
+    labels(spark, [(i, 0, int(i % 3 == 0)) for i in range(90)]).write.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r for r in toxicity.op7_toxicity_knn(spark, sf).collect()}
+    assert len(got) == len(rows)
+
+    def terms(t):
+        out = {}
+        for w in re.findall(r"[a-z]+", (t or "").lower()):
+            for x in [w, *(w[:k] + "-" for k in toxicity.STEMS if len(w) > k)]:
+                out[x] = out.get(x, 0) + 1
+        return out
+
+    train = [(i, terms(t), int(i % 3 == 0)) for i, t in rows[:90] if not common.held_py(i, 5, 0)]
+    model = toxicity.fit(docs(spark, rows), labels(spark, [(i, 0, int(i % 3 == 0)) for i in range(90)]))
+    chosen = {"vile", "scum", "kind", "friend", "frie-", "frien-"}
+    assert len(model.index.vocabulary) == len(chosen)
+    df = {x: sum(x in terms(t) for _, t in rows) for x in chosen}
+
+    def vector(t):
+        w = {x: (1 + math.log(c)) * (math.log((1 + len(rows)) / (1 + df[x])) + 1) for x, c in t.items() if x in chosen}
+        n = math.sqrt(sum(v * v for v in w.values())) or 1
+        return {x: v / n for x, v in w.items()}
+
+    examples = [(i, vector(t), y) for i, t, y in train]
+    weight = len(train) / len(examples)
+    for i, t in rows:
+        v = vector(terms(t))
+        near = sorted((-round(sum(w * e.get(x, 0) for x, w in v.items()), 12), j, y) for j, e, y in examples)
+        near = [(-c, j, y) for c, j, y in near if c < 0][: toxicity.NEIGHBOURS]
+        w = [weight * c / (1.05 - min(c, 1.0)) for c, _, _ in near]
+        vote = (sum(a * y for a, (_, _, y) in zip(w, near)) + toxicity.SMOOTH * model.rate) / (sum(w) + toxicity.SMOOTH)
+        assert abs(got[i].score - model.calibrated(vote)) < 1e-6 and got[i].evidence == [j for _, j, _ in near], i
+
+
 def test_held_rule(spark):
     got = spark.range(50).select("id", common.held(F.col("id"), 5, 0).alias("h")).collect()
     assert all(r.h == common.held_py(r.id, 5, 0) for r in got)
