@@ -468,11 +468,16 @@ def read_texts(docs: DataFrame, shingle: int, similarity: float, often: tuple[np
 
 
 def buckets(read: DataFrame) -> DataFrame:
-    """key, md5, n, pos of each text's prefix shingles that other texts share, with lead, lead_n and lead_pos of the bucket's smallest md5."""
+    """key, md5, n, pos of each text's prefix shingles that other texts share, with lead, lead_n and lead_pos of the bucket's lead.
+
+    The lead has the shingle earliest in its prefix. Shingles of a large group are common and
+    stand behind those that an edit makes, so the lead is the text that the others stem from,
+    or the one that is least edited, and is similar to more of them than any other.
+    """
     d = read.where("n is not null").select("md5", "n", F.posexplode("keys").alias("pos", "key"))
     d = d.withColumn("_last", F.lag("md5").over(Window.partitionBy("key").orderBy("md5"))).where("_last is null or _last != md5").drop("_last")
     own = Window.partitionBy("key")
-    d = d.withColumn("_many", F.count(F.lit(1)).over(own)).withColumn("_lead", F.min(F.struct("md5", "n", "pos")).over(own)).where("_many > 1")
+    d = d.withColumn("_many", F.count(F.lit(1)).over(own)).withColumn("_lead", F.min(F.struct("pos", "md5", "n")).over(own)).where("_many > 1")
     return d.select("key", "md5", "n", "pos", F.col("_lead.md5").alias("lead"), F.col("_lead.n").alias("lead_n"), F.col("_lead.pos").alias("lead_pos"))
 
 
@@ -508,10 +513,46 @@ def _by_all(shared: DataFrame, groups: DataFrame, similarity: float) -> DataFram
     return x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+MOST_BITS = 27
+
+
+def _asked(df: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose md5 is asked for (``asked``: distinct md5). A bit map of the asked, 16 MB at most, keeps most others out of the shuffle; where it is full it only keeps fewer out."""
+    spark = df.sparkSession
+    bits = min(MOST_BITS, max(12, (16 * asked.count()).bit_length()))
+
+    def words(batches):
+        for b in batches:
+            for at in _positions(b.column(0), bits):
+                yield pa.record_batch([pa.array(at >> 6), pa.array(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
+
+    got = asked.select("md5").mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    box = spark.sparkContext.broadcast(table)  # 2 ** MOST_BITS bits at most
+    at_md5 = df.columns.index("md5")
+
+    def run(batches):
+        for b in common.slices(batches):
+            keep = np.ones(b.num_rows, bool)
+            for at in _positions(b.column(at_md5), bits):
+                keep &= (box.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            if keep.any():
+                yield b.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema).join(asked, "md5", "left_semi")
+
+
+def _positions(md5: pa.Array, bits: int):
+    """Two bit numbers of each digest."""
+    data = np.frombuffer(b"".join(md5.to_pylist()), np.int64).reshape(-1, 2) & ((1 << bits) - 1)
+    return data[:, 0], data[:, 1]
+
+
 def _sieved(pairs: DataFrame, read: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sketches leave room for the similarity."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("md5")).distinct()
-    known = read.where("n is not null").select("md5", "n", "sketch").join(asked, "md5", "left_semi").dropDuplicates(["md5"])
+    asked = common.written(pairs.select(F.explode(F.array("a", "b")).alias("md5")).distinct(), "asked")
+    known = _asked(read.where("n is not null").select("md5", "n", "sketch"), asked).dropDuplicates(["md5"])
     side = lambda c: known.select(F.col("md5").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
 
     def run(batches):
@@ -521,7 +562,7 @@ def _sieved(pairs: DataFrame, read: DataFrame, similarity: float) -> DataFrame:
             for i in range(b.num_rows):
                 both = min(may_share(x[i], y[i]), n[i], m[i])
                 keep.append(both >= similarity * (n[i] + m[i] - both) - 1e-9)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield b.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a binary, b binary")
 
@@ -538,9 +579,9 @@ def near_duplicate_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius:
 
     def verify(pairs: DataFrame) -> DataFrame:
         # only texts that are in a pair travel, one row each
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("md5")).distinct()
-        firsts = common.written(texts.join(asked, "md5", "left_semi").select(F.col("md5").alias("_md5"), "keep_id"), "asked")  # a known size: few are broadcast
-        stored = body = common.written(own.join(firsts, (F.col("md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("md5", "text"), "near-texts")
+        asked = common.written(pairs.select(F.explode(F.array("a", "b")).alias("md5")).distinct(), "asked")
+        firsts = texts.join(asked, "md5", "left_semi").select(F.col("md5").alias("_md5"), "keep_id")
+        stored = body = common.written(_asked(own, asked).join(firsts, (F.col("md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("md5", "text"), "near-texts")
         if repeats:
             body = body.groupBy("md5").agg(F.first("text").alias("text"))
         full = pairs.join(body.select(F.col("md5").alias("b"), F.col("text").alias("text_b")), "b").join(body.select(F.col("md5").alias("a"), F.col("text").alias("text_a")), "a")
