@@ -110,7 +110,7 @@ def slow_least(lengths, capacity):
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
 def test_solver_is_optimal_on_small_cases(lengths):
     counts = {k: lengths.count(k) for k in set(lengths)}
-    patterns = packing.solve(counts, 20)
+    patterns, sequences, bound = packing.solve(counts, 20)
     used = {}
     for p, t in patterns:
         assert sum(p) <= 20
@@ -118,14 +118,19 @@ def test_solver_is_optimal_on_small_cases(lengths):
             used[x] = used.get(x, 0) + t
     assert used == counts
     least = slow_least(lengths, 20)
-    assert packing.lower_bound(counts, 20) <= least == sum(t for _, t in patterns)
+    assert packing.lower_bound(counts, 20) == bound <= least == sequences == sum(t for _, t in patterns)
 
 
 def test_solver_scales_with_lengths_not_counts():
     r = np.random.default_rng(0)
     counts = {int(k): int(n) for k, n in zip(range(1, 2049), r.integers(1, 10**6, 2048))}
-    patterns = packing.solve(counts)
-    assert len(patterns) <= 2 * 2048 and sum(t for _, t in patterns) <= 1.002 * packing.lower_bound(counts, 2048)
+    answer = packing.solve(counts)
+    assert len(answer.patterns) <= 2 * 2048 and answer.sequences == sum(t for _, t in answer.patterns) <= 1.002 * answer.bound
+    assert answer.status == ("optimal" if answer.sequences == answer.bound else "within budget")
+    # budgets of nothing still give a packing, by best fit and not one piece a sequence
+    small = {k: 3 for k in range(100, 400)}
+    plain = packing.solve(small, steps=1, nodes=0, rounds=0)
+    assert plain.sequences <= 1.1 * plain.bound and sum(t * len(p) for p, t in plain.patterns) == 900
 
 
 def test_packing_whole(spark, words):
@@ -152,4 +157,5 @@ def test_packing_whole(spark, words):
         assert at <= 2048
     lengths = [r.length for r in got]
     assert len(bins) <= packing.lower_bound({k: lengths.count(k) for k in set(lengths)}, 2048) + 1
+    assert {(r.sequences, r.bound) for r in got} == {(len(bins), packing.lower_bound({k: lengths.count(k) for k in set(lengths)}, 2048))}
     assert packing.pack(docs(spark, [])).count() == 0
