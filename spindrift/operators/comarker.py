@@ -55,9 +55,15 @@ def measure_stats(pairs: DataFrame, measured: DataFrame, fill: int | None = None
     return d.agg(F.count("m").alias("measured"), (missing if fill is not None else F.lit(0)).cast("long").alias("filled"), (missing if fill is None else F.lit(0)).cast("long").alias("skipped"))
 
 
-def relaxed(pairs: DataFrame, strict: DataFrame, loose: DataFrame) -> DataFrame:
-    """Distances of the looser coverage filter; an error if a pair measured by both has changed."""
+def relaxed(pairs: DataFrame, strict: DataFrame, loose: DataFrame, fill: int | None = None) -> DataFrame:
+    """Distances of the looser coverage filter, with ``fill`` for pairs that it leaves out too; an error if a pair measured by both has changed."""
     changed = strict.join(loose.withColumnRenamed("d", "_d"), ["c1", "c2"]).where("d <> _d").limit(1).count()
     if changed:
         raise ValueError("relaxing the coverage filter changed measured pairs")
-    return filled(pairs, loose)
+    return filled(pairs, loose, fill)
+
+
+def relax_stats(strict: DataFrame, loose: DataFrame) -> DataFrame:
+    """One row: pairs measured by both, recovered by the looser filter alone, and changed."""
+    both = loose.select("c1", "c2", "d").join(strict.select("c1", "c2", F.col("d").alias("_d")), ["c1", "c2"], "left")
+    return both.agg(F.count("_d").alias("measured"), F.count_if(F.col("_d").isNull()).alias("recovered"), F.count_if(F.col("_d") != F.col("d")).alias("changed"))

@@ -36,6 +36,8 @@ class RefineConfig:
     min_bin_size: int = 200_000
     minlen: int = 1500
     min_cv: float = 1.0
+    variances: bool = True  # the depth table has a variance beside each mean
+    relax_cv: bool = False  # measure pairs that the coverage filter leaves out without it
     random_cutoff: bool = False
     write_bins: bool = False
     nodes: int = 200_000
@@ -69,10 +71,10 @@ class Result:
 
 
 class Inputs:
-    """What a run needs: lengths (contig_id, name, length), markers, seed (contig_id, bin_label), features, composite edges."""
+    """What a run needs: lengths (contig_id, name, length), markers, seed (contig_id, bin_label), features, composite edges; features without a coverage filter if it is relaxed."""
 
-    def __init__(self, lengths, mg, seed, features, composite):
-        self.lengths, self.mg, self.seed, self.features, self.composite = lengths, mg, seed, features, composite
+    def __init__(self, lengths, mg, seed, features, composite, loose=None):
+        self.lengths, self.mg, self.seed, self.features, self.composite, self.loose = lengths, mg, seed, features, composite, loose
 
 
 def numbered(binning: DataFrame) -> DataFrame:
@@ -90,8 +92,11 @@ def _pairs(mode: str, inputs: Inputs, binning: DataFrame) -> DataFrame:
 
 def distances(mode: str, inputs: Inputs, binning: DataFrame, fill: int | None) -> DataFrame:
     pairs = _pairs(mode, inputs, binning)
-    one = pairs.select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct()
-    return comarker.filled(pairs, measure.measure(one, inputs.features), fill)
+    one = written(pairs.select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct(), "pairs")
+    strict = measure.measure(one, inputs.features)
+    if inputs.loose is None:
+        return comarker.filled(pairs, strict, fill)
+    return comarker.relaxed(pairs, written(strict, "strict"), written(measure.measure(one, inputs.loose, 0.0), "loose"), fill)
 
 
 def derive_threshold(inputs: Inputs) -> tuple[int, bool]:
@@ -99,6 +104,12 @@ def derive_threshold(inputs: Inputs) -> tuple[int, bool]:
     return int(row.simthresh), bool(row.derived)
 
 
+def slot_label(bin_id, slot):
+    """Bin number and slot of two digits; a slot of more digits is set off, so that no two bins share a label."""
+    s = slot.cast("string")
+    return F.concat(bin_id.cast("string"), F.when(slot < 100, F.lpad(s, 2, "0")).otherwise(F.concat(F.lit("_"), s)))
+
+
 def run_separate(inputs: Inputs, binning: DataFrame, t: int, c: RefineConfig) -> DataFrame:
     bins = numbered(binning)
     mg = inputs.mg.join(binning, "contig_id", "left_semi")
@@ -106,14 +117,14 @@ def run_separate(inputs: Inputs, binning: DataFrame, t: int, c: RefineConfig) ->
     pins = affinity.pins(mg, binning).join(bins.select("bin_label", "bin_id").distinct(), "bin_label").select("bin_id", "contig_id")
     aff = affinity.anchor_affinity(inputs.composite, mg, binning)
     s = separate.separate(bins, aff, conflicts, pins, t, c.sepmul, c.nodes)
-    return s.select("contig_id", F.concat(F.lit("Bin_"), F.col("bin_id").cast("string"), F.lpad(F.col("slot").cast("string"), 2, "0")).alias("bin_label"))
+    return s.select("contig_id", F.concat(F.lit("Bin_"), slot_label(F.col("bin_id"), F.col("slot"))).alias("bin_label"), "status")
 
 
 def run_merge(inputs: Inputs, binning: DataFrame, t: int, c: RefineConfig) -> DataFrame:
     bins = numbered(binning)
     aff = affinity.affinity(inputs.composite, inputs.lengths)
     m = merge.merge(affinity.bin_affinity(aff, bins), distances("merge", inputs, binning, comarker.UNMEASURED), bins, t, c.minconn)
-    return m.select("contig_id", F.concat(F.lit("Bin_"), F.col("bin_id").cast("string")).alias("bin_label"))
+    return m.select("contig_id", F.concat(F.lit("Bin_"), F.col("bin_id").cast("string")).alias("bin_label"), F.lit("optimal").alias("status"))
 
 
 def run_recruit(inputs: Inputs, binning: DataFrame, t: int, c: RefineConfig) -> DataFrame:
@@ -122,7 +133,8 @@ def run_recruit(inputs: Inputs, binning: DataFrame, t: int, c: RefineConfig) ->
     edges = affinity.recruit_affinity(inputs.composite, free, binning).join(bins.select("bin_label", "bin_id").distinct(), "bin_label").select("c", "bin_id", "w")
     got = recruit.recruit(edges, distances("guard", inputs, binning, comarker.UNMEASURED), bins, t, c.minaff, c.nodes)
     labels = bins.select("bin_id", "bin_label").distinct()
-    return binning.select("contig_id", "bin_label").union(got.join(labels, "bin_id").select("contig_id", "bin_label"))
+    before = binning.select("contig_id", "bin_label", F.lit("optimal").alias("status"))
+    return before.union(got.join(labels, "bin_id").select("contig_id", "bin_label", "status"))
 
 
 _RUN = {"separate": run_separate, "merge": run_merge, "recruit": run_recruit}
@@ -141,10 +153,11 @@ def run_stages(spark: SparkSession, inputs: Inputs, config: RefineConfig, folder
         done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
             _RUN[op](inputs, before, t, config).write.mode("overwrite").parquet(path)
-        after = spark.read.parquet(path)
+        after = spark.read.parquet(path)  # contig_id, bin_label, status
+        cut = after.where("status <> 'optimal'").agg(F.count(F.lit(1)).alias("not_optimal"))
         checks.not_fewer(before, after, op)
         kept = report.min_bin_size(after, inputs.lengths, config.min_bin_size)
-        row = report.stage_summary(before, after, kept).select(F.lit(op).alias("operator"), "*")
+        row = report.stage_summary(before, after, kept).crossJoin(cut).select(F.lit(op).alias("operator"), "*")  # one-row tables
         summary = row if summary is None else summary.union(row)
         stages[op], before = after, after
     filtered = report.min_bin_size(before, inputs.lengths, config.min_bin_size)
@@ -163,19 +176,38 @@ def inputs_from_files(spark: SparkSession, config: RefineConfig) -> Inputs:
     names = contigs.select("contig_id", "name", "length")
     if not names.limit(1).count():
         raise ValueError("no contig is long enough")
-    depth = readers.depth_table(spark, config.depth)
+    depth = readers.depth_table(spark, config.depth, config.variances)
     checks.require(checks.missing_depth(depth, names), "contigs without depth")
+    checks.require(checks.ragged_depth(readers.depth_lines(spark, config.depth), config.variances), "depth rows of another width than the header's, or with other than numbers")
+    checks.require(checks.order_of(readers.depth_lines(spark, config.depth), readers.fasta_order(spark, config.fasta)), "depth rows in another order than the assembly")
     rows = readers.resolve(depth, names).where("contig_id is not null").select("contig_id", "sample", "mean", "var")
-    mg = written(readers.incidence(readers.markers(spark, list(config.markers), config.marker_format), names), "markers")
+    marks = written(readers.markers(spark, list(config.markers), config.marker_format), "marker-rows")
+    checks.verdict(checks.match_counts(marks, names), "markers")
+    mg = written(readers.incidence(marks, names), "markers")
     read = readers.seed_table if config.seed.endswith((".tsv", ".txt", ".gz")) else readers.seed_directory
-    seed = readers.resolve(read(spark, config.seed), names).where("contig_id is not null")
+    said = written(read(spark, config.seed), "seed-rows")
+    checks.verdict(checks.match_counts(said, names), "seed")
+    seed = readers.resolve(said, names).where("contig_id is not null")
     checks.require(checks.seed_conflicts(seed.select("name", "bin_label")), "contigs in two bins")
     seed = written(seed.select("contig_id", "bin_label").distinct(), "seed")
     feats = written(measure.features(contigs, rows, config.min_cv, config.min_cv), "features")
     near = written(graph.neighbours(feats, config.min_cv), "neighbours")
     reach = graph.coverage_curve(near)
     p = graph.pooled_cutoff(reach) if config.random_cutoff else graph.cutoff(reach)
-    return Inputs(written(names, "contigs"), mg, seed, feats, written(graph.composite(graph.knn_edges(near, p), feats, config.min_cv), "composite"))
+    loose = written(measure.features(contigs, rows, 0.0, 0.0), "loose-features") if config.relax_cv else None
+    return Inputs(written(names, "contigs"), mg, seed, feats, written(graph.composite(graph.knn_edges(near, p), feats, config.min_cv), "composite"), loose)
+
+
+def check(spark: SparkSession, config: RefineConfig) -> DataFrame:
+    """One row an input of what is read and matched, with a verdict; nothing is run."""
+    names = written(readers.fasta(spark, config.fasta).where(F.col("length") >= config.minlen).select("name", F.lit(0).alias("contig_id")), "check-names")
+    read = readers.seed_table if config.seed.endswith((".tsv", ".txt", ".gz")) else readers.seed_directory
+    rows = {"depth": readers.depth_table(spark, config.depth, config.variances), "markers": readers.markers(spark, list(config.markers), config.marker_format), "seed": read(spark, config.seed)}
+    out = None
+    for what, d in rows.items():
+        row = checks.match_counts(d, names).select(F.lit(what).alias("input"), "*")
+        out = row if out is None else out.union(row)
+    return out
 
 
 def run(spark: SparkSession, config: RefineConfig) -> Result:

@@ -125,6 +125,25 @@ def binning(spark: SparkSession, path: str) -> DataFrame:
     return seed_table(spark, path)
 
 
+def _ordinal(lines: DataFrame) -> Column:
+    """A number that grows along the file; a row's place within its split comes from the split's start."""
+    return F.col("_metadata.file_block_start") * F.lit(1 << 20) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))
+
+
+def depth_lines(spark: SparkSession, path: str) -> DataFrame:
+    """ordinal, name, f (all fields) of the rows below the header."""
+    d = spark.read.text(path)
+    d = d.select(_ordinal(d).alias("ordinal"), F.regexp_replace("value", r"\r$", "").alias("value")).where("trim(value) <> ''")
+    d = d.select("ordinal", F.split("value", "\t").alias("f")).where(F.get("f", 1).rlike(r"^[0-9.]+$"))
+    return d.select("ordinal", F.split(F.get("f", 0), " ")[0].alias("name"), "f")
+
+
+def fasta_order(spark: SparkSession, path: str) -> DataFrame:
+    """ordinal, name of all records in the assembly's order."""
+    d = spark.read.text(path)
+    return d.select(_ordinal(d).alias("ordinal"), "value").where("value like '>%'").select("ordinal", F.regexp_extract("value", r"^>(\S+)", 1).alias("name"))
+
+
 def depth_table(spark: SparkSession, path: str, with_variance: bool = True) -> DataFrame:
     """name, sample, mean, var, in long form; without variances the mean stands for them. The header gives the width."""
     lines = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("value")).where("trim(value) <> ''")

@@ -2,6 +2,7 @@
 
 import gzip
 import random
+from dataclasses import replace
 
 import pytest
 
@@ -88,8 +89,51 @@ def test_whole_run_from_files(spark, tmp_path):
     config = refine.RefineConfig(fasta=p("a.fa"), depth=p("d.tsv"), seed=p("s.tsv"), markers=(p("m.tsv"),), out=f"file://{p('out')}", min_bin_size=1000, write_bins=True)
     result = refine.run(spark, config)
     assert result.binning.count() >= 18 and result.binning.select("contig_id").distinct().count() == result.binning.count()
-    assert rows(result.summaries, "operator") == [("merge",), ("recruit",), ("separate",)]
+    assert rows(result.summaries, "operator", "not_optimal") == [("merge", 0), ("recruit", 0), ("separate", 0)]
+    assert rows(refine.check(spark, config), "input", "status") == [("depth", "ok"), ("markers", "ok"), ("seed", "ok")]
+    (tmp_path / "swapped.tsv").write_text("\n".join([depth[0], depth[2], depth[1], *depth[3:]]) + "\n")
+    with pytest.raises(ValueError, match="order"):
+        refine.run(spark, replace(config, depth=p("swapped.tsv")))
     assert (tmp_path / "out" / "binning_min1k").is_dir() and (tmp_path / "out" / "bins").is_dir() and (tmp_path / "out" / "manifest").is_dir()
     for bad in ({"operators": ("merge", "merge")}, {"simthresh": 201}, {"minlen": 10}, {"marker_format": "x"}):
         with pytest.raises(ValueError):
             refine.RefineConfig(**bad)
+
+
+def test_integrity_checks_of_a_run(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from spindrift.operators import checks
+
+    head = "contigName\tcontigLen\ttotalAvgDepth\ts1\ts1-var\n"
+    (tmp_path / "a.fa").write_text(">b x\nACGT\n>a\nACGT\n>c\nAC\n")
+    (tmp_path / "good.tsv").write_text(head + "b x\t4\t1\t1\t2\na\t4\t1\t1.5\t2\nc\t2\t1\t0\t0\n")
+    (tmp_path / "bad.tsv").write_text(head + "a\t4\t1\t1\t2\nb\t4\t1\tx\t2\nc\t2\t1\t1\n")
+    order = readers.fasta_order(spark, str(tmp_path / "a.fa"))
+    good, bad = (readers.depth_lines(spark, str(tmp_path / n)) for n in ("good.tsv", "bad.tsv"))
+    assert [r.name for r in order.orderBy("ordinal").collect()] == ["b", "a", "c"]
+    assert checks.order_of(good, order).count() == 0 and rows(checks.order_of(bad, order), "name") == [("b",)]
+    assert checks.ragged_depth(good).count() == 0 and rows(checks.ragged_depth(bad), "name", "width") == [("b", 5), ("c", 4)]
+    names = spark.createDataFrame([("a", 0), ("b", 1)], "name string, contig_id long")
+    said = lambda *n: checks.match_counts(spark.createDataFrame([(x,) for x in n], "name string"), names)
+    assert checks.verdict(said("a", "b"), "x") == "ok" and checks.verdict(said("a", "p", "q"), "x") == "warn"
+    for none in ((), ("p",)):
+        with pytest.raises(ValueError):
+            checks.verdict(said(*none), "x")
+    labels = spark.createDataFrame([(1, 7), (1, 99), (1, 100), (11, 0), (1, 1000), (110, 0)], "b long, s int").select(refine.slot_label(F.col("b"), F.col("s")).alias("l"))
+    got = [r.l for r in labels.collect()]
+    assert got[:3] == ["107", "199", "1_100"] and len(set(got)) == len(got)
+
+
+def test_relaxed_coverage(spark):
+    from spindrift.operators import comarker
+
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "c1 long, c2 long")
+    strict = spark.createDataFrame([(0, 1, 10)], "c1 long, c2 long, d int")
+    loose = spark.createDataFrame([(0, 1, 10), (0, 2, 30)], "c1 long, c2 long, d int")
+    assert rows(comarker.relaxed(pairs, strict, loose), "c1", "c2", "d") == [(0, 1, 10), (0, 2, 30)]
+    assert rows(comarker.relaxed(pairs, strict, loose, 200), "c1", "c2", "d") == [(0, 1, 10), (0, 2, 30), (1, 2, 200)]
+    assert comarker.relax_stats(strict, loose).first().asDict() == {"measured": 1, "recovered": 1, "changed": 0}
+    changed = spark.createDataFrame([(0, 1, 11)], "c1 long, c2 long, d int")
+    with pytest.raises(ValueError):
+        comarker.relaxed(pairs, strict, changed)
