@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import tnf
 from spindrift.operators import affinity, checks, comarker, measure, merge, recruit, report, separate, threshold
+from spindrift.plans.stage import scratch
+from spindrift.sources import readers, sinks
 from spindrift.sources.fixtures import BASES, LETTERS, MIN_LENGTH, SIMTHRESH, UNBINNED, Domain
 
 _UNBINNED = ", ".join(f"'{s}'" for s in UNBINNED)
@@ -300,6 +302,78 @@ _query("recruit_guard_holds", _guard_holds, "SELECT contig_id, contig_id AS othe
 _query("full_refinement", _refinement)
 
 
+def _text(d: Domain, lines, what: str) -> str:
+    """Lines (column value) as a folder of text files."""
+    path = scratch(d.spark, what)
+    lines.select("value").write.text(path)
+    return path
+
+
+def _fasta_file(d: Domain) -> str:
+    return _text(d, d.contigs.select(F.concat(F.lit(">"), "name", F.lit(" from "), F.coalesce("source", F.lit("-")), F.lit("\n"), F.regexp_replace("seq", "(.{70})", "$1\n")).alias("value")), "fasta")
+
+
+def _depth_file(d: Domain) -> str:
+    pairs = F.array_sort(F.collect_list(F.struct("sample", F.concat_ws("\t", F.col("mean").cast("string"), F.col("var").cast("string")).alias("v"))))
+    wide = d.depth.groupBy("contig_id").agg(pairs.alias("s")).join(d.lengths, "contig_id")
+    return _text(d, wide.select(F.concat_ws("\t", "name", F.col("length").cast("string"), F.lit("0"), F.concat_ws("\t", F.col("s.v"))).alias("value")), "depth")
+
+
+def _marker_file(d: Domain, kind: str) -> str:
+    m = d.markers().join(d.lengths, _S).select("name", F.concat(F.lit("m"), F.col("marker_id").cast("string")).alias("m"), "marker_id")
+    if kind == "table":
+        rows = m.select(F.concat_ws("\t", "name", "m", F.lit("more")).alias("value"))
+    elif kind == "busco":
+        rows = m.select(F.concat_ws("\t", "m", F.when(F.col("marker_id") % 3 == 0, "Fragmented").when(F.col("marker_id") % 3 == 1, "Complete").otherwise("Duplicated"), "name").alias("value"))
+    else:
+        orfs = m.groupBy("name").agg(F.concat_ws(", ", F.array_sort(F.collect_list(F.concat(F.lit("'orf"), F.col("marker_id").cast("string"), F.lit("': {'"), "m", F.lit("': [[1, 9]]}"))))).alias("o"))
+        rows = orfs.select(F.concat(F.col("name"), F.lit("\t{"), "o", F.lit("}")).alias("value"))
+    return _text(d, rows, f"markers-{kind}")
+
+
+def _read_markers(d: Domain, kind: str):
+    return readers.markers(d.spark, [_marker_file(d, kind)], kind)
+
+
+def _seed_file(d: Domain) -> str:
+    name = F.when(F.col("contig_id") % 3 == 0, F.concat("name", F.lit("_LN:"), F.col("length").cast("string"))).otherwise(F.col("name"))
+    return _text(d, d.seed().join(d.lengths.select("contig_id", "name", "length"), "contig_id").select(F.concat_ws("\t", name, "bin_label").alias("value")), "seed")
+
+
+_MARKER_SQL = "SELECT DISTINCT c.name, 'm' || marker_id AS marker FROM mg JOIN contigs c USING (contig_id)"
+_query("fasta_records", lambda d: readers.fasta(d.spark, _fasta_file(d)).select("name", "length", F.md5("seq").alias("seq_md5")), "SELECT name, length, md5(seq) AS seq_md5 FROM contigs")
+_query("contig_ids", lambda d: readers.contigs(d.spark, _fasta_file(d), 1500).select("contig_id", "name", "length"), "SELECT row_number() OVER (ORDER BY name) - 1 AS contig_id, name, length FROM contigs WHERE length >= 1500")
+_query(
+    "depth_rows", lambda d: _round(_round(readers.depth_table(d.spark, _depth_file(d)), "mean"), "var"),
+    "SELECT c.name, CASE sample WHEN 'A' THEN 's0000' WHEN 'N' THEN 's0001' ELSE 's0002' END AS sample, round(mean, 6) AS mean, round(var, 6) AS var FROM depth JOIN contigs c USING (contig_id)",
+)
+_query(
+    "depth_rows_without_variance", lambda d: _round(_round(readers.depth_table(d.spark, _depth_file(d), False).where("sample in ('s0000', 's0002', 's0004')"), "mean"), "var"),
+    "SELECT c.name, CASE sample WHEN 'A' THEN 's0000' WHEN 'N' THEN 's0002' ELSE 's0004' END AS sample, round(mean, 6) AS mean, round(mean, 6) AS var FROM depth JOIN contigs c USING (contig_id)",
+)
+_query(
+    "ragged_depth", lambda d: checks.ragged_depth(readers.depth_lines(d.spark, _depth_file(d)).withColumn("f", F.when(F.col("name").endswith("7"), F.slice("f", 1, 8)).otherwise(F.col("f")))),
+    "SELECT name, 8 AS width FROM contigs WHERE name LIKE '%7'",
+)
+_query("markers_table", lambda d: _read_markers(d, "table"), _MARKER_SQL)
+_query("markers_busco", lambda d: _read_markers(d, "busco"), _MARKER_SQL + " WHERE marker_id % 3 <> 0")
+_query("markers_pfam", lambda d: _read_markers(d, "pfam"), _MARKER_SQL)
+_query("marker_incidence", lambda d: readers.incidence(_read_markers(d, "table"), d.lengths), "SELECT contig_id, dense_rank() OVER (ORDER BY 'm' || marker_id) AS marker_id FROM mg")
+_query("seed_rows", lambda d: readers.resolve(readers.seed_table(d.spark, _seed_file(d)), d.lengths).select("contig_id", "bin_label"), "SELECT contig_id, bin_label FROM seed")
+_query(
+    "binning_lines", lambda d: sinks.binning_lines(d.seed(), d.lengths, "s1"),
+    "SELECT unnest(['@Version:0.9.0', '@SampleID:s1', '@@SEQUENCEID' || chr(9) || 'BINID']) AS value UNION ALL SELECT name || chr(9) || bin_label FROM seed JOIN contigs USING (contig_id)",
+)
+_query("safe_labels", lambda d: d.seed().select(sinks.safe_label(F.concat("bin_label", F.lit("/#1"))).alias("label")).distinct(), "SELECT DISTINCT regexp_replace(bin_label || '/#1', '[^A-Za-z0-9._-]', '_', 'g') AS label FROM seed")
+_query(
+    "distance_facts", lambda d: sinks.read_facts(d.spark, _text(d, sinks.distance_lines(d.measured(d.pairs("all"))), "facts"), "comarker_sim", 3),
+    "SELECT c1 AS a1, c2 AS a2, d::BIGINT AS a3 FROM m_d",
+)
+_query("budget_histogram", lambda d: separate.budget_histogram(separate.budgets(d.conflicts)))
+_query("first_appearance_ids", lambda d: readers.ids_by_appearance(d.lengths.select(F.col("contig_id").alias("ordinal"), F.col("source").alias("label"))), "SELECT label, dense_rank() OVER (ORDER BY o) - 1 AS id FROM (SELECT source AS label, min(contig_id) AS o FROM contigs GROUP BY source)")
+_query("correlation_gaps", lambda d: measure.correlation_gaps(d.measured(d.pairs("all"))), "SELECT count(*) AS pairs, count(*) - count(corr) AS undefined FROM m_mean")
+
+
 def _dense(d: Domain):
     from spindrift.sources.readers import dense_ids
 

@@ -94,3 +94,8 @@ def measure(pairs: DataFrame, feats: DataFrame, min_cv: float = 1.0, limit: int
                 yield measured_batch(b.column(0).to_numpy(), b.column(1).to_numpy(), *a, min_cv)
 
     return both.mapInArrow(joined, SCHEMA)
+
+
+def correlation_gaps(measured: DataFrame) -> DataFrame:
+    """One row: pairs, and those whose correlation is undefined (a side is constant over the samples)."""
+    return measured.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("corr").isNull() | F.isnan("corr")).alias("undefined"))

@@ -46,6 +46,11 @@ def budgets(conflicts: DataFrame, cap: int = 0) -> DataFrame:
     return conflicts.groupBy("bin_id").applyInPandas(run, "bin_id long, k int").where("k >= 2")
 
 
+def budget_histogram(k: DataFrame) -> DataFrame:
+    """k, bins: how many bins have each budget."""
+    return k.groupBy("k").agg(F.count(F.lit(1)).alias("bins"))
+
+
 def search(contigs: list[int], affinity: dict[tuple[int, int], int], penalty: dict[tuple[int, int], int], k: int, pin: int, nodes: int = NODES) -> tuple[dict[int, int], str]:
     """Slots 1..k for the fragments of one bin: largest affinity less penalty, then fewest outside slot 1; ``pin`` has slot 1."""
     anchors = {a for _, a in affinity} | {c for p in penalty for c in p} | {pin}
@@ -134,33 +139,37 @@ def _component(part, anchors, aff, pen, k, pin, nodes):
         rank = {fixed: 1} | {s: r for r, s in enumerate(sorted((s for s in groups if s != fixed), key=lambda s: min(groups[s])), 2)}
         return {c: rank[s] for s, cs in groups.items() for c in cs} | dict.fromkeys(free, 1)
 
-    def place(i, used, score):
+    def enter(i, used, score):
+        """The slots to try for the i-th anchor, best first; none at a leaf (whose answer is kept if it is better), beyond the budget or below hope."""
         if best[0] is not None:  # the first descent is outside the budget, so that there always is an answer
             if left[0] <= 0:
-                return
+                return None
             left[0] -= 1
-        if best[0] is not None and score + hope[i] < best[0][0]:
-            return
+            if score + hope[i] < best[0][0]:
+                return None
         if i == len(order):
             answer = relabel()
             value = (score, -sum(s > 1 for s in answer.values()))
             if best[0] is None or value > best[0]:
                 best[0], best[1] = value, answer
-            return
+            return None
         options = []
         for s in range(1, min(used + 1, k) + 1) if not (i == 0 and pin is not None) else (1,):
             slot[i] = s
             more = sum(w for j, w in gain[i] if slot[j] == s) + sum(chosen(links)[0] for links, _ in due[i])
             options.append((-more, s))
-        for more, s in sorted(options):
-            slot[i] = s
-            place(i + 1, max(used, s), score - more)
-        slot[i] = 0
-
-    import sys
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), len(order) + 1000))
-    place(0, 0, 0)
+        return iter(sorted(options))
+
+    frames = [(0, 0, 0, enter(0, 0, 0))]
+    while frames:
+        i, used, score, options = frames[-1]
+        step = next(options, None) if options is not None else None
+        if step is None:
+            frames.pop()
+            continue
+        more, slot[i] = step
+        used = max(used, slot[i])
+        frames.append((i + 1, used, score - more, enter(i + 1, used, score - more)))
     return best[1], "optimal" if left[0] > 0 else "time limit"
 
 

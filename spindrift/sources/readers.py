@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +22,12 @@ def dense_ids(df: DataFrame, *keys: str, out: str = "dense_id") -> DataFrame:
     return d.withColumn(out, F.col("_base") + F.row_number().over(Window.partitionBy("_p").orderBy(*keys)) - 1).drop("_p", "_base")
 
 
+def ids_by_appearance(rows: DataFrame) -> DataFrame:
+    """label, id: 0-based ids of the labels of (ordinal, label) in the order of their first appearance."""
+    first = rows.groupBy("label").agg(F.min("ordinal").alias("first"))
+    return dense_ids(first, "first", "label", out="id").select("label", "id")
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """name (first word of the header), seq, length; one row a record."""
     d = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^>|\r", "").alias("v")).where("trim(v) <> ''")
@@ -72,25 +75,24 @@ def markers_busco(spark: SparkSession, paths: list[str]) -> DataFrame:
     return _fields(spark, paths).where("size(f) >= 3").where(F.get("f", 1).isin("Complete", "Duplicated")).select(F.get("f", 2).alias("name"), F.get("f", 0).alias("marker")).distinct()
 
 
+_ORFS = "map<string,string>"
+
+
+def pfam_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """name, orfs of a dictionary literal {orf: {marker: ...}} a row, null where it is none. Tuples are read as lists."""
+    d = _fields(spark, paths).where("size(f) >= 2").select(F.get("f", 0).alias("name"), F.translate(F.get("f", 1), "()", "[]").alias("cell"))
+    return d.select("name", F.from_json("cell", _ORFS, {"allowSingleQuotes": "true"}).alias("orfs"))
+
+
 def markers_pfam(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """name, marker of a dictionary literal {orf: {marker: ...}} a row; rows that are none are skipped."""
-
-    def run(batches):
-        for b in batches:
-            names, marks = [], []
-            for name, cell in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    value = ast.literal_eval(cell or "")
-                except (ValueError, SyntaxError, MemoryError, RecursionError):
-                    continue
-                for orf in value.values() if isinstance(value, dict) else ():
-                    for m in orf if isinstance(orf, dict) else ():
-                        names.append(name)
-                        marks.append(str(m))
-            yield pa.record_batch([pa.array(names, pa.string()), pa.array(marks, pa.string())], ["name", "marker"])
-
-    d = _fields(spark, paths).where("size(f) >= 2").select(F.get("f", 0).alias("name"), F.get("f", 1).alias("cell"))
-    return d.mapInArrow(run, "name string, marker string").distinct()
+    """name, marker of every marker of every orf; rows that are no dictionary are skipped, and so are orfs that are none."""
+    orf = pfam_cells(spark, paths).select("name", F.explode("orfs").alias("orf", "markers"))
+    return orf.select("name", F.explode(F.map_keys(F.from_json("markers", _ORFS, {"allowSingleQuotes": "true"}))).alias("marker")).distinct()
+
+
+def unread_pfam(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One row: rows read, and those that are no dictionary."""
+    return pfam_cells(spark, paths).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("orfs").isNull()).alias("unread"))
 
 
 def markers(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
@@ -117,6 +119,8 @@ def seed_directory(spark: SparkSession, path: str) -> DataFrame:
     d = spark.read.text(path).select("value", F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1).alias("file")).where("value like '>%'")
     for word in NO_BINS:
         d = d.where(~F.lower("file").contains(word))
+    if not d.limit(1).count():
+        raise ValueError(f"no bin file with a sequence in {path}")
     label = F.regexp_replace(F.regexp_replace("file", r"\.gz$", ""), r"\.[^.]*$", "")
     return d.select(F.regexp_extract("value", r"^>(\S+)", 1).alias("name"), label.alias("bin_label"))
 
