@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.plans.stage import scratch, shared_dir, written  # noqa: F401
+from spindrift.plans import stage
+from spindrift.plans.stage import scratch, shared_dir  # noqa: F401
 
 # One Python process per task slot: native libraries must not start threads of their own.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -19,7 +20,23 @@ os.environ.setdefault("OMP_NUM_THREADS", "1")
 os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
 
 
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows instead of Spark's 10000, unless the session says otherwise: texts are long, and a batch is held by the JVM and by the worker."""
+    if not spark.sparkContext.getConf().contains(_BATCH) and spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    small_batches(df.sparkSession)
+    return stage.written(df, what)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

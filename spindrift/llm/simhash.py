@@ -468,7 +468,7 @@ def read_texts(docs: DataFrame, shingle: int, similarity: float, often: tuple[np
 
 
 def buckets(read: DataFrame) -> DataFrame:
-    """key, md5, n, pos of each text's prefix shingles that other texts share, with lead, lead_n and lead_pos of the bucket's lead.
+    """key, md5, n, pos of each text's prefix shingles that other texts share, with many (their texts), lead, lead_n and lead_pos of the bucket's lead.
 
     The lead has the shingle earliest in its prefix. Shingles of a large group are common and
     stand behind those that an edit makes, so the lead is the text that the others stem from,
@@ -478,7 +478,7 @@ def buckets(read: DataFrame) -> DataFrame:
     d = d.withColumn("_last", F.lag("md5").over(Window.partitionBy("key").orderBy("md5"))).where("_last is null or _last != md5").drop("_last")
     own = Window.partitionBy("key")
     d = d.withColumn("_many", F.count(F.lit(1)).over(own)).withColumn("_lead", F.min(F.struct("pos", "md5", "n")).over(own)).where("_many > 1")
-    return d.select("key", "md5", "n", "pos", F.col("_lead.md5").alias("lead"), F.col("_lead.n").alias("lead_n"), F.col("_lead.pos").alias("lead_pos"))
+    return d.select("key", "md5", "n", "pos", F.col("_many").alias("many"), F.col("_lead.md5").alias("lead"), F.col("_lead.n").alias("lead_n"), F.col("_lead.pos").alias("lead_pos"))
 
 
 def _fits(n, pos, m, at, similarity: float):
@@ -502,7 +502,8 @@ def _by_lead(shared: DataFrame, similarity: float) -> DataFrame:
 
 
 def _by_all(shared: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of buckets that ``groups`` does not connect: one side is always outside the lead's group, so a large group does not meet itself."""
+    """All pairs of buckets, but for those with the lead, that ``groups`` does not connect: one side is always outside the lead's group, so a large group does not meet itself."""
+    shared = shared.where((F.col("many") > 2) & (F.col("md5") != F.col("lead"))).select("key", "md5", "n", "pos", "lead")
     of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     d = shared.join(of("md5"), "md5", "left").join(of("lead"), "lead", "left")
     d = d.select("key", "md5", "n", "pos", F.coalesce("of_md5", "md5").alias("of"), F.coalesce("of_lead", "lead").alias("of_lead"))
@@ -516,9 +517,13 @@ def _by_all(shared: DataFrame, groups: DataFrame, similarity: float) -> DataFram
 MOST_BITS = 27
 
 
-def _asked(df: DataFrame, asked: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose md5 is asked for (``asked``: distinct md5). A bit map of the asked, 16 MB at most, keeps most others out of the shuffle; where it is full it only keeps fewer out."""
-    spark = df.sparkSession
+def _among(asked: DataFrame):
+    """A test of md5 columns: false means not in ``asked`` (column md5), true that it may be.
+
+    It reads a bit map of 16 MB at most, which keeps most rows that are not asked for out of a
+    shuffle of texts; where the map is full it only keeps fewer out.
+    """
+    spark = asked.sparkSession
     bits = min(MOST_BITS, max(12, (16 * asked.count()).bit_length()))
 
     def words(batches):
@@ -530,17 +535,19 @@ def _asked(df: DataFrame, asked: DataFrame) -> DataFrame:
     table = np.zeros(1 << (bits - 6), np.uint64)
     table[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     box = spark.sparkContext.broadcast(table)  # 2 ** MOST_BITS bits at most
-    at_md5 = df.columns.index("md5")
 
-    def run(batches):
-        for b in common.slices(batches):
-            keep = np.ones(b.num_rows, bool)
-            for at in _positions(b.column(at_md5), bits):
-                keep &= (box.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            if keep.any():
-                yield b.filter(pa.array(keep))
+    def may(md5: pa.Array) -> pa.Array:
+        keep = np.ones(len(md5), bool)
+        for at in _positions(md5, bits):
+            keep &= (box.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return pa.array(keep)
+
+    return F.arrow_udf(may, "boolean")
 
-    return df.mapInArrow(run, df.schema).join(asked, "md5", "left_semi")
+
+def _asked(df: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose md5 is asked for (``asked``: distinct md5)."""
+    return df.where(_among(asked)("md5")).join(asked, "md5", "left_semi")
 
 
 def _positions(md5: pa.Array, bits: int):
@@ -564,7 +571,7 @@ def _sieved(pairs: DataFrame, read: DataFrame, similarity: float) -> DataFrame:
                 keep.append(both >= similarity * (n[i] + m[i] - both) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicate_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY, tree_size: int = TREE_SIZE):
@@ -610,9 +617,13 @@ def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, radius: int = STAGE_
     best = member.groupBy("component").agg(F.min(order).alias("best")).select("component", F.col("best.md5").alias("best"))
     verdict = texts.join(member.join(best, "component").select("md5", "best"), "md5", "left").where("rows > 1 or best is not null")
     own, md5, keep, chosen = (common.unused(docs, c) for c in ("own", "md5", "keep", "chosen"))
-    verdict = common.written(verdict.select(F.col("md5").alias(md5), F.col("keep_id").alias(keep), (F.coalesce("best", "md5") == F.col("md5")).alias(chosen)), "verdict")
-    d = docs.withColumn(own, _md5(F.col("text"))).join(verdict, F.col(own) == F.col(md5), "left")
-    d = d.where(F.col(md5).isNull() | (F.col(chosen) & F.col("doc_id").eqNullSafe(F.col(keep))))
+    verdict = common.written(verdict.select("md5", "keep_id", (F.coalesce("best", "md5") == F.col("md5")).alias("chosen")), "verdict")
+    maybe = common.unused(docs, "maybe")
+    d = docs.withColumn(own, _md5(F.col("text"))).withColumn(maybe, _among(verdict)(own))
+    # only rows that may have a verdict are shuffled
+    judged = d.where(maybe).join(verdict.toDF(md5, keep, chosen), F.col(own) == F.col(md5), "left")
+    judged = judged.where(F.col(md5).isNull() | (F.col(chosen) & F.col("doc_id").eqNullSafe(F.col(keep))))
+    d = d.where(~F.col(maybe)).select(*docs.columns, own).unionByName(judged.select(*docs.columns, own))
     repeated = docs.select("doc_id", _md5(F.col("text")).alias("m")).groupBy("doc_id", "m").count().where("count > 1")
     if repeated.limit(1).count():
         d = d.dropDuplicates(["doc_id", own])
