@@ -124,12 +124,15 @@ def signed_g(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np
 
 
 def near_copies(rows: list[tuple[np.ndarray, int]], similarity: float = COPY_SIMILARITY) -> list[int]:
-    """For each row of (distinct term hashes, label) the first row of its label that it nearly copies, itself if none: Jaccard similarity of ``similarity`` or more, tried where one of a few smallest hashes agrees."""
+    """For each row of (distinct term hashes, label) the first row of its label that it nearly copies, itself if none: Jaccard similarity of ``similarity`` or more, tried where one of a few smallest hashes of rarer terms agrees."""
     first: list[int] = []
     met: dict[tuple, list[int]] = {}
     mixers = [np.uint64(2 * (0x5851F42D4C957F2D * (k + 1) % (1 << 63)) + 1) for k in range(8)]
+    terms, back, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in rows)]), return_inverse=True, return_counts=True)
+    rare = np.split(df[back] <= max(20, len(rows) // 10), np.cumsum([len(h) for h, _ in rows])[:-1])
     for i, (h, label) in enumerate(rows):
-        keys = [(label, k, int((h * m).min())) for k, m in enumerate(mixers)] if len(h) else [(label, -1, 0)]
+        own = h[rare[i]] if rare[i].any() else h  # the smallest hash of common words would be that of most rows
+        keys = [(label, k, int((own * m).min())) for k, m in enumerate(mixers)] if len(h) else [(label, -1, 0)]
         own = i
         for j in sorted({j for key in keys for j in met.get(key, ())}):
             both = len(np.intersect1d(h, rows[j][0], assume_unique=True))
