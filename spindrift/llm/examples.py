@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spindrift.llm import common
 
 _SPACE = 1 << 30
+MOST_CLASSES = 200
 
 
 def fractions(counts: dict, per_class: int) -> dict:
@@ -21,7 +22,7 @@ def fractions(counts: dict, per_class: int) -> dict:
 
 def choose(rows: DataFrame, key: str, label: str, per_class: int) -> tuple[list[tuple], dict]:
     """(key, label) pairs of the sample, and how many rows each class has in all."""
-    counts = {r[0]: int(r[1]) for r in rows.groupBy(label).count().collect()}  # one row a class
+    counts = {r[0]: int(r[1]) for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_CLASSES).collect()}
     share = F.lit(0.0)
     for c, f in fractions(counts, per_class).items():
         share = F.when(F.col(label) == c, F.lit(f)).otherwise(share)

@@ -7,7 +7,8 @@ logistic loss over all bits (loss-weighted decoding); the score is the softmax o
 negative losses, and a small distance to the runner-up flags the text as ambiguous.
 
 Up to four languages get the exhaustive code, more get the best of several seeded random
-codes by minimum distance. Fitted on about ``per_class`` rows a language.
+codes by minimum distance. Fitted on about ``per_class`` rows a language, of the
+examples.MOST_CLASSES most frequent ones (a bound on what a dirty column can bring).
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is
 everything where no row has a usable language; with one language, every text with letters
@@ -29,6 +30,7 @@ from spindrift.llm import common, examples
 
 PER_CLASS = 800
 DIM = 2048
+PIECE = 1 << 18
 MODULUS, REMAINDER = 4, 2
 MARGIN = 0.2
 ITERATIONS = 150
@@ -47,19 +49,25 @@ def _gap_table() -> np.ndarray:
 _TABLE = _gap_table()
 
 
-def features(data: np.ndarray, dim: int = DIM) -> np.ndarray:
-    """Square-rooted n-gram counts of one text, scaled to length 1."""
-    t = _TABLE[data]
-    if len(t) > 1:  # gaps count once
-        t = t[np.r_[True, (t[1:] != 32) | (t[:-1] != 32)]]
-    t = np.concatenate([[32], t, [32]]).astype(np.uint32)
-    x = np.zeros(dim, np.float32)
+def features(data: np.ndarray, dim: int = DIM, piece: int = PIECE) -> np.ndarray:
+    """Square-rooted n-gram counts of one text, scaled to length 1; a long text is read in pieces."""
     shift = np.uint32(32 - (dim.bit_length() - 1))
-    one = t * np.uint32(0x9E3779B1)
-    two = (t[:-1] << np.uint32(8) | t[1:]) * np.uint32(0x85EBCA6B)
-    three = (t[:-2] << np.uint32(16) | t[1:-1] << np.uint32(8) | t[2:]) * np.uint32(0xC2B2AE35)
-    for g in (one, two, three):
-        x += np.sqrt(np.bincount(g >> shift, minlength=dim)[:dim])
+    counts = np.zeros((3, dim), np.int64)
+    last = np.array([32], np.uint32)  # up to two codes before the piece
+    for at in range(0, len(data) + 1, piece):
+        t = _TABLE[data[at : at + piece]]
+        if at + piece > len(data):
+            t = np.append(t, np.uint32(32))
+        t = t[(t != 32) | (np.concatenate([last[-1:], t[:-1]]) != 32)]  # gaps count once
+        s, k = np.concatenate([last, t]), len(last)
+        one = t * np.uint32(0x9E3779B1)
+        two = (s[k - 1 : -1] << np.uint32(8) | s[k:]) * np.uint32(0x85EBCA6B)
+        m = s[k - 2 :] if k > 1 else s
+        three = (m[:-2] << np.uint32(16) | m[1:-1] << np.uint32(8) | m[2:]) * np.uint32(0xC2B2AE35)
+        for c, g in zip(counts, (one, two, three)):
+            c += np.bincount(g >> shift, minlength=dim)[:dim]
+        last = s[-2:]
+    x = np.sqrt(counts).sum(axis=0).astype(np.float32)
     return x / max(1e-9, float(np.sqrt((x * x).sum())))
 
 

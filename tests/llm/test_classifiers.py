@@ -40,6 +40,14 @@ def test_language_edges(spark):
     assert language.fit(docs(spark, []))[0] == []
 
 
+def test_features_of_pieces_are_those_of_the_whole():
+    for text in ("", "a", "ab", "  a  b!! c", "Ünï cöde 12 x", prose(3, 300) + "  .. " + prose(4, 50)):
+        data = np.frombuffer(text.encode(), np.uint8)
+        whole = language.features(data)
+        for piece in (1, 2, 3, 7, 64):
+            assert np.allclose(language.features(data, piece=piece), whole)
+
+
 def test_codewords_correct_errors():
     for k in (2, 3, 4, 6, 12):
         code = language.codewords(k)
