@@ -1,7 +1,14 @@
 """The corpus pipeline: quality, toxicity, near duplicates, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but
-the last return the columns they were given.
+the last return the columns they were given, whatever their names.
+
+Defined cases: a null text is an empty one in every stage; empty and blank texts are scored
+like others and are near copies of each other; rows with equal texts are near copies, rows
+that repeat a doc_id and its text are one of them; a null doc_id counts as the largest, and
+its row can stay; without usable labels the classifiers keep nothing (quality, whose score is
+then one half) or everything (toxicity, zero); an empty benchmark contaminates nothing; an
+empty table gives an empty table in every stage; very long texts are read whole.
 """
 
 from __future__ import annotations
