@@ -174,6 +174,13 @@ def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 SIDE_MOST = 1 << 16
+SALTS = 64
+
+
+def _of_lang(rows: DataFrame, name: str, langs: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the row of their language: ``name`` deals a language's rows to SALTS tasks."""
+    salted = langs.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(name), F.lit(SALTS))).join(salted, ["lang", "_salt"], how).drop("_salt")
 
 
 def _blocked(rows: DataFrame, block: str, size: str, width: int, name: str, *order) -> DataFrame:
@@ -192,11 +199,12 @@ def prepared(docs: DataFrame, least: int = LEAST_DOCS) -> tuple[DataFrame, DataF
     sums = entries.groupBy("lang", "source").agg(F.sum("n").alias("N"))
     groups = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     of = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("S"))
-    groups = groups.join(sums, ["lang", "source"], "left").join(of, "lang").join(langs.select("lang", "V"), "lang", "left")
+    groups = groups.join(sums, ["lang", "source"], "left")
+    groups = _of_lang(_of_lang(groups, "source", of), "source", langs.select("lang", "V"), "left")
     groups = groups.select("lang", "source", "S", F.coalesce("V", F.lit(0)).alias("V"), (F.coalesce("N", F.lit(0)) + 2 * F.coalesce("V", F.lit(0))).alias("total"))
     groups = groups.withColumn("zero", F.when(F.col("V") > 0, _chance("0", "total")))
     groups = common.written(_blocked(groups, "i", "S", SIDE, "source", "source"), "divergence-groups")
-    terms = kept.join(langs, "lang").withColumn("q", _chance("of_lang", "N + 2 * V"))
+    terms = _of_lang(kept, "term", langs).withColumn("q", _chance("of_lang", "N + 2 * V"))
     # frequent terms first: what is zero everywhere gathers in quadrants of its own
     terms = _blocked(terms, "c", "V", WIDE, "term", F.desc("of_lang"), "term")
     terms = terms.withColumn("width", F.count(F.lit(1)).over(Window.partitionBy("lang", "c")).cast("long"))
@@ -211,7 +219,7 @@ def divergences(groups: DataFrame, terms: DataFrame, entries: DataFrame) -> Data
     body = entries.join(terms.select("lang", "term", "c", "col", "width"), ["lang", "term"]).join(rows.drop("zero"), ["lang", "source"])
     body = body.select("lang", "source", "S", "i", "row", "c", "width", F.col("col").cast("int").alias("col"), "p")
     blocks = terms.select("lang", "c", "width").distinct()
-    head = rows.join(blocks, "lang").select("lang", "source", "S", "i", "row", "c", "width", F.lit(None).cast("int").alias("col"), F.col("zero").alias("p"))
+    head = _of_lang(rows, "source", blocks).select("lang", "source", "S", "i", "row", "c", "width", F.lit(None).cast("int").alias("col"), F.col("zero").alias("p"))
     tiles = body.unionByName(head).withColumn("row", F.col("row").cast("int"))
     last = F.greatest(F.lit(1), F.ceil(F.col("S") / SIDE)) - 1
     left = tiles.withColumn("j", F.explode(F.sequence(F.col("i"), last))).drop("S")
