@@ -39,6 +39,7 @@ LONGEST = 500_000
 # --------------------------------------------------------------------------------------------
 
 PARTS = ("x", "y", "xy")
+STRIP = 64
 LOG_FLOOR = float(np.log(1 / FLOOR - 1))
 K = 4
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")
@@ -118,20 +119,44 @@ def probability(d: np.ndarray, log1: np.ndarray, log2: np.ndarray) -> np.ndarray
     return decided(d, *(side("x", x) + side("y", y) + side("xy", x * y)))
 
 
-def probability_matrix(d: np.ndarray, log1: np.ndarray, log2: np.ndarray) -> np.ndarray:
-    """probability() of all fragments of one list against all of another. The polynomials in one length are computed once a fragment, that in the product is one small matrix product."""
-    shorter = log1[:, None] <= log2[None, :]
-    x1, y1, x2, y2 = side("x", log1), side("y", log1), side("x", log2), side("y", log2)
-    powers = np.arange(max(len(m["xy"]) for m in MODEL.values()))
-    p1, p2 = log1[:, None] ** powers, log2[:, None] ** powers
-    at = []
+def length_terms(log: np.ndarray, longer: int) -> np.ndarray:
+    """Rows of factors, one a fragment, whose products are the four coefficients: a shorter one's and a longer one's.
+
+    A coefficient is the shorter fragment's polynomial times 1, plus 1 times the longer one's,
+    plus the products of like powers of both lengths, weighted on the shorter side.
+    """
+    powers = log[:, None] ** np.arange(max(len(m["xy"]) for m in MODEL.values()))
+    own, one = side("y" if longer else "x", log), np.ones(len(log))
+    rows = []
     for k, m in enumerate(MODEL.values()):
-        z = np.zeros(len(powers))
-        z[: len(m["xy"])] = m["xy"]
-        both = np.where(shorter, x1[k][:, None] + y2[k][None, :], y1[k][:, None] + x2[k][None, :])
-        both += (p1 * z) @ p2.T
-        at.append(both)
-    return decided(d, *at)
+        weight = np.zeros(powers.shape[1])
+        weight[: len(m["xy"])] = m["xy"]
+        rows.append(np.column_stack([one, own[k], powers] if longer else [own[k], one, powers * weight]))
+    return np.stack(rows)
+
+
+def coefficients(log1: np.ndarray, log2: np.ndarray) -> np.ndarray:
+    """The four coefficients of all fragments of one list with all of another.
+
+    With both lists by length, the pairs whose first fragment is the shorter lie beyond a
+    staircase: rows are met in strips, in which each side of it is one matrix product, and
+    only the columns between a strip's first and last step are computed for both.
+    """
+    o1, o2 = np.argsort(log1, kind="stable"), np.argsort(log2, kind="stable")
+    x, y = log1[o1], log2[o2]
+    out = np.empty((len(MODEL), len(x), len(y)))
+    short1, long1, short2, long2 = length_terms(x, 0), length_terms(x, 1), length_terms(y, 0), length_terms(y, 1)
+    step = np.searchsorted(y, x)  # columns before it are shorter than the row
+    for at in range(0, len(x), STRIP):
+        r = slice(at, at + STRIP)
+        first, last = step[r][0], step[r][-1]
+        out[:, r, first:] = short1[:, r] @ long2[:, first:].transpose(0, 2, 1)
+        below = long1[:, r] @ short2[:, :last].transpose(0, 2, 1)
+        out[:, r, :first] = below[:, :, :first]
+        mixed = np.arange(first, last)[None, :] < step[r][:, None]
+        out[:, r, first:last] = np.where(mixed, below[:, :, first:], out[:, r, first:last])
+    back1, back2 = np.argsort(o1), np.argsort(o2)
+    return out[:, back1][:, :, back2]
 
 
 def probability_sql(d: str, x: str, y: str) -> str:

@@ -1,112 +1,22 @@
-"""The similarity graph: all-pairs nearest neighbours, cutoff, and the composite edge score.
-
-Rows of the feature matrix are dealt into blocks. While all features fit FEATURE_LIMIT bytes
-every task holds them and meets its own rows with all others; beyond it, each pair of blocks
-meets once, for both sides, and the per-block lists are merged by a window. No pair is ever
-a row before it is among its row's best in a block.
-"""
+"""The similarity graph: cutoff, edges and the composite edge score over the nearest neighbours of ``knn``."""
 
 from __future__ import annotations
 
 import itertools
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.functions import tnf
-from spindrift.operators.measure import _ROW, FEATURE_LIMIT, matrix, measure
+from spindrift.operators.knn import MOST_EDGES, neighbours  # noqa: F401
+from spindrift.operators.measure import measure
+from spindrift.plans.stage import written
 
-MOST_EDGES = 200
 COVERAGE = 0.95
 MIN_SAMPLES = 3  # from so many on, correlation takes part in the score
-BLOCK = 256
-WIDE = 16_384
-
-
-def similarity(a: dict, b: dict) -> np.ndarray:
-    """1 - probability for all rows of ``a`` against all of ``b``, to six decimals."""
-    sq = (a["tnf"] ** 2).sum(1)[:, None] + (b["tnf"] ** 2).sum(1)[None, :] - 2 * (a["tnf"] @ b["tnf"].T)
-    near = np.argwhere(sq < 1e-3)  # cancellation matters only for near copies: those exactly
-    if len(near):
-        diff = a["tnf"][near[:, 0]] - b["tnf"][near[:, 1]]
-        sq[near[:, 0], near[:, 1]] = (diff * diff).sum(1)
-    return np.round(1 - tnf.probability_matrix(np.sqrt(np.maximum(sq, 0)), a["log"], b["log"]), 6)
-
-
-def _best(a: dict, b: dict, min_cv: float, most: int):
-    """src, dst, sim of the best neighbours, and each row's largest similarity to another. Both sides are in id order.
-
-    A row is not sorted: the value of its last place is selected, all above it are taken, and
-    the smallest ids of those that equal it.
-    """
-    s = similarity(a, b)
-    s[a["id"][:, None] == b["id"][None, :]] = -1
-    top = s.max(axis=1, initial=-1.0)
-    s[~((a["mean"] > min_cv).any(1)[:, None] | (b["mean"] > min_cv).any(1)[None, :])] = -1
-    n = s.shape[1]
-    least = np.full((len(s), 1), -0.5)
-    if n > most:
-        least = np.maximum(least, np.partition(s, n - most, axis=1)[:, n - most, None])
-    more = (s > least).sum(axis=1)
-    row, col = np.nonzero(s >= least)
-    tie = s[row, col] == least[row, 0]
-    first = np.cumsum(tie) - 1
-    begin = np.searchsorted(row, np.arange(len(s)))
-    seen = np.concatenate([[0], np.cumsum(tie)])[begin]  # ties of the rows before
-    take = ~tie | (first - seen[row] < (most - more)[row])
-    row, col = row[take], col[take]
-    return a["id"][row], b["id"][col], s[row, col], top
-
-
-def neighbours(feats: DataFrame, min_cv: float = 1.0, most: int = MOST_EDGES, limit: int = FEATURE_LIMIT) -> DataFrame:
-    """src, dst, sim: every fragment's ``most`` most similar others (ties to the smaller id); rows with dst null hold its largest similarity."""
-    schema = "src long, dst long, sim double"
-    n = feats.count()
-    if n * _ROW <= limit:
-        box = feats.sparkSession.sparkContext.broadcast(matrix(feats.collect()))
-        ids = feats.select("contig_id").repartition(max(1, min(-(-n // BLOCK), 10_000)), "contig_id")
-
-        def run(batches):
-            m = box.value
-            for b in batches:
-                at = np.searchsorted(m["id"], np.sort(b.column(0).to_numpy()))
-                for k in range(0, len(at), BLOCK):
-                    own = {c: v[at[k : k + BLOCK]] for c, v in m.items()}
-                    src, dst, sim, top = _best(own, m, min_cv, most)
-                    yield pa.record_batch([pa.array(src), pa.array(dst), pa.array(sim)], ["src", "dst", "sim"])
-                    yield pa.record_batch([pa.array(own["id"]), pa.nulls(len(own["id"]), pa.int64()), pa.array(top)], ["src", "dst", "sim"])
-
-        return ids.mapInArrow(run, schema)
-    # each pair of blocks meets once, for both sides
-    blocks = -(-n // WIDE)
-    dealt = feats.withColumn("k", F.pmod(F.xxhash64("contig_id"), F.lit(blocks)))
-    upto, last = F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")
-    left = dealt.withColumn("l", F.explode(F.sequence(F.col("k"), last)))
-    right = dealt.withColumn("l", F.explode(F.sequence(upto, F.col("k"))))
-    right = right.toDF(*(f"{c}_r" for c in right.columns))  # names of its own: the two sides stem from one table
-
-    def meet(a, b):
-        import pandas as pd
-
-        b.columns = [c.removesuffix("_r") for c in b.columns]
-        out = [pd.DataFrame({"src": pd.array([], "int64"), "dst": pd.array([], "Int64"), "sim": pd.array([], "float64")})]
-        if len(a) and len(b):
-            x, y = matrix(a.itertuples(index=False)), matrix(b.itertuples(index=False))
-            for p, q in ((x, y), (y, x))[: 1 + (a["k"].iloc[0] != b["k"].iloc[0])]:
-                for r in range(0, len(p["id"]), BLOCK):
-                    own = {c: v[r : r + BLOCK] for c, v in p.items()}
-                    src, dst, sim, top = _best(own, q, min_cv, most)
-                    out.append(pd.DataFrame({"src": src, "dst": pd.array(dst, "Int64"), "sim": sim}))
-                    out.append(pd.DataFrame({"src": own["id"], "dst": pd.array([None] * len(own["id"]), "Int64"), "sim": top}))
-        return pd.concat(out)
-
-    met = left.groupBy("k", "l").cogroup(right.groupBy("l_r", "k_r")).applyInPandas(meet, schema)
-    w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    edges = met.where("dst is not null").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
-    return edges.unionByName(met.where("dst is null").groupBy("src").agg(F.max("sim").alias("sim")).select("src", F.lit(None).cast("long").alias("dst"), "sim"))
+DECIMALS = 6
+RANGES = 4096
 
 
 class Rand:
@@ -193,8 +103,8 @@ def knn_edges(near: DataFrame, per_mille: float) -> DataFrame:
     return near.where((F.col("dst") > F.col("src")) & (F.col("sim") > per_mille / 1000))
 
 
-def global_rank(edges: DataFrame, value: str, out: str, highest: bool = False) -> DataFrame:
-    """1-based rank of ``value`` over all rows; ties share the lowest (or highest) rank.
+def ranks(edges: DataFrame, value: str, out: str, highest: bool = False) -> DataFrame:
+    """``value``, ``out``: the 1-based rank of each distinct value over all rows; ties share the lowest (or highest) rank.
 
     Counts per distinct value are accumulated over ranges: only one row a range meets in one task.
     """
@@ -204,23 +114,48 @@ def global_rank(edges: DataFrame, value: str, out: str, highest: bool = False) -
     before = F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     v = v.join(sums.select("_b", before.alias("_base")), "_b")
     own = F.sum("_n").over(Window.partitionBy("_b").orderBy(F.coalesce(F.col(value), F.lit(9.0))).rowsBetween(Window.unboundedPreceding, 0))
-    rank = F.col("_base") + own if highest else F.col("_base") + own - F.col("_n") + 1
-    ranks = v.select(F.col(value).alias("_v"), rank.alias(out))
-    return edges.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
+    return v.select(value, (F.col("_base") + own if highest else F.col("_base") + own - F.col("_n") + 1).alias(out))
+
+
+def global_rank(edges: DataFrame, value: str, out: str, highest: bool = False) -> DataFrame:
+    """``edges`` with ``out``, as by ``ranks``."""
+    r = ranks(edges, value, out, highest).withColumnRenamed(value, "_v")
+    return edges.join(r, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
+
+
+def at_rank(asked: DataFrame, rank: str, held: DataFrame, value: str, low: str, rows: int, out: str) -> DataFrame:
+    """``asked`` with ``out``: the ``value`` of ``held`` whose interval of ranks, which begins at ``low``, holds ``rank``.
+
+    An interval join without a row for each rank: both sides are merged in the order of ranks,
+    within ranges of ranks; what a range has from before is one row a range.
+    """
+    width = max(1, -(-rows // RANGES))
+    kept = [F.col(c) for c in asked.columns]
+    x = asked.select(F.col(rank).alias("_k"), F.struct(*kept).alias("_row"), F.lit(None).cast("double").alias("_at"))
+    y = held.select(F.col(low).alias("_k"), F.lit(None).cast(x.schema["_row"].dataType).alias("_row"), F.col(value).alias("_at"))
+    both = x.unionByName(y).withColumn("_b", F.floor((F.col("_k") - 1) / width))
+    last = both.groupBy("_b").agg(F.max_by("_at", F.when(F.col("_at").isNotNull(), F.col("_k"))).alias("_last"))
+    carried = last.select("_b", F.last("_last", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = F.last("_at", ignorenulls=True).over(Window.partitionBy("_b").orderBy("_k", F.col("_at").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_own", own).where("_row is not null").join(carried, "_b")
+    return both.select("_row.*", F.coalesce("_own", "_before").alias(out))
 
 
 def composite(edges: DataFrame, feats: DataFrame, min_cv: float = 1.0) -> DataFrame:
-    """src, dst, s_tnf, s_abd, s_cor, rank_tnf, rank_cor, score: composition and correlation ranks mapped to the abundance distribution, then a weighted geometric mean."""
-    pairs = edges.select(F.col("src").alias("c1"), F.col("dst").alias("c2"), F.col("sim"))
-    m = measure(pairs, feats, min_cv).select("c1", "c2", F.round(1 - F.col("abd_dist"), 6).alias("s_abd"), F.round(F.nanvl("corr", F.lit(None).cast("double")), 6).alias("s_cor"), "nnz")
-    e = pairs.withColumnRenamed("sim", "s_tnf").join(m, ["c1", "c2"])
-    e = global_rank(global_rank(e, "s_tnf", "rank_tnf"), "s_cor", "rank_cor", highest=True)
-    # k-th smallest abundance similarity: each distinct value covers an interval of ranks
-    low = global_rank(e.select("s_abd"), "s_abd", "lo").groupBy("s_abd").agg(F.first("lo").alias("lo"), F.count(F.lit(1)).alias("n"))
-    order = low.select(F.col("s_abd").alias("at"), F.explode(F.sequence("lo", F.col("lo") + F.col("n") - 1)).alias("k"))
-    e = e.join(order.select(F.col("k").alias("rank_tnf"), F.col("at").alias("m_tnf")), "rank_tnf").join(order.select(F.col("k").alias("rank_cor"), F.col("at").alias("m_cor")), "rank_cor")
+    """src, dst, s_tnf, s_abd, s_cor, rank_tnf, rank_cor, score: composition and correlation ranks mapped to the abundance distribution, then a weighted geometric mean.
+
+    Scores have DECIMALS decimals, so each has at most 2 * 10 ** DECIMALS + 2 distinct values however
+    many edges there are: ranks, and the values at these ranks, are found among them.
+    """
+    pairs = edges.select(F.col("src").alias("c1"), F.col("dst").alias("c2"), F.col("sim").alias("s_tnf"))
+    m = measure(pairs, feats, min_cv, extra=["s_tnf"]).select("c1", "c2", "s_tnf", F.round(1 - F.col("abd_dist"), DECIMALS).alias("s_abd"), F.round(F.nanvl("corr", F.lit(None).cast("double")), DECIMALS).alias("s_cor"), "nnz")
+    e = written(m, "edges")
+    rows, low = e.count(), ranks(e, "s_abd", "lo")
+    tnf_ = at_rank(ranks(e, "s_tnf", "rank_tnf"), "rank_tnf", low, "s_abd", "lo", rows, "m_tnf").withColumnRenamed("s_tnf", "_t")
+    cor = at_rank(ranks(e, "s_cor", "rank_cor", highest=True), "rank_cor", low, "s_abd", "lo", rows, "m_cor").withColumnRenamed("s_cor", "_c")
+    e = e.join(tnf_, F.col("s_tnf") == F.col("_t")).join(cor, F.col("s_cor").eqNullSafe(F.col("_c")))
     w = 1.0 / (1 + F.col("nnz"))
     s = F.pow("s_abd", 1 - w) * F.pow("m_tnf", w)
     first = feats.select(F.size("mean")).first()
     score = F.sqrt(s * F.col("m_cor")) if first and first[0] >= MIN_SAMPLES else s
-    return e.select(F.col("c1").alias("src"), F.col("c2").alias("dst"), "s_tnf", "s_abd", "s_cor", "nnz", "rank_tnf", "rank_cor", F.round(score, 6).alias("score"))
+    return e.select(F.col("c1").alias("src"), F.col("c2").alias("dst"), "s_tnf", "s_abd", "s_cor", "nnz", "rank_tnf", "rank_cor", F.round(score, DECIMALS).alias("score"))

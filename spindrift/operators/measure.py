@@ -35,12 +35,13 @@ def matrix(rows) -> dict[str, np.ndarray]:
     """Driver-side matrices of collected feature rows, by ascending id."""
     rows = sorted(rows, key=lambda r: r.contig_id)
     n = len(rows)
+    samples = len(rows[0].mean) if n else 0
     return {
         "id": np.array([r.contig_id for r in rows], np.int64),
-        "log": tnf.log_length([r.length for r in rows]) if n else np.zeros(0),
+        "log": tnf.log_length([r.length for r in rows]),
         "tnf": np.array([r.tnf for r in rows], float).reshape(n, len(tnf.KMERS)),
-        "mean": np.array([r.mean for r in rows], float).reshape(n, -1),
-        "var": np.array([r.var for r in rows], float).reshape(n, -1),
+        "mean": np.array([r.mean for r in rows], float).reshape(n, samples),
+        "var": np.array([r.var for r in rows], float).reshape(n, samples),
     }
 
 
@@ -61,9 +62,13 @@ def measured_batch(c1, c2, a: dict, b: dict, min_cv: float) -> pa.RecordBatch:
     return pa.record_batch(cols, NAMES)
 
 
-def measure(pairs: DataFrame, feats: DataFrame, min_cv: float = 1.0, limit: int = FEATURE_LIMIT) -> DataFrame:
-    """c1, c2 and all measures of those pairs whose fragments are both kept."""
+def measure(pairs: DataFrame, feats: DataFrame, min_cv: float = 1.0, limit: int = FEATURE_LIMIT, extra: list[str] | None = None) -> DataFrame:
+    """c1, c2, the ``extra`` columns of the pairs, and all measures, of those pairs whose fragments are both kept."""
     spark = pairs.sparkSession
+    extra = extra or []
+    own = pairs.select("c1", "c2", *extra)
+    schema = ", ".join([SCHEMA, *(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[2:])])
+    both_of = lambda batch, b, at: pa.record_batch([*batch.columns, *(b.column(c).take(at) for c in extra)], [*NAMES, *extra])
     if feats.count() * _ROW <= limit:
         box = spark.sparkContext.broadcast(matrix(feats.collect()))
 
@@ -77,11 +82,11 @@ def measure(pairs: DataFrame, feats: DataFrame, min_cv: float = 1.0, limit: int
                 i, j = np.minimum(np.searchsorted(m["id"], c1), n - 1), np.minimum(np.searchsorted(m["id"], c2), n - 1)
                 ok = (m["id"][i] == c1) & (m["id"][j] == c2)
                 i, j = i[ok], j[ok]
-                yield measured_batch(c1[ok], c2[ok], {k: v[i] for k, v in m.items()}, {k: v[j] for k, v in m.items()}, min_cv)
+                yield both_of(measured_batch(c1[ok], c2[ok], {k: v[i] for k, v in m.items()}, {k: v[j] for k, v in m.items()}, min_cv), b, pa.array(np.flatnonzero(ok)))
 
-        return pairs.select("c1", "c2").mapInArrow(run, SCHEMA)
+        return own.mapInArrow(run, schema)
     side = lambda c: feats.select(F.col("contig_id").alias(c), F.struct("length", "tnf", "mean", "var").alias(f"f{c[1]}"))
-    both = pairs.select("c1", "c2").join(side("c1"), "c1").join(side("c2"), "c2").select("c1", "c2", "f1", "f2")
+    both = own.join(side("c1"), "c1").join(side("c2"), "c2").select("c1", "c2", "f1", "f2", *extra)
 
     def joined(batches):
         for b in batches:
@@ -91,9 +96,9 @@ def measure(pairs: DataFrame, feats: DataFrame, min_cv: float = 1.0, limit: int
                 n = len(rows)
                 a.append({"log": tnf.log_length([r["length"] for r in rows])} | {c: np.array([r[c] for r in rows], float).reshape(n, -1) for c in ("tnf", "mean", "var")})
             if b.num_rows:
-                yield measured_batch(b.column(0).to_numpy(), b.column(1).to_numpy(), *a, min_cv)
+                yield both_of(measured_batch(b.column(0).to_numpy(), b.column(1).to_numpy(), *a, min_cv), b, pa.array(np.arange(b.num_rows)))
 
-    return both.mapInArrow(joined, SCHEMA)
+    return both.mapInArrow(joined, schema)
 
 
 def correlation_gaps(measured: DataFrame) -> DataFrame:

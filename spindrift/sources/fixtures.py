@@ -29,10 +29,10 @@ class Domain:
 
     @cached_property
     def contigs(self) -> DataFrame:
-        """contig_id, name, lang, source, seq, length."""
+        """contig_id, name, lang, source, seq, length; written, as every query reads them many times."""
         seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, BASES)
         d = self.table("documents").select(F.col("doc_id").alias("contig_id"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("name"), "lang", "source", seq.alias("seq"))
-        return d.withColumn("length", F.length("seq").cast("long")).where(F.col("length") >= MIN_LENGTH)
+        return written(d.withColumn("length", F.length("seq").cast("long")).where(F.col("length") >= MIN_LENGTH), "contigs")
 
     @cached_property
     def lengths(self) -> DataFrame:

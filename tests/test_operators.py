@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from spindrift.functions import abundance, tnf
-from spindrift.operators import affinity, checks, comarker, components, graph, merge, partition, recruit, report, separate, threshold
+from spindrift.operators import affinity, checks, comarker, components, graph, knn, merge, partition, recruit, report, separate, threshold
 
 
 def rows(df, *cols):
@@ -215,15 +215,18 @@ def test_abundance_against_integration():
 
 def test_neighbours_broadcast_and_blocks_agree(spark):
     r = random.Random(2)
-    seqs = [(i, "".join(r.choice("ACGT") for _ in range(1200)), 1200) for i in range(30)]
+    seqs = [(i, "".join(r.choice("AACGT"[i % 4 :]) for _ in range(1200 + 40 * i)), 1200 + 40 * i) for i in range(60)]
     contigs = spark.createDataFrame(seqs, "contig_id long, seq string, length long")
-    depth = spark.createDataFrame([(i, s, r.uniform(0, 9), 2.0) for i in range(30) for s in "AB"], "contig_id long, sample string, mean double, var double")
+    depth = spark.createDataFrame([(i, s, r.uniform(0, 9), 2.0) for i in range(60) for s in "AB"], "contig_id long, sample string, mean double, var double")
     from spindrift.operators import measure
 
     feats = measure.features(contigs, depth).cache()
-    a, b = graph.neighbours(feats, most=5), graph.neighbours(feats, most=5, limit=0)
-    assert rows(a.where("dst is not null"), "src", "dst", "sim") == rows(b.where("dst is not null"), "src", "dst", "sim")
-    assert rows(a.where("dst is null"), "src", "sim") == rows(b.where("dst is null"), "src", "sim")
+    a = graph.neighbours(feats, most=5)
+    for wide in (8, 25, 1000):
+        b = graph.neighbours(feats, most=5, limit=0, wide=wide)
+        assert rows(a.where("dst is not null"), "src", "dst", "sim") == rows(b.where("dst is not null"), "src", "dst", "sim")
+        assert rows(a.where("dst is null"), "src", "sim") == rows(b.where("dst is null"), "src", "sim")
+    assert graph.neighbours(feats.limit(0)).count() == 0
     pairs = spark.createDataFrame([(i, j) for i in range(6) for j in range(i)], "c1 long, c2 long")
     assert rows(measure.measure(pairs, feats), "c1", "c2", "d") == rows(measure.measure(pairs, feats, limit=0), "c1", "c2", "d")
 
@@ -250,16 +253,59 @@ def test_error_function():
     assert np.abs(abundance.erfc(x) - [math.erfc(v) for v in x]).max() < 5e-16
 
 
-def test_best_neighbours_are_a_full_sort():
-    r = np.random.default_rng(1)
-    f = lambda n, first: {"id": np.arange(first, first + n), "log": r.uniform(3, 5, n), "tnf": np.abs(r.normal(0.08, 0.01, (n, 136))), "mean": r.uniform(0, 3, (n, 2)), "var": np.ones((n, 2))}
-    for a, b in ((f(9, 0), f(40, 5)), (f(3, 0), f(4, 0))):
-        src, dst, sim, top = graph._best(a, b, 1.0, 6)
-        s = graph.similarity(a, b)
-        for k, i in enumerate(a["id"].tolist()):
-            ok = [(-s[k, m], int(j)) for m, j in enumerate(b["id"]) if j != i and ((a["mean"][k] > 1).any() or (b["mean"][m] > 1).any())]
-            assert sorted(zip((-sim[src == i]).tolist(), dst[src == i].tolist())) == sorted(ok)[:6]
-            assert top[k] == max(s[k, m] for m, j in enumerate(b["id"]) if j != i)
+def _fragments(seed, n, first=0, copies=0):
+    r = np.random.default_rng(seed)
+    centre = np.abs(r.normal(0.08, 0.03, (4, 136)))
+    x = np.abs(centre[r.integers(0, 4, n)] + r.normal(0, 0.008, (n, 136)))
+    x[n - copies :] = x[:copies]
+    x[n // 2] = 0  # without any window
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+    return {"id": first + r.permutation(n), "log": r.uniform(3, 5.7, n), "tnf": x, "mean": r.uniform(0, 1.6, (n, 2)), "var": np.ones((n, 2))}
+
+
+def test_pruned_neighbours_are_a_full_sort():
+    for m, most in ((_fragments(1, 900, copies=40), 15), (_fragments(2, 40), 60), (_fragments(3, 3), 2)):
+        own = knn.Blocks(m, knn.Directions(m["tnf"]), 1.0, leaf=16)
+        edges = knn.length_cells(m["log"].min(), m["log"].max())
+        search = knn.Search(own, edges, knn.lower_coefficients(edges), 1.0, most)
+        a = own.m
+        d = np.sqrt(((a["tnf"][:, None] - a["tnf"][None]) ** 2).sum(axis=2))
+        s = np.round(1 - tnf.probability(d, np.repeat(a["log"][:, None], len(d), axis=1), np.repeat(a["log"][None], len(d), axis=0)), 6)
+        covered = (a["mean"] > 1).any(axis=1)
+        for (at, to), (src, dst, sim, top) in zip(zip(own.start[:-1], own.start[1:]), search.of(own)):
+            for k in range(at, to):
+                others = [j for j in range(len(d)) if j != k]
+                want = sorted((-s[k, j], int(a["id"][j])) for j in others if covered[k] or covered[j])[:most]
+                mine = src == a["id"][k]
+                assert list(zip((-sim[mine]).tolist(), dst[mine].tolist())) == want
+                assert top[k - at] == max(s[k, j] for j in others)
+        if len(d) == 900:
+            assert search.pairs == 900 * 900 and search.evaluated < 0.35 * search.pairs
+
+
+def test_coefficients_are_bounded_from_below_in_each_cell():
+    edges = knn.length_cells(2.5, 5.7)
+    table = knn.lower_coefficients(edges)
+    r = np.random.default_rng(4)
+    x, y = r.uniform(2.5, 5.7, (2, 50_000))
+    lo, hi = np.minimum(x, y), np.maximum(x, y)
+    c = tnf.side("x", lo) + tnf.side("y", hi) + tnf.side("xy", lo * hi)
+    i, j = np.searchsorted(edges, x, "right") - 1, np.searchsorted(edges, y, "right") - 1
+    assert (table[:, i, j] <= c).all() and np.median(c - table[:, i, j]) < 0.5
+    log1, log2 = r.uniform(3, 5.7, 150), np.append(r.uniform(3, 5.7, 90), 4.0)
+    z = tnf.coefficients(log1, log2)
+    want = [tnf.side("x", min(a, b)) + tnf.side("y", max(a, b)) + tnf.side("xy", a * b) for a, b in ((log1[3], log2[5]), (log1[149], log2[90]))]
+    assert np.allclose(z[:, 3, 5], want[0], atol=1e-6) and np.allclose(z[:, 149, 90], want[1], atol=1e-6)
+
+
+def test_values_at_ranks(spark):
+    r = random.Random(9)
+    values = [round(r.random(), 1) for _ in range(200)] + [0.5] * 300
+    held = graph.ranks(spark.createDataFrame([(v,) for v in values], "v double"), "v", "lo")
+    asked = spark.createDataFrame([(k, f"x{k}") for k in range(1, 501)], "rank long, name string")
+    for rows_ in (500, 10**7):
+        got = graph.at_rank(asked, "rank", held, "v", "lo", rows_, "at").collect()
+        assert {x["rank"]: x["at"] for x in got} == {k: v for k, v in enumerate(sorted(values), 1)} and all(x["name"] == f"x{x['rank']}" for x in got)
 
 
 def test_partition_search_respects_bans():
