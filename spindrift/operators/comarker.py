@@ -1,4 +1,10 @@
-"""Pairs of fragments that share a marker, in the four modes, and their distances."""
+"""Pairs of fragments that share a marker, in the four modes, and their distances.
+
+A marker's carriers are dealt to groups of about CARRIERS by a hash of the fragment. For pairs
+within one set of carriers, every two groups meet in one cell of a triangle, so each pair is
+made once; where two sets meet, the cells are a grid. A marker on many fragments is thereby
+as many join keys as its pairs need, none with more than about CARRIERS ** 2 of them.
+"""
 
 from __future__ import annotations
 
@@ -6,36 +12,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNMEASURED = 200
+CARRIERS = 1024
+
+
+def _grouped(carriers: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``carriers`` with _g, the number of groups of their key, and _i, their own; keys of one group cost no row more."""
+    sizes = carriers.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_g"))
+    return carriers.join(sizes.where("_g > 1"), keys, "left").withColumn("_g", F.coalesce("_g", F.lit(1))).withColumn("_i", F.pmod(F.xxhash64("contig_id"), F.col("_g")).cast("int"))
+
+
+def _upto(first, last):
+    return F.explode(F.sequence(first, last))
+
+
+def triangle(carriers: DataFrame, keys: list[str], payload: str | None = None, most: int = CARRIERS) -> DataFrame:
+    """c1 < c2 of every pair of rows with equal ``keys``, once a key; with ``payload``, pairs that differ in it."""
+    d = _grouped(carriers, keys, most)
+    held = [payload] if payload else []
+    x = d.select(*keys, F.col("contig_id").alias("x"), *(F.col(c).alias("px") for c in held), "_i", _upto(F.col("_i"), F.col("_g") - 1).alias("_j"))
+    y = d.select(*keys, F.col("contig_id").alias("y"), *(F.col(c).alias("py") for c in held), F.col("_i").alias("_j"), _upto(F.lit(0), F.col("_i")).alias("_i"))
+    met = x.join(y, [*keys, "_i", "_j"]).where("x < y or (_i < _j and x <> y)")
+    return (met.where("px <> py") if payload else met).select(F.least("x", "y").alias("c1"), F.greatest("x", "y").alias("c2"))
+
+
+def grid(some: DataFrame, carriers: DataFrame, keys: list[str], most: int = CARRIERS) -> DataFrame:
+    """c1, c2: each of ``some`` with every other carrier of its key."""
+    a, b = _grouped(some, keys, most), _grouped(carriers, keys, most)
+    groups = lambda d, name: d.select(*keys, F.col("_g").alias(name)).distinct()
+    x = a.join(groups(b, "_h"), keys).select(*keys, F.col("contig_id").alias("c1"), "_i", _upto(F.lit(0), F.col("_h") - 1).alias("_j"))
+    y = b.join(groups(a, "_h"), keys).select(*keys, F.col("contig_id").alias("c2"), F.col("_i").alias("_j"), _upto(F.lit(0), F.col("_h") - 1).alias("_i"))
+    return x.join(y, [*keys, "_i", "_j"]).where("c1 <> c2").select("c1", "c2")
 
 
-def pairs_all(mg: DataFrame) -> DataFrame:
+def pairs_all(mg: DataFrame, most: int = CARRIERS) -> DataFrame:
     """c1 < c2 that carry one marker."""
-    a, b = mg.select("marker_id", F.col("contig_id").alias("c1")), mg.select("marker_id", F.col("contig_id").alias("c2"))
-    return a.join(b, "marker_id").where("c1 < c2").select("c1", "c2").distinct()
+    return triangle(mg.select("marker_id", "contig_id"), ["marker_id"], most=most).distinct()
 
 
 def _binned(mg: DataFrame, binning: DataFrame) -> DataFrame:
-    return mg.join(binning.select("contig_id", "bin_label"), "contig_id")
+    return mg.join(binning.select("contig_id", "bin_label"), "contig_id").select("marker_id", "bin_label", "contig_id")
 
 
-def pairs_within(mg: DataFrame, binning: DataFrame) -> DataFrame:
+def pairs_within(mg: DataFrame, binning: DataFrame, most: int = CARRIERS) -> DataFrame:
     """c1 < c2 of one bin: the bin is part of the join key, so other pairs are never made."""
-    m = _binned(mg, binning)
-    a, b = m.select("marker_id", "bin_label", F.col("contig_id").alias("c1")), m.select("marker_id", "bin_label", F.col("contig_id").alias("c2"))
-    return a.join(b, ["marker_id", "bin_label"]).where("c1 < c2").select("c1", "c2").distinct()
+    return triangle(_binned(mg, binning), ["marker_id", "bin_label"], most=most).distinct()
 
 
-def pairs_merge(mg: DataFrame, binning: DataFrame) -> DataFrame:
+def pairs_merge(mg: DataFrame, binning: DataFrame, most: int = CARRIERS) -> DataFrame:
     """c1 < c2 of different bins."""
-    m = _binned(mg, binning)
-    a, b = m.select("marker_id", F.col("bin_label").alias("b1"), F.col("contig_id").alias("c1")), m.select("marker_id", F.col("bin_label").alias("b2"), F.col("contig_id").alias("c2"))
-    return a.join(b, "marker_id").where("c1 < c2 and b1 <> b2").select("c1", "c2").distinct()
+    return triangle(_binned(mg, binning), ["marker_id"], "bin_label", most).distinct()
 
 
-def pairs_guard(mg: DataFrame, recruitable: DataFrame) -> DataFrame:
+def pairs_guard(mg: DataFrame, recruitable: DataFrame, most: int = CARRIERS) -> DataFrame:
     """Directed: c1 recruitable, c2 any other carrier."""
-    a = mg.join(recruitable, "contig_id", "left_semi").select("marker_id", F.col("contig_id").alias("c1"))
-    return a.join(mg.select("marker_id", F.col("contig_id").alias("c2")), "marker_id").where("c1 <> c2").select("c1", "c2").distinct()
+    mg = mg.select("marker_id", "contig_id")
+    return grid(mg.join(recruitable, "contig_id", "left_semi"), mg, ["marker_id"], most).distinct()
 
 
 def filled(pairs: DataFrame, measured: DataFrame, fill: int | None = None) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spindrift.operators import bounds
 from spindrift.operators.components import connected_components
+from spindrift.plans.stage import written
 
 NODES = 200_000
 
@@ -84,14 +86,19 @@ def best_assignment(options: dict[int, list[tuple[int, int]]], conflicts: list[t
     return best[1], "optimal" if state[0] > 0 else "time limit"
 
 
-def recruit(aff: DataFrame, guard: DataFrame, pinned: DataFrame, simthresh: int, minaff: int = 0, nodes: int = NODES) -> DataFrame:
-    """contig_id, bin_id, status of the recruited fragments. Only fragments in a conflict reach the search."""
+def recruit(aff: DataFrame, guard: DataFrame, pinned: DataFrame, simthresh: int, minaff: int = 0, nodes: int = NODES, rounds: int = bounds.ROUNDS) -> DataFrame:
+    """contig_id, bin_id, status, gap of the recruited fragments. Only fragments in a conflict reach the search.
+
+    ``gap`` is how much more weight the fragment's component could reach at most: 0 where the
+    status is optimal, else by the bound of ``rounds`` rounds.
+    """
     cand = feasible(candidates(aff, minaff), guard, pinned, simthresh)
-    pairs = rivals(cand, guard, simthresh)
-    groups = connected_components(pairs, "a", "b").select(F.col("node").alias("c"), "component")
-    calm = argmax(cand.join(groups, "c", "left_anti")).select(F.col("c").alias("contig_id"), "bin_id", F.lit("optimal").alias("status"))
-    facts = cand.join(groups, "c").select("component", "c", "bin_id", F.col("w").cast("long").alias("w"), F.lit(None).cast("long").alias("rival"))
-    facts = facts.union(pairs.join(groups.withColumnRenamed("c", "a"), "a").select("component", F.col("a").alias("c"), F.lit(None).cast("long"), F.lit(0).cast("long"), F.col("b").alias("rival")))
+    pairs = written(rivals(cand, guard, simthresh), "rivals")
+    groups = written(connected_components(pairs, "a", "b"), "rival-groups").select(F.col("node").alias("c"), "component")
+    calm = argmax(cand.join(groups, "c", "left_anti")).select(F.col("c").alias("contig_id"), "bin_id", F.lit("optimal").alias("status"), F.lit(0).cast("long").alias("gap"))
+    own = written(cand.join(groups, "c").select("component", "c", "bin_id", F.col("w").cast("long").alias("w")), "rival-candidates")
+    among = pairs.join(groups.withColumnRenamed("c", "a"), "a").select("component", "a", "b")
+    facts = own.withColumn("rival", F.lit(None).cast("long")).union(among.select("component", F.col("a").alias("c"), F.lit(None).cast("long"), F.lit(0).cast("long"), F.col("b").alias("rival")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         options = defaultdict(list)
@@ -99,6 +106,15 @@ def recruit(aff: DataFrame, guard: DataFrame, pinned: DataFrame, simthresh: int,
             options[int(c)].append((int(b), int(w)))
         conflicts = [(int(a), int(b)) for a, b in pdf[pdf["rival"].notna()][["c", "rival"]].itertuples(index=False)]
         got, status = best_assignment(dict(options), conflicts, nodes)
-        return pd.DataFrame({"contig_id": list(got), "bin_id": list(got.values()), "status": status}).astype({"contig_id": "int64", "bin_id": "int64", "status": "object"})
-
-    return calm.unionByName(facts.groupBy("component").applyInPandas(run, "contig_id long, bin_id long, status string"))
+        return pd.DataFrame({"component": pdf["component"].iloc[0], "contig_id": list(got), "bin_id": list(got.values()), "status": status}).astype({"contig_id": "int64", "bin_id": "int64", "status": "object"})
+
+    searched = written(facts.groupBy("component").applyInPandas(run, "component long, contig_id long, bin_id long, status string"), "recruit-searched")
+    late = searched.where("status <> 'optimal'")
+    gap = searched.select("component", F.lit(0).cast("long").alias("gap")).distinct()
+    if late.limit(1).count():
+        some = late.select("component").distinct()
+        value = own.withColumnRenamed("c", "contig_id").join(late, ["component", "contig_id", "bin_id"]).groupBy("component").agg(F.sum("w").alias("value"))
+        bound = bounds.recruit_bound(own.join(some, "component", "left_semi"), among.join(some, "component", "left_semi"), value, rounds)
+        late_gap = written(bound.join(value, "component").select("component", (F.col("bound") - F.col("value")).alias("late")), "recruit-gaps")
+        gap = gap.join(late_gap, "component", "left").select("component", F.coalesce("late", "gap").alias("gap"))
+    return calm.unionByName(searched.join(gap, "component").select("contig_id", "bin_id", "status", "gap"))

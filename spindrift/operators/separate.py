@@ -3,6 +3,7 @@
 Edges and penalties stay inside a seed bin, and all penalties lie between anchors, so bins
 are independent, a non-anchor follows its anchors, and anchors without a penalty in their
 component stay in slot 1. What is left is grouped by bin and component and searched there.
+A component that reaches its budget gets an upper bound of what any slots could reach.
 """
 
 from __future__ import annotations
@@ -13,6 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.operators import bounds
+from spindrift.operators.colouring import SMALL, colouring
+from spindrift.operators.components import connected_components
+from spindrift.plans.stage import written
+
 NODES = 200_000
 
 
@@ -23,27 +29,10 @@ def cannot_link(within: DataFrame, seed: DataFrame, simthresh: int) -> DataFrame
     return d.join(s.select(F.col("contig_id").alias("c1"), "bin_id"), "c1").join(s.select(F.col("contig_id").alias("c2"), "bin_id"), ["c2", "bin_id"]).select("bin_id", "c1", "c2", "d")
 
 
-def colours(edges: list[tuple[int, int]]) -> int:
-    """Greedy colouring by falling degree, then id: an upper bound of the slots that conflicts can need."""
-    near = defaultdict(set)
-    for a, b in edges:
-        near[a].add(b)
-        near[b].add(a)
-    colour: dict[int, int] = {}
-    for node in sorted(near, key=lambda n: (-len(near[n]), n)):
-        taken = {colour[m] for m in near[node] if m in colour}
-        colour[node] = next(c for c in range(len(near)) if c not in taken)
-    return max(colour.values(), default=0) + 1
-
-
-def budgets(conflicts: DataFrame, cap: int = 0) -> DataFrame:
-    """bin_id, k of bins that may need more than one slot."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = colours(list(zip(pdf["c1"].tolist(), pdf["c2"].tolist())))
-        return pd.DataFrame({"bin_id": [pdf["bin_id"].iloc[0]], "k": [min(k, cap) if cap else k]})
-
-    return conflicts.groupBy("bin_id").applyInPandas(run, "bin_id long, k int").where("k >= 2")
+def budgets(conflicts: DataFrame, cap: int = 0, small: int = SMALL) -> DataFrame:
+    """bin_id, k of bins that may need more than one slot: the colours of a greedy colouring, an upper bound of the slots that conflicts can need."""
+    k = F.max("colour") + 1
+    return colouring(conflicts, small).groupBy("bin_id").agg((F.least(k, F.lit(cap)) if cap else k).cast("int").alias("k")).where("k >= 2")
 
 
 def budget_histogram(k: DataFrame) -> DataFrame:
@@ -51,9 +40,9 @@ def budget_histogram(k: DataFrame) -> DataFrame:
     return k.groupBy("k").agg(F.count(F.lit(1)).alias("bins"))
 
 
-def search(contigs: list[int], affinity: dict[tuple[int, int], int], penalty: dict[tuple[int, int], int], k: int, pin: int, nodes: int = NODES) -> tuple[dict[int, int], str]:
-    """Slots 1..k for the fragments of one bin: largest affinity less penalty, then fewest outside slot 1; ``pin`` has slot 1."""
-    anchors = {a for _, a in affinity} | {c for p in penalty for c in p} | {pin}
+def search(contigs: list[int], affinity: dict[tuple[int, int], int], penalty: dict[tuple[int, int], int], k: int, pin: int | None, nodes: int = NODES) -> tuple[dict[int, int], str]:
+    """Slots 1..k for the fragments of one bin, or a part of it: largest affinity less penalty, then fewest outside slot 1; ``pin`` has slot 1."""
+    anchors = {a for _, a in affinity} | {c for p in penalty for c in p} | ({pin} if pin is not None else set())
     # components over affinity among anchors and penalties; fragments that are no anchors join their anchors
     root = {c: c for c in contigs}
 
@@ -173,15 +162,20 @@ def _component(part, anchors, aff, pen, k, pin, nodes):
     return best[1], "optimal" if left[0] > 0 else "time limit"
 
 
-def separate(seed: DataFrame, affinity: DataFrame, conflicts: DataFrame, pins: DataFrame, simthresh: int, sepmul: int = 1, nodes: int = NODES) -> DataFrame:
-    """bin_id, slot, contig_id, status. Only bins that may need a second slot reach the search; the others pass."""
+def separate(seed: DataFrame, affinity: DataFrame, conflicts: DataFrame, pins: DataFrame, simthresh: int, sepmul: int = 1, nodes: int = NODES, rounds: int = bounds.ROUNDS) -> DataFrame:
+    """bin_id, slot, contig_id, status, gap. Only components with a conflict reach the search, each for itself, with the slots of its bin; all other fragments pass.
+
+    ``gap`` is how much more affinity less penalty the fragment's component could keep at most:
+    0 where the status is optimal, else by the bound of ``rounds`` rounds.
+    """
     s = seed.select("contig_id", "bin_id")
+    own, pen = _inside(s, affinity), conflicts.select("bin_id", F.lit("p").alias("kind"), F.col("c1").alias("a"), F.col("c2").alias("b"), ((F.col("d") - simthresh) * sepmul).cast("int").alias("w"))
+    groups = written(connected_components(own.select("a", "b").union(pen.select("a", "b")), "a", "b"), "separate-components").select(F.col("node").alias("a"), "component")
+    k = budgets(conflicts)
+    busy = pen.join(groups, "a").select("bin_id", "component").distinct().join(k, "bin_id")
     rows = s.select("bin_id", F.lit("c").alias("kind"), F.col("contig_id").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("w"))
-    own = affinity.join(s.withColumnRenamed("contig_id", "c"), "c").select("bin_id", F.lit("a").alias("kind"), F.col("c").alias("a"), F.col("anchor").alias("b"), "w")
-    pen = conflicts.select("bin_id", F.lit("p").alias("kind"), F.col("c1").alias("a"), F.col("c2").alias("b"), ((F.col("d") - simthresh) * sepmul).cast("int").alias("w"))
     pin = pins.select("bin_id", F.lit("f").alias("kind"), F.col("contig_id").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("w"))
-    busy = conflicts.select("bin_id").distinct()
-    facts = rows.union(own).union(pen).union(pin).join(busy, "bin_id", "left_semi")
+    facts = rows.union(own).union(pen).union(pin).join(groups, "a").join(busy, ["bin_id", "component"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kind = {k: g for k, g in pdf.groupby("kind")}
@@ -189,12 +183,27 @@ def separate(seed: DataFrame, affinity: DataFrame, conflicts: DataFrame, pins: D
         none = pdf.iloc[:0]
         aff = {(a, b): w for a, b, w in kind.get("a", none)[["a", "b", "w"]].itertuples(index=False)}
         pen = {(a, b): w for a, b, w in kind.get("p", none)[["a", "b", "w"]].itertuples(index=False)}
-        slots, status = search(contigs, aff, pen, colours(list(pen)), int(kind["f"]["a"].iloc[0]), nodes)
-        return pd.DataFrame({"bin_id": pdf["bin_id"].iloc[0], "slot": [slots[c] for c in contigs], "contig_id": contigs, "status": status})
-
-    searched = facts.groupBy("bin_id").applyInPandas(run, "bin_id long, slot int, contig_id long, status string")
-    passed = s.join(busy, "bin_id", "left_anti").select("bin_id", F.lit(1).alias("slot"), "contig_id", F.lit("optimal").alias("status"))
-    return searched.unionByName(passed)
+        slots, status = search(contigs, aff, pen, int(pdf["k"].iloc[0]), int(kind["f"]["a"].iloc[0]) if "f" in kind else None, nodes)
+        return pd.DataFrame({"bin_id": pdf["bin_id"].iloc[0], "slot": [slots[c] for c in contigs], "contig_id": contigs, "status": status, "component": pdf["component"].iloc[0]})
+
+    searched = written(facts.groupBy("bin_id", "component").applyInPandas(run, "bin_id long, slot int, contig_id long, status string, component long"), "separate-searched")
+    late = searched.where("status <> 'optimal'")
+    gap = searched.select("component", F.lit(0).cast("long").alias("gap")).distinct()
+    if late.limit(1).count():
+        some = late.select("component").distinct()
+        of = lambda d: d.join(groups, "a").join(some, "component", "left_semi").select("component", "a", "b", "w")
+        bound = bounds.separate_bound(of(own), of(pen), rounds)
+        slot = lambda c: late.select(F.col("contig_id").alias(c), F.col("slot").alias(f"s{c}"))
+        kept = lambda d, sign: of(d).join(slot("a"), "a").join(slot("b"), "b").where("sa = sb").select("component", (sign * F.col("w")).alias("w"))
+        value = kept(own, 1).union(kept(pen, -1)).groupBy("component").agg(F.sum("w").alias("value"))
+        late_gap = bound.join(value, "component", "left").select("component", (F.col("bound") - F.coalesce("value", F.lit(0))).alias("late"))
+        gap = gap.join(written(late_gap, "separate-gaps"), "component", "left").select("component", F.coalesce("late", "gap").alias("gap"))
+    passed = s.join(searched.select("contig_id"), "contig_id", "left_anti").select("bin_id", F.lit(1).alias("slot"), "contig_id", F.lit("optimal").alias("status"), F.lit(0).cast("long").alias("gap"))
+    return searched.join(gap, "component").select("bin_id", "slot", "contig_id", "status", "gap").unionByName(passed)
+
+
+def _inside(s: DataFrame, affinity: DataFrame) -> DataFrame:
+    return affinity.join(s.withColumnRenamed("contig_id", "c"), "c").select("bin_id", F.lit("a").alias("kind"), F.col("c").alias("a"), F.col("anchor").alias("b"), F.col("w").cast("int").alias("w"))
 
 
 def objective(assigned: DataFrame, affinity: DataFrame, conflicts: DataFrame, simthresh: int, sepmul: int = 1) -> DataFrame:

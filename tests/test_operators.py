@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from spindrift.functions import abundance, tnf
-from spindrift.operators import affinity, checks, comarker, components, graph, knn, merge, partition, recruit, report, separate, threshold
+from spindrift.operators import affinity, bounds, checks, colouring, comarker, components, graph, knn, merge, partition, recruit, report, separate, threshold
 
 
 def rows(df, *cols):
@@ -308,6 +308,71 @@ def test_values_at_ranks(spark):
         assert {x["rank"]: x["at"] for x in got} == {k: v for k, v in enumerate(sorted(values), 1)} and all(x["name"] == f"x{x['rank']}" for x in got)
 
 
+def _joined(mg, same=lambda a, b: True):
+    return sorted({(min(a, b), max(a, b)) for m, a in mg for n, b in mg if m == n and a != b and same(a, b)})
+
+
+def test_hot_markers_are_split_into_cells(spark):
+    r = random.Random(11)
+    mg = sorted({(0, c) for c in range(90)} | {(r.randrange(1, 9), r.randrange(120)) for _ in range(200)})
+    d = spark.createDataFrame([(m, c) for m, c in mg], "marker_id long, contig_id long")
+    bins = spark.createDataFrame([(c, "ABC"[c % 3]) for c in range(0, 120, 2)], "contig_id long, bin_label string")
+    free = spark.createDataFrame([(c,) for c in range(1, 120, 2)], "contig_id long")
+    binned = [(m, c) for m, c in mg if c % 2 == 0]
+    for most in (7, 1024):
+        assert rows(comarker.pairs_all(d, most), "c1", "c2") == _joined(mg)
+        assert rows(comarker.pairs_within(d, bins, most), "c1", "c2") == _joined(binned, lambda a, b: a % 3 == b % 3)
+        assert rows(comarker.pairs_merge(d, bins, most), "c1", "c2") == _joined(binned, lambda a, b: a % 3 != b % 3)
+        assert rows(comarker.pairs_guard(d, free, most), "c1", "c2") == sorted({(a, b) for m, a in mg for n, b in mg if m == n and a != b and a % 2})
+    cells = comarker.triangle(d.where("marker_id = 0"), ["marker_id"], most=7)
+    assert cells.count() == 90 * 89 // 2  # each pair once
+    sizes = [x["n"] for x in comarker._grouped(d.where("marker_id = 0"), ["marker_id"], 7).groupBy("_i").agg(comarker.F.count("*").alias("n")).collect()]
+    assert max(sizes) < 3 * 7
+
+
+def test_colouring_in_rounds_is_the_greedy_one(spark):
+    r = random.Random(12)
+    edges = {(1, a, b) for a in range(40) for b in range(a) if r.random() < 0.2} | {(2, 100 + a, 100 + b) for a in range(24) for b in range(a)}
+    edges |= {(3, 200 + a, 201 + a) for a in range(30)} | {(4, 300, 301)}
+    d = spark.createDataFrame(sorted(edges), "bin_id long, c1 long, c2 long")
+    want = sorted((b, n, c) for b in (1, 2, 3, 4) for n, c in colouring.colours([(x, y) for k, x, y in edges if k == b]).items())
+    for small, chunk in ((1000, 512), (0, 5), (20, 100)):
+        assert rows(colouring.colouring(d, small, chunk), "bin_id", "node", "colour") == want
+    assert rows(separate.budgets(d), "bin_id", "k") == rows(separate.budgets(d, small=0), "bin_id", "k")
+
+
+def test_bounds_hold_and_meet_on_small_instances(spark):
+    r = random.Random(13)
+    cand, rivals_, best = [], [], {}
+    for k in range(12):
+        options = {c: [(b, r.randint(1, 20)) for b in range(3) if r.random() < 0.7] for c in range(5)}
+        options = {c: o for c, o in options.items() if o}
+        pairs = [(a, b) for a in options for b in options if a < b and r.random() < 0.5]
+        cand += [(k, c, b, w) for c, o in options.items() for b, w in o]
+        rivals_ += [(k, a, b) for a, b in pairs]
+        full = 0
+        for choice in itertools.product(*([(None, 0), *options[c]] for c in options)):
+            at = dict(zip(options, (b for b, _ in choice)))
+            if all(at[a] is None or at[a] != at[b] for a, b in pairs):
+                full = max(full, sum(w for _, w in choice))
+        best[k] = full
+    d = spark.createDataFrame(cand, "component long, c long, bin_id long, w long")
+    known = spark.createDataFrame([(k, max(0, v - 3)) for k, v in best.items()], "component long, value long")
+    got = {x["component"]: x["bound"] for x in bounds.recruit_bound(d, spark.createDataFrame(rivals_, "component long, a long, b long"), known, 15).collect()}
+    assert all(got[k] >= v for k, v in best.items()) and sum(got[k] == v for k, v in best.items()) >= 4
+
+    aff, pen, best = [], [], {}
+    for k in range(10):
+        own = {(a, b): r.randint(1, 30) for a in range(6) for b in range(3) if a != b and r.random() < 0.6}
+        bad = {(a, b): r.randint(1, 40) for a in range(3) for b in range(a) if r.random() < 0.8}
+        aff += [(k, a, b, w) for (a, b), w in own.items()]
+        pen += [(k, a, b, w) for (a, b), w in bad.items()]
+        best[k] = max(sum(w for (a, b), w in own.items() if s[a] == s[b]) - sum(w for (a, b), w in bad.items() if s[a] == s[b]) for s in itertools.product(range(3), repeat=6))
+    kind = "component long, a long, b long, w long"
+    got = {x["component"]: x["bound"] for x in bounds.separate_bound(spark.createDataFrame(aff, kind), spark.createDataFrame(pen, kind), 6).collect()}
+    assert all(got[k] >= v for k, v in best.items()) and sum(got.values()) < sum(w for *_, w in aff)
+
+
 def test_partition_search_respects_bans():
     got = partition.search({i: 300_000 for i in range(6)}, [(0, 1, 5), (2, 3, 5), (4, 5, 5)], {i: {i % 2} for i in range(6)}, 3, forbidden=[(0, 2)])
     assert set(got) == set(range(6)) and got[0] == got[1] and got[0] != got[2]
