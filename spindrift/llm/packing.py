@@ -6,14 +6,20 @@ counts. The driver solves that histogram; the executors turn the answer into pla
 
 Solver: the largest remaining length is completed by undominated fillings (a filling is
 dominated if one of its lengths, or two of them together, can be exchanged for a larger free
-length that still fits). The best-fit descent is the first incumbent. A depth-first search
-over the other fillings follows, which prunes a branch as soon as its waste exceeds what the
-incumbent leaves. As waste arises where a descent ends, rounds follow that take the most
-wasteful sequences and some random ones of the incumbent apart and search among those alone.
+length that still fits). The best-fit descent is the incumbent. Branch and bound follows, in
+rounds: the emptiest sequence and some others, the most wasteful or drawn ones, are searched
+depth first for fillings that leave less in the emptiest one. A branch is cut as soon as its
+waste exceeds what the incumbent leaves, and as fillings come by rising waste, so are those
+after it. Each round that finds something is the next incumbent; a sequence that is left
+empty is saved. Every REFITth round instead lays a larger part of the incumbent by best fit anew, so
+that the search does not stay with one. Histograms of few sequences are searched whole.
 
 Budgets (parameters): STEPS trials for the fillings of one length (if they yield none, the
-filling is greedy by best fit), NODES nodes for the search, ROUNDS rounds. They never drop a piece; they can only leave more sequences than needed. The answer
-says so: its number of sequences, the lower bound, and ``optimal`` where the two are equal.
+filling is greedy by best fit), ROUNDS rounds; a search of PARTNERS sequences beside the
+emptiest, at most as many levels deep, has NODES nodes, more than ten times its depth.
+They never drop a piece; they can only leave more sequences than needed. The answer says so:
+its number of sequences, the lower bound, and ``optimal`` where the two are equal or a whole
+search has shown that no fewer will do.
 
 Defined cases: null text is an empty text (one separator id); an empty table gives no rows;
 repeated rows and equal doc_ids are packed as often as they occur; extra columns are ignored.
@@ -37,8 +43,11 @@ from spindrift.llm import common, tokens
 CAPACITY = 2048
 SEPARATOR_ID = 0
 STEPS = 1500
-NODES = 60
-ROUNDS = 40
+NODES = 100
+ROUNDS = 80
+REFIT = 8
+PARTNERS = 6
+WHOLE = 24  # histograms of so many sequences are searched whole
 
 
 # --- solver ---------------------------------------------------------------------------------
@@ -74,26 +83,40 @@ def undominated(filling: tuple[int, ...], slack: int, lengths: list[int], left:
     return True
 
 
-def fillings(room: int, lengths: list[int], left: dict[int, int], steps: int):
-    """Maximal undominated fillings of ``room`` as (waste, lengths), by largest lengths first, within ``steps`` trials."""
+def fillings(room: int, lengths: list[int], left: dict[int, int], steps: int, cut: list | None = None, most: int | None = None):
+    """Maximal undominated fillings of ``room`` that waste ``most`` or less, as (waste, lengths), by largest lengths first.
+
+    Within ``steps`` trials; ``cut`` gets an entry where these did not do.
+    """
+    most = room if most is None else most
     stack: list[list] = [[room, bisect.bisect_right(lengths, room) - 1]]
     chosen: list[int] = []
     used: dict[int, int] = {}
     grew = [False]
-    while stack and steps > 0:
+    while stack:
+        if steps <= 0:
+            if cut is not None:
+                cut.append(room)
+            return
         steps -= 1
         rest, at = stack[-1]
-        while at >= 0 and left[lengths[at]] <= used.get(lengths[at], 0):
-            at -= 1
+        while at >= 0:
+            x = lengths[at]
+            if left[x] <= used.get(x, 0):
+                at -= 1
+            elif most < rest - x < lengths[0]:  # too little is left for any other, and too much to waste
+                grew[-1] = True
+                at -= 1
+            else:
+                break
         if at < 0:
-            if not grew[-1] and undominated(tuple(chosen), rest, lengths, left):
+            if not grew[-1] and rest <= most and undominated(tuple(chosen), rest, lengths, left):
                 yield rest, tuple(chosen)
             stack.pop()
             grew.pop()
             if chosen:
                 used[chosen.pop()] -= 1
             continue
-        x = lengths[at]
         stack[-1][1] = at - 1
         grew[-1] = True
         chosen.append(x)
@@ -112,21 +135,22 @@ def greedy(room: int, lengths: list[int], left: dict[int, int]) -> tuple[int, tu
     return room, tuple(chosen)
 
 
-def options(counts: dict[int, int], lengths: list[int], capacity: int, steps: int, most: int):
-    """The largest length's fillings by waste, up to ``most``, each as (waste, pattern, times it fits)."""
+def options(counts: dict[int, int], lengths: list[int], capacity: int, steps: int, first: bool = False, cut: list | None = None, most: int | None = None):
+    """The largest length's fillings by waste, each as (waste, pattern, times it fits); with ``first`` only the best, with ``most`` those that waste no more (there may be none)."""
     top = lengths[-1]
     counts[top] -= 1
     found = []
-    for waste, f in fillings(capacity - top, lengths, counts, steps):
+    for waste, f in fillings(capacity - top, lengths, counts, steps, cut, most):
         found.append((waste, f))
-        if waste == 0 and most == 1:
+        if waste == 0 and first:
             break
-    if not found:
-        found = [greedy(capacity - top, lengths, counts)]
+    if not found and (most is None or cut):
+        w, f = greedy(capacity - top, lengths, counts)
+        found = [(w, f)] if most is None or w <= most else []
     counts[top] += 1
     found.sort(key=lambda wf: wf[0])
     out = []
-    for waste, f in found[:most]:
+    for waste, f in found[: 1 if first else None]:
         pattern = (top, *f)
         need = Counter(pattern)
         out.append((waste, pattern, min(counts[x] // k for x, k in need.items())))
@@ -148,15 +172,16 @@ def _undo(counts: dict[int, int], lengths: list[int], pattern, times: int) -> No
 
 
 class Solution(NamedTuple):
-    """Patterns (lengths of one sequence, largest first) and how often each is used; sequences in all, and no fewer than ``bound`` can hold the pieces."""
+    """Patterns (lengths of one sequence, largest first) and how often each is used; sequences in all, and no fewer than ``bound`` can hold the pieces; whether a whole search has shown that no fewer will do."""
 
     patterns: list[tuple[tuple[int, ...], int]]
     sequences: int
     bound: int
+    shown: bool = False
 
     @property
     def status(self) -> str:
-        return "optimal" if self.sequences == self.bound else "within budget"
+        return "optimal" if self.shown or self.sequences == self.bound else "within budget"
 
 
 def descent(histogram: dict[int, int], capacity: int, steps: int) -> list[tuple[tuple[int, ...], int]]:
@@ -164,94 +189,118 @@ def descent(histogram: dict[int, int], capacity: int, steps: int) -> list[tuple[
     counts = {k: n for k, n in histogram.items() if n > 0}
     lengths, out = sorted(counts), []
     while lengths:
-        _, pattern, times = options(counts, lengths, capacity, steps, 1)[0]
+        _, pattern, times = options(counts, lengths, capacity, steps, True)[0]
         _apply(counts, lengths, pattern, times)
         out.append((pattern, times))
     return out
 
 
-def search(histogram: dict[int, int], capacity: int, incumbent: list, bound: int, steps: int, nodes: int) -> tuple[list, int]:
-    """Depth-first search for fewer sequences than the incumbent has, and the nodes that are left of ``nodes``."""
-    counts = {k: n for k, n in histogram.items() if n > 0}
+class Found(NamedTuple):
+    """The best sequences of a search (None: none better than the incumbent), what the emptiest of them holds, leaves reached, and whether nothing was left out."""
+
+    sequences: list[tuple[int, ...]] | None
+    least: int
+    leaves: int
+    whole: bool
+
+
+def search(pieces: dict[int, int], capacity: int, sequences: int, least: int, steps: int = STEPS, nodes: int = NODES) -> Found:
+    """Depth-first search for ``sequences`` sequences of which one holds less than ``least``, as little as can be; one that holds nothing is left out."""
+    counts = {k: n for k, n in pieces.items() if n > 0}
     lengths = sorted(counts)
-    total = sum(k * n for k, n in counts.items())
-    best, least = incumbent, sum(t for _, t in incumbent)
-    path: list[tuple[tuple[int, ...], int]] = []
-    waste = used = 0
-    stack: list = []
-
-    def branch():
-        got = []
-        for w, p, t in options(counts, lengths, capacity, steps, 8):
-            got.append((w, p, t))
-            if t > 1:
-                got.append((w, p, 1))
-        return iter(got)
-
-    if least > bound and lengths:
-        stack.append(branch())
-    while stack and nodes > 0 and least > bound:
+    total = rest = sum(k * n for k, n in counts.items())
+    slack = (sequences - 1) * capacity - total  # what the others waste, less what the emptiest holds
+    goal = max(0, -slack)  # no less can be left in the emptiest
+    best, path, waste, leaves = None, [], 0, 0
+    cut: list[int] = []
+    branch = lambda: iter(options(counts, lengths, capacity, steps, cut=cut, most=slack + least - 1 - waste))
+    stack = [branch()] if lengths and sequences > 1 else []
+    while stack and nodes > 0 and least > goal:
         step = next(stack[-1], None)
+        nodes -= 1
+        if step is not None and waste + step[0] > slack + least - 1:
+            step = None  # fillings come by rising waste
         if step is None:
             stack.pop()
             if path:
-                p, t = path.pop()
-                _undo(counts, lengths, p, t)
-                used -= t
-                waste -= t * (capacity - sum(p))
-            continue
-        nodes -= 1
-        w, p, t = step
-        # with one sequence less than the incumbent, this much may be wasted in all
-        if waste + w * t > (least - 1) * capacity - total:
+                p = path.pop()
+                _undo(counts, lengths, p, 1)
+                waste -= capacity - sum(p)
+                rest += sum(p)
             continue
-        _apply(counts, lengths, p, t)
-        path.append((p, t))
-        used += t
-        waste += w * t
-        if not lengths:
-            if used < least:
-                least, best = used, list(path)
+        w, p, _ = step
+        _apply(counts, lengths, p, 1)
+        path.append(p)
+        waste += w
+        rest -= capacity - w
+        if rest <= capacity:  # one more sequence holds what is left
+            leaves += 1
+            empty = 0 if len(path) + 1 < sequences else rest  # a sequence fewer leaves one that holds nothing
+            if empty < least:
+                least = empty
+                last = tuple(x for x in reversed(lengths) for _ in range(counts[x]))
+                best = [*path, last] if last else list(path)
             stack.append(iter(()))
         else:
             stack.append(branch())
-    return best, nodes
+    return Found(best, least, leaves, not cut and (not stack or least <= goal))
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS, nodes: int = NODES, rounds: int = ROUNDS) -> Solution:
+def _taken(patterns: list[tuple[int, ...]]) -> Counter:
+    return Counter(x for p in patterns for x in p)
+
+
+def _refitted(uses: Counter, order: list, capacity: int, r: np.random.Generator, k: int, steps: int) -> Counter:
+    """A new incumbent: a larger part of the old one, its most wasteful sequences and some drawn ones, by best fit anew; the old one if that takes more sequences, or as many with the emptiest fuller."""
+    wasteful, drawn = (60, 100, 150)[k % 3], (60, 120, 240)[k // 3 % 3]
+    apart: Counter = Counter()
+    for p in order:
+        apart[p] = min(uses[p], max(0, wasteful - apart.total()))
+    apart = +apart
+    rest = [p for p in order if p not in apart]
+    for i in r.permutation(len(rest))[:drawn].tolist():
+        apart[rest[i]] = 1
+    again: Counter = Counter()
+    for p, t in descent(_taken(list(apart.elements())), capacity, steps):
+        again[p] += t
+    if (again.total(), min(map(sum, again))) > (apart.total(), min(map(sum, apart))):
+        return uses
+    return uses - apart + again
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS, nodes: int = NODES, rounds: int = ROUNDS, partners: int = PARTNERS, refit: int = REFIT) -> Solution:
     """A packing of ``histogram`` (length to pieces), with its bound."""
     histogram = {k: n for k, n in histogram.items() if n > 0}
     if any(k > capacity or k < 1 for k in histogram):
         raise ValueError("lengths must lie between 1 and the capacity")
     bound = lower_bound(histogram, capacity)
-    best, _ = search(histogram, capacity, descent(histogram, capacity, steps), bound, steps, nodes)
-    uses = Counter()
-    for p, t in best:
+    uses, shown = Counter(), False
+    for p, t in descent(histogram, capacity, steps):
         uses[p] += t
+    while bound < uses.total() <= WHOLE and not shown:
+        found = search(histogram, capacity, uses.total(), min(map(sum, uses)), steps, max(1, rounds) * nodes)
+        shown = found.whole and found.least > 0
+        if not found.sequences or found.least > 0:
+            break
+        uses = Counter(found.sequences)
     r = np.random.default_rng(17)
-    while rounds > 0 and sum(uses.values()) > bound:
-        rounds -= 1
-        apart: Counter = Counter()
-        wasteful, others = (60, 100, 150)[rounds % 3], (60, 120, 240)[rounds // 3 % 3]
-        for p in sorted(uses, key=lambda p: (sum(p), p)):
-            take = min(uses[p], wasteful - apart.total())
-            if take <= 0:
-                break
-            apart[p] = take
-        rest = sorted(p for p in uses if p not in apart)
-        for i in r.permutation(len(rest))[:others].tolist():
-            apart[rest[i]] = 1
-        pieces: Counter = Counter()
-        for p, t in apart.items():
-            for x in p:
-                pieces[x] += t
-        again = descent(pieces, capacity, steps)
-        if sum(t for _, t in again) <= apart.total():
-            uses -= apart
-            for p, t in again:
-                uses[p] += t
+    for k in range(rounds):
+        if uses.total() <= bound or shown:
+            break
+        order = sorted((p for p in uses if uses[p]), key=lambda p: (sum(p), p))
+        if refit and k % refit == 1:
+            uses = _refitted(uses, order, capacity, r, k // refit, steps)
+            continue
+        others, near = order[1:], partners // 2
+        wide = others[: 6 * partners]
+        some = [wide[i] for i in r.permutation(len(wide))[:near].tolist()]
+        free = [p for p in others if p not in some]
+        some = [order[0], *some, *(free[i] for i in r.permutation(len(free))[: partners - near].tolist())]
+        found = search(_taken(some), capacity, len(some), sum(order[0]), steps, nodes)
+        if found.sequences:
+            uses = uses - Counter(some) + Counter(found.sequences)
     patterns = sorted(uses.items(), key=lambda pt: (-sum(pt[0]), pt[0]))
-    return Solution(patterns, uses.total(), bound)
+    return Solution(patterns, uses.total(), bound, shown)
 
 
 def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
@@ -310,12 +359,12 @@ def ranked(df: DataFrame, key: str, order: list[str], salts: int) -> DataFrame:
     return d.join(first, [key, "_salt"]).withColumn("_rank", F.col("_first") + F.col("_row") - 1).drop("_salt", "_first", "_row")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR_ID, steps: int = STEPS, nodes: int = NODES, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR_ID, steps: int = STEPS, nodes: int = NODES, rounds: int = ROUNDS, partners: int = PARTNERS) -> DataFrame:
     """pieces() with sequence_id and offset; sequences hold at most ``capacity`` ids without gaps. Every row also says how many sequences there are, and the bound below which there can be none."""
     spark = docs.sparkSession
     cut = common.written(pieces(docs, tokenizer, capacity, separator), "pieces")
     histogram = {int(r[0]): int(r[1]) for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    answer = solve(histogram, capacity, steps, nodes, rounds)
+    answer = solve(histogram, capacity, steps, nodes, rounds, partners)
     place = spark.sparkContext.broadcast(places(answer.patterns))  # about capacity patterns, more by at most those of the rounds
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 

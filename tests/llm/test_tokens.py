@@ -110,7 +110,7 @@ def slow_least(lengths, capacity):
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
 def test_solver_is_optimal_on_small_cases(lengths):
     counts = {k: lengths.count(k) for k in set(lengths)}
-    patterns, sequences, bound = packing.solve(counts, 20)
+    patterns, sequences, bound, _ = packing.solve(counts, 20)
     used = {}
     for p, t in patterns:
         assert sum(p) <= 20
@@ -121,6 +121,32 @@ def test_solver_is_optimal_on_small_cases(lengths):
     assert packing.lower_bound(counts, 20) == bound <= least == sequences == sum(t for _, t in patterns)
 
 
+def test_search_alone_beats_best_fit_and_reaches_leaves():
+    saved = leaves = 0
+    for seed in range(12):
+        r = np.random.default_rng(seed)
+        pieces = []
+        for _ in range(6):  # six full sequences, cut at random places
+            cuts = np.sort(r.choice(np.arange(1, 200), 3, replace=False)) * 10
+            pieces += np.diff([0, *cuts, 2000]).tolist()
+        histogram = {k: pieces.count(k) for k in set(pieces)}
+        fit = packing.descent(histogram, 2000, steps=1)
+        n, least = sum(t for _, t in fit), min(sum(p) for p, _ in fit)
+        if n > 6:
+            found = packing.search(histogram, 2000, n, least)
+            leaves += found.leaves
+            if found.sequences:
+                assert found.least < least and sorted(x for p in found.sequences for x in p) == sorted(pieces) and all(sum(p) <= 2000 for p in found.sequences)
+                saved += len(found.sequences) < n
+    assert leaves >= saved >= 3
+    assert packing.NODES >= 10 * packing.PARTNERS
+
+
+def test_whole_search_shows_that_no_fewer_will_do():
+    answer = packing.solve({6: 3, 5: 1}, 10)  # two by volume, four in fact
+    assert answer.sequences == 4 and answer.status == "optimal"
+
+
 def test_solver_scales_with_lengths_not_counts():
     r = np.random.default_rng(0)
     counts = {int(k): int(n) for k, n in zip(range(1, 2049), r.integers(1, 10**6, 2048))}
