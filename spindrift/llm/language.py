@@ -7,8 +7,9 @@ logistic loss over all bits (loss-weighted decoding); the score is the softmax o
 negative losses, and a small distance to the runner-up flags the text as ambiguous.
 
 Up to four languages get the exhaustive code, more get the best of several seeded random
-codes by minimum distance. Fitted on about ``per_class`` rows a language, of the
-examples.MOST_CLASSES most frequent ones (a bound on what a dirty column can bring).
+codes by minimum distance. Fitted on about ``per_class`` rows a language, of every language
+there is; many languages share examples.MOST_ROWS rows evenly, so that what the driver holds
+is bounded (only beyond as many languages the rarest can't have a row).
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is
 everything where no row has a usable language; with one language, every text with letters
@@ -34,6 +35,7 @@ PIECE = 1 << 18
 MODULUS, REMAINDER = 4, 2
 MARGIN = 0.2
 ITERATIONS = 150
+PART = 4096
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -71,6 +73,13 @@ def features(data: np.ndarray, dim: int = DIM, piece: int = PIECE) -> np.ndarray
     return x / max(1e-9, float(np.sqrt((x * x).sum())))
 
 
+def _least_distance(code: np.ndarray, at: int) -> int:
+    """The least distance of the codewords at..at + 1024 to others."""
+    gram = code[at : at + 1024] @ code.T
+    gram[np.arange(len(gram)), at + np.arange(len(gram))] = -code.shape[1]
+    return int((code.shape[1] - gram.max()) // 2)
+
+
 def codewords(k: int, seed: int = 7) -> np.ndarray:
     """k codewords of -1 and 1."""
     if k <= 1:
@@ -81,11 +90,9 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
     r = np.random.default_rng(seed)
     bits = max(10, int(np.ceil(10 * np.log2(k))))
     best, far = None, -1
-    for _ in range(200):
+    for _ in range(max(1, min(200, 20_000_000 // (k * k)))):
         code = r.choice(np.array([-1, 1], np.float32), (k, bits))
-        gram = code @ code.T
-        np.fill_diagonal(gram, -bits)
-        d = int((bits - gram.max()) // 2)
+        d = min(_least_distance(code, at) for at in range(0, k, 1024))
         if d > far and all(len(set(c)) == 2 for c in code.T):
             best, far = code, d
     return best
@@ -93,24 +100,28 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
 
 def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, iterations: int = ITERATIONS, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regression of all bits at once (Adam, full batch): weights and intercepts."""
-    n, bits = len(x), y.shape[1]
+    bits = y.shape[1]
     w, b = np.zeros((x.shape[1], bits), np.float32), np.zeros(bits, np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, b)]
     weight = (weight / weight.sum()).astype(np.float32)[:, None]
     for i in range(1, iterations + 1):
-        m = y * (x @ w + b)
-        g = -y * weight / (1 + np.exp(np.clip(m, -30, 30)))
-        for p, s, d in ((w, state[0], x.T @ g + ridge * w), (b, state[1], g.sum(axis=0))):
+        dw, db = ridge * w, np.zeros_like(b)
+        for k in range(0, len(x), PART):  # half precision is widened a part at a time
+            part, yk = x[k : k + PART].astype(np.float32), y[k : k + PART]
+            g = -yk * weight[k : k + PART] / (1 + np.exp(np.clip(yk * (part @ w + b), -30, 30)))
+            dw += part.T @ g
+            db += g.sum(axis=0)
+        for p, s, d in ((w, state[0], dw), (b, state[1], db)):
             s[0] = 0.9 * s[0] + 0.1 * d
             s[1] = 0.99 * s[1] + 0.01 * d * d
             p -= 0.3 * (s[0] / (1 - 0.9**i)) / (np.sqrt(s[1] / (1 - 0.99**i)) + 1e-8)
-    assert n == len(y)
     return w, b
 
 
 def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best class, its probability, and the lead over the runner-up, by least logistic loss over the bits."""
-    loss = np.stack([np.logaddexp(0, -margins * c).sum(axis=1) for c in code], axis=1)
+    # a bit's loss is that of codeword bit 1, plus the margin where the bit is -1: one product for all codewords
+    loss = np.logaddexp(0, -margins).sum(axis=1, keepdims=True) + margins @ ((1 - code.T) / 2)
     p = np.exp(loss.min(axis=1, keepdims=True) - loss)
     p /= p.sum(axis=1, keepdims=True)
     best = loss.argmin(axis=1)
@@ -136,8 +147,9 @@ def fit(docs: DataFrame, per_class: int = PER_CLASS, dim: int = DIM):
     rows = usable.select("doc_id", "text", "lang").join(F.broadcast(small), "doc_id").mapInArrow(run, "doc_id long, lang string, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang, r.x))
     names = sorted({r.lang for r in rows})
-    x = np.stack([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32)
-    label = np.array([names.index(r.lang) for r in rows])
+    number = {n: k for k, n in enumerate(names)}
+    x = np.frombuffer(b"".join(r.x for r in rows), np.float16).reshape(len(rows), dim)
+    label = np.array([number[r.lang] for r in rows])
     code = codewords(len(names))
     if not code.shape[1]:
         return names, code, None, None

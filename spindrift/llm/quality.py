@@ -5,11 +5,12 @@ FILTERS learned filters and a rectifier, and overlapping chunks of frames that c
 whole document are max-pooled. The document is described by the mean and the maximum of
 its chunks' pooled filters, which one logistic unit combines into a probability.
 
-Trained on the driver by Adam on about ``per_class`` rows of each class (the documented
-bound), long texts included, weighted back to the classes' true shares so that the
-probability is calibrated. A labelled text of more than TRAIN_BYTES is learned from
-TRAIN_PIECES evenly spaced pieces that add up to as many bytes, so that what the driver
-holds is bounded. Scoring reads every byte of every text.
+Trained on the driver by Adam on about ``per_class`` rows of each class, weighted back to
+the classes' true shares so that the probability is calibrated. The sample ends earlier
+where a class's texts add up to TRAIN_BYTES (both bounds are documented parameters): rows
+are taken in the order of a hash, so long texts are as likely as short ones, and each is
+learned from whole. The driver holds TRAIN_BYTES and one text a class at most. Scoring reads
+every byte of every text.
 
 Defined cases: null is an empty text, which is one frame of padding and gets a score like any
 other; without labels every score is 0.5; repeated rows and null doc_ids (never held out)
@@ -27,8 +28,7 @@ from pyspark.sql.types import StructType
 from spindrift.llm import common, examples
 
 PER_CLASS = 1000
-TRAIN_BYTES = 1 << 20
-TRAIN_PIECES = 16
+TRAIN_BYTES = 32 << 20
 MODULUS, REMAINDER = 4, 2
 THRESHOLD = 0.7
 EMBED, WIDTH, STRIDE, FILTERS = 4, 8, 4, 24
@@ -168,20 +168,13 @@ def train(rows: list[tuple[bytes, int]], counts: dict[int, int], epochs: int = E
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = TRAIN_BYTES) -> Net | None:
     rows, counts = examples.labelled(docs, labels, "quality", MODULUS, REMAINDER, per_class)
-    got = sorted((r.doc_id, bytes(r.body), r.label) for r in rows.select("doc_id", sampled_bytes(F.col("text")).alias("body"), "label").collect())
+    body = F.coalesce("text", F.lit("")).cast("binary").alias("body")
+    got = sorted((r.doc_id, bytes(r.body), r.label) for r in examples.within(rows, most_bytes).select("doc_id", body, "label").collect())
     return train([(t, y) for _, t, y in got if y in (0, 1)], counts)
 
 
-def sampled_bytes(text, most: int = TRAIN_BYTES, pieces: int = TRAIN_PIECES):
-    """The bytes of a text; of one with more than ``most``, ``pieces`` evenly spaced pieces of it."""
-    body = F.coalesce(text, F.lit("")).cast("binary")
-    size, each = F.octet_length(body), most // pieces
-    at = lambda k: (F.floor((size - each) * k / (pieces - 1)) + 1).cast("int")
-    return F.when(size <= most, body).otherwise(F.concat(*(F.substring(body, at(k), F.lit(each)) for k in range(pieces))))
-
-
 def scored(docs: DataFrame, net: Net | None, out: str = "score") -> DataFrame:
     """All columns of ``docs`` with ``out`` (which takes the place of one so named), from the whole text alone."""
     names = [n for n in docs.columns if n != out]

@@ -1,9 +1,11 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.util import docs, edge_rows, prose
 
-from spindrift.llm import common, language, quality, toxicity
+from spindrift.llm import common, examples, language, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -94,14 +96,99 @@ def test_long_labelled_texts_are_learned_from(spark):
     whole = {k: np.zeros_like(v) for k, v in net.p.items()}
     p = net.gradient(data, 1.0, 1.0, whole)
     assert abs(p - net.probability(net.describe(data)[None])[0]) < 1e-6  # pieces of a long text change nothing
-    text = "".join(f"{i:07d} " for i in range(3000))
-    got = bytes(spark.createDataFrame([(text,)], "text string").select(quality.sampled_bytes(F.col("text"), 1600, 16)).first()[0])
-    assert len(got) == 1600 and got[:100] == text[:100].encode() and got[-100:] == text[-100:].encode()
     rows = [(i, ("good sentence here. " if i % 2 else "x1$ zz## 9 ") * (9000 if i < 4 else 20)) for i in range(40)]
     net = quality.fit(docs(spark, rows), labels(spark, [(i, i % 2, 0) for i in range(40)]))
     assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in quality.scored(docs(spark, rows), net).collect())
 
 
+def test_sample_ends_by_bytes_of_whole_texts(spark):
+    rows = [(i, "x" * (50_000 if i % 3 == 0 else 100)) for i in range(200)]
+    of = spark.createDataFrame([(i, t, i % 2) for i, t in rows], "doc_id long, text string, label int")
+    kept = examples.within(of, 400_000).collect()
+    for label in (0, 1):
+        size = [len(r.text) for r in kept if r.label == label]
+        assert 400_000 <= sum(size) < 450_000  # the bound, and one text at most
+        assert {100, 50_000} == set(size)  # short and long ones alike
+    assert examples.within(of, 1 << 30).count() == 200 and examples.within(of.limit(0), 10).count() == 0
+
+
+def slow_quality(net, text):
+    """The network, one frame and one chunk at a time."""
+    p, data = {k: v.astype(np.float64) for k, v in net.p.items()}, text.encode()
+    frames = max(1, -(-(len(data) - quality.WIDTH) // quality.STRIDE) + 1)
+    data += bytes((frames - 1) * quality.STRIDE + quality.WIDTH - len(data))
+    z = []
+    for k in range(frames):
+        x = np.concatenate([p["table"][c] for c in data[k * quality.STRIDE : k * quality.STRIDE + quality.WIDTH]])
+        z.append(np.maximum(x @ p["filters"] + p["bias"], 0))
+    blocks = -(-frames // quality.BLOCK)
+    chunks = [np.max(z[k * quality.BLOCK : (k + quality.BLOCKS) * quality.BLOCK], axis=0) for k in range(max(1, blocks - quality.BLOCKS + 1))]
+    d = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)])
+    return 1 / (1 + np.exp(-(d @ p["out"] + p["level"][0])))
+
+
+def test_whole_quality_query_against_brute_force(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(i, prose(i, r.randint(0, 150)) if i % 2 else "".join(r.choice("#$% zx19\n") for _ in range(r.randint(0, 900)))) for i in range(90)] + [(90, None), (91, ""), (92, "é日" * 4000), (92, "é日" * 4000)]
+    d, y = docs(spark, rows), labels(spark, [(i, i % 2, 0) for i in range(60)])
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    y.write.parquet(str(tmp_path / "labels.parquet"))
+    net = quality.fit(d, y)
+    got = sorted((x.doc_id, x.held_out, x.predicted, round(x.score, 4)) for x in quality.op8_quality_conv(spark, str(tmp_path)).collect())
+    want = sorted((i, common.held_py(i, 4, 2), int(s >= 0.7), round(float(s), 4)) for i, t in rows for s in [slow_quality(net, t or "")])
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], atol=2e-4)
+
+
+def slow_language(model, text):
+    """Features, margins and decoding of one text, n-gram by n-gram and bit by bit."""
+    names, code, w, b = model
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    t = [32]
+    for c in [*text.encode(), 32]:
+        c = c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32
+        if c != 32 or t[-1] != 32:
+            t.append(c)
+    counts, mask, shift = np.zeros((3, language.DIM)), (1 << 32) - 1, 32 - (language.DIM.bit_length() - 1)
+    for k in range(1, len(t)):
+        for n, gram in enumerate((t[k] * 0x9E3779B1, (t[k - 1] << 8 | t[k]) * 0x85EBCA6B, (t[k - 2] << 16 | t[k - 1] << 8 | t[k]) * 0xC2B2AE35 if k > 1 else None)):
+            if gram is not None:
+                counts[n, (gram & mask) >> shift] += 1
+    x = np.sqrt(counts).sum(axis=0)
+    m = x / np.sqrt((x * x).sum()) @ w.astype(np.float64) + b
+    loss = [sum(np.log1p(np.exp(-c * v)) for c, v in zip(word, m)) for word in code]
+    p = np.exp(min(loss) - np.array(loss))
+    return names[int(np.argmin(loss))], float((p / p.sum()).max())
+
+
+def test_whole_language_query_against_brute_force(spark, tmp_path):
+    base = common.table(spark, SF, "documents").orderBy("doc_id").limit(120).select("doc_id", "text", "lang", "source", "n_chars")
+    odd = spark.createDataFrame([(900_000 + i, t, None, "s", 0) for i, t in enumerate([None, "", " 12 ", "ß", "a", "日本語", "A  b--C", "é" * 3])], base.schema)
+    base.union(odd).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = base.union(odd).collect()
+    model = language.fit(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    got = {x.doc_id: x for x in language.op4_language_ecoc(spark, str(tmp_path)).collect()}
+    for x in rows:
+        lang, score = slow_language(model, x.text)
+        assert got[x.doc_id].held_out == common.held_py(x.doc_id, 4, 2) and abs(got[x.doc_id].score - score) < 1e-3, x.text
+        assert got[x.doc_id].lang_pred == lang or abs(score - 0.5) < 1e-3
+
+
+def test_many_languages_are_all_learned(spark):
+    r = random.Random(6)
+    alphabets = ["".join(r.sample("abcdefghijklmnopqrstuvwxyzäöüßéèñçøåæ", 7)) for _ in range(260)]
+    text = lambda k: " ".join("".join(r.choice(alphabets[k]) for _ in range(r.randint(2, 6))) for _ in range(60))
+    rows = [(i, text(i % 260), f"l{i % 260:03d}") for i in range(260 * 12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(d)
+    assert len(model[0]) == 260
+    got = {x.doc_id: x.lang_pred for x in language.identify(d, model).collect()}
+    held = [(i, lang) for i, _, lang in rows if common.held_py(i, 4, 2)]
+    assert np.mean([got[i] == lang for i, lang in held]) > 0.9
+    few, counts = examples.choose(d.select("doc_id", "lang"), "doc_id", "lang", 800, most=520)
+    assert len(counts) == 260 and len(few) < 2 * 520  # a bound on rows, not on languages
+
+
 def test_kept_rows_keep_clashing_columns(spark):
     d = docs(spark, edge_rows()).withColumns({c: F.lit(i) for i, c in enumerate(("score", "_score", "__SCORE", "evidence"))})
     for kept in (quality.keep_good(d, None, 0.0), toxicity.keep_clean(d, None, 1.0)):
