@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -73,8 +74,9 @@ class Result:
 class Inputs:
     """What a run needs: lengths (contig_id, name, length), markers, seed (contig_id, bin_label), features, composite edges; features without a coverage filter if it is relaxed."""
 
-    def __init__(self, lengths, mg, seed, features, composite, loose=None):
+    def __init__(self, lengths, mg, seed, features, composite, loose=None, counts=None):
         self.lengths, self.mg, self.seed, self.features, self.composite, self.loose = lengths, mg, seed, features, composite, loose
+        self.counts = {} if counts is None else counts  # what a run has read, left out and measured, for its manifest
 
 
 def numbered(binning: DataFrame) -> DataFrame:
@@ -93,10 +95,15 @@ def _pairs(mode: str, inputs: Inputs, binning: DataFrame) -> DataFrame:
 def distances(mode: str, inputs: Inputs, binning: DataFrame, fill: int | None) -> DataFrame:
     pairs = _pairs(mode, inputs, binning)
     one = written(pairs.select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct(), "pairs")
+    n = inputs.counts[f"pairs_{mode}"] = one.count()
+    if not n:
+        logging.getLogger(__name__).warning("%s: no two fragments share a marker", mode)
     strict = measure.measure(one, inputs.features)
     if inputs.loose is None:
         return comarker.filled(pairs, strict, fill)
-    return comarker.relaxed(pairs, written(strict, "strict"), written(measure.measure(one, inputs.loose, 0.0), "loose"), fill)
+    strict, loose = written(strict, "strict"), written(measure.measure(one, inputs.loose, 0.0), "loose")
+    inputs.counts |= {f"{k}_{mode}": v for k, v in comarker.relax_stats(strict, loose).first().asDict().items()}
+    return comarker.relaxed(pairs, strict, loose, fill)
 
 
 def derive_threshold(inputs: Inputs) -> tuple[int, bool]:
@@ -181,11 +188,13 @@ def inputs_from_files(spark: SparkSession, config: RefineConfig) -> Inputs:
     checks.require(checks.ragged_depth(readers.depth_lines(spark, config.depth), config.variances), "depth rows of another width than the header's, or with other than numbers")
     checks.require(checks.order_of(readers.depth_lines(spark, config.depth), readers.fasta_order(spark, config.fasta)), "depth rows in another order than the assembly")
     rows = readers.resolve(depth, names).where("contig_id is not null").select("contig_id", "sample", "mean", "var")
-    marks = written(readers.markers(spark, list(config.markers), config.marker_format), "marker-rows")
+    seen = Observation("marker rows")
+    marks = written(readers.markers(spark, list(config.markers), config.marker_format, seen), "marker-rows")
+    counts = {f"marker_{k}": int(v) for k, v in seen.get.items()} | {"contigs": names.count(), "marker_pairs": marks.count()}
     checks.verdict(checks.match_counts(marks, names), "markers")
     mg = written(readers.incidence(marks, names), "markers")
-    read = readers.seed_table if config.seed.endswith((".tsv", ".txt", ".gz")) else readers.seed_directory
-    said = written(read(spark, config.seed), "seed-rows")
+    said = written(readers.seed(spark, config.seed), "seed-rows")
+    counts |= {"seed_rows": said.count(), "seed_unmatched": int(checks.match_counts(said, names).first().unmatched)}
     checks.verdict(checks.match_counts(said, names), "seed")
     seed = readers.resolve(said, names).where("contig_id is not null")
     checks.require(checks.seed_conflicts(seed.select("name", "bin_label")), "contigs in two bins")
@@ -195,14 +204,15 @@ def inputs_from_files(spark: SparkSession, config: RefineConfig) -> Inputs:
     reach = graph.coverage_curve(near)
     p = graph.pooled_cutoff(reach) if config.random_cutoff else graph.cutoff(reach)
     loose = written(measure.features(contigs, rows, 0.0, 0.0), "loose-features") if config.relax_cv else None
-    return Inputs(written(names, "contigs"), mg, seed, feats, written(graph.composite(graph.knn_edges(near, p), feats, config.min_cv), "composite"), loose)
+    edges = written(graph.composite(graph.knn_edges(near, p), feats, config.min_cv), "composite")
+    counts |= {"contigs_kept": feats.count(), "edges": edges.count(), "edges_without_correlation": edges.where("s_cor is null").count(), "cutoff": p}
+    return Inputs(written(names, "contigs"), mg, seed, feats, edges, loose, counts)
 
 
 def check(spark: SparkSession, config: RefineConfig) -> DataFrame:
     """One row an input of what is read and matched, with a verdict; nothing is run."""
     names = written(readers.fasta(spark, config.fasta).where(F.col("length") >= config.minlen).select("name", F.lit(0).alias("contig_id")), "check-names")
-    read = readers.seed_table if config.seed.endswith((".tsv", ".txt", ".gz")) else readers.seed_directory
-    rows = {"depth": readers.depth_table(spark, config.depth, config.variances), "markers": readers.markers(spark, list(config.markers), config.marker_format), "seed": read(spark, config.seed)}
+    rows = {"depth": readers.depth_table(spark, config.depth, config.variances), "markers": readers.markers(spark, list(config.markers), config.marker_format), "seed": readers.seed(spark, config.seed)}
     out = None
     for what, d in rows.items():
         row = checks.match_counts(d, names).select(F.lit(what).alias("input"), "*")
@@ -218,7 +228,8 @@ def run(spark: SparkSession, config: RefineConfig) -> Result:
         sinks.write_binning(result.binning, inputs.lengths, config.name, f"{config.out}/binning")
         sinks.write_binning(result.filtered, inputs.lengths, config.name, f"{config.out}/binning{config.suffix}")
         sinks.write_summary(result.summaries, f"{config.out}/summary")
-        sinks.write_manifest(spark, asdict(config) | {"simthresh_used": result.simthresh, "derived": result.derived}, f"{config.out}/manifest")
+        sinks.write_manifest(spark, asdict(config) | {"simthresh_used": result.simthresh, "derived": result.derived, "counts": inputs.counts}, f"{config.out}/manifest")
+        sinks.write_seed(inputs.seed, inputs.lengths, config.name, f"{config.out}/seed")
         if config.write_bins:
             sinks.write_bin_fastas(readers.contigs(spark, config.fasta, config.minlen), result.filtered, f"{config.out}/bins")
     return result

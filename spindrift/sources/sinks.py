@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.sources import bin_files
+
 
 def safe_label(label: Column) -> Column:
     return F.regexp_replace(label, r"[^A-Za-z0-9._-]", "_")
@@ -25,10 +27,28 @@ def write_binning(binning: DataFrame, names: DataFrame, sample: str, path: str)
     binning_lines(binning, names, sample).write.mode("overwrite").text(path)
 
 
+def seed_lines(seed: DataFrame, names: DataFrame, sample: str) -> DataFrame:
+    """Lines of the seed as a table with its original labels: three header lines, then name, bin and length."""
+    head = seed.sparkSession.createDataFrame([(0, "", "", "@Version:0.9.0"), (1, "", "", f"@SampleID:{sample}"), (2, "", "", "@@SEQUENCEID\tBINID\tLENGTH")], "_o int, _b string, _n string, value string")
+    rows = seed.join(names.select("contig_id", "name", "length"), "contig_id")
+    rows = rows.select(F.lit(3).alias("_o"), F.col("bin_label").alias("_b"), F.col("name").alias("_n"), F.concat_ws("\t", "name", "bin_label", F.col("length").cast("string")).alias("value"))
+    return head.union(rows).orderBy("_o", "_b", "_n").select("value")
+
+
+def write_seed(seed: DataFrame, names: DataFrame, sample: str, path: str) -> None:
+    """The seed as text parts that read in order make the table."""
+    seed_lines(seed, names, sample).write.mode("overwrite").text(path)
+
+
 def write_bin_fastas(contigs: DataFrame, binning: DataFrame, path: str) -> None:
-    """One folder a bin (label made safe) of FASTA text; an existing folder is replaced."""
+    """One FASTA file a bin, ``path``/label.fa (label made safe), records in the assembly's order; a file of that name is replaced. Two labels of one safe form are an error."""
+    labels = binning.select("bin_label").distinct().groupBy(safe_label(F.col("bin_label")).alias("bin")).count().where("count > 1").limit(1).collect()
+    if labels:
+        raise ValueError(f"several bins would be written to {labels[0].bin}.fa")
     d = contigs.select("contig_id", "name", "seq").join(binning.select("contig_id", safe_label(F.col("bin_label")).alias("bin")), "contig_id")
-    d.select("bin", F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).repartition("bin", F.pmod(F.xxhash64("name"), F.lit(8))).write.mode("overwrite").partitionBy("bin").text(path)
+    contigs.sparkSession.dataSource.register(bin_files.BinFiles)
+    rows = d.repartition("bin").sortWithinPartitions("bin", "contig_id").select("bin", F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value"))
+    rows.write.format("bin_files").mode("append").option("path", path).save()
 
 
 def composite_lines(edges: DataFrame, names: DataFrame) -> DataFrame:

@@ -27,6 +27,48 @@ def test_fasta_plain_and_gzip(spark, tmp_path):
         readers.contigs(spark, str(tmp_path / "z.fa"), 2)
 
 
+def test_gzip_by_its_first_bytes_and_ids_in_file_order(spark, tmp_path):
+    names = [f"c{(7 * i) % 400}" for i in range(400)]
+    text = "".join(f">{n} x\nACGT\nAC\n" for n in names)
+    (tmp_path / "plain.fa").write_text(text)
+    with gzip.open(tmp_path / "packed.fa", "wb") as f:
+        f.write(text[: len(text) // 2].encode())
+    with gzip.open(tmp_path / "packed.fa", "ab") as f:  # a second member
+        f.write(text[len(text) // 2 :].encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        for n in ("plain.fa", "packed.fa"):
+            assert rows(readers.contigs(spark, str(tmp_path / n), 2), "contig_id", "name", "seq") == [(i, x, "ACGTAC") for i, x in enumerate(names)]
+            assert [r.name for r in readers.fasta_order(spark, str(tmp_path / n)).orderBy("ordinal").collect()] == names
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with gzip.open(tmp_path / "t.tsv", "wb") as f:
+        f.write(b"a\tm1\nb\tm2\n")
+    (tmp_path / "u.tsv").write_text("c\tm3\n")
+    assert rows(readers.markers(spark, [str(tmp_path / "t.tsv"), str(tmp_path / "u.tsv")], "table"), "name", "marker") == [("a", "m1"), ("b", "m2"), ("c", "m3")]
+    with pytest.raises(ValueError):
+        readers.fasta(spark, str(tmp_path / "none.fa"))
+
+
+def test_seed_is_told_by_the_folder(spark, tmp_path):
+    (tmp_path / "seed.csv").write_text("a\tB1\n")
+    assert rows(readers.seed(spark, str(tmp_path / "seed.csv")), "name", "bin_label") == [("a", "B1")]
+    bins = tmp_path / "bins.tsv"
+    bins.mkdir()
+    (bins / "x.1.fna").write_text(">a\nAC\n")
+    (bins / "notes.md").write_text("> no bin\n")
+    assert rows(readers.seed(spark, str(bins)), "name", "bin_label") == [("a", "x.1")]
+    spark.createDataFrame([("q\tB2",)], "value string").write.text(str(tmp_path / "parts"))
+    assert rows(readers.seed(spark, str(tmp_path / "parts")), "name", "bin_label") == [("q", "B2")]
+    with pytest.raises(ValueError):
+        readers.seed(spark, str(tmp_path / "nothing"))
+
+
+def test_depth_rows_with_exponents(spark, tmp_path):
+    (tmp_path / "d.tsv").write_text("contigName\tcontigLen\ttotalAvgDepth\ts1\ts1-var\na\t1e+05\t3\t1.5\t2\n")
+    assert rows(readers.depth_table(spark, str(tmp_path / "d.tsv")), "name", "mean") == [("a", 1.5)]
+
+
 def test_markers(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("# c\n@x\na\tm1\textra\nb\t \nb\tm2\n\n")
     (tmp_path / "b.tsv").write_text("# h\nb1\tComplete\ta\t9\nb2\tMissing\nb3\tDuplicated\tb\nb4\tFragmented\ta\n")
@@ -62,7 +104,13 @@ def test_sinks(spark, tmp_path):
     n = spark.createDataFrame([(0, "a", "ACGT"), (1, "b", "AC")], "contig_id long, name string, seq string")
     assert [r.value for r in sinks.binning_lines(b, n, "s").collect()] == ["@Version:0.9.0", "@SampleID:s", "@@SEQUENCEID\tBINID", "a\tB/2", "b\tB1"]
     sinks.write_bin_fastas(n, b, str(tmp_path / "bins"))
-    assert sorted(p.name for p in (tmp_path / "bins").iterdir() if p.is_dir()) == ["bin=B1", "bin=B_2"]
+    for _ in range(2):  # a second run leaves no second copy
+        assert {p.name: p.read_text() for p in (tmp_path / "bins").iterdir()} == {"B1.fa": ">b\nAC\n", "B_2.fa": ">a\nACGT\n"}
+        sinks.write_bin_fastas(n, b, str(tmp_path / "bins"))
+    with pytest.raises(ValueError):
+        sinks.write_bin_fastas(n, spark.createDataFrame([(0, "B/2"), (1, "B#2")], b.schema), str(tmp_path / "bins"))
+    lengths = n.withColumn("length", sinks.F.length("seq").cast("long"))
+    assert [r.value for r in sinks.seed_lines(b, lengths, "s").collect()] == ["@Version:0.9.0", "@SampleID:s", "@@SEQUENCEID\tBINID\tLENGTH", "a\tB/2\t4", "b\tB1\t2"]
     e = spark.createDataFrame([(0, 1, 0.5)], "src long, dst long, score double")
     assert [r.value for r in sinks.composite_lines(e, n).collect()] == ['composite("b","a",0.500000).']
     sinks.distance_lines(spark.createDataFrame([(0, 1, 7)], "c1 long, c2 long, d int")).write.text(str(tmp_path / "facts"))
