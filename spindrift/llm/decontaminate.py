@@ -10,7 +10,7 @@ every document and every item, and their size follows the item's size class, so
 item is looked for by many overlapping windows. Repetitions use independent walks.
 
 Samples and walks are tuned on edited copies of all items before the run: for each size
-class the most samples with which at most MOST_REPETITIONS walks find ``recall`` of the
+class the most samples with which at most MOST_REPETITIONS of its walks find ``recall`` of the
 copies with ``edit_rate`` of their letters edited, as many as a match may differ by, and
 LEAST_RECALL of each item's own copies. Items that no such setting finds often enough are
 looked for everywhere by an exact search, so there is no cap on what can be found.
@@ -22,8 +22,9 @@ edit distance of the whole item to the best stretch around the place decides: co
 if it is at most ``distance`` of its size.
 
 A window leaves a walk as soon as its sampled bytes so far begin no item's key, so most
-windows cost a few steps. Items are broadcast in blocks of at most ITEM_BLOCK bytes, each
-with its index built once; a larger benchmark takes several passes.
+windows cost a few steps. Items are broadcast in blocks of at most ITEM_BLOCK bytes with their
+index, which takes up to about 16 times as much (a key of 16 bytes for each window and
+walk, and packed bit maps); a larger benchmark takes several passes, one block at a time.
 
 Defined cases: null and blank documents match nothing; null and blank items are nobody's
 contamination; items with equal text count as one, under the smallest of their ids (null
@@ -43,10 +44,10 @@ from spindrift.llm import common
 DISTANCE = 0.2
 EDIT_RATE = DISTANCE
 RECALL = 0.97
-LEAST_RECALL = 0.8  # of an item's own copies, else it is looked for exactly
-MOST_REPETITIONS = 5
+LEAST_RECALL = 0.9  # of an item's own copies, else it is looked for exactly
+MOST_REPETITIONS = {32: 5, 16: 8, 8: 8}  # by walk: short ones collide more often, and more of them may sample more steps
 COPIES = 20_000  # edited copies to measure recall on, 3 to 20 of each item
-STEPS = (32, 16, 8)  # walks by item size class: an item takes the longest walk within its size
+STEPS = (32, 16, 8)  # walks by item size class: an item takes the longest walk within half its size, so that several windows can find it
 SAMPLES = (14, 12, 10, 8, 6, 5, 4)
 ITEM_BLOCK = 4 << 20
 LOCAL = 64
@@ -122,8 +123,9 @@ class Table:
         self.shift = np.uint64(64 - bits)
 
         def note(done, key):
-            self.maps[done] = seen = np.zeros(1 << bits, bool)
+            seen = np.zeros(1 << bits, bool)
             seen[(key >> self.shift).astype(np.int64)] = True
+            self.maps[done] = np.packbits(seen, bitorder="little")
             return np.ones(len(key), bool)
 
         _, key = walk.keys(text, starts, note)
@@ -132,7 +134,12 @@ class Table:
 
     def collisions(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window in text, item, window in item) of all equal keys."""
-        alive, key = self.walk.keys(text, starts, lambda done, k: self.maps[done][(k >> self.shift).astype(np.int64)])
+
+        def begins(done, key):
+            at = (key >> self.shift).astype(np.int64)
+            return self.maps[done][at >> 3] >> (at & 7).astype(np.uint8) & 1
+
+        alive, key = self.walk.keys(text, starts, begins)
         lo, hi = np.searchsorted(self.key, key), np.searchsorted(self.key, key, "right")
         n = hi - lo
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -207,7 +214,7 @@ class Items:
 
     @staticmethod
     def steps_of(size: int) -> int:
-        return next((s for s in STEPS if s <= size), STEPS[-1])
+        return next((s for s in STEPS if 2 * s <= size), STEPS[-1])
 
     def alike(self, text: np.ndarray, place: np.ndarray, item: np.ndarray, offset: np.ndarray, steps: int) -> np.ndarray:
         """Whether LOCAL bytes of the item around its window are near enough to the text around the aligned place; small items are compared whole and with their own limit."""
@@ -412,7 +419,7 @@ def tuned(items: list[tuple[int, bytes]], distance: float = DISTANCE, recall: fl
         for samples in (s for s in SAMPLES if s <= steps):
             found = np.zeros(len(changed), bool)
             share = found.reshape(-1, copies)
-            for walk in range(MOST_REPETITIONS):
+            for walk in range(MOST_REPETITIONS[steps]):
                 block = Items(some, {steps: (samples, 1)}, first=walk, distance=distance)
                 for k in range(0, len(changed), 2000):
                     lo, hi = at[k], at[min(k + 2000, len(changed))]
@@ -451,7 +458,7 @@ def blocks(benchmark: DataFrame, limit: int = ITEM_BLOCK):
 
 def _searcher(spark: SparkSession, part, distance: float, recall: float, edit_rate: float):
     settings, exact, _ = tuned(part, distance, recall, edit_rate)
-    box = spark.sparkContext.broadcast(Items(part, settings, exact=tuple(exact), distance=distance))  # ITEM_BLOCK bytes of items and their index
+    box = spark.sparkContext.broadcast(Items(part, settings, exact=tuple(exact), distance=distance))  # ITEM_BLOCK bytes of items, and their index of about 16 times as much
 
     def search(column):
         text, at = fold(*common.raw(common.texts(column)))
@@ -489,7 +496,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE, r
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE, recall: float = RECALL, edit_rate: float = EDIT_RATE) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
     at_text = docs.columns.index("text")
-    for part in blocks(benchmark):
+    for k, part in enumerate(blocks(benchmark)):
+        if k:
+            docs = common.written(docs, "uncontaminated")  # one block's index a task
         search = _searcher(docs.sparkSession, part, distance, recall, edit_rate)
 
         def run(batches, search=search):

@@ -83,6 +83,28 @@ def test_recall_at_every_size_and_edit_rate():
             assert sum((k, k) in got for k in range(40)) >= 0.95 * 40, (words, rate, settings, len(exact))
 
 
+def test_short_items_are_found_by_walks():
+    r = np.random.default_rng(21)
+    for words in (5, 6, 7):
+        items = [(i, dc.folded(prose(4000 + 100 * words + i, words))) for i in range(100)]
+        settings, exact, _ = dc.tuned(items)
+        assert len(exact) <= 5, (words, settings)
+        block = dc.Items(items, settings, exact=tuple(exact))
+        found = np.zeros(100)
+        for _ in range(10):  # other copies than those of the tuning
+            text, at = folded_all([b"before it " + dc.misspelt(t, int(0.2 * len(t)), r) + b" and after" for _, t in items])
+            found[[j for row, j, *_ in dc.find(block, text, at) if row == j]] += 0.1
+        assert found.mean() >= 0.93 and (found >= 0.7).mean() >= 0.97, words
+
+
+def test_blocks_of_items_are_passes(spark, monkeypatch):
+    items = [(i, prose(1000 + i, 30)) for i in range(5)]
+    rows = [(i, "intro " + t + " outro") for i, t in items] + [(9, prose(77, 60))]
+    whole = dc.blocks
+    monkeypatch.setattr(dc, "blocks", lambda b: whole(b, 300))
+    assert [r.doc_id for r in dc.keep_uncontaminated(docs(spark, rows), benchmark(spark, items)).collect()] == [9]
+
+
 def folded_all(bodies):
     return dc.fold(np.frombuffer(b"".join(bodies), np.uint8), np.cumsum([0, *map(len, bodies)]))
 
