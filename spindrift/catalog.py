@@ -70,8 +70,8 @@ SELECT * FROM (SELECT doc_id AS contig_id, 'c' || doc_id AS name, lang, source,
     "depth": """
 SELECT g.contig_id, g.sample, coalesce(m, 0.0) AS mean, coalesce(v, 0.0) AS var FROM (SELECT contig_id, unnest(['A', 'N', 'R']) AS sample FROM contigs) g
 LEFT JOIN (SELECT l_partkey AS contig_id, l_returnflag AS sample, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem GROUP BY 1, 2) l ON l.contig_id = g.contig_id AND l.sample = g.sample""",
-    "mg": "SELECT DISTINCT l_partkey AS contig_id, l_suppkey AS marker_id FROM lineitem WHERE l_discount >= 0.095 AND l_linenumber <= 4 AND l_partkey IN (SELECT contig_id FROM contigs)",
-    "dmg": "SELECT DISTINCT l_partkey AS contig_id, l_suppkey AS marker_id FROM lineitem WHERE l_discount >= 0.075 AND l_linenumber <= 4 AND l_partkey IN (SELECT contig_id FROM contigs)",
+    "mg": "SELECT DISTINCT l_partkey AS contig_id, l_suppkey AS marker_id FROM lineitem WHERE l_discount >= 0.095 AND l_partkey IN (SELECT contig_id FROM contigs)",
+    "dmg": "SELECT DISTINCT l_partkey AS contig_id, l_suppkey AS marker_id FROM lineitem WHERE l_discount >= 0.075 AND l_partkey IN (SELECT contig_id FROM contigs)",
     "seed": f"SELECT contig_id, lang || '_' || source AS bin_label, lang FROM contigs WHERE source NOT IN ({_UNBINNED}) AND lang IS NOT NULL",
     "bins": "SELECT contig_id, bin_label, dense_rank() OVER (ORDER BY bin_label) AS bin_id FROM seed",
     "recruitable": "SELECT contig_id FROM contigs WHERE contig_id NOT IN (SELECT contig_id FROM seed)",
@@ -128,6 +128,14 @@ SELECT r.*, round(sqrt(pow(s_abd, 1 - 1.0 / (1 + nnz)) * pow(t.at, 1.0 / (1 + nn
     "reach": "SELECT bin_id AS a, bin_id AS b FROM bins UNION SELECT r.a, CASE WHEN m.b1 = r.b THEN m.b2 ELSE m.b1 END FROM reach r JOIN merges m ON m.b1 = r.b OR m.b2 = r.b",
     "rep": "SELECT a AS bin_id, min(b) AS rep FROM reach GROUP BY a",
     "conflicts": f"SELECT p.bin_id, d.c1, d.c2, d.d FROM w_d d JOIN p_dwithin p ON p.c1 = d.c1 AND p.c2 = d.c2 WHERE d.d >= {SIMTHRESH}",
+    "ends_of": "SELECT bin_id, c1 AS node, c2 AS other FROM conflicts UNION SELECT bin_id, c2, c1 FROM conflicts",
+    "place": "SELECT bin_id, node, row_number() OVER (PARTITION BY bin_id ORDER BY count(*) DESC, node) AS k FROM ends_of GROUP BY bin_id, node",
+    "before": "SELECT p.bin_id, p.k, list(q.k) FILTER (q.k < p.k) AS near FROM ends_of e JOIN place p ON p.bin_id = e.bin_id AND p.node = e.node JOIN place q ON q.bin_id = e.bin_id AND q.node = e.other GROUP BY 1, 2",
+    "greedy": """
+SELECT DISTINCT bin_id, 0::BIGINT AS k, []::INT[] AS c FROM ends_of
+UNION ALL SELECT g.bin_id, b.k, list_append(g.c, list_min(list_filter(range(0, b.k)::INT[], lambda x: NOT list_contains([g.c[j] for j in coalesce(b.near, [])], x))))
+FROM greedy g JOIN before b ON b.bin_id = g.bin_id AND b.k = g.k + 1""",
+    "slots": "SELECT bin_id, max(list_max(c) + 1)::INT AS k FROM greedy WHERE k > 0 GROUP BY bin_id",
     "anchors": "SELECT contig_id, bin_label FROM seed WHERE contig_id IN (SELECT contig_id FROM dmg)",
     "pin": "SELECT s.bin_label, coalesce(min(a.contig_id), min(s.contig_id)) AS contig_id FROM seed s LEFT JOIN anchors a ON a.contig_id = s.contig_id GROUP BY 1",
     "sym": "SELECT src, dst, score FROM composite UNION ALL SELECT dst, src, score FROM composite",
@@ -154,7 +162,7 @@ def _sql(select: str) -> str:
                     need.append(name)
 
     visit(select, ())
-    recursive = "RECURSIVE " if "reach" in need else ""
+    recursive = "RECURSIVE " if {"reach", "greedy"} & set(need) else ""
     heavy = {"feat", "sims", "pairsym", "knn", "composite", "m_d", "w_d", "g_d", "scored", "k_mean"}
     return f"WITH {recursive}" + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in heavy else ''}({FRAGMENTS[n]})" for n in need) + f"\n{select}" if need else select
 
@@ -164,6 +172,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def _query(name: str, make, sql: str | None = None) -> None:
+    if name in QUERIES:
+        raise ValueError(f"two queries are called {name}")
     QUERIES[name] = lambda spark, sf_dir: make(Domain(spark, sf_dir))
     if sql:
         ORACLE_SQL[name] = _sql(sql)
@@ -179,6 +189,11 @@ def _depth_rows(d: Domain):
     return s.select("ordinal", F.concat(F.lit("c"), F.col("id").cast("string")).alias("name"))
 
 
+def _deep_rows(d: Domain):
+    """The rows of a depth file that holds only what has a mean of 25.5 or more."""
+    return d.table("lineitem").groupBy(F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("name")).agg(F.avg("l_quantity").alias("mean")).where("mean >= 25.5")
+
+
 def _language_pairs(d: Domain):
     seed = d.seed(fragmented=False)
     return d.measured(comarker.pairs_within(d.markers(), seed)).select("c1", "c2", "d"), d.measured(comarker.pairs_merge(d.markers(), seed)).select("c1", "c2", "d")
@@ -224,7 +239,7 @@ _query(
     "depth_order_violations", lambda d: checks.depth_order_violations(_depth_rows(d), d.lengths),
     "SELECT name, ordinal FROM (SELECT name, ordinal, contig_id, max(contig_id) OVER (ORDER BY ordinal, contig_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM (SELECT l_partkey AS id, min(l_orderkey) AS ordinal FROM lineitem GROUP BY 1) JOIN contigs ON contig_id = id) WHERE m > contig_id",
 )
-_query("missing_depth", lambda d: checks.missing_depth(_depth_rows(d), d.lengths), "SELECT name FROM contigs WHERE contig_id NOT IN (SELECT l_partkey FROM lineitem)")
+_query("missing_depth", lambda d: checks.missing_depth(_deep_rows(d), d.lengths), "SELECT name FROM contigs WHERE contig_id NOT IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING avg(l_quantity) >= 25.5)")
 _query(
     "seed_conflicts", lambda d: checks.seed_conflicts(d.table("orders").select(F.col("o_custkey").cast("string").alias("name"), F.col("o_orderpriority").alias("bin_label"))),
     "SELECT o_custkey::VARCHAR AS name, count(DISTINCT o_orderpriority) AS bins FROM orders GROUP BY 1 HAVING bins > 1",
@@ -293,7 +308,8 @@ _query(
     "bin_contamination", lambda d: report.contamination(d.seed(), d.markers(True)),
     "SELECT bin_label, count(*) FILTER (n > 1) AS duplicated, duplicated < 4 AS ok FROM (SELECT bin_label, marker_id, count(marker_id) AS n FROM seed LEFT JOIN dmg USING (contig_id) GROUP BY 1, 2) GROUP BY bin_label",
 )
-_query("sub_bin_budget", lambda d: separate.budgets(d.conflicts))
+_query("sub_bin_budget", lambda d: separate.budgets(d.conflicts), "SELECT * FROM slots")
+_query("sub_bin_budget_in_rounds", lambda d: separate.budgets(d.conflicts, small=0), "SELECT * FROM slots")
 _query("separate_binning", lambda d: d.separated)
 _query("recruit_binning", lambda d: d.recruited)
 _query("refinement_objective", lambda d: separate.objective(d.separated, d.anchor_affinity, d.conflicts, SIMTHRESH))
@@ -310,7 +326,7 @@ def _text(d: Domain, lines, what: str) -> str:
 
 
 def _fasta_file(d: Domain) -> str:
-    return _text(d, d.contigs.select(F.concat(F.lit(">"), "name", F.lit(" from "), F.coalesce("source", F.lit("-")), F.lit("\n"), F.regexp_replace("seq", "(.{70})", "$1\n")).alias("value")), "fasta")
+    return _text(d, d.contigs.orderBy("contig_id").select(F.concat(F.lit(">"), "name", F.lit(" from "), F.coalesce("source", F.lit("-")), F.lit("\n"), F.regexp_replace("seq", "(.{70})", "$1\n")).alias("value")), "fasta")
 
 
 def _depth_file(d: Domain) -> str:
@@ -342,7 +358,7 @@ def _seed_file(d: Domain) -> str:
 
 _MARKER_SQL = "SELECT DISTINCT c.name, 'm' || marker_id AS marker FROM mg JOIN contigs c USING (contig_id)"
 _query("fasta_records", lambda d: readers.fasta(d.spark, _fasta_file(d)).select("name", "length", F.md5("seq").alias("seq_md5")), "SELECT name, length, md5(seq) AS seq_md5 FROM contigs")
-_query("contig_ids", lambda d: readers.contigs(d.spark, _fasta_file(d), 1500).select("contig_id", "name", "length"), "SELECT row_number() OVER (ORDER BY name) - 1 AS contig_id, name, length FROM contigs WHERE length >= 1500")
+_query("contig_ids", lambda d: readers.contigs(d.spark, _fasta_file(d), 1500).select("contig_id", "name", "length"), "SELECT row_number() OVER (ORDER BY contig_id) - 1 AS contig_id, name, length FROM contigs WHERE length >= 1500")
 _query(
     "depth_rows", lambda d: _round(_round(readers.depth_table(d.spark, _depth_file(d)), "mean"), "var"),
     "SELECT c.name, CASE sample WHEN 'A' THEN 's0000' WHEN 'N' THEN 's0001' ELSE 's0002' END AS sample, round(mean, 6) AS mean, round(var, 6) AS var FROM depth JOIN contigs c USING (contig_id)",
@@ -358,7 +374,7 @@ _query(
 _query("markers_table", lambda d: _read_markers(d, "table"), _MARKER_SQL)
 _query("markers_busco", lambda d: _read_markers(d, "busco"), _MARKER_SQL + " WHERE marker_id % 3 <> 0")
 _query("markers_pfam", lambda d: _read_markers(d, "pfam"), _MARKER_SQL)
-_query("marker_incidence", lambda d: readers.incidence(_read_markers(d, "table"), d.lengths), "SELECT contig_id, dense_rank() OVER (ORDER BY 'm' || marker_id) AS marker_id FROM mg")
+_query("marker_incidence_read", lambda d: readers.incidence(_read_markers(d, "table"), d.lengths), "SELECT contig_id, dense_rank() OVER (ORDER BY 'm' || marker_id) AS marker_id FROM mg")
 _query("seed_rows", lambda d: readers.resolve(readers.seed_table(d.spark, _seed_file(d)), d.lengths).select("contig_id", "bin_label"), "SELECT contig_id, bin_label FROM seed")
 _query(
     "binning_lines", lambda d: sinks.binning_lines(d.seed(), d.lengths, "s1"),
@@ -369,7 +385,7 @@ _query(
     "distance_facts", lambda d: sinks.read_facts(d.spark, _text(d, sinks.distance_lines(d.measured(d.pairs("all"))), "facts"), "comarker_sim", 3),
     "SELECT c1 AS a1, c2 AS a2, d::BIGINT AS a3 FROM m_d",
 )
-_query("budget_histogram", lambda d: separate.budget_histogram(separate.budgets(d.conflicts)))
+_query("budget_histogram", lambda d: separate.budget_histogram(separate.budgets(d.conflicts)), "SELECT k, count(*) AS bins FROM slots GROUP BY k")
 _query("first_appearance_ids", lambda d: readers.ids_by_appearance(d.lengths.select(F.col("contig_id").alias("ordinal"), F.col("source").alias("label"))), "SELECT label, dense_rank() OVER (ORDER BY o) - 1 AS id FROM (SELECT source AS label, min(contig_id) AS o FROM contigs GROUP BY source)")
 _query("correlation_gaps", lambda d: measure.correlation_gaps(d.measured(d.pairs("all"))), "SELECT count(*) AS pairs, count(*) - count(corr) AS undefined FROM m_mean")
 

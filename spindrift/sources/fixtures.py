@@ -47,7 +47,7 @@ class Domain:
 
     def markers(self, dense: bool = False) -> DataFrame:
         """contig_id, marker_id."""
-        li = self.table("lineitem").where((F.col("l_discount") >= (0.075 if dense else 0.095)) & (F.col("l_linenumber") <= 4))
+        li = self.table("lineitem").where(F.col("l_discount") >= (0.075 if dense else 0.095))
         d = li.select(F.col("l_partkey").alias("contig_id"), F.col("l_suppkey").alias("marker_id")).distinct()
         return d.join(self.lengths.select("contig_id"), "contig_id", "left_semi")
 
