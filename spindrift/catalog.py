@@ -92,6 +92,10 @@ FROM (SELECT contig_id, unnest([{', '.join(f"'{k}'" for k in tnf.KMERS)}]) AS km
     **_bundle("m_", "p_all"),
     **_bundle("w_", "p_dwithin"),
     **_bundle("g_", "p_dguard"),
+    "p_dmerge": "SELECT DISTINCT a.contig_id AS c1, b.contig_id AS c2 FROM dmg a JOIN dmg b ON a.marker_id = b.marker_id AND a.contig_id < b.contig_id JOIN seed s ON s.contig_id = a.contig_id JOIN seed t ON t.contig_id = b.contig_id AND t.bin_label <> s.bin_label",
+    **_bundle("x_", "p_dmerge"),
+    "dfilled": "SELECT p.c1, p.c2, coalesce(m.d, 200) AS d FROM p_dmerge p LEFT JOIN x_d m ON m.c1 = p.c1 AND m.c2 = p.c2",
+    "dunlike": f"SELECT DISTINCT least(s.bin_id, t.bin_id) AS b1, greatest(s.bin_id, t.bin_id) AS b2 FROM dfilled f JOIN bins s ON s.contig_id = f.c1 JOIN bins t ON t.contig_id = f.c2 WHERE d >= {SIMTHRESH}",
     "filled": "SELECT p.c1, p.c2, coalesce(m.d, 200) AS d FROM p_merge p LEFT JOIN m_d m ON m.c1 = p.c1 AND m.c2 = p.c2",
     "curve": """
 SELECT t::INT AS t, (SELECT count(*) FROM p_lang p JOIN m_d m ON m.c1 = p.c1 AND m.c2 = p.c2 WHERE same AND d >= t) + (SELECT count(*) FROM p_lang p JOIN m_d m ON m.c1 = p.c1 AND m.c2 = p.c2 WHERE NOT same AND d < t) AS err FROM range(0, 201) r(t)""",
@@ -163,7 +167,7 @@ def _sql(select: str) -> str:
 
     visit(select, ())
     recursive = "RECURSIVE " if {"reach", "greedy"} & set(need) else ""
-    heavy = {"feat", "sims", "pairsym", "knn", "composite", "m_d", "w_d", "g_d", "scored", "k_mean"}
+    heavy = {"feat", "sims", "pairsym", "knn", "composite", "m_d", "w_d", "g_d", "x_d", "scored", "k_mean"}
     return f"WITH {recursive}" + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in heavy else ''}({FRAGMENTS[n]})" for n in need) + f"\n{select}" if need else select
 
 
@@ -284,6 +288,7 @@ _query("bin_affinity", lambda d: d.binaff, "SELECT * FROM binaff")
 _query("bin_best_partner", lambda d: merge.best_partners(d.binaff), "SELECT * FROM best")
 _query("mutual_pairs", lambda d: merge.mutual_pairs(d.binaff), "SELECT * FROM mutual")
 _query("blocked_pairs", lambda d: merge.blocked_pairs(merge.mutual_pairs(d.binaff), d.cross, d.bins, SIMTHRESH).select("b1", "b2"), "SELECT * FROM blocked")
+_query("blocked_pairs_dense", lambda d: merge.blocked_pairs(merge.mutual_pairs(d.binaff), d.comarker("merge", comarker.UNMEASURED, dense=True), d.bins, SIMTHRESH).select("b1", "b2"), "SELECT m.b1, m.b2 FROM mutual m JOIN dunlike u ON u.b1 = m.b1 AND u.b2 = m.b2")
 _query("merge_pairs", lambda d: merge.merge_pairs(d.binaff, d.cross, d.bins, SIMTHRESH), "SELECT * FROM merges")
 _query("merge_components", lambda d: merge.components(merge.merge_pairs(d.binaff, d.cross, d.bins, SIMTHRESH), d.bins), "SELECT * FROM rep")
 _query("merge_binning", lambda d: d.merged, "SELECT * FROM merged")
