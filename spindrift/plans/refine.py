@@ -15,6 +15,7 @@ from spindrift.operators import affinity, checks, comarker, graph, measure, merg
 from spindrift.plans.stage import scratch, written
 from spindrift.sources import readers, sinks
 
+_log = logging.getLogger(__name__)
 OPERATORS = ("separate", "merge", "recruit")
 
 
@@ -97,7 +98,7 @@ def distances(mode: str, inputs: Inputs, binning: DataFrame, fill: int | None) -
     one = written(pairs.select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct(), "pairs")
     n = inputs.counts[f"pairs_{mode}"] = one.count()
     if not n:
-        logging.getLogger(__name__).warning("%s: no two fragments share a marker", mode)
+        _log.warning("%s: no two fragments share a marker", mode)
     strict = measure.measure(one, inputs.features)
     if inputs.loose is None:
         return comarker.filled(pairs, strict, fill)
@@ -184,15 +185,27 @@ def inputs_from_files(spark: SparkSession, config: RefineConfig) -> Inputs:
     if not names.limit(1).count():
         raise ValueError("no contig is long enough")
     depth = readers.depth_table(spark, config.depth, config.variances)
-    checks.require(checks.missing_depth(depth, names), "contigs without depth")
+    if not readers.depth_header(spark, config.depth).first().named:
+        _log.warning("depth: the first column of the header is not %s", readers.DEPTH_HEADER)
+    checks.verdict(checks.match_counts(depth, names), "depth")
+    without = checks.missing_depth(depth, names).count()
+    if without:
+        _log.warning("depth: %d contigs have none and are not compared", without)
     checks.require(checks.ragged_depth(readers.depth_lines(spark, config.depth), config.variances), "depth rows of another width than the header's, or with other than numbers")
     checks.require(checks.order_of(readers.depth_lines(spark, config.depth), readers.fasta_order(spark, config.fasta)), "depth rows in another order than the assembly")
     rows = readers.resolve(depth, names).where("contig_id is not null").select("contig_id", "sample", "mean", "var")
+    paths = list(config.markers)
+    if config.marker_format == "busco":  # tables of single lineages may be missing
+        paths = readers.present(spark, paths)
+        for p in set(config.markers) - set(paths):
+            _log.warning("markers: no file at %s, skipped", p)
     seen = Observation("marker rows")
-    marks = written(readers.markers(spark, list(config.markers), config.marker_format, seen), "marker-rows")
-    counts = {f"marker_{k}": int(v) for k, v in seen.get.items()} | {"contigs": names.count(), "marker_pairs": marks.count()}
+    marks = written(readers.markers(spark, paths, config.marker_format, seen), "marker-rows")
+    counts = {"contigs_without_depth": without, "marker_files_missing": len(config.markers) - len(paths)} | {f"marker_{k}": int(v) for k, v in seen.get.items()} | {"contigs": names.count(), "marker_pairs": marks.count()}
     checks.verdict(checks.match_counts(marks, names), "markers")
     mg = written(readers.incidence(marks, names), "markers")
+    if mg.select("contig_id").distinct().limit(2).count() < 2:
+        _log.warning("markers: fewer than 2 contigs with a marker, so no two can be told apart")
     said = written(readers.seed(spark, config.seed), "seed-rows")
     counts |= {"seed_rows": said.count(), "seed_unmatched": int(checks.match_counts(said, names).first().unmatched)}
     checks.verdict(checks.match_counts(said, names), "seed")

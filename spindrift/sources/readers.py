@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from spindrift.plans.stage import written
 from spindrift.sources import gzip_text
 
+#: First column of a depth table's header.
+DEPTH_HEADER = "contigName"
 #: Seed files whose names hold one of these are no bins.
 NO_BINS = ("unbinned", "lowdepth", "tooshort")
 
@@ -118,6 +120,11 @@ def markers_pfam(spark: SparkSession, paths: list[str], seen: Observation | None
     return orf.select("name", F.explode(F.map_keys(F.from_json("markers", _ORFS, {"allowSingleQuotes": "true"}))).alias("marker")).distinct()
 
 
+def present(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths where there is a file."""
+    return [p for p in paths if gzip_text.files(spark, p)]
+
+
 def markers(spark: SparkSession, paths: list[str], kind: str, seen: Observation | None = None) -> DataFrame:
     return {"table": markers_table, "busco": markers_busco, "pfam": markers_pfam}[kind](spark, paths, seen)
 
@@ -179,6 +186,12 @@ def depth_lines(spark: SparkSession, path: str) -> DataFrame:
     return _depth(spark, path).select("ordinal", F.split(F.get("f", 0), " ")[0].alias("name"), "f")
 
 
+def depth_header(spark: SparkSession, path: str) -> DataFrame:
+    """One row: ``named``, whether the first line begins with the usual column name."""
+    first = lines(spark, path).where("trim(value) <> ''").agg(F.min_by("value", F.struct("file", "ordinal")).alias("value"))
+    return first.select(F.coalesce(F.split("value", "\t")[0] == DEPTH_HEADER, F.lit(False)).alias("named"))
+
+
 def fasta_order(spark: SparkSession, path: str) -> DataFrame:
     """ordinal, name of all records in the assembly's order."""
     return lines(spark, path).where("value like '>%'").select("ordinal", F.regexp_extract("value", r"^>(\S+)", 1).alias("name"))

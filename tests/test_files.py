@@ -1,6 +1,7 @@
 """Readers, sinks and the whole run from files."""
 
 import gzip
+import json
 import random
 from dataclasses import replace
 
@@ -67,6 +68,9 @@ def test_seed_is_told_by_the_folder(spark, tmp_path):
 def test_depth_rows_with_exponents(spark, tmp_path):
     (tmp_path / "d.tsv").write_text("contigName\tcontigLen\ttotalAvgDepth\ts1\ts1-var\na\t1e+05\t3\t1.5\t2\n")
     assert rows(readers.depth_table(spark, str(tmp_path / "d.tsv")), "name", "mean") == [("a", 1.5)]
+    (tmp_path / "e.tsv").write_text("a\t9\t3\t1.5\t2\n")
+    assert [readers.depth_header(spark, str(tmp_path / n)).first().named for n in ("d.tsv", "e.tsv")] == [True, False]
+    assert readers.present(spark, [str(tmp_path / "d.tsv"), str(tmp_path / "no.tsv")]) == [str(tmp_path / "d.tsv")]
 
 
 def test_markers(spark, tmp_path):
@@ -126,11 +130,14 @@ def test_whole_run_from_files(spark, tmp_path):
     for i in range(24):
         g = i % 3
         body = "".join(r.sample(genomes[g], 900))
-        fasta.append(f">k{i:02d}\n{body}\n")
-        depth.append(f"k{i:02d}\t{len(body)}\t9" + "".join(f"\t{(5 + 7 * ((g + k) % 3)) + r.random():.3f}\t2.0" for k in range(3)))
-        marks.append(f"k{i:02d}\tm{i // 3}")
+        name = f"k{7 * i % 24}"  # not in the order of names
+        fasta.append(f">{name}\n{body}\n")
+        if i < 23:  # one has no depth
+            depth.append(f"{name}\t{len(body)}\t9" + "".join(f"\t{(5 + 7 * ((g + k) % 3)) + r.random():.3f}\t2.0" for k in range(3)))
+        marks.append(f"{name}\tm{i // 3}")
         if i < 18:
-            seed.append(f"k{i:02d}\tbin{g}")
+            seed.append(f"{name}\tbin{g}")
+    marks.append("short")
     for name, lines in (("a.fa", fasta), ("d.tsv", [x + "\n" for x in depth]), ("m.tsv", [x + "\n" for x in marks]), ("s.tsv", [x + "\n" for x in seed])):
         (tmp_path / name).write_text("".join(lines))
     p = lambda n: str(tmp_path / n)
@@ -142,6 +149,12 @@ def test_whole_run_from_files(spark, tmp_path):
     (tmp_path / "swapped.tsv").write_text("\n".join([depth[0], depth[2], depth[1], *depth[3:]]) + "\n")
     with pytest.raises(ValueError, match="order"):
         refine.run(spark, replace(config, depth=p("swapped.tsv")))
+    told = json.loads("".join(f.read_text() for f in (tmp_path / "out" / "manifest").glob("part-*")))["counts"]
+    want = {"contigs": 24, "contigs_without_depth": 1, "contigs_kept": 23, "marker_rows": 25, "marker_unparsed": 1, "marker_pairs": 24, "marker_files_missing": 0, "seed_rows": 18, "seed_unmatched": 0, "edges_without_correlation": 0, "pairs_within": 0}
+    assert {k: told[k] for k in want} == want and told["edges"] > 0 and told["pairs_merge"] > 0
+    ids = {r.name: r.contig_id for r in readers.contigs(spark, p("a.fa")).collect()}
+    assert all(ids[f"k{7 * i % 24}"] == i for i in range(24))
+    assert sum(f.read_text().count(">") for f in (tmp_path / "out" / "bins").glob("*.fa")) == result.filtered.count()
     assert (tmp_path / "out" / "binning_min1k").is_dir() and (tmp_path / "out" / "bins").is_dir() and (tmp_path / "out" / "manifest").is_dir()
     for bad in ({"operators": ("merge", "merge")}, {"simthresh": 201}, {"minlen": 10}, {"marker_format": "x"}):
         with pytest.raises(ValueError):
