@@ -59,7 +59,14 @@ _WHOLE = frozenset("html body article main".split())
 _NOISE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "sidebar side menu menus nav navbar navigation navigations breadcrumb breadcrumbs comment comments commentlist respond disqus reply replies share sharing social related recommended "
-    "newsletter subscribe signup login widget widgets footer header masthead toolbar pagination pager skip search complementary contentinfo".split()
+    "newsletter subscribe signup login widget widgets footer header masthead toolbar pagination pager skip search complementary contentinfo "
+    "adslot adbox werbung anzeige anzeigen publicidad publicite anuncio anuncios kommentare commentaires comentarios".split()
+)
+#: What may follow a leading word of _NOISE where the name still means the part as such.
+_PLACES = frozenset(
+    "left right top bottom main primary secondary inner outer list item items bar box block area section panel slot unit frame holder link links button buttons icon icons "
+    "form field input row col column grid card cards group set wrap text title label message msg info inline fixed sticky first last small large mobile desktop "
+    "posts articles stories media post article page site global local overlay close open toggle id".split()
 )
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: A name with one of these says what lies beside or within, not what the element is.
@@ -68,13 +75,17 @@ _ABOUT = frozenset("has with no without page layout body wrapper container conte
 _PART, _GONE = 1, 2
 
 
-def named_noise(value: str) -> bool:
-    """Whether one of the names is a word of _NOISE, begins or ends with one."""
+STRONG, WEAK = 2, 1
+
+
+def named_noise(value: str) -> int:
+    """STRONG if one of the names is a word of _NOISE, ends with one, or begins with one that only words of place follow; WEAK if one merely begins with such a word, as names of articles may; else 0."""
+    said = 0
     for name in value.split():
         words = [w.lower() for w in _WORDS.findall(name)]
         if words and (words[-1] in _NOISE or words[0] in _NOISE) and _ABOUT.isdisjoint(words):
-            return True
-    return False
+            said = max(said, STRONG if words[-1] in _NOISE or _PLACES.issuperset(words[1:]) else WEAK)
+    return said
 
 
 class Page:
@@ -85,14 +96,14 @@ class Page:
         self.path: list[int] = []
         self.label: list[str] = []
         self.depth: list[int] = []
-        self.named: list[bool] = []  # a form, or an element with a name of noise
+        self.named: list[int] = []  # STRONG for a form, or what the element's names say
         self.heads: list[bool] = []  # article, main, or one with a main heading below
         self.links: list[int] = []
         self.pieces: list[tuple[int, int, str, bool]] = []  # block, element, text, in a link
         self._read(source)
         self._weigh()
 
-    def _element(self, parent: int, tag: str, label: str, named: bool) -> int:
+    def _element(self, parent: int, tag: str, label: str, named: int) -> int:
         from xxhash import xxh64_intdigest
 
         up = self.path[parent] if parent >= 0 else 0
@@ -137,7 +148,7 @@ class Page:
                 link = True
                 if here >= 0:
                     self.links[here] += 1
-            names, role, kind = "", False, _GONE if tag in _SKIPPED else 0
+            names, role, kind = "", 0, _GONE if tag in _SKIPPED else 0
             if m[4] and not m[4].isspace():
                 for k, a, b, c in _ATTRIBUTE.findall(m[4]):
                     k, v = k.lower(), a or b or c
@@ -148,8 +159,9 @@ class Page:
                     if k == "hidden" or (k == "aria-hidden" and v.lower() == "true") or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I)):
                         kind = _GONE
                     elif k in ("class", "id", "role"):
-                        role |= named_noise(v)
-            if not kind and (role or tag == "form"):
+                        role = max(role, named_noise(v))
+            role = STRONG if tag == "form" else role
+            if not kind and role:
                 kind = _PART
             if tag not in _INLINE:
                 block += 1
@@ -164,7 +176,7 @@ class Page:
             if tag in _VOID or not (kind or tag in _CONTAINERS) or m[4].rstrip().endswith("/"):
                 continue
             if kind != _GONE and not gone:
-                here = self._element(here, tag, f"{tag}.{names}" if names else tag, kind == _PART)
+                here = self._element(here, tag, f"{tag}.{names}" if names else tag, role * (kind == _PART))
             gone += kind == _GONE
             open_at.setdefault(tag, []).append(len(stack))
             stack.append((tag, here, kind == _GONE))
@@ -201,7 +213,8 @@ class Page:
             p = self.parent[e]
             tag = self.label[e].partition(".")[0]
             inside[e] = tag in ("article", "main") or (p >= 0 and inside[p])
-            part = self.named[e] and not head[e] and not (2 * text[e] >= everything and blocks[e] >= 3)
+            part = self.named[e] > 0 and not head[e] and not (2 * text[e] >= everything and blocks[e] >= 3)
+            part &= self.named[e] == STRONG or 5 * (text[e] - linked[e]) < everything  # a name that says little marks little
             part |= tag in _LISTS and not inside[e] and links[e] >= 3 and 10 * linked[e] >= 8 * text[e] > 0 and not head[e]
             noise[e] = part or (p >= 0 and noise[p])
         self.noise = noise

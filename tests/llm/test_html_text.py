@@ -27,6 +27,17 @@ def test_generalised_paths():
     assert a.path == b.path and a.label == ["body", "div.big.post-"] and a.written_path(a.path[1]) == "body>div.big.post-"
 
 
+def test_names_of_articles_lose_no_text():
+    long = "a sentence of the article that goes on for quite a while"
+    for wrapper in ('section id="social-history"', 'div class="login-story"', 'div class="share-price-table"', 'div class="menu-of-the-day"'):
+        tag = wrapper.split()[0]
+        page = f"<body><div><p>{long}</p><p>{long}</p><{wrapper}><p>{long}</p><p>{long}</p></{tag}></div><div class='related-posts'><p>more</p></div></body>"
+        assert text(page) == " ".join([long] * 4)
+    for noise in ("adslot", "werbung", "promo-2024-offer", "share-buttons", "cookie-notice", "comment-list", "nav_main"):
+        assert text(f"<body><div><p>{long}</p><div class='{noise}'>BUY NOW</div><p>{long}</p></div></body>") == f"{long} {long}"
+    assert [html_text.named_noise(v) for v in ("social-history", "x sidebar-left", "post", "pageHeader", "has-sidebar")] == [1, 2, 0, 0, 0]
+
+
 def test_a_name_marks_a_part_and_never_the_page():
     body = "<p>first part of it</p><p>second part of it</p><p>third part of it</p>"
     want = "first part of it second part of it third part of it"
