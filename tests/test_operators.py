@@ -283,6 +283,40 @@ def test_pruned_neighbours_are_a_full_sort():
             assert search.pairs == 900 * 900 and search.evaluated < 0.35 * search.pairs
 
 
+@pytest.mark.parametrize("n, most, tile", [(900, 15, 100), (900, 15, 2000), (40, 60, 7), (3, 2, 1)])
+def test_neighbours_among_fragments_that_pass_by_are_a_full_sort(n, most, tile):
+    m = _fragments(5, n, copies=min(40, n // 3))
+    m["covered"] = (m["mean"] > 1).any(axis=1)
+    edges = knn.length_cells(m["log"].min(), m["log"].max())
+    d = np.sqrt(((m["tnf"][:, None] - m["tnf"][None]) ** 2).sum(axis=2))
+    s = np.round(1 - tnf.probability(d, np.repeat(m["log"][:, None], n, axis=1), np.repeat(m["log"][None], n, axis=0)), 6)
+    own = slice(0, n // 2 + 1)
+    search = knn.Nearest({k: v[own] for k, v in m.items()}, edges, knn.lower_coefficients(edges), most)
+    for k in range(0, n, tile):
+        search.meet({c: v[k : k + tile] for c, v in m.items()})
+    seen = 0
+    for src, dst, sim, ids, top in search.found():
+        for i, t in zip(ids, top):
+            k = int(np.flatnonzero(m["id"] == i)[0])
+            others = [j for j in range(n) if j != k]
+            want = sorted((-s[k, j], int(m["id"][j])) for j in others if m["covered"][k] or m["covered"][j])[:most]
+            assert list(zip((-sim[src == i]).tolist(), dst[src == i].tolist())) == want
+            assert t == max(s[k, j] for j in others)
+            seen += 1
+    assert seen == n // 2 + 1
+
+
+def test_coverage_alone_is_that_of_all_measures(spark):
+    from spindrift.operators import measure
+
+    feats = spark.createDataFrame([(i, 1000 + i, [0.1 * (i % 3)] * 136, [i * 0.7, 2.0], [1.0, i * 0.5]) for i in range(9)], "contig_id long, length long, tnf array<double>, mean array<double>, var array<double>")
+    pairs = spark.createDataFrame([(i, j, i + j) for i in range(11) for j in range(i)], "c1 long, c2 long, x long")
+    want = rows(measure.measure(pairs, feats, extra=["x"]), "c1", "c2", "x", "abd_dist", "nnz")
+    for limit in (0, 1 << 20):
+        assert rows(measure.covered(pairs, feats, limit=limit, extra=["x"]), "c1", "c2", "x", "abd_dist", "nnz") == want
+    assert len(want) == 36 and measure.covered(pairs, feats.limit(0)).count() == 0
+
+
 def test_coefficients_are_bounded_from_below_in_each_cell():
     edges = knn.length_cells(2.5, 5.7)
     table = knn.lower_coefficients(edges)
