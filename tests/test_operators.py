@@ -152,6 +152,17 @@ def test_recruit_is_optimal():
         assert all(a not in got or got[a] != got.get(b) for a, b in bad)
 
 
+def test_answers_that_tie_cost_no_walk_over_all_followers(monkeypatch):
+    r = random.Random(1)
+    anchors, n = list(range(150)), 200
+    aff = {(c, a): 1000 for c in range(100, n) for a in r.sample(anchors, 3) if a != c}
+    calls = []
+    monkeypatch.setattr(separate, "min", lambda *a, **k: calls.append(1) or min(*a, **k), raising=False)
+    slots, status = separate.search(list(range(n)), aff, {(a, a + 1): 5 for a in range(0, 100, 2)}, 3, None, nodes=1000)
+    assert sorted(slots) == list(range(n)) and status == "time limit"
+    assert len(calls) < 100 * n  # each tie took some n of them before
+
+
 def test_a_component_beyond_the_budget_has_a_whole_answer(spark):
     n = 3000  # neighbours in a row exclude each other
     options = {c: [(1, 5), (2, 3)] for c in range(n)}
