@@ -213,6 +213,24 @@ def test_kmers_and_probability():
     assert (np.diff(p) >= 0).all() and (0 <= p).all() and (p <= 1).all()
 
 
+def test_kmers_leave_in_pieces():
+    import pyarrow as pa
+
+    got = []
+
+    class Contigs:  # hands one large batch to the function and sees what leaves it
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            seq = ["ACGTTGCA" * 40, None, "NNNN"] * 500
+            got.extend(run([pa.record_batch([pa.array(range(1500)), pa.array(seq)], ["contig_id", "seq"])]))
+
+    tnf.kmer_counts(Contigs())
+    assert sum(b.num_rows for b in got) == 500 * np.count_nonzero(tnf.counts(b"ACGTTGCA" * 40))
+    assert max(b.num_rows for b in got) <= tnf.FRAGMENTS * len(tnf.KMERS) and len(got) > 1
+
+
 def test_abundance_against_integration():
     r = np.random.default_rng(0)
     m1, m2, v1, v2 = r.uniform(1, 30, 40), r.uniform(1, 30, 40), r.uniform(1, 50, 40), r.uniform(1, 50, 40)
