@@ -335,6 +335,16 @@ def test_neighbours_among_fragments_that_pass_by_are_a_full_sort(n, most, tile):
     assert seen == n // 2 + 1
 
 
+def test_features_are_read_as_arrays():
+    import pyarrow as pa
+
+    from spindrift.operators import measure
+
+    assert measure._rows(pa.array([[0.0, 9.0], [1.0, 2.0], [3.0, 4.0]]).slice(1)).tolist() == [[1, 2], [3, 4]]
+    assert measure._rows(pa.array([5, 6, 7]).slice(2)).tolist() == [7]
+    assert len(measure._rows(pa.array([], pa.list_(pa.float64())))) == 0
+
+
 def test_coverage_alone_is_that_of_all_measures(spark):
     from spindrift.operators import measure
 
