@@ -335,6 +335,27 @@ def test_neighbours_among_fragments_that_pass_by_are_a_full_sort(n, most, tile):
     assert seen == n // 2 + 1
 
 
+def test_lists_are_sorted_as_one_number():
+    r = np.random.default_rng(4)
+    row, sim = r.integers(0, 9, 500), np.round(r.integers(0, 5, 500) / 4, 6)
+    for ids in (r.permutation(500), r.permutation(500) + (1 << 40), -r.permutation(500)):
+        keep = np.lexsort((ids, -sim, row))
+        for got, want in zip(knn.listed(row, ids, sim), (row, ids, sim)):
+            assert got.tolist() == want[keep].tolist()
+
+
+def test_few_fragments_that_pass_by_are_evaluated():
+    m = _fragments(6, 6000)
+    m["covered"] = (m["mean"] > 1).any(axis=1)
+    edges = knn.length_cells(m["log"].min(), m["log"].max())
+    search = knn.Nearest(m, edges, knn.lower_coefficients(edges), 20)
+    row, col = np.arange(6000).repeat(5), np.tile(np.arange(5), 6000)
+    other = search.m | {"sides": search.sides}
+    assert (search._coefficients(row, col, other) == tnf.side("x", np.minimum(search.m["log"][row], search.m["log"][col])) + tnf.side("y", np.maximum(search.m["log"][row], search.m["log"][col])) + tnf.side("xy", search.m["log"][row] * search.m["log"][col])).all()
+    search.meet(m)
+    assert search.evaluated < 0.012 * 6000 * 6000
+
+
 def test_features_are_read_as_arrays():
     import pyarrow as pa
 
