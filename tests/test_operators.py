@@ -335,6 +335,38 @@ def test_neighbours_among_fragments_that_pass_by_are_a_full_sort(n, most, tile):
     assert seen == n // 2 + 1
 
 
+def test_packed_counts_are_the_vectors():
+    n = np.zeros((5, len(tnf.KMERS)), np.int64)
+    n[0, 3], n[1, :9], n[2, 5], n[3, 7] = 255, 256, 1 << 20, 1
+    got = tnf.packed(n)
+    assert [len(x) // len(tnf.KMERS) for x in got.to_pylist()] == [1, 2, 4, 1, 1]
+    assert (tnf.unpacked(got) == tnf.normal(n.astype(float))).all() and (tnf.unpacked(got.slice(2)) == tnf.normal(n[2:].astype(float))).all()
+
+
+def test_guard_is_measured_in_cells(spark):
+    from spindrift.operators import measure
+
+    r = random.Random(8)
+    contigs = spark.createDataFrame([(i, "".join(r.choice("AACGT"[i % 4 :]) for _ in range(1200 + 40 * i)), 1200 + 40 * i) for i in range(30)], "contig_id long, seq string, length long")
+    depth = spark.createDataFrame([(i, s, r.uniform(2, 9) if i % 7 else 0.1, 2.0) for i in range(30) for s in "AB"], "contig_id long, sample string, mean double, var double")
+    feats = measure.features(contigs, depth).cache()
+    mg = spark.createDataFrame([(c, m) for c in range(30) for m in range(4) if m == 0 or r.random() < 0.4], "contig_id long, marker_id long").cache()
+    free = mg.where("contig_id % 3 = 0").select("contig_id").distinct()
+    pairs = comarker.pairs_guard(mg, free)
+    undirected = pairs.selectExpr("least(c1, c2) as c1", "greatest(c1, c2) as c2").distinct()
+    want = rows(comarker.filled(pairs, measure.measure(undirected, feats, limit=0), 200), "c1", "c2", "d")
+    assert want == rows(comarker.filled(pairs, measure.measure(undirected, feats.drop("kmers"), limit=0), 200), "c1", "c2", "d")
+    for most in (4, 1024):
+        assert rows(comarker.guard(mg, free, feats, most=most).distinct(), "c1", "c2", "d") == want
+        assert rows(comarker.guard(mg, free, feats, least=60, most=most).distinct(), "c1", "c2", "d") == [w for w in want if w[2] >= 60]
+    cells = [(1, 0), (1, 0), (1, 1), (2, 1), (2, 1), (2, 1), (3, 0)]
+    for size in (1, 2, 3, 7):
+        import pyarrow as pa
+
+        got = list(comarker._whole_cells((pa.record_batch([pa.array([a for a, _ in cells[k : k + size]]), pa.array([b for _, b in cells[k : k + size]])], ["a", "b"]) for k in range(0, 7, size)), 2))
+        assert [sorted(set(zip(*(c.to_pylist() for c in b.columns)))) for b, cut in got for b in [b.slice(x, y - x) for x, y in zip(cut[:-1], cut[1:])]] == [[c] for c in dict.fromkeys(cells)]
+
+
 def test_lists_are_sorted_as_one_number():
     r = np.random.default_rng(4)
     row, sim = r.integers(0, 9, 500), np.round(r.integers(0, 5, 500) / 4, 6)
