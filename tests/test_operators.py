@@ -502,3 +502,23 @@ def test_bounds_hold_and_meet_on_small_instances(spark):
 def test_partition_search_respects_bans():
     got = partition.search({i: 300_000 for i in range(6)}, [(0, 1, 5), (2, 3, 5), (4, 5, 5)], {i: {i % 2} for i in range(6)}, 3, forbidden=[(0, 2)])
     assert set(got) == set(range(6)) and got[0] == got[1] and got[0] != got[2]
+
+
+def test_fragments_are_composed_of_letters(spark):
+    from pyspark.sql import functions as F
+
+    from spindrift.operators import measure
+    from spindrift.sources import fixtures
+
+    r = random.Random(13)
+    texts = ["".join(r.choice("abcXYZ qz-\u212a\u0130\u00e9\u00c5\u65e5\n4") for _ in range(n)) for n in (3000, 40, 0, 1700, 2500)] + [None, "\u212a" * 999, "\u0130" * 1000]
+    docs = spark.createDataFrame([(i, t, "l", None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), fixtures.LETTERS, fixtures.BASES)
+    contigs = docs.select(F.col("doc_id").alias("contig_id"), seq.alias("seq")).withColumn("length", F.length("seq").cast("long")).where("length >= 1000")
+    got = fixtures.composed(docs.coalesce(1))
+    assert rows(got, "contig_id", "length", "kmers") == rows(tnf.vectors(contigs, pack=True), "contig_id", "length", "kmers") and got.count() == 4
+    depth = spark.createDataFrame([(i, "A", 5.0, 1.0) for i in range(8)], "contig_id long, sample string, mean double, var double")
+    feats = got.join(measure.coverage(depth), "contig_id")
+    wide = tnf.vectors(contigs).join(measure.coverage(depth), "contig_id")
+    for limit in (0, 1 << 20):  # counts serve as well as vectors
+        assert rows(graph.neighbours(feats, most=2, limit=limit).na.fill(-1), "src", "dst", "sim") == rows(graph.neighbours(wide, most=2, limit=limit).na.fill(-1), "src", "dst", "sim")
