@@ -504,6 +504,31 @@ def test_partition_search_respects_bans():
     assert set(got) == set(range(6)) and got[0] == got[1] and got[0] != got[2]
 
 
+def test_scores_are_looked_up_without_moving_an_edge(spark):
+    r = random.Random(12)
+    edges = spark.createDataFrame([(i, i + 1, round(r.random(), 2), round(r.random(), 2), None if r.random() < 0.1 else round(r.uniform(-1, 1), 2), i % 4) for i in range(900)], "src long, dst long, s_tnf double, s_abd double, s_cor double, nnz int").cache()
+    got = graph.placed(edges)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    low, n = graph.ranks(edges, "s_abd", "lo"), edges.count()
+    want = graph.global_rank(graph.global_rank(edges, "s_tnf", "rank_tnf"), "s_cor", "rank_cor", highest=True)
+    for name in ("tnf", "cor"):
+        want = graph.at_rank(want, f"rank_{name}", low, "s_abd", "lo", n, f"m_{name}")
+    columns = ["src", "s_tnf", "rank_tnf", "rank_cor", "m_tnf", "m_cor", "nnz"]
+    assert rows(got, *columns) == rows(want, *columns) and len(rows(got, "src")) == 900
+    assert graph.placed(edges.limit(0)).count() == 0
+
+
+def test_names_are_joined_to_what_scores_leave(spark):
+    edges = spark.createDataFrame([(a, b, 0.5 if b % 3 else 0.7) for b in range(30) for a in range(b)], "src long, dst long, score double")
+    names = spark.createDataFrame([(i, f"c{i}") for i in range(30)], "contig_id long, name string")
+    got = affinity.top_union(edges, names, 3)
+    all_ = [(e.src, e.dst, e.score) for e in edges.collect()]
+    want = {e for end in range(30) for e in sorted((e for e in all_ if end in e[:2]), key=lambda e: (e[2], f"c{e[0]}", f"c{e[1]}"), reverse=True)[:3]}
+    assert {(e.src, e.dst, e.score) for e in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("rank(score") > plan.rindex("Join")  # deeper in the plan, so before the joins
+
+
 def test_fragments_are_composed_of_letters(spark):
     from pyspark.sql import functions as F
 
