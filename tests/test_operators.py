@@ -547,3 +547,17 @@ def test_fragments_are_composed_of_letters(spark):
     wide = tnf.vectors(contigs).join(measure.coverage(depth), "contig_id")
     for limit in (0, 1 << 20):  # counts serve as well as vectors
         assert rows(graph.neighbours(feats, most=2, limit=limit).na.fill(-1), "src", "dst", "sim") == rows(graph.neighbours(wide, most=2, limit=limit).na.fill(-1), "src", "dst", "sim")
+
+
+def test_wide_rows_reach_python_a_few_at_a_time(spark):
+    from spindrift.plans.stage import batches_of
+    from spindrift.sources import fixtures
+
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    sizes = lambda b: (pa.record_batch([pa.array([x.num_rows])], ["n"]) for x in b)
+    with batches_of(spark, 100):
+        assert max(r.n for r in spark.range(900).mapInArrow(sizes, "n long").collect()) == 100
+    assert spark.conf.get(key) == before and fixtures.batches_of is batches_of
