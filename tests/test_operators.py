@@ -549,6 +549,19 @@ def test_fragments_are_composed_of_letters(spark):
         assert rows(graph.neighbours(feats, most=2, limit=limit).na.fill(-1), "src", "dst", "sim") == rows(graph.neighbours(wide, most=2, limit=limit).na.fill(-1), "src", "dst", "sim")
 
 
+def test_few_edges_are_joined_up_by_one_task(spark, monkeypatch):
+    r = random.Random(14)
+    pairs = [(r.randrange(400), r.randrange(400)) for _ in range(230)] + [(500 + i, 501 + i) for i in range(70)]
+    d = spark.createDataFrame(pairs, "a long, b long")
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df, what, f=components.written: tables.append(what) or f(df, what))
+    want = rows(components.connected_components(d, small=0), "node", "component")
+    many = len(tables)
+    assert rows(components.connected_components(d, small=40), "node", "component") == want  # rounds first
+    del tables[:]
+    assert rows(components.connected_components(d), "node", "component") == want and tables == ["edges", "hooks"] and many > 8
+
+
 def test_wide_rows_reach_python_a_few_at_a_time(spark):
     from spindrift.plans.stage import batches_of
     from spindrift.sources import fixtures
