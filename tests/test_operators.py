@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.functions import abundance, tnf
 from spindrift.operators import affinity, bounds, checks, colouring, comarker, components, graph, knn, merge, partition, recruit, report, separate, threshold
@@ -574,3 +575,15 @@ def test_wide_rows_reach_python_a_few_at_a_time(spark):
     with batches_of(spark, 100):
         assert max(r.n for r in spark.range(900).mapInArrow(sizes, "n long").collect()) == 100
     assert spark.conf.get(key) == before and fixtures.batches_of is batches_of
+
+
+def test_small_groups_with_much_work_stay_apart(spark, monkeypatch):
+    n = 200  # 100 components of two anchors that exclude each other
+    seed = spark.createDataFrame([(c, 1) for c in range(n)], "contig_id long, bin_id long")
+    conflicts = spark.createDataFrame([(1, c, c + 1, 90) for c in range(0, n, 2)], "bin_id long, c1 long, c2 long, d int")
+    aff, pins = spark.createDataFrame([], "c long, anchor long, w int"), spark.createDataFrame([(1, 0)], "bin_id long, contig_id long")
+    tables = {}
+    monkeypatch.setattr(separate, "written", lambda df, what, f=separate.written: tables.setdefault(what, f(df.withColumn("_task", F.spark_partition_id()), what) if what == "separate-searched" else f(df, what)))
+    got = separate.separate(seed, aff, conflicts, pins, 50)
+    assert got.where("slot = 2").count() == n // 2
+    assert tables["separate-searched"].select("_task").distinct().count() > 8
