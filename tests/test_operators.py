@@ -587,3 +587,20 @@ def test_small_groups_with_much_work_stay_apart(spark, monkeypatch):
     got = separate.separate(seed, aff, conflicts, pins, 50)
     assert got.where("slot = 2").count() == n // 2
     assert tables["separate-searched"].select("_task").distinct().count() > 8
+
+
+def test_small_components_are_packed_in_one_task_each(spark, monkeypatch):
+    r = random.Random(15)
+    aff = [(g, a, b, r.randint(1, 9)) for g in range(4) for a, b in itertools.permutations(range(g * 20, g * 20 + 9), 2) if r.random() < 0.3]
+    pen = [(g, a, b, r.randint(1, 12)) for g in range(3) for a, b in itertools.combinations(range(g * 20, g * 20 + 9), 2) if r.random() < 0.4]
+    kind = "component long, a long, b long, w int"
+    aff, pen = spark.createDataFrame(aff, kind), spark.createDataFrame(pen, kind)
+    tables = []
+    monkeypatch.setattr(bounds, "written", lambda df, what, f=bounds.written: tables.append(what) or f(df, what))
+    for rounds in (1, 5):
+        want = rows(bounds.separate_bound(aff, pen, rounds, small=0), "component", "bound")
+        del tables[:]
+        assert rows(bounds.separate_bound(aff, pen, rounds), "component", "bound") == want and len(want) == 4
+        assert len(tables) == 4  # as many for any number of rounds
+    whole = dict(rows(aff.groupBy("component").agg(F.sum("w").alias("w")), "component", "w"))
+    assert want[3][1] == whole[3] and all(b < whole[g] for g, b in want[:3])
