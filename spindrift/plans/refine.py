@@ -213,7 +213,7 @@ def inputs_from_files(spark: SparkSession, config: RefineConfig) -> Inputs:
     checks.require(checks.seed_conflicts(seed.select("name", "bin_label")), "contigs in two bins")
     seed = written(seed.select("contig_id", "bin_label").distinct(), "seed")
     feats = written(measure.features(contigs, rows, config.min_cv, config.min_cv), "features")
-    near = written(graph.neighbours(feats, config.min_cv), "neighbours")
+    near = written(graph.neighbours(feats, config.min_cv, later=True), "neighbours")
     reach = graph.coverage_curve(near)
     p = graph.pooled_cutoff(reach) if config.random_cutoff else graph.cutoff(reach)
     loose = written(measure.features(contigs, rows, 0.0, 0.0), "loose-features") if config.relax_cv else None

@@ -389,6 +389,38 @@ def test_few_fragments_that_pass_by_are_evaluated():
     assert search.evaluated < 0.012 * 6000 * 6000
 
 
+def test_short_fragments_meet_few_that_pass_by():
+    """Short fragments' neighbours may be the farthest ones, as slopes are negative there; by length, whole blocks are left out."""
+    r = np.random.default_rng(9)
+    m = _fragments(7, 6000) | {"log": np.sort(np.log10(1000 + r.exponential(1500, 6000)))}
+    m["covered"] = np.ones(6000, bool)
+    edges = knn.length_cells(m["log"].min(), m["log"].max(), knn.FINE)
+    own = {k: v[::7] for k, v in m.items()}
+    n = len(own["id"])
+    search = knn.Nearest(own, edges, knn.lower_coefficients(edges), 20)
+    for k in range(0, 6000, 500):
+        search.meet({c: v[k : k + 500] for c, v in m.items()})
+    assert search.seen < 0.8 * n * 6000 and search.judged < 0.05 * n * 6000
+    got = {}
+    for src, dst, sim, _, _ in search.found():
+        for s, d, x in zip(src.tolist(), dst.tolist(), sim.tolist()):
+            got.setdefault(s, []).append((-x, d))
+    for k in range(0, 6000, 7):
+        d = np.sqrt(((m["tnf"] - m["tnf"][k]) ** 2).sum(axis=1))
+        s = np.round(1 - tnf.probability(d, np.full(6000, m["log"][k]), m["log"]), 6)
+        s[k] = -1
+        o = np.lexsort((m["id"], -s))[:20]
+        assert got[int(m["id"][k])] == list(zip((-s[o]).tolist(), m["id"][o].tolist()))
+
+
+def test_later_neighbours_are_those_of_larger_id(spark):
+    m = _fragments(8, 60)
+    feats = spark.createDataFrame([(int(i), int(10**x), [float(v) for v in t], [2.0, 0.5], [1.0, 1.0]) for i, x, t in zip(m["id"], m["log"], m["tnf"])], "contig_id long, length long, tnf array<double>, mean array<double>, var array<double>").cache()
+    for limit in (0, 1 << 30):
+        every = rows(graph.neighbours(feats, most=5, limit=limit).where("dst is null or dst > src").na.fill(-1), "src", "dst", "sim")
+        assert rows(graph.neighbours(feats, most=5, limit=limit, later=True).na.fill(-1), "src", "dst", "sim") == every
+
+
 def test_features_are_read_as_arrays():
     import pyarrow as pa
 
