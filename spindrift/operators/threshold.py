@@ -6,26 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spindrift.plans.stage import written
+
 HIGHEST = 200
 FALLBACK = 50
 
 
 def curve(same: DataFrame, cross: DataFrame) -> DataFrame:
     """t from 0 to 200 and err: same-bin pairs at or above t plus cross-bin pairs below it."""
-    spark = same.sparkSession
-    h = same.select("d", F.lit(1).alias("s"), F.lit(0).alias("c")).union(cross.select("d", F.lit(0).alias("s"), F.lit(1).alias("c"))).groupBy("d").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
-    h = spark.range(HIGHEST + 1).select(F.col("id").cast("int").alias("t")).join(F.broadcast(h.withColumnRenamed("d", "t")), "t", "left").na.fill(0)
+    return _curve(_histogram(same, cross))
+
+
+def _histogram(same: DataFrame, cross: DataFrame) -> DataFrame:
+    return same.select("d", F.lit(1).alias("s"), F.lit(0).alias("c")).union(cross.select("d", F.lit(0).alias("s"), F.lit(1).alias("c"))).groupBy("d").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+
+
+def _curve(h: DataFrame) -> DataFrame:
+    h = h.sparkSession.range(HIGHEST + 1).select(F.col("id").cast("int").alias("t")).join(F.broadcast(h.withColumnRenamed("d", "t")), "t", "left").na.fill(0)
     up, down = Window.orderBy("t").rowsBetween(0, Window.unboundedFollowing), Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     return h.select("t", (F.sum("s").over(up) + F.coalesce(F.sum("c").over(down), F.lit(0))).alias("err"))
 
 
 def derive(same: DataFrame, cross: DataFrame) -> DataFrame:
     """One row: simthresh (lowest t of least error), err, derived; the fallback where one side has no pair. A distance above 200 is an error."""
-    size = lambda d, n: d.agg(F.count(F.lit(1)).alias(n), F.max("d").alias(f"m_{n}"))
-    best = curve(same, cross).agg(F.min(F.struct("err", "t")).alias("b"))
-    d = best.crossJoin(size(same, "ns")).crossJoin(size(cross, "nc"))  # three one-row tables
-    off = F.greatest(F.coalesce("m_ns", F.lit(0)), F.coalesce("m_nc", F.lit(0))) > HIGHEST
-    known = (F.col("ns") > 0) & (F.col("nc") > 0)
+    h = written(_histogram(same, cross), "distances")  # pairs are measured once; a row a distance is left
+    d = _curve(h).agg(F.min(F.struct("err", "t")).alias("b")).crossJoin(h.agg(F.sum("s").alias("ns"), F.sum("c").alias("nc"), F.max("d").alias("most")))  # two one-row tables
+    off = F.coalesce("most", F.lit(0)) > HIGHEST
+    known = (F.coalesce("ns", F.lit(0)) > 0) & (F.coalesce("nc", F.lit(0)) > 0)
     t = F.when(off, F.raise_error(F.lit("a distance lies above 200")).cast("int")).when(known, F.col("b.t")).otherwise(F.lit(FALLBACK))
     return d.select(t.alias("simthresh"), F.when(known, F.col("b.err")).alias("err"), known.alias("derived"))
 

@@ -368,6 +368,22 @@ def test_guard_is_measured_in_cells(spark):
         assert [sorted(set(zip(*(c.to_pylist() for c in b.columns)))) for b, cut in got for b in [b.slice(x, y - x) for x, y in zip(cut[:-1], cut[1:])]] == [[c] for c in dict.fromkeys(cells)]
 
 
+def test_pairs_are_measured_in_cells(spark):
+    from spindrift.operators import measure
+
+    r = random.Random(9)
+    contigs = spark.createDataFrame([(i, "".join(r.choice("AACGT"[i % 4 :]) for _ in range(1200 + 40 * i)), 1200 + 40 * i) for i in range(30)], "contig_id long, seq string, length long")
+    depth = spark.createDataFrame([(i, s, r.uniform(2, 9) if i % 7 else 0.1, 2.0) for i in range(30) for s in "AB"], "contig_id long, sample string, mean double, var double")
+    feats = measure.features(contigs, depth).cache()
+    mg = spark.createDataFrame([(c, m) for c in range(30) for m in range(4) if m == 0 or r.random() < 0.4], "contig_id long, marker_id long").cache()
+    seed = spark.createDataFrame([(c, "ab"[c % 2]) for c in range(30) if c % 5], "contig_id long, bin_label string")
+    for pairs, binning, same in ((comarker.pairs_all(mg), None, False), (comarker.pairs_within(mg, seed), seed, True), (comarker.pairs_merge(mg, seed), seed, False)):
+        want = rows(measure.measure(pairs, feats), *measure.NAMES)
+        assert len(want) > 50
+        for most in (4, 1024):
+            assert rows(comarker.measured(mg, feats, binning, same, limit=0, most=most), *measure.NAMES) == want
+
+
 def test_lists_are_sorted_as_one_number():
     r = np.random.default_rng(4)
     row, sim = r.integers(0, 9, 500), np.round(r.integers(0, 5, 500) / 4, 6)
