@@ -368,6 +368,42 @@ def test_guard_is_measured_in_cells(spark):
         assert [sorted(set(zip(*(c.to_pylist() for c in b.columns)))) for b, cut in got for b in [b.slice(x, y - x) for x, y in zip(cut[:-1], cut[1:])]] == [[c] for c in dict.fromkeys(cells)]
 
 
+def test_only_bins_that_are_asked_for_are_measured(spark, monkeypatch):
+    from spindrift.operators import measure
+
+    r = random.Random(10)
+    contigs = spark.createDataFrame([(i, "".join(r.choice("AACGT"[i % 4 :]) for _ in range(1200 + 40 * i)), 1200 + 40 * i) for i in range(40)], "contig_id long, seq string, length long")
+    depth = spark.createDataFrame([(i, s, r.uniform(2, 9) if i % 9 else 0.1, 2.0) for i in range(40) for s in "AB"], "contig_id long, sample string, mean double, var double")
+    feats = measure.features(contigs, depth).cache()
+    mg = spark.createDataFrame([(c, m) for c in range(40) for m in range(6) if r.random() < 0.15], "contig_id long, marker_id long").cache()
+    seed = spark.createDataFrame([(c, "abcdefg"[c % 7], c % 7) for c in range(40) if c % 5], "contig_id long, bin_label string, bin_id long")
+    asked = spark.createDataFrame([(0, 1), (0, 4), (1, 2), (3, 6), (4, 5)], "b1 long, b2 long")
+    pairs = comarker.pairs_merge(mg, seed)
+    filled = comarker.filled(pairs, measure.measure(pairs, feats), comarker.UNMEASURED)
+    sizes = []
+    for least in (0, 90, 130, 160, 201):
+        want = rows(merge.blocked_pairs(asked, filled, seed, least), "b1", "b2")
+        sizes.append(len(want))
+        for most in (2, 1024):
+            assert rows(comarker.unlike(mg, seed, asked, feats, least, most=most), "b1", "b2") == want
+    assert sizes[-1] == 0 and len(set(sizes)) > 2
+    # carriers of other bins do not travel
+    sides = comarker._sides
+    monkeypatch.setattr(comarker, "_sides", lambda *a: met.append(a) or sides(*a))
+    met = []
+    comarker.unlike(mg, seed, asked.where("b1 = 3"), feats, 60)
+    assert {x.contig_id % 7 for d in met[0][:2] for x in d.select("contig_id").collect()} == {3, 6}
+
+
+def test_a_refinement_measures_its_pairs_in_cells(spark, monkeypatch):
+    from spindrift.plans import refine
+    from spindrift.sources.fixtures import Domain
+
+    for name in ("pairs_guard", "pairs_merge", "filled"):  # every pair with both sides' features
+        monkeypatch.setattr(comarker, name, lambda *a, **k: pytest.fail("pairs are listed"))
+    assert refine.refine(Domain(spark, "/root/testdata/sf0.001")).binning.count() > 0
+
+
 def test_pairs_are_measured_in_cells(spark):
     from spindrift.operators import measure
 
