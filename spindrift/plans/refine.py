@@ -77,7 +77,7 @@ class Inputs:
 
     def __init__(self, lengths, mg, seed, features, composite, loose=None, counts=None):
         self.lengths, self.mg, self.seed, self.features, self.composite, self.loose = lengths, mg, seed, features, composite, loose
-        self.counts = {} if counts is None else counts  # what a run has read, left out and measured, for its manifest
+        self.counts = counts  # what a run has read, left out and measured, for its manifest; None if there is none
 
 
 def numbered(binning: DataFrame) -> DataFrame:
@@ -95,18 +95,39 @@ def _pairs(mode: str, inputs: Inputs, binning: DataFrame) -> DataFrame:
 
 def distances(mode: str, inputs: Inputs, binning: DataFrame, fill: int | None) -> DataFrame:
     pairs = _pairs(mode, inputs, binning)
-    one = written(pairs.select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct(), "pairs")
-    n = inputs.counts[f"pairs_{mode}"] = one.count()
-    if not n:
-        _log.warning("%s: no two fragments share a marker", mode)
+    one = _counted(mode, inputs, pairs)
     strict = measure.measure(one, inputs.features)
     if inputs.loose is None:
         return comarker.filled(pairs, strict, fill)
     strict, loose = written(strict, "strict"), written(measure.measure(one, inputs.loose, 0.0), "loose")
-    inputs.counts |= {f"{k}_{mode}": v for k, v in comarker.relax_stats(strict, loose).first().asDict().items()}
+    if inputs.counts is not None:
+        inputs.counts |= {f"{k}_{mode}": v for k, v in comarker.relax_stats(strict, loose).first().asDict().items()}
     return comarker.relaxed(pairs, strict, loose, fill)
 
 
+def _counted(mode: str, inputs: Inputs, pairs: DataFrame) -> DataFrame:
+    """The pairs, once each; a run counts them for its manifest."""
+    one = written(pairs.select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct(), "pairs")
+    n = one.count()
+    if inputs.counts is not None:
+        inputs.counts[f"pairs_{mode}"] = n
+    if not n:
+        _log.warning("%s: no two fragments share a marker", mode)
+    return one
+
+
+def far_pairs(mode: str, inputs: Inputs, binning: DataFrame, t: int, fill: int | None) -> DataFrame:
+    """c1, c2, d of the pairs that are ``t`` or more apart, some of them repeated; measured in their markers' cells unless the coverage filter is relaxed."""
+    if inputs.loose is not None:
+        return written(distances(mode, inputs, binning, fill).where(F.col("d") >= t), f"far-{mode}")
+    if inputs.counts is not None:
+        _counted(mode, inputs, _pairs(mode, inputs, binning))
+    if mode == "guard":
+        free = inputs.lengths.join(binning, "contig_id", "left_anti").select("contig_id")
+        return written(comarker.guard(inputs.mg, free, inputs.features, t, fill), "far-guard")
+    return written(comarker.measured(inputs.mg, inputs.features, binning, mode == "within", least=t).select("c1", "c2", "d"), f"far-{mode}")
+
+
 def derive_threshold(inputs: Inputs) -> tuple[int, bool]:
     row = threshold.derive(distances("within", inputs, inputs.seed, None), distances("merge", inputs, inputs.seed, None)).first()
     return int(row.simthresh), bool(row.derived)
@@ -121,7 +142,7 @@ def slot_label(bin_id, slot):
 def run_separate(inputs: Inputs, binning: DataFrame, t: int, c: RefineConfig) -> DataFrame:
     bins = numbered(binning)
     mg = inputs.mg.join(binning, "contig_id", "left_semi")
-    conflicts = separate.cannot_link(distances("within", inputs, binning, None), bins, t)
+    conflicts = written(separate.cannot_link(far_pairs("within", inputs, binning, t, None), bins, t), "conflicts")
     pins = affinity.pins(mg, binning).join(bins.select("bin_label", "bin_id").distinct(), "bin_label").select("bin_id", "contig_id")
     aff = affinity.anchor_affinity(inputs.composite, mg, binning)
     s = separate.separate(bins, aff, conflicts, pins, t, c.sepmul, c.nodes)
@@ -131,7 +152,15 @@ def run_separate(inputs: Inputs, binning: DataFrame, t: int, c: RefineConfig) ->
 def run_merge(inputs: Inputs, binning: DataFrame, t: int, c: RefineConfig) -> DataFrame:
     bins = numbered(binning)
     aff = affinity.affinity(inputs.composite, inputs.lengths)
-    m = merge.merge(affinity.bin_affinity(aff, bins), distances("merge", inputs, binning, comarker.UNMEASURED), bins, t, c.minconn)
+    binaff = affinity.bin_affinity(aff, bins)
+    if inputs.loose is not None:
+        m = merge.merge(binaff, far_pairs("merge", inputs, binning, t, comarker.UNMEASURED), bins, t, c.minconn)
+    else:  # only pairs of bins that may merge are measured
+        if inputs.counts is not None:
+            _counted("merge", inputs, _pairs("merge", inputs, binning))
+        mutual = written(merge.mutual_pairs(binaff), "mutual")
+        pairs = merge.unblocked(mutual, comarker.unlike(inputs.mg, bins, mutual, inputs.features, t), c.minconn)
+        m = merge.joined(merge.components(pairs, bins), bins)
     return m.select("contig_id", F.concat(F.lit("Bin_"), F.col("bin_id").cast("string")).alias("bin_label"), F.lit("optimal").alias("status"))
 
 
@@ -139,7 +168,7 @@ def run_recruit(inputs: Inputs, binning: DataFrame, t: int, c: RefineConfig) ->
     bins = numbered(binning)
     free = inputs.lengths.join(binning, "contig_id", "left_anti").select("contig_id")
     edges = affinity.recruit_affinity(inputs.composite, free, binning).join(bins.select("bin_label", "bin_id").distinct(), "bin_label").select("c", "bin_id", "w")
-    got = recruit.recruit(edges, distances("guard", inputs, binning, comarker.UNMEASURED), bins, t, c.minaff, c.nodes)
+    got = recruit.recruit(edges, far_pairs("guard", inputs, binning, t, comarker.UNMEASURED), bins, t, c.minaff, c.nodes)
     labels = bins.select("bin_id", "bin_label").distinct()
     before = binning.select("contig_id", "bin_label", F.lit("optimal").alias("status"))
     return before.union(got.join(labels, "bin_id").select("contig_id", "bin_label", "status"))
