@@ -465,6 +465,38 @@ def test_short_fragments_meet_few_that_pass_by():
         assert got[int(m["id"][k])] == list(zip((-s[o]).tolist(), m["id"][o].tolist()))
 
 
+def test_only_pairs_that_can_be_listed_are_evaluated(monkeypatch):
+    """Pairs are seen in a few directions first, and of many at once only those are evaluated that no ``most`` others surely surpass."""
+    r = np.random.default_rng(9)
+    m = _fragments(7, 6000, copies=300) | {"log": np.sort(np.log10(1000 + r.exponential(1500, 6000)))}
+    m["covered"] = r.random(6000) < 0.7
+    edges = knn.length_cells(m["log"].min(), m["log"].max(), knn.FINE)
+    table = knn.lower_coefficients(edges)
+    own = {k: v[::7] for k, v in m.items()}
+    lists, sparse = [], knn.Nearest._sparse
+    for dense in (1, 10**9):  # pair by pair wherever pairs need only lie near, and nowhere
+        left = []
+        monkeypatch.setattr(knn, "DENSE", dense)
+        monkeypatch.setattr(knn.Nearest, "_sparse", lambda *a: left.append(sparse(*a)) or left[-1])  # noqa: B023
+        search = knn.Nearest(own, edges, table, 20)
+        for k in range(0, 6000, 500):
+            search.meet({c: v[k : k + 500] for c, v in m.items()})
+        assert search.evaluated < 40 * len(own["id"])
+        assert any(x is not None and len(x[0]) for x in left) == (dense == 1)
+        lists.append([np.concatenate(x).tolist() for x in zip(*search.found())])
+    assert lists[0] == lists[1]
+    got = {}
+    for s, d, x in zip(*lists[0][:3]):
+        got.setdefault(s, []).append((-x, d))
+    for k in range(0, 6000, 7):
+        d = np.sqrt(((m["tnf"] - m["tnf"][k]) ** 2).sum(axis=1))
+        s = np.round(1 - tnf.probability(d, np.full(6000, m["log"][k]), m["log"]), 6)
+        s[k] = -1
+        s[~(m["covered"] | m["covered"][k])] = -1
+        o = np.lexsort((m["id"], -s))[:20]
+        assert got[int(m["id"][k])] == list(zip((-s[o]).tolist(), m["id"][o].tolist()))
+
+
 def test_later_neighbours_are_those_of_larger_id(spark):
     m = _fragments(8, 60)
     feats = spark.createDataFrame([(int(i), int(10**x), [float(v) for v in t], [2.0, 0.5], [1.0, 1.0]) for i, x, t in zip(m["id"], m["log"], m["tnf"])], "contig_id long, length long, tnf array<double>, mean array<double>, var array<double>").cache()
