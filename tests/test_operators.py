@@ -616,6 +616,41 @@ def test_bounds_hold_and_meet_on_small_instances(spark):
     assert all(got[k] >= v for k, v in best.items()) and sum(got.values()) < sum(w for *_, w in aff)
 
 
+def test_prices_of_small_components_take_their_rounds_in_one_task(spark, monkeypatch):
+    from spindrift.operators import bounds
+
+    r, cand, rivals, values = random.Random(12), [], [], []
+    for g in range(6):
+        own = [(g, 100 * g + c, b, r.randint(1, 900)) for c in range(7) for b in range(4) if r.random() < 0.8]
+        cand += own
+        have = sorted({c for _, c, _, _ in own})
+        rivals += [(g, a, b) for a in have for b in have if a < b and r.random() < 0.4]
+        values.append((g, sum(max(w for _, c, _, w in own if c == x) for x in have[:3])))
+    d = [spark.createDataFrame(x, y) for x, y in ((cand, "component long, c long, bin_id long, w long"), (rivals, "component long, a long, b long"), (values, "component long, value long"))]
+    rounds = [rows(bounds.recruit_bound(*d, rounds=5, small=small), "component", "bound") for small in (0, 40)]
+    monkeypatch.setattr(bounds, "_priced_in_rounds", lambda *a: pytest.fail("small components stay spread"))
+    assert rows(bounds.recruit_bound(*d, rounds=5), "component", "bound") == rounds[0] == rounds[1]
+    assert len(rounds[0]) == 6
+
+
+def test_edges_that_cannot_be_among_the_best_are_not_shuffled(spark):
+    r = random.Random(13)
+    edges = [(a, b, r.choice([None, 0.25, 0.5, r.random()])) for a in range(40) for b in range(a + 1, 60) if r.random() < 0.7]
+    d = spark.createDataFrame(edges, "src long, dst long, score double").coalesce(1)
+    left = [tuple(x) for x in affinity.best_ends(d, 5).collect()]
+    assert len(left) < len(edges)  # of twice as many ends
+    at = {}
+    for a, b, s in edges:
+        for end in (a, b):
+            at.setdefault(end, []).append((-1.0 if s is None else s, a, b))
+    best = {e: sorted(x, reverse=True) for e, x in at.items()}
+    want = {(a, b, None if s == -1 else s) for x in best.values() for s, a, b in x[:5]}
+    assert {(a, b, s) for a, b, s, _ in left} >= want
+    for held in (1, 50):
+        assert {tuple(x)[:3] for x in affinity.best_ends(d, 5, held).collect()} >= want
+    assert {tuple(x) for x in affinity.top_union(d).collect()} == want
+
+
 def test_partition_search_respects_bans():
     got = partition.search({i: 300_000 for i in range(6)}, [(0, 1, 5), (2, 3, 5), (4, 5, 5)], {i: {i % 2} for i in range(6)}, 3, forbidden=[(0, 2)])
     assert set(got) == set(range(6)) and got[0] == got[1] and got[0] != got[2]
