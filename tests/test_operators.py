@@ -616,6 +616,20 @@ def test_bounds_hold_and_meet_on_small_instances(spark):
     assert all(got[k] >= v for k, v in best.items()) and sum(got.values()) < sum(w for *_, w in aff)
 
 
+def test_rivals_are_compared_once_a_pair(spark):
+    r = random.Random(14)
+    cand = spark.createDataFrame([(c, b, 1) for c in range(30) for b in range(40) if c % 6 and (b % 3 != c % 3 or r.random() < 0.02)], "c long, bin_id long, w long").cache()
+    guard = spark.createDataFrame([(a, b, r.choice([20, 80])) for a in range(40) for b in range(40) if a != b and r.random() < 0.3], "c1 long, c2 long, d int").cache()
+    own = {}
+    for c, b, _ in cand.collect():
+        own.setdefault(c, set()).add(b)
+    want = sorted({(min(x, y), max(x, y)) for x, y, d in guard.collect() if d >= 60 and own.get(x, set()) & own.get(y, set())})
+    got = recruit.rivals(cand, guard, 60)
+    assert rows(got, "a", "b") == want and want
+    keys = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(keys) == 2 and not any("bin_id" in k for k in keys)  # no row a shared bin
+
+
 def test_prices_of_small_components_take_their_rounds_in_one_task(spark, monkeypatch):
     from spindrift.operators import bounds
 
