@@ -144,7 +144,7 @@ def run_separate(inputs: Inputs, binning: DataFrame, t: int, c: RefineConfig) ->
     mg = inputs.mg.join(binning, "contig_id", "left_semi")
     conflicts = written(separate.cannot_link(far_pairs("within", inputs, binning, t, None), bins, t), "conflicts")
     pins = affinity.pins(mg, binning).join(bins.select("bin_label", "bin_id").distinct(), "bin_label").select("bin_id", "contig_id")
-    aff = affinity.anchor_affinity(inputs.composite, mg, binning)
+    aff = written(affinity.anchor_affinity(inputs.composite, mg, binning), "anchor-affinity")  # components, search, bound and value read it
     s = separate.separate(bins, aff, conflicts, pins, t, c.sepmul, c.nodes)
     return s.select("contig_id", F.concat(F.lit("Bin_"), slot_label(F.col("bin_id"), F.col("slot"))).alias("bin_label"), "status")
 

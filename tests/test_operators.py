@@ -401,7 +401,10 @@ def test_a_refinement_measures_its_pairs_in_cells(spark, monkeypatch):
 
     for name in ("pairs_guard", "pairs_merge", "filled"):  # every pair with both sides' features
         monkeypatch.setattr(comarker, name, lambda *a, **k: pytest.fail("pairs are listed"))
+    names, write = [], refine.written
+    monkeypatch.setattr(refine, "written", lambda d, what: names.append(what) or write(d, what))
     assert refine.refine(Domain(spark, "/root/testdata/sf0.001")).binning.count() > 0
+    assert names.count("anchor-affinity") == 1  # not made anew by each of its readers
 
 
 def test_pairs_are_measured_in_cells(spark):
